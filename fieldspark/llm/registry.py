@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import byte_bpe, simhash, token_counts
+from fieldspark.llm import byte_bpe, language_id, simhash, token_counts
 from fieldspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    said = language_id.identify(docs, model)
+    return said.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -37,6 +44,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
 }
 
