@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import byte_bpe, language_id, simhash, token_counts
+from fieldspark.llm import byte_bpe, language_id, media, simhash, token_counts
 from fieldspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +41,26 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.media_columns(table(spark, sf_dir, "documents"))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {}
