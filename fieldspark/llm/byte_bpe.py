@@ -1,8 +1,7 @@
 """Byte-level BPE encoding and decoding in linear time.
 
 A text is cut by a pattern; each piece is encoded on its own. Bytes are mapped to the 256 characters of Latin-1, so that
-an Aho-Corasick automaton over the vocabulary finds, in one pass over a piece, the longest token that starts at each
-byte. The encoding is then walked from left to right: take the longest token; if it cannot stand beside the token before
+the trie of a pyahocorasick automaton over the vocabulary finds the longest token that starts at a byte. The encoding is then walked from left to right: take the longest token; if it cannot stand beside the token before
 it, try the next shorter token that is a prefix; if none is left, the position is a dead end, go back one token. Two tokens
 can stand side by side exactly if merging their joined bytes gives these two again, which is memoised. A sequence whose
 neighbours all fit is the one that the merges make, and each position is left as a dead end at most once.
@@ -28,10 +27,11 @@ from fieldspark.llm.common import text_blocks
 MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 
 
-def merged(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids that merging neighbours of the lowest rank, leftmost first, leaves. For short strings."""
+def merged(data: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int]:
+    """The ids that merging neighbours of the lowest rank, leftmost first, leaves, or the last ``least`` on the way. For
+    short strings."""
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
+    while len(parts) > least:
         best, at = min((ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
         if best == len(ranks):
             break
@@ -63,12 +63,14 @@ class ByteBpe:
         self.ranks = ranks
         self.bytes_of = {i: token for token, i in ranks.items()}
         self._findall = regex.compile(pattern).findall
-        self._automaton = ahocorasick.Automaton()
+        trie = ahocorasick.Automaton()
         for token, i in ranks.items():
-            self._automaton.add_word(token.decode("latin-1"), (i, len(token)))
-        self._automaton.make_automaton()
+            trie.add_word(token.decode("latin-1"), i)
+        self._reach = trie.longest_prefix
+        self._most = max(map(len, ranks))
         self._shorter: dict[int, int | None] = {}
         self._beside: dict[tuple[int, int], bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._memo = PieceMemo(self.encode_piece)
 
     def _next_shorter(self, token: int) -> int | None:
@@ -78,38 +80,70 @@ class ByteBpe:
             self._shorter[token] = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.ranks), None)
         return self._shorter[token]
 
+    def _last_merge(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that are merged last when the token's bytes are merged; None for a single byte."""
+        if token not in self._halves:
+            data = self.bytes_of[token]
+            self._halves[token] = None if len(data) == 1 else tuple(merged(data, self.ranks, 2))
+        return self._halves[token]
+
     def _fit(self, left: int, right: int) -> bool:
         known = self._beside.get((left, right))
         if known is None:
             if len(self._beside) >= MEMO_ENTRIES:
                 self._beside.clear()
-            known = self._beside[left, right] = merged(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
+            known = self._beside[left, right] = self._stays(left, right)
         return known
 
+    def _stays(self, left: int, right: int) -> bool:
+        """Undoes the merges of both sides at their seam, the latest first. What meets there at any time must not merge
+        before the merge that was undone last: at an equal rank the one further left goes first."""
+        if any(len(self._last_merge(t) or ()) > 2 for t in (left, right)):
+            return False  # merging never makes this token
+        before = len(self.ranks) + 1
+        while True:
+            across = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if across is not None and across < before:
+                return False
+            l_halves, r_halves = self._last_merge(left), self._last_merge(right)
+            if l_halves is None and r_halves is None:
+                return True
+            if r_halves is None or l_halves is not None and left > right:
+                before, left = left, l_halves[1]
+            else:
+                before, right = right + 1, r_halves[0]
+
+    def _longest(self, piece: bytes, latin: str, at: int) -> int:
+        """The longest token at a byte: the trie says how far any token goes on from there."""
+        end = at + self._reach(latin[at : at + self._most])
+        ranks = self.ranks
+        while (token := ranks.get(piece[at:end])) is None:
+            end -= 1
+        return token
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        longest = [0] * len(piece)
-        for end, (token, size) in self._automaton.iter(piece.decode("latin-1")):
-            longest[end - size + 1] = token  # of those that start at one byte, the longest ends last
-        open_ = bytearray(b"\x01" * (len(piece) + 1))
+        latin, size, bytes_of = piece.decode("latin-1"), len(piece), self.bytes_of
+        closed: set[int] = set()
         ids: list[int] = []
-        at, token = 0, longest[0] if piece else None
-        while at < len(piece):
+        at, token = 0, self._longest(piece, latin, 0) if piece else None
+        while at < size:
             while token is not None:
-                end = at + len(self.bytes_of[token])
-                if open_[end] and (not ids or self._fit(ids[-1], token)):
+                end = at + len(bytes_of[token])
+                if end not in closed and (not ids or self._fit(ids[-1], token)):
                     break
                 token = self._next_shorter(token)
             if token is not None:
                 ids.append(token)
                 at = end
-                token = longest[at] if at < len(piece) else None
+                if at < size:
+                    token = self._longest(piece, latin, at)
             else:
-                open_[at] = 0
+                closed.add(at)
                 token = ids.pop()
-                at -= len(self.bytes_of[token])
+                at -= len(bytes_of[token])
         return ids
 
     def encode(self, text: str) -> list[int]:
