@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -30,11 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices whose first string or binary column holds about max_bytes at most (one row at
+def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int, column: str = "") -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices whose column (the first of texts, if none is named) holds about max_bytes at most (one row at
     least), so that what a task makes from a slice stays bounded."""
     for batch in batches:
-        which = next(i for i, f in enumerate(batch.schema) if pa.types.is_string(f.type) or pa.types.is_binary(f.type))
+        texts = (i for i, f in enumerate(batch.schema) if pa.types.is_string(f.type) or pa.types.is_binary(f.type))
+        which = batch.schema.get_field_index(column) if column else next(texts)
         lengths = pa.compute.binary_length(batch.column(which)).fill_null(0).to_numpy(zero_copy_only=False)
         begin = size = 0
         for i, n in enumerate(lengths):
@@ -44,3 +45,13 @@ def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[p
             size += int(n)
         if begin < batch.num_rows:
             yield batch.slice(begin)
+
+
+def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], list[bool]], max_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of docs, all columns as they are, for which ``keep`` says so of a slice of rows. Nothing is shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_blocks(batches, max_bytes, text_col):
+            yield rows.filter(pa.array(keep(rows), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import text_blocks
+from fieldspark.llm.common import kept_rows, text_blocks
+from fieldspark.llm.letters import letters
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -30,21 +30,6 @@ MIXERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 PIECE, SLICE = 1 << 18, 2 << 20
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), bool)
-
-
-def _normalised(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; every run of non-letters is one space, and one stands at each end."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[codes]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[0] = True
-    return np.where(letter, codes, np.uint32(32))[keep]
-
-
 def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
     """The bucket of the n-gram that starts at each character."""
     n = len(codes) - order + 1
@@ -88,16 +73,30 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The most probable language, the first by name of equal ones, and its posterior probability."""
-        codes = _normalised(text) if text else np.empty(0, np.uint32)
+        codes = letters(text) if text else np.empty(0, np.uint32)
         if not self.languages or not (codes != 32).any():
             return UNKNOWN, 0.0
         scores = self.scores(codes)
         best = int(scores.argmax())
         return self.languages[best], float(1.0 / np.exp(scores - scores[best]).sum())
 
+    def predict_texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """As predict for each text; short ones are scored together, as many as keeps the scores' array small."""
+        most = (32 << 20) // max(1, len(self.languages))
+        names, scores, begin, size = [], [], 0, 0
+        for end in range(1, len(texts) + 1):
+            size += len(texts[end - 1] or "")
+            if end == len(texts) or size + len(texts[end] or "") > most:
+                part = texts[begin:end]
+                some_names, some_scores = self.predict_batch(part) if size <= most else map(list, zip(*map(self.predict, part)))
+                names += some_names
+                scores += some_scores
+                begin, size = end, 0
+        return names, scores
+
     def predict_batch(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """As predict, for short texts together."""
-        codes = [_normalised(t or "") for t in texts]
+        codes = [letters(t or "") for t in texts]
         lengths = np.array([len(c) for c in codes])
         known = np.array([bool((c != 32).any()) for c in codes], bool) & bool(self.languages)
         if not known.any():
@@ -135,7 +134,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
         for batch in text_blocks((b.select(["text", "lang"]) for b in batches), SLICE):
             mine: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                mine.setdefault(lang, []).append(_normalised(text.as_py()))
+                mine.setdefault(lang, []).append(letters(text.as_py()))
             for lang, codes in mine.items():
                 own = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 texts[lang] = texts.get(lang, 0) + len(codes)
@@ -173,14 +172,24 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        size = min(SLICE, (32 << 20) // max(1, len(own.languages)))
-        for rows in text_blocks(batches, size):
-            texts = rows.column(1).to_pylist()
-            if sum(len(t or "") for t in texts) > size:  # one very long text
-                names, scores = zip(*map(own.predict, texts))
-            else:
-                names, scores = own.predict_batch(texts)
+        for rows in text_blocks(batches, SLICE):
+            names, scores = own.predict_texts(rows.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", certainty: float = 0.999) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in the language they state. Rejected: texts without a letter, and
+    those that the model is certain are in another of its languages than the one stated. A null language or one that
+    the model has not learned is no reason to reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(rows: pa.RecordBatch) -> list[bool]:
+        own = shared.value
+        names, scores = own.predict_texts(rows.column(rows.schema.get_field_index(text_col)).to_pylist())
+        stated = rows.column(rows.schema.get_field_index(lang_col)).to_pylist()
+        return [n != UNKNOWN and (s not in own.languages or n == s or p < certainty) for n, p, s in zip(names, scores, stated)]
+
+    return kept_rows(docs, text_col, keep)

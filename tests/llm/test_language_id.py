@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from fieldspark.llm import language_id as L
 from fieldspark.llm import registry
 from fieldspark.llm.common import table
+from fieldspark.llm.letters import letters
 
 SF = "/root/testdata/sf0.01"
 
 
 def plain_grams(text):
     cleaned = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
-    codes = L._normalised(text)
+    codes = letters(text)
     assert "".join(map(chr, codes)) == (f" {cleaned} " if cleaned else " ")
     return [int(b) for order in L.ORDERS for b in L._buckets(codes, order)]
 
@@ -70,6 +71,17 @@ def test_no_training_rows(spark):
 def test_very_long_text_in_pieces(spark, monkeypatch):
     model = L.train(table(spark, SF, "documents").where("doc_id < 300"))
     text = "the of and être là " * 300
-    whole = model.scores(L._normalised(text))
+    whole = model.scores(letters(text))
     monkeypatch.setattr(L, "PIECE", 97)
-    assert model.scores(L._normalised(text)) == pytest.approx(whole)
+    assert model.scores(letters(text)) == pytest.approx(whole)
+
+
+def test_keeping_rows_in_their_language(spark):
+    model = L.train(table(spark, SF, "documents"))
+    text = table(spark, SF, "documents").where("lang = 'fr' and n_chars > 500").first().text
+    rows = [(1, text, "fr"), (2, text, "en"), (3, text, None), (4, text, "xx"), (5, "12 34", "fr"), (6, None, "fr"), (7, "a", "fr"), (1, text, "fr")]
+    kept = L.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")), model)
+    assert kept.columns == ["doc_id", "text", "lang", "score"]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 3, 4, 7]
+    docs = table(spark, SF, "documents")
+    assert L.keep_identified(docs, model).count() > 0.97 * docs.count()
