@@ -4,19 +4,49 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldspark.llm import simhash
+from fieldspark.llm import byte_bpe, decontamination, language_id, registry, simhash, toxicity
 from fieldspark.llm.common import shared_dir, table
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model holds for toxic go."""
+    return toxicity.keep_clean(docs, registry.toxicity_model(spark, docs, sf_dir))
+
+
+def reject_other_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters go, and those that are certainly in another language than the one they state."""
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.keep_identified(docs, model)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return simhash.simhash_dedup(docs, words=5)
 
 
-STAGES = [("simhash_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item, copied or paraphrased, go."""
+    return decontamination.keep_uncontaminated(docs, decontamination.prepare(docs, table(spark, sf_dir, "benchmark")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the token ids of every document that is left."""
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("language_id", reject_other_languages),
+    ("simhash_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("byte_bpe", encode),
+]
 
+#: No stage but the last could be said in SQL, and that one only with a table of all pieces.
 ORACLE_SQL = None
 
 

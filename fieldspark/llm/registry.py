@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import byte_bpe, language_id, license_scan, media, oracles, sharding, simhash, token_counts, toxicity, url_filter
+from fieldspark.llm import byte_bpe, decontamination, language_id, license_scan, media, oracles, sharding, simhash, token_counts, toxicity, url_filter
 from fieldspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontamination.contaminated(docs, decontamination.prepare(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates_table(spark))
 
@@ -98,6 +103,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_byte_bpe": op6_byte_bpe,
