@@ -1,50 +1,5 @@
-"""Connected components of a graph given as a table of edges."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from fieldspark.operators.graphs import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from fieldspark.llm.common import checkpointed
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-
-
-def _stars(arcs: DataFrame, larger: bool) -> DataFrame:
-    """Hangs the neighbours of every node a on the smallest node among them and a: those larger than a if larger, else
-    those smaller than a, and a itself."""
-    own = F.least(F.col("low"), F.col("a"))
-    if not larger:
-        arcs = arcs.where("b < a")
-    lows = arcs.groupBy("a").agg(F.min("b").alias("low"))
-    joined = arcs.join(lows, "a")
-    if larger:
-        made = joined.where("b > a").select(F.col("b").alias("a"), own.alias("b"))
-    else:
-        made = joined.select(F.col("b").alias("a"), own.alias("b")).union(lows.select("a", F.col("low").alias("b")))
-    return made.where("a <> b").distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node that each node of ``edges`` (a, b of one ordered type) can reach.
-
-    Rounds of large and small stars, each kept in the checkpoint folder, until two agree. A node of any degree is
-    spread over tasks: its smallest neighbour is found by partial aggregates and joined back by a join that Spark can
-    split. Edges with a null end and loops are ignored; an empty table gives no rows.
-    """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).alias("m")
-    before = now.agg(mark).first()["m"]
-    for _ in range(most_rounds):
-        if not before["n"]:
-            break
-        now = checkpointed(_stars(_both_ways(_stars(_both_ways(now), True)), False))
-        after = now.agg(mark).first()["m"]
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+__all__ = ["components"]
