@@ -454,23 +454,29 @@ _BUMP = "0.8 * exp(-((x0 - 12) ** 2 + (x1 - 5) ** 2) / 18)"
 _STEP = lambda t: f"(CASE WHEN {t} <= 0 THEN 0 WHEN {t} >= 1 THEN 1 ELSE 6 * ({t}) ** 5 - 15 * ({t}) ** 4 + 10 * ({t}) ** 3 END)"
 _BOX = " * ".join(_STEP(t) for t in ("(x0 - 2) / 1.5", "(20 - x0) / 1.5", "(x1 - 1) / 1.5", "(8 - x1) / 1.5"))
 _MIX = f"0.25 * exp(-((x0 - 10) ** 2 + (x1 - 4) ** 2) / 32) + {_BUMP} * (0.8 * exp(-5.0 / 18)) * exp(-(((0.6 * (x0 - 10) + 0.8 * (x1 - 4)) / 5) ** 2 + ((0.6 * (x1 - 4) - 0.8 * (x0 - 10)) / 2) ** 2) / 2)"
-_AT = [F.col("x0"), F.col("x1")]
-_TO = [F.lit(10.0), F.lit(4.0)]
+
+
+def _at() -> list[Column]:
+    return [F.col("x0"), F.col("x1")]
+
+
+def _to() -> list[Column]:
+    return [F.lit(10.0), F.lit(4.0)]
 
 
 @query("weight_gaussian", f"SELECT idx, {s6(_BUMP, 'b')} FROM {CUSTOMERS}")
 def weight_gaussian(spark, sf):
-    return P.customers(spark, sf).select("idx", r6(BUMP.at(_AT), "b"))
+    return P.customers(spark, sf).select("idx", r6(BUMP.at(_at()), "b"))
 
 
 @query("region_gate", f"SELECT idx, {s6(_BOX, 'b')} FROM {CUSTOMERS}")
 def region_gate(spark, sf):
-    return P.customers(spark, sf).select("idx", r6(BOX.at(_AT), "b"))
+    return P.customers(spark, sf).select("idx", r6(BOX.at(_at()), "b"))
 
 
 @query("mixture_value", f"SELECT idx, {s6(_MIX, 'k')} FROM {CUSTOMERS}")
 def mixture_value(spark, sf):
-    return P.customers(spark, sf).select("idx", r6(MIXTURE.value(_AT, _TO), "k"))
+    return P.customers(spark, sf).select("idx", r6(MIXTURE.value(_at(), _to()), "k"))
 
 
 _DX = "0.001"
@@ -479,15 +485,15 @@ _DX = "0.001"
 @query("mixture_gradient", f"SELECT idx, round(({_MIX.replace('x0', f'(x0 + {_DX})')} - ({_MIX.replace('x0', f'(x0 - {_DX})')})) / 0.002, 4) + 0.0 AS g0, round(({_MIX.replace('x1', f'(x1 + {_DX})')} - ({_MIX.replace('x1', f'(x1 - {_DX})')})) / 0.002, 4) + 0.0 AS g1 FROM {CUSTOMERS} WHERE false")
 def mixture_gradient(spark, sf):
     """Where the gradient and the central difference disagree; there is no such place."""
-    g = MIXTURE.gradient(_AT, _TO)
-    differences = [(MIXTURE.value([c + (0.001 if k == i else 0.0) for i, c in enumerate(_AT)], _TO) - MIXTURE.value([c - (0.001 if k == i else 0.0) for i, c in enumerate(_AT)], _TO)) / 0.002 for k in range(2)]
+    g = MIXTURE.gradient(_at(), _to())
+    differences = [(MIXTURE.value([c + (0.001 if k == i else 0.0) for i, c in enumerate(_at())], _to()) - MIXTURE.value([c - (0.001 if k == i else 0.0) for i, c in enumerate(_at())], _to())) / 0.002 for k in range(2)]
     made = P.customers(spark, sf).select("idx", g[0].alias("g0"), g[1].alias("g1"), differences[0].alias("d0"), differences[1].alias("d1"))
     return made.where("abs(g0 - d0) > 1e-5 or abs(g1 - d1) > 1e-5").select("idx", "g0", "g1")
 
 
 @query("mixture_coverage", f"SELECT idx, {s6(f'0.25 + ({_BUMP}) ** 2', 'coverage')}, 0.25 AS background, 2 AS active FROM {CUSTOMERS}")
 def mixture_coverage(spark, sf):
-    made = MIXTURE.coverage(_AT)
+    made = MIXTURE.coverage(_at())
     return P.customers(spark, sf).select("idx", r6(made["coverage"], "coverage"), r6(made["background"], "background"), made["active"].alias("active"))
 
 
