@@ -160,7 +160,8 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # An id that many documents share brings all of them: of those, too, only the bounded number counts.
     sample = texts.join(F.broadcast(chosen), "id").select("grade", "text", F.xxhash64("id", "text").alias("mark"))
-    sample = checkpointed(sample.orderBy("mark", "grade").limit(sample_rows).select("grade", "text"))
+    spread = docs.sparkSession.sparkContext.defaultParallelism  # the limit leaves one partition
+    sample = checkpointed(sample.orderBy("mark", "grade").limit(sample_rows).select("grade", "text").repartition(spread))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_blocks(batches, SLICE):
