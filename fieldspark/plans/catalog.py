@@ -323,7 +323,7 @@ _QUADRATIC = "1 + u - 2 * v + 0.5 * u * u - u * v + v * v"
 def fit_phs5_d2_quadratic_reproduction(spark, sf):
     """A quadratic through 40 suppliers' places comes back with its derivatives."""
     spot = P.suppliers(spark, sf).select((F.col("x0") / 12.5 - 1).alias("x0"), (F.col("x1") / 5 - 1).alias("x1")).distinct()
-    first = spot.orderBy("x0", "x1").limit(40)  # a small set of centers; the points are all customers
+    first = spot.orderBy(F.xxhash64("x0", "x1")).limit(40)  # a small set of centers; the points are all customers
     u, v = F.col("x0"), F.col("x1")
     centers = first.select(F.lit(0).cast("long").alias("field_id"), (F.row_number().over(Window.orderBy("x0", "x1")) - 1).alias("idx"), u, v, (1 + u - 2 * v + 0.5 * u * u - u * v + v * v).alias("y")).persist()
     rows = P.customers(spark, sf).select("idx", (u / 12.5 - 1).alias("x0"), (v / 5 - 1).alias("x1"))
