@@ -57,20 +57,23 @@ def canonical(constraints: DataFrame, terms: DataFrame) -> dict[str, DataFrame]:
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
-    """first, second, kind of row pairs (row, var, coef) that are multiples of one another, scaled by their largest
-    coefficient: duplicate if exactly, near_duplicate within 128 eps. Rows meet by the set of their variables and the
-    rounded ratio of their coefficients, or its neighbour, not as all pairs."""
+    """first, second, kind of rows (row, var, coef) that are multiples of one another, scaled by their largest coefficient.
+    duplicate: first is the smallest row of the class of exact multiples that second is in; each other row of a class comes
+    once. near_duplicate: the smallest rows of two classes within 128 eps, which stand for all their rows' pairs. Classes
+    meet by the set of their variables and the rounded ratio of their coefficients, or its neighbour, not as all pairs."""
     largest = rows.groupBy("row").agg(F.max(F.abs("coef")).alias("top"), F.min_by(F.signum("coef"), "var").alias("sign"))
     scaled = rows.join(largest, "row").select("row", "var", (F.col("coef") / F.col("top") * F.col("sign")).alias("c"))
     whole = scaled.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("var", "c"))).alias("entries"))
+    classes = whole.groupBy("entries").agg(F.min("row").alias("first"), F.count("*").alias("rows"))
+    exact = whole.join(classes.where("rows > 1"), "entries").where("row > first").select("first", F.col("row").alias("second"), F.lit("duplicate").alias("kind"))
     shape = F.transform("entries", lambda e: e["var"])
     probe = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["c"] / (F.pmod(F.hash(e["var"]), F.lit(7)) + 1.0))
     cell = F.floor(probe * 1e9)
-    keyed = whole.select("row", "entries", shape.alias("shape"), cell.alias("cell"))
+    keyed = classes.select(F.col("first").alias("row"), "entries", shape.alias("shape"), cell.alias("cell"))
     right = keyed.select(F.col("row").alias("second"), F.col("entries").alias("others"), "shape", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     met = keyed.join(right, ["shape", "cell"]).where("row < second")
     gap = F.array_max(F.zip_with("entries", "others", lambda a, b: F.abs(a["c"] - b["c"])))
-    return met.select(F.col("row").alias("first"), "second", gap.alias("gap")).where(F.col("gap") <= NEAR).select("first", "second", F.when(F.col("gap") == 0, "duplicate").otherwise("near_duplicate").alias("kind"))
+    return exact.union(met.select(F.col("row").alias("first"), "second", gap.alias("gap")).where(F.col("gap") <= NEAR).select("first", "second", F.lit("near_duplicate").alias("kind")))
 
 
 def hard_conflicts(rows: DataFrame) -> DataFrame:

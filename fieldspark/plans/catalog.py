@@ -646,7 +646,7 @@ _ROW = "SELECT o_orderkey AS id, o_custkey % 50 AS c, CASE WHEN o_orderkey % 2 =
 @query("near_duplicates", f"SELECT a.id AS first, b.id AS second, 'duplicate' AS kind FROM ({_ROW}) a JOIN ({_ROW}) b ON a.c = b.c AND a.id < b.id AND a.c % 5 = 0")
 def near_duplicates(spark, sf):
     """Rows of two coefficients in proportion (c + 1) : 1, for every fifth c; the others' second variable is their own."""
-    base = P.table(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 50).alias("c"), F.when(F.col("o_orderkey") % 2 == 0, -4.0).otherwise(2.0).alias("k"))
+    base = P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 50).alias("c"), F.when(F.col("o_orderkey") % 2 == 0, -4.0).otherwise(2.0).alias("k"))
     other = F.when(F.col("c") % 5 == 0, F.lit(-1)).otherwise(F.col("row"))
     spread = F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("var"), (F.col("k") * (F.col("c") + 1)).alias("coef")), F.struct(other.cast("long").alias("var"), F.col("k").alias("coef"))))
     return constraints.near_duplicates(base.select("row", spread.alias("t")).select("row", "t.*"))
