@@ -3,9 +3,10 @@ DataFrame functions only.
 
 Segments are the lines of a text, and its paragraphs (between blank lines) of more than one line. Both sides are
 normalised alike: A-Z lower-cased, everything but a-z and 0-9 a space. Two texts with n and m bigrams can reach a Dice
-coefficient of t only if t / (2 - t) <= n / m <= (2 - t) / t, so each number of bigrams has a short list of templates
-that are worth comparing. Segments meet their list by an equi-join on that number; most have none and go no further,
-before any bigram is built. Nothing is shuffled.
+coefficient of t only if t / (2 - t) <= n / m <= (2 - t) / t, where n and m count distinct bigrams, so each such number
+has a short list of templates that are worth comparing. The number of words bounds it from above only: segments too short
+for every template go no further, before any bigram is built; of the others it is counted. Segments meet their list by an
+equi-join on it. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -55,12 +56,12 @@ def templates_table(spark: SparkSession, templates: Iterable[tuple[str, str]] =
 
 
 def _by_size(templates: DataFrame, threshold: float) -> DataFrame:
-    """n: a number of bigrams, offered: the templates that a segment with so many can be similar to."""
+    """n: a number of distinct bigrams, offered: the templates that a segment with so many can be similar to."""
     count = templates.count()
     if count > MAX_TEMPLATES:
         raise ValueError(f"{count} templates; at most {MAX_TEMPLATES} are broadcast")
     words = F.split(normalised(F.col("template")), " ")
-    sized = templates.select("license", "nth", (F.size(words) - 1).alias("size"), bigrams(words).alias("grams")).where("size > 0")
+    sized = templates.select("license", "nth", bigrams(words).alias("grams")).withColumn("size", F.size("grams")).where("size > 0")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     slack = 1e-9  # a quotient that is whole must not be lost to rounding
     within = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("size") * low - slack).cast("int")), F.floor(F.col("size") * high + slack).cast("int"))
@@ -71,31 +72,34 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, kind (line or paragraph), position (from 0), license, template (its number), dice: each segment of every
     row's whole text that is similar to a template, with the most similar one, the first of equal ones.
 
-    A segment is compared with a template if their numbers of bigrams, repeats included, are within the bounds; the
-    coefficient is that of the sets of distinct bigrams. Null and empty texts have no segments, a segment of one word no
+    A segment is compared with a template if their numbers of distinct bigrams are within the bounds, so none that reaches
+    the threshold is missed; the coefficient is that of the sets of distinct bigrams. Null and empty texts have no segments, a segment of one word no
     bigrams. Rows that repeat are scanned like others; other columns are not read.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"not a threshold: {threshold}")
     text = F.col(text_col).cast("string")
+    offers = _by_size(templates, threshold)
+    least = offers.agg(F.min("n")).first()[0] or 1
     lines = F.transform(F.split(text, "\n"), lambda s, i: F.struct(F.lit("line").alias("kind"), i.alias("position"), s.alias("segment")))
     paragraphs = F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda s, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("position"), s.alias("segment")))
     several = F.filter(paragraphs, lambda p: F.contains(F.trim(p.segment, F.lit("\n \t\r")), F.lit("\n")))
-    segments = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.concat(lines, several)).alias("s"))
-    words = segments.select("doc_id", "s.kind", "s.position", normalised(F.col("s.segment")).alias("plain")).where("plain <> ''")
-    sized = words.withColumn("n", F.length("plain") - F.length(F.replace(F.col("plain"), F.lit(" "), F.lit(""))))
-    met = sized.join(F.broadcast(_by_size(templates, threshold)), "n")
-    mine = bigrams(F.split("plain", " "))
+    # Normalised before they are exploded, so that filters above do not do it again.
+    plain = F.transform(F.concat(lines, several), lambda s: F.struct(s.kind.alias("kind"), s.position.alias("position"), normalised(s.segment).alias("plain")))
+    segments = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(plain).alias("s")).select("doc_id", "s.*")
+    most = F.length("plain") - F.length(F.replace(F.col("plain"), F.lit(" "), F.lit("")))
+    made = segments.where(most >= least).withColumn("grams", bigrams(F.split("plain", " "))).drop("plain")
+    met = made.withColumn("n", F.coalesce(F.size("grams"), F.lit(0))).join(F.broadcast(offers), "n")
 
     def compare(offer: Column, grams: Column) -> Column:
         dice = 2.0 * F.size(F.array_intersect(offer.grams, grams)) / (F.size(offer.grams) + F.size(grams))
         return F.struct(dice.alias("dice"), (-offer.nth).alias("before"), offer.license.alias("license"))
 
-    best = F.array_max(F.get(F.transform(F.array(mine), lambda grams: F.transform("offered", lambda offer: compare(offer, grams))), 0))
+    best = F.array_max(F.transform("offered", lambda offer: compare(offer, F.col("grams"))))
     found = met.select("doc_id", "kind", "position", best.alias("best")).where(F.col("best.dice") >= threshold)
     return found.select("doc_id", "kind", F.col("position").cast("long").alias("position"), F.col("best.license").alias("license"), (-F.col("best.before")).alias("template"), F.col("best.dice").alias("dice"))
 
 
 def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """The least and most bigrams of a text that can be similar to one with ``size``."""
+    """The least and most distinct bigrams of a text that can be similar to one with ``size``."""
     return max(1, ceil(size * threshold / (2 - threshold) - 1e-9)), floor(size * (2 - threshold) / threshold + 1e-9)

@@ -107,6 +107,41 @@ def test_scan_finds_all_notices_of_the_tables(spark):
     assert len(found) > 10
 
 
+def plain_scan(rows, threshold=license_scan.THRESHOLD):
+    """Every segment against every template, without a bound on sizes."""
+
+    def grams(text):
+        ws = re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).split()
+        return set(zip(ws, ws[1:]))
+
+    known = [(nth, name, g) for nth, (name, text) in enumerate(license_scan.TEMPLATES) if (g := grams(text))]
+    for doc_id, text in rows:
+        lines = [("line", k, s) for k, s in enumerate((text or "").split("\n"))]
+        paragraphs = [("paragraph", k, s) for k, s in enumerate(re.split(r"\n[ \t\r]*\n", text or "")) if "\n" in s.strip("\n \t\r")]
+        for kind, position, segment in lines + paragraphs:
+            mine = grams(segment)
+            dice, before, name = max((2 * len(mine & g) / (len(mine) + len(g)), -nth, name) for nth, name, g in known)
+            if dice >= threshold:
+                yield doc_id, kind, position, name, -before, dice
+
+
+def test_scan_finds_segments_that_repeat_words(spark):
+    notice, header = "Licensed under CC BY 4.0.", license_scan.TEMPLATES[1][1]
+    rows = [
+        (1, f"{notice} {notice}"), (2, " ".join([notice] * 200)), (3, f"{header} {header}"), (4, "\n".join(["x", *[notice] * 9])), (5, "Licensed under under CC BY BY 4.0"),
+        (6, "a b " * 500 + "Released under the MIT License."), (7, "MIT MIT MIT MIT MIT MIT"), (8, None), (9, ""), (10, notice),
+    ]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.templates_table(spark))
+    wanted = Counter(plain_scan(rows))
+    assert {(1, "line", 0), (2, "line", 0), (3, "line", 0), (4, "paragraph", 0)} <= {w[:3] for w in wanted}
+    assert Counter(map(tuple, got.collect())) == wanted
+
+
+def test_scan_of_the_tables_needs_no_bound(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert Counter(map(tuple, license_scan.scan(docs, license_scan.templates_table(spark)).collect())) == Counter(plain_scan(map(tuple, docs.collect())))
+
+
 def test_scan_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert license_scan.scan(empty, license_scan.templates_table(spark)).collect() == []
