@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,6 +153,22 @@ class ByteBpe:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    @cached_property
+    def tokens(self) -> pa.Array:
+        """The bytes of every id from 0 on, null where the vocabulary has none."""
+        return pa.array(map(self.bytes_of.get, range(max(self.bytes_of) + 1)), pa.binary())
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids, none for a null list."""
+        ids = lists.flatten()
+        if len(ids) and not 0 <= pa.compute.min(ids).as_py() <= pa.compute.max(ids).as_py() < len(self.tokens):
+            raise KeyError("an id is outside the vocabulary")
+        parts = self.tokens.take(ids)
+        if parts.null_count:
+            raise KeyError("an id is outside the vocabulary")
+        offsets = np.cumsum(np.concatenate([[0], pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)])).astype(np.int32)
+        return pa.compute.binary_join(pa.ListArray.from_arrays(offsets, parts), b"")
+
 
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
@@ -183,9 +200,6 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
-                lists = rows.column(1)
-                flat, ends = lists.flatten().to_pylist(), np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-                decoded = [bpe.decode(flat[a:b]) for a, b in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), bpe.decode_lists(rows.column(1))], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

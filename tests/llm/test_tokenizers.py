@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -42,6 +43,16 @@ def test_ids_match_the_library(spark, rows):
     assert [(i, ids, bytes(d)) for i, ids, d in got] == wanted
 
 
+def test_lists_decode_at_once():
+    bpe = byte_bpe.load(RANKS, P.PATTERN)
+    ids = [[], bpe.encode("hello world"), None, bpe.encode("日本 \U0001f600"), []]
+    lists = pa.array([[1], *ids], pa.list_(pa.int32()))
+    assert bpe.decode_lists(lists.slice(1)).to_pylist() == [bpe.decode(i or []) for i in ids]
+    for wrong in (-1, len(bpe.ranks)):
+        with pytest.raises(KeyError):
+            bpe.decode_lists(pa.array([[5, wrong]], pa.list_(pa.int32())))
+
+
 def test_linear_encoding_of_long_pieces():
     bpe = byte_bpe.load(RANKS, P.PATTERN)
     ranks = bpe.ranks
