@@ -29,7 +29,7 @@ SAMPLE_ROWS, FEATURES, TIERS = 20_000, 4_096, 3
 #: Rows of the least frequent feature that may be chosen, and its least G statistic: of a million features that tell
 #: nothing about two grades, a few hundredths of one exceed 30.
 LEAST_ROWS, LEAST_G = 3, 30.0
-PREFIXES, LONGEST = (3, 4, 5, 6, 7, 8), 12
+PREFIXES = (3, 4, 5, 6, 7, 8)
 SLICE = 2 << 20
 #: Odd multipliers that spread hashes over 64 bits.
 MULTIPLIER, FINISHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -41,26 +41,30 @@ def _finished(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of texts that are scored together, repeats included: row and hash of each. Words are told apart by
-    their length and first LONGEST letters."""
+    """The features of texts that are scored together, repeats included: row and hash of each. A word of any length is
+    hashed as a whole: a polynomial in MULTIPLIER, letter by letter."""
     codes = [letters(t or "") for t in texts]
     flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
     space = flat == SPACE
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     row = np.searchsorted(np.cumsum([len(c) for c in codes]), starts, "right")
     size = ends - starts
     rows, hashes, h = [], [], np.zeros(len(starts), np.uint64)
-    for k in range(LONGEST):
-        there = k < size
+    powers = np.multiply.accumulate(np.full(max(int(size.max()), max(PREFIXES)), MULTIPLIER))
+    for k in range(max(PREFIXES)):
         letter = flat[np.minimum(starts + k, len(flat) - 1)].astype(np.uint64)
-        h = np.where(there, (h + letter) * MULTIPLIER, h)
+        h = np.where(k < size, h + letter * powers[k], h)
         if k + 1 in PREFIXES:
             longer = size > k + 1
             rows.append(row[longer])
             hashes.append(_finished(h[longer], k + 1))
+    place = np.arange(len(flat) - starts[0]) - np.repeat(starts - starts[0], np.diff(starts, append=len(flat)))
+    terms = np.where(space[starts[0] :], np.uint64(0), flat[starts[0] :].astype(np.uint64) * powers[np.minimum(place, len(powers) - 1)])
     rows.append(row)
-    hashes.append(_finished(h + size.astype(np.uint64) * FINISHER, 0))
+    hashes.append(_finished(np.add.reduceat(terms, starts - starts[0]) + size.astype(np.uint64) * FINISHER, 0))
     return np.concatenate(rows), np.concatenate(hashes)
 
 
@@ -153,25 +157,30 @@ def _tiers(grades: np.ndarray, evidence: np.ndarray, tiers: int) -> np.ndarray:
 
 def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, n_features: int = FEATURES, tiers: int = TIERS) -> OrdinalModel:
     """Fits on at most ``sample_rows`` rows of ``graded`` (id_col and grade, from 0 to at most 255) and their texts. If
-    there are only grades 0 and 1, grade 1 is told apart by evidence into ``tiers`` grades. Null ids, grades and texts are left out; of an id with several grades each counts; a graded id without a document does
-    not. Without any row the model calls nothing toxic."""
+    there are only grades 0 and 1, grade 1 is told apart by evidence into ``tiers`` grades. Null ids, grades and texts are
+    left out; of an id with several grades or texts each counts, and each repeated row; a graded id without a document
+    does not count. Texts count whole, however long. Without any row the model calls nothing toxic. Other columns are not read."""
     chosen = graded.where(F.col(id_col).isNotNull() & F.col("grade").between(0, 255)).select(F.col(id_col).cast("long").alias("id"), F.col("grade").cast("int").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "grade").limit(sample_rows)  # bounded, so it is broadcast
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # An id that many documents share brings all of them: of those, too, only the bounded number counts.
-    sample = texts.join(F.broadcast(chosen), "id").select("grade", "text", F.xxhash64("id", "text").alias("mark"))
-    spread = docs.sparkSession.sparkContext.defaultParallelism  # the limit leaves one partition
-    sample = checkpointed(sample.orderBy("mark", "grade").limit(sample_rows).select("grade", "text").repartition(spread))
+    # An id that many documents share brings all of them: of those, too, only the bounded number counts. Marks are chosen
+    # before any text moves; a text comes once with the number of its rows, spread by mark, never sorted in one task.
+    labelled = texts.join(F.broadcast(chosen), "id").select("grade", "text", F.xxhash64("id", "text").alias("mark"))
+    marks = labelled.select("mark", "grade").orderBy("mark", "grade").limit(sample_rows).groupBy("mark", "grade").agg(F.count("*").alias("n"))
+    met = labelled.join(F.broadcast(marks), ["mark", "grade"])  # bounded, so it is broadcast
+    sample = checkpointed(met.groupBy("mark", "grade", "n").agg(F.first("text").alias("text")).select("grade", "text", "n"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_blocks(batches, SLICE):
             grade = rows.column(0).to_numpy()
             row, hashed = features(rows.column(1).to_pylist())
             both = np.unique(np.stack([row.astype(np.uint64), hashed], 1), axis=0)
-            pairs, n = np.unique(np.stack([both[:, 1], grade[both[:, 0].astype(np.int64)].astype(np.uint64)], 1), axis=0, return_counts=True)
+            owner = both[:, 0].astype(np.int64)
+            pairs, place = np.unique(np.stack([both[:, 1], grade[owner].astype(np.uint64)], 1), axis=0, return_inverse=True)
+            n = np.bincount(place.ravel(), rows.column(2).to_numpy()[owner], len(pairs)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].astype(np.int32)), pa.array(n)], ["feature", "grade", "n"])
 
-    totals = sample.groupBy("grade").count().toPandas()
+    totals = sample.groupBy("grade").agg(F.sum("n").alias("count")).toPandas()
     if totals.empty:
         return OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.array([50.0]))
     top = int(totals["grade"].max())
@@ -196,9 +205,10 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
         for rows in text_blocks(batches, SLICE):
             row, place = finder.value._known(rows.column(1).to_pylist())
             offsets = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))], ["grade", "places"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))], ["grade", "n", "places"])
 
-    seen = sample.mapInArrow(present, "grade int, places array<int>").toArrow()
+    seen = sample.mapInArrow(present, "grade int, n long, places array<int>").toArrow()
+    seen = seen.take(np.repeat(np.arange(seen.num_rows), seen["n"].to_numpy()))
     lists = seen["places"].combine_chunks()
     lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -211,7 +221,8 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, grade, expected_severity, p_toxic, toxic of every row's whole text. Null texts and those without a letter
-    have grade, severity and probability 0. Rows may repeat, ids may be null; only the two columns are read."""
+    have grade, severity and probability 0; of equally probable grades the lowest is given. Texts of any length are scored
+    whole. Rows may repeat, ids may be null, an empty table gives no rows; only the two columns are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +237,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are not toxic."""
+    """The rows of ``docs``, all columns, that are not toxic: P(grade > 0) is 1/2 at most. Null and empty texts and those
+    without a letter stay; rows that repeat stay or go alike; the model's names do not clash with columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return kept_rows(docs, text_col, lambda rows: shared.value.exceedance(rows.column(rows.schema.get_field_index(text_col)).to_pylist())[:, 0] <= 0.5)

@@ -1,5 +1,7 @@
 """Ordinal regression: gradients, ordered thresholds, held-out accuracy."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ SF = "/root/testdata/sf0.1"
 
 def plain_features(text):
     words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
-    return {("w", len(w), w[: toxicity.LONGEST]) for w in words} | {("p", k, w[:k]) for w in words for k in toxicity.PREFIXES if len(w) > k}
+    return {("w", w) for w in words} | {("p", k, w[:k]) for w in words for k in toxicity.PREFIXES if len(w) > k}
 
 
 def test_features_are_those_of_the_words():
@@ -23,6 +25,12 @@ def test_features_are_those_of_the_words():
     assert set(toxicity.features(["idiot"])[1].tolist()) == set(toxicity.features(["IDIOT."])[1].tolist())
     one, two = (set(toxicity.features([t])[1].tolist()) for t in ("idiot", "what idiots"))
     assert len(one & two) == 2  # the first three and four letters
+    one, two = (set(toxicity.features([t])[1].tolist()) for t in ("abcdefghijklmnop", "abcdefghijklxxxx"))
+    assert len(one ^ two) == 2  # whole words, which share all prefixes
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abcdé", k=rng.randrange(1, 40))) for _ in range(3000)}
+    assert len(set(toxicity.features([" ".join(words)])[1].tolist())) == len(plain_features(" ".join(words)))
+    assert len(toxicity.features(["x" * 300_000 + " y"])[1]) == len(toxicity.PREFIXES) + 2
 
 
 def test_fit_recovers_an_ordinal_model():
@@ -64,6 +72,10 @@ def test_awkward_rows(spark):
     assert said.count() == 40
     assert got[1].toxic and got[1].grade == 2 and got[1].expected_severity > 1.2, got[1]
     assert not got[2].toxic and got[3].p_toxic == got[4].expected_severity == got[6].p_toxic == 0
+    clashing = docs.withColumn("grade", F.lit("x")).withColumn("p_toxic", F.lit(None)).withColumn("mark", F.lit(0))
+    assert toxicity.score(clashing, model).exceptAll(said).count() == 0
+    long = spark.createDataFrame([(1, "dear " * 400_000 + "you idiot idiot")], "doc_id long, text string")
+    assert toxicity.score(long, model).first().toxic
     nothing = toxicity.train(docs, graded.limit(0))
     assert toxicity.score(docs, nothing).where("toxic").count() == 0
     assert toxicity.score(docs.limit(0), model).collect() == []
