@@ -195,3 +195,85 @@ def test_tables_and_files_prune(spark, tmp_path):
     assert read.drop("shard", "slot").exceptAll(docs).count() == 0 == docs.exceptAll(read.select(docs.columns)).count()
     spans = read.groupBy("shard").agg(F.countDistinct("lang").alias("n")).collect()
     assert sum(r.n for r in spans) < 12 * 2.5
+
+
+def test_a_hot_id_and_long_common_prefixes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SUBCELL_ROWS", 50)
+    prefix = "a common prefix " * 20
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(7).cast("long").alias("k"), F.concat(F.lit(prefix), F.lpad((F.col("id") % 16).cast("string"), 2, "0")).alias("name"), F.lit(0).alias("rank_of"))
+    seen = {}
+    monkeypatch.setattr(sharding, "checkpointed", lambda df: seen.setdefault(len(seen), df.checkpoint()))
+    got = sharding.hilbert_shards(rows, "k", ["name"], 16).collect()
+    check_law(got, 16)
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, set()).add(r.name)
+    assert all(len(names) == 1 for names in by.values())  # whole texts part the rows, not their first bytes
+    with pytest.raises(ValueError):
+        sharding.hilbert_shards(rows, "k", ["name"] * 5, 16)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_text_cuts_are_exact_quantiles(spark, seed):
+    rng = random.Random(seed)
+    values = [rng.choice(["", "a", "a" * 30, "b", "bb", "é", "zz"] + [f"v{i}" for i in range(30 * seed)]) for _ in range(rng.choice([1, 7, 400]))]
+    got = sharding.text_cuts(spark.createDataFrame([(v,) for v in values] + [(None,)], "c string").repartition(3), "c", 8)
+    ordered = sorted(values, key=lambda v: v.encode())
+    wanted = []
+    for i in range(1, 9):
+        at = ordered[-(-i * len(ordered) // 8) - 1]
+        if at not in wanted and at != ordered[-1]:
+            wanted.append(at)
+    assert got == wanted
+
+
+def plain_curve(point, bits):
+    """The index on the curve by walking it: rotations of a quadrant, or octant, from the coarsest bit."""
+    n, x = len(point), list(point)
+    for level in range(bits - 1, 0, -1):
+        for i in range(n):
+            if x[i] >> level & 1:
+                x[0] ^= (1 << level) - 1
+            else:
+                t = (x[0] ^ x[i]) & ((1 << level) - 1)
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    flip = 0
+    for level in range(bits - 1, 0, -1):
+        if x[n - 1] >> level & 1:
+            flip ^= (1 << level) - 1
+    x = [v ^ flip for v in x]
+    index = 0
+    for b in range(bits - 1, -1, -1):
+        for i in range(n):
+            index = index << 1 | x[i] >> b & 1
+    return index
+
+
+def test_query_matches_plain_ranks(spark):
+    """Every row's curve index by plain quantiles, and shards that follow it."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source", "n_chars").collect()]
+    got = {r.doc_id: r for r in registry.QUERIES["op5_hilbert_shards"](spark, SF).collect()}
+    assert len(got) == len(docs)
+
+    def ranges(values):
+        values = [(v is not None, v) for v in values]
+        ordered, cuts = sorted(v for v in values if v[0]), []
+        for i in range(1, 16):
+            at = ordered[-(-i * len(ordered) // 16) - 1]
+            if at not in cuts:
+                cuts.append(at)
+        return [sum(v > c for c in cuts) for v in values]
+
+    columns = [ranges([d[k] for d in docs]) for k in (1, 2, 3)]
+    for d, *point in zip(docs, *columns):
+        assert got[d[0]].hilbert == plain_curve(point, 4)
+    counts, before = Counter(r.hilbert for r in got.values()), 0
+    first = {}
+    for h in sorted(counts):
+        first[h], before = before, before + counts[h]
+    for r in got.values():
+        low, high = (rank * 24 // len(docs) for rank in (first[r.hilbert], first[r.hilbert] + counts[r.hilbert] - 1))
+        assert low <= r.shard <= high
