@@ -49,7 +49,7 @@ known AS (
   FROM segments WHERE {_PLAIN.format("segment")} <> ''
 ), met AS (
   SELECT plain.id, doc_id, kind, position, nth, license, known.grams AS theirs, {_GRAMS.format("words")} AS mine
-  FROM plain JOIN known ON len(words) - 1 BETWEEN greatest(1, ceil(size * ({license_scan.THRESHOLD} / (2 - {license_scan.THRESHOLD})) - 1e-9)) AND floor(size * ((2 - {license_scan.THRESHOLD}) / {license_scan.THRESHOLD}) + 1e-9)
+  FROM plain CROSS JOIN known WHERE len(words) > 1 AND size > 0
 ), scored AS (
   SELECT *, 2.0::DOUBLE * len(list_intersect(theirs, mine)) / (len(theirs) + len(mine)) AS dice FROM met
 ), ranked AS (
