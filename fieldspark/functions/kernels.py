@@ -85,10 +85,15 @@ class Kernel:
             return min(int(self.parameter) - 1, 3)
         return {"matern12": 0, "matern32": 2, "wendland_c2": 2}.get(self.family, 3)
 
-    def require(self, order: int) -> None:
-        if order > 3:
+    def capability(self, order: int) -> str:
+        """everywhere, away (from the centers only) or unsupported: where the derivatives of an order exist."""
+        return "unsupported" if order > 3 else "everywhere" if order <= self.center_order else "away"
+
+    def require(self, order: int, away: bool = False) -> None:
+        """An error if the derivatives do not exist, or with ``away`` not even off the centers."""
+        if self.capability(order) == "unsupported":
             raise CapabilityError("derivatives end at the third", order=order)
-        if order > self.center_order:
+        if self.capability(order) == "away" and not away:
             raise CapabilityError("the kernel has no such derivative at its centers", family=self.family, order=order)
 
     def radial(self, r: Any) -> dict[str, Any]:
@@ -216,6 +221,13 @@ class Anisotropy:
         half = [self.gradient([row[j] for row in h]) for j in range(len(h))]
         return [self.gradient([half[j][i] for j in range(len(h))]) for i in range(len(h))]
 
+    def third(self, t: list[list[list[Any]]]) -> list[list[list[Any]]]:
+        """The third derivatives by x of a function of z = A x: every index goes through the transpose of A."""
+        n = range(len(t))
+        half = [self.hessian(t[i]) for i in n]
+        whole = [[self.gradient([half[i][j][k] for i in n]) for k in n] for j in n]
+        return [[[whole[j][k][i] for k in n] for j in n] for i in n]
+
 
 def distance(d: list[Any]) -> Any:
     m = _Spark if isinstance(d[0], Column) else _Numpy
@@ -223,20 +235,25 @@ def distance(d: list[Any]) -> Any:
 
 
 def jet(kernel: Kernel, d: list[Any], order: int, anisotropy: Anisotropy | None = None) -> dict[str, Any]:
-    """value, gradient (g) and Hessian (h), as far as the order asks, of the kernel by its first argument, at the separation
-    d = x - y. At d = 0 the gradient is 0 and the Hessian phi''(0) times the identity."""
+    """value, gradient (g), Hessian (h) and third derivatives (t), as far as the order asks, of the kernel by its first
+    argument, at the separation d = x - y. At d = 0 the gradient is 0, the Hessian phi''(0) times the identity and the third
+    derivatives 0. A derivative by the second argument has the opposite sign."""
     z = anisotropy.separation(d) if anisotropy else d
     m = _Spark if isinstance(z[0], Column) else _Numpy
     r = distance(z)
     parts = kernel.radial(r)
     made: dict[str, Any] = {"value": parts["phi"]}
+    n = range(len(z))
     if order >= 1:
         g = [parts["a"] * x for x in z]
         made["g"] = anisotropy.gradient(g) if anisotropy else g
     if order >= 2:
         safe = m.where(r > 0, r, 1.0)
-        n = range(len(z))
         u = [x / safe for x in z]
         h = [[u[i] * u[j] * (parts["d2"] - parts["a"]) + (parts["a"] if i == j else 0.0) for j in n] for i in n]
         made["h"] = anisotropy.hessian(h) if anisotropy else h
+    if order >= 3:
+        across = lambda i, j, l: sum((u[k] for k, same in ((l, i == j), (j, i == l), (i, j == l)) if same), u[i] * u[j] * u[l] * -3.0)  # noqa: E731, E741
+        t = [[[u[i] * u[j] * u[l] * parts["d3"] + across(i, j, l) * parts["b"] for l in n] for j in n] for i in n]  # noqa: E741
+        made["t"] = anisotropy.third(t) if anisotropy else t
     return made

@@ -1,13 +1,13 @@
 """Fitting and evaluating fields: f(x) = sum of w_j k(x, x_j) + polynomial.
 
-The kernel matrix is made by a join within each field and factorised in one bounded task a field, so many fields are
-fitted side by side; a field with more than ``MAX_CENTERS`` centers is refused before anything is computed. Evaluation
-is a map over the points: nothing is shuffled, however many there are.
+The centers of a field go to one bounded task that makes the kernel matrix and factorises it, so many fields are fitted
+side by side and no matrix is shuffled; a field with more than ``MAX_CENTERS`` centers is refused before anything is
+computed. Evaluation is a map over the points: nothing is shuffled, however many there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fieldspark.errors import ConditioningError, InputError, MemoryLimitError, RankError
+from fieldspark.errors import CapabilityError, ConditioningError, InputError, MemoryLimitError, RankError
 from fieldspark.functions import polynomials
 from fieldspark.functions.kernels import Anisotropy, Kernel, jet
 
@@ -37,11 +37,16 @@ def axes(dimension: int, prefix: str = "x") -> list[str]:
 # -- assembly
 
 
-def kernel_pairs(centers: DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None = None) -> DataFrame:
-    """field_id, i, j, v: the upper triangle of each field's kernel matrix from centers (field_id, idx, x0 ...)."""
+def require_centers(centers: DataFrame) -> None:
+    """An error if a field has more than MAX_CENTERS centers."""
     largest = centers.groupBy("field_id").count().agg(F.max("count")).first()[0] or 0
     if largest > MAX_CENTERS:
         raise MemoryLimitError("too many centers for a dense matrix", centers=largest, limit=MAX_CENTERS)
+
+
+def kernel_pairs(centers: DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None = None) -> DataFrame:
+    """field_id, i, j, v: the upper triangle of each field's kernel matrix from centers (field_id, idx, x0 ...)."""
+    require_centers(centers)
     x = axes(dimension)
     left = centers.select("field_id", F.col("idx").alias("i"), *[F.col(c).alias(f"a_{c}") for c in x])
     right = centers.select("field_id", F.col("idx").alias("j"), *[F.col(c).alias(f"b_{c}") for c in x])
@@ -132,21 +137,22 @@ COEFFICIENTS = "field_id long, role string, idx int, value double, backward_erro
 
 def fit(centers: DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None = None) -> DataFrame:
     """COEFFICIENTS of every field of centers (field_id, idx from 0 without gaps, x0 ..., y)."""
-    system = augmented(centers, kernel, dimension, anisotropy)
-    targets = centers.select(F.col("field_id").alias("own_id"), F.col("idx").alias("own_idx"), F.col("y").alias("own_y"))
+    require_centers(centers)
 
-    def solve(key: tuple, entries: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        n = len(y)
-        size = max(int(entries["i"].max()) + 1, n)
-        whole = np.zeros((size, size))
-        whole[entries["i"], entries["j"]] = entries["v"]
-        right = np.zeros(n)
-        right[y["own_idx"]] = y["own_y"]
-        found, backward = solve_dense(whole[:n, :n], whole[:n, n:], right)
-        roles = np.where(np.arange(size) < n, "center", "poly")
-        return pd.DataFrame({"field_id": key[0], "role": roles, "idx": np.where(roles == "center", np.arange(size), np.arange(size) - n), "value": found, "backward_error": backward})
+    def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("idx")
+        x = own[axes(dimension)].to_numpy(float)
+        n, basis = len(x), polynomials.exponents(dimension, kernel.cpd_order)
+        k = np.empty((n, n))
+        step = max(1, BLOCK // n)
+        for at in range(0, n, step):
+            k[at : at + step] = jet(kernel, [x[at : at + step, i, None] - x[None, :, i] for i in range(dimension)], 0, anisotropy)["value"]
+        p = np.stack([np.broadcast_to(polynomials.derivative(list(x.T), e), n) for e in basis], 1) if basis else np.empty((n, 0))
+        found, backward = solve_dense(k, p, own["y"].to_numpy(float))
+        roles = np.where(np.arange(len(found)) < n, "center", "poly")
+        return pd.DataFrame({"field_id": key[0], "role": roles, "idx": np.where(roles == "center", np.arange(len(found)), np.arange(len(found)) - n), "value": found, "backward_error": backward})
 
-    return system.groupBy("field_id").cogroup(targets.groupBy("own_id")).applyInPandas(solve, COEFFICIENTS)
+    return centers.select("field_id", "idx", *axes(dimension), "y").groupBy("field_id").applyInPandas(solve, COEFFICIENTS)
 
 
 # -- fitted fields
@@ -166,6 +172,20 @@ class FittedField:
     def dimension(self) -> int:
         return self.centers.shape[1]
 
+    @property
+    def center_derivatives(self) -> int:
+        """The derivatives that the centers themselves take of the kernel."""
+        return 0
+
+    @property
+    def by_expressions(self) -> bool:
+        """Whether Spark evaluates the field as an expression."""
+        return len(self.centers) <= EXPRESSION_CENTERS
+
+    def _apart(self, x: np.ndarray) -> None:
+        if len(self.centers) and (np.abs(x[:, None, :] - self.centers[None]).max(axis=2) == 0).any():
+            raise CapabilityError("the kernel has no such derivative at its centers, and a point is one", family=self.kernel.family)
+
     def _contributions(self, x: list[Any], center: Sequence[Any], weight: Any, order: int) -> list[Any]:
         n = range(self.dimension)
         made = jet(self.kernel, [a - b for a, b in zip(x, center)], order, self.anisotropy)
@@ -210,14 +230,21 @@ class FittedField:
                 made[at : at + step, k] = np.broadcast_to(p, (len(block), len(self.centers))).sum(1) + q
         return made
 
+    def function(self, along: int = 0) -> Callable[[list[np.ndarray]], np.ndarray]:
+        """The value, or with ``along`` the derivative by that coordinate (from 1), for arrays of coordinates."""
+        return lambda x: self.numbers(np.stack(x, 1), 1 if along else 0)[:, along]
+
     def evaluate(self, points: DataFrame, columns: Sequence[str] | None = None, order: int = 0, prefix: str = "f") -> DataFrame:
-        """points with f, f_0 ... and f_00 ... as the order asks. Null coordinates give null results."""
-        self.kernel.require(order)
+        """points with f, f_0 ... and f_00 ... as the order asks. Null coordinates give null results. Where the kernel has
+        such derivatives off its centers only, a point at one is an error."""
+        demand = order + self.center_derivatives
+        self.kernel.require(demand, away=True)
+        apart = self.kernel.capability(demand) == "away"
         columns = list(columns or axes(self.dimension))
         names = self.names(order, prefix)
         if set(names) & set(points.columns):
             raise InputError("the result's names are taken", names=sorted(set(names) & set(points.columns)))
-        if len(self.centers) <= EXPRESSION_CENTERS:
+        if self.by_expressions and not apart:
             made = self.expressions([F.col(c).cast("double") for c in columns], order)
             return points.select("*", *[m.alias(n) for m, n in zip(made, names)])
         shared = points.sparkSession.sparkContext.broadcast(self)  # at most MAX_CENTERS centers
@@ -227,6 +254,8 @@ class FittedField:
                 at = [batch.schema.get_field_index(c) for c in columns]
                 x = np.stack([batch.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in at], 1)
                 some = np.logical_or.reduce([batch.column(k).is_null().to_numpy(zero_copy_only=False) for k in at])
+                if apart:
+                    shared.value._apart(x[~some])
                 found = shared.value.numbers(x, order)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(found[:, k].copy(), mask=some) for k in range(len(names))]], [*batch.schema.names, *names])
 
