@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,68 @@ def _exact_cos(degrees: Column) -> Column:
     return F.when(turn.isin(90.0, 270.0), 0.0).when(turn == 0.0, 1.0).when(turn == 180.0, -1.0).otherwise(F.cos(F.radians(degrees)))
 
 
+#: The angles in degrees that each kind of reading can have, and whether the upper end belongs to it.
+ANGLES = {"full": (0.0, 360.0, False), "dip": (0.0, 90.0, True), "signed": (-90.0, 90.0, True)}
+
+
+def angle_violations(rows: DataFrame, angles: dict[str, str], key: str) -> DataFrame:
+    """key, field, value of every angle (column: its kind in ANGLES) that is null, not finite or out of its range."""
+    made = []
+    for column, kind in angles.items():
+        low, high, closed = ANGLES[kind]
+        v = F.col(column)
+        good = (v >= low) & ((v <= high) if closed else (v < high)) & ~F.isnan(v)
+        made.append(F.when(~F.coalesce(good, F.lit(False)), F.struct(F.lit(column).alias("field"), v.cast("double").alias("value"))))
+    return rows.select(F.col(key), F.explode(F.array_compact(F.array(*made))).alias("bad")).select(key, "bad.*")
+
+
+def plus_zero(angle: Column) -> Column:
+    """The angle, with 0 in place of -0."""
+    return angle + F.lit(0.0)
+
+
+def axial(polarity: Column) -> Column:
+    """Whether a direction stands for its opposite too: its polarity is unknown."""
+    return polarity == "unknown"
+
+
+@dataclass(frozen=True)
+class Frame:
+    """What coordinates mean: a length unit, an angle unit, a reference system (EPSG number or WKT) and, for each axis of
+    the data, the axis of the system that it is."""
+
+    length_unit: str
+    angle_unit: str = "degrees"
+    epsg: int | None = None
+    wkt: str | None = None
+    axis_order: tuple[int, ...] = (0, 1)
+
+    def __post_init__(self):
+        if not self.length_unit.strip():
+            raise InputError("a length unit needs a name")
+        if self.angle_unit not in ("degrees", "radians"):
+            raise InputError("angles are in degrees or radians", unit=self.angle_unit)
+        if self.epsg is not None and self.epsg <= 0 or self.wkt is not None and not self.wkt.strip() or self.epsg is None and self.wkt is None:
+            raise InputError("a reference system needs a positive EPSG number or a WKT")
+        if sorted(self.axis_order) != list(range(len(self.axis_order))):
+            raise InputError("the axis order must be a permutation", order=self.axis_order)
+
+    def ordered(self, columns: Sequence[str]) -> list[Column]:
+        """The coordinates in the system's own order."""
+        if len(columns) != len(self.axis_order):
+            raise InputError("as many columns as axes are needed", columns=len(columns))
+        return [F.col(columns[self.axis_order.index(k)]) for k in range(len(columns))]
+
+    def degrees(self, angle: Column) -> Column:
+        return angle if self.angle_unit == "degrees" else F.degrees(angle)
+
+    def require_same(self, other: Frame) -> None:
+        """An error naming the first field in which two frames differ."""
+        for field in ("length_unit", "angle_unit", "epsg", "wkt", "axis_order"):
+            if getattr(self, field) != getattr(other, field):
+                raise InputError("the frames differ", field=field, one=getattr(self, field), other=getattr(other, field))
+
+
 def signed_dip(dip: Column) -> list[Column]:
     """The plane's normal in two dimensions, dip from -90 to 90 degrees."""
     return [_exact_sin(dip), _exact_cos(dip)]
@@ -136,6 +199,37 @@ def complement_array(normal: Sequence[Column]) -> Column:
     return bound(F.array(*normal), both)
 
 
+def with_complement(df: DataFrame, normal: Sequence[str], prefix: str = "__t") -> DataFrame:
+    """df with the vectors of complement_array as columns prefix_0_0 ..., a step of plain columns after another."""
+    dim, n = len(normal), [F.col(c) for c in normal]
+    own = lambda name: f"{prefix}_{name}"
+    size = [F.abs(c) for c in n]
+    axis = F.when(size[0] == F.least(*size), 0)
+    for k in range(1, dim):
+        axis = axis.when(size[k] == F.least(*size), k)
+    df = df.withColumn(own("axis"), axis)
+    along = F.when(F.col(own("axis")) == 0, n[0])
+    for k in range(1, dim):
+        along = along.when(F.col(own("axis")) == k, n[k])
+    df = df.withColumn(own("along"), along)
+    df = df.withColumns({own(f"raw{k}"): F.when(F.col(own("axis")) == k, 1.0).otherwise(0.0) - F.col(own("along")) * n[k] for k in range(dim)})
+
+    def signed(df: DataFrame, which: int, v: list[Column]) -> DataFrame:
+        first = F.lit(1.0)
+        for c in reversed(v):
+            first = F.when(c > 0, 1.0).when(c < 0, -1.0).otherwise(first)
+        return df.withColumn(own("sign"), first).withColumns({own(f"{which}_{k}"): c * F.col(own("sign")) for k, c in enumerate(v)})
+
+    df = df.withColumns({own(f"one{k}"): c for k, c in enumerate(unit([F.col(own(f"raw{k}")) for k in range(dim)]))})
+    df = signed(df, 0, [F.col(own(f"one{k}")) for k in range(dim)])
+    if dim == 3:
+        v = [F.col(own(f"0_{k}")) for k in range(3)]
+        cross = [n[1] * v[2] - n[2] * v[1], n[2] * v[0] - n[0] * v[2], n[0] * v[1] - n[1] * v[0]]
+        df = df.withColumns({own(f"two{k}"): c for k, c in enumerate(cross)})
+        df = signed(df, 1, [F.col(own(f"two{k}")) for k in range(3)])
+    return df
+
+
 def complement(normal: Sequence[Column]) -> list[list[Column]]:
     """complement_array as columns; each evaluates it anew."""
     basis, dim = complement_array(normal), len(normal)

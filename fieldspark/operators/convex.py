@@ -1,18 +1,20 @@
 """Convex problems of many independent small fields: box-constrained least squares, robust location, projections.
 
-A problem with hard equalities and bounds and soft squared, absolute or Huber terms is lowered to a quadratic programme and
-solved by a primal-dual interior-point method in one bounded task a problem; the optimality conditions are then checked
-against the rows that came in. Problems that separate by coordinate have closed forms as expressions.
+A problem with hard equalities, bounds and cones and soft squared, absolute or Huber terms is lowered to a quadratic
+programme and solved in one bounded task a problem, by a primal-dual interior-point method or, with cones, by a barrier
+method; optimality and constraints are then checked, and the losses recomputed from the rows that came in. Problems that separate by coordinate have closed forms as expressions.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.errors import ConditioningError, InfeasibleError, MemoryLimitError
+from fieldspark.errors import ConditioningError, InfeasibleError, InputError, MemoryLimitError
 
 MAX_VARIABLES = 1_000
 
@@ -53,15 +55,16 @@ def interior_point(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, g
         scale = 1 + max(np.abs(q).max(initial=0), np.abs(b).max(initial=0), np.abs(h).max(initial=0))
         if max(np.abs(rd).max(initial=0), np.abs(rp).max(initial=0), np.abs(rg).max(initial=0), mu) <= tolerance * scale:
             return x, y, z
-        if np.abs(z).max(initial=0) > 1e12 or np.abs(y).max(initial=0) > 1e12:
+        if certified(a, b, g, h, y, z):
             raise InfeasibleError("the constraints exclude one another")
 
         def step(sigma: float, correction: np.ndarray) -> tuple[np.ndarray, ...]:
             d = z / s
-            kkt = np.block([[p + g.T @ (d[:, None] * g) + 1e-13 * np.eye(n), a.T], [a, -1e-13 * np.eye(m)]])
+            kkt = np.block([[p + g.T @ (d[:, None] * g), a.T], [a, np.zeros((m, m))]])
             rc = s * z + correction - sigma * mu
             right = np.concatenate([-rd - g.T @ (d * rg - rc / s), -rp])
-            move = np.linalg.solve(kkt, right)
+            size = 1 / np.sqrt(np.maximum(np.abs(kkt).max(axis=1), 1e-300))
+            move = size * np.linalg.lstsq(kkt * size * size[:, None], size * right, rcond=None)[0]  # repeated rows have many multipliers
             dx, dy = move[:n], move[n:]
             ds = -rg - g @ dx
             return dx, dy, ds, -(rc + z * ds) / s
@@ -77,62 +80,228 @@ def interior_point(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, g
         dx, dy, ds, dz = step(sigma, ds * dz)
         alpha = min(length(s, ds), length(z, dz))
         x, y, s, z = x + alpha * dx, y + alpha * dy, s + alpha * ds, z + alpha * dz
-    raise InfeasibleError("no solution within the allowed steps; the constraints may exclude one another")
+    raise ConditioningError("no solution within the allowed steps", steps=most)
+
+
+def certified(a: np.ndarray, b: np.ndarray, g: np.ndarray, h: np.ndarray, y: np.ndarray, z: np.ndarray) -> bool:
+    """Whether multipliers, scaled to a largest of 1, prove that no x has a x = b and g x <= h: z >= 0, their combination of
+    the rows is 0 and that of the sides is below 0, each beyond rounding."""
+    size = max(np.abs(y).max(initial=0), np.abs(z).max(initial=0))
+    if not size > 1e3 or z.min(initial=0) < 0:
+        return False
+    y, z = y / size, z / size
+    rows, sides = np.abs(a.T @ y + g.T @ z).max(initial=0), float(b @ y + h @ z)
+    return sides < 0 and rows <= 1e-8 * -sides
+
+
+# -- cones
+
+
+@dataclass(frozen=True)
+class Cone:
+    """|f x + k| <= c x + d."""
+
+    f: np.ndarray
+    k: np.ndarray
+    c: np.ndarray
+    d: float
+
+    def slack(self, x: np.ndarray) -> float:
+        return float(self.c @ x + self.d - np.linalg.norm(self.f @ x + self.k))
+
+
+def barrier(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, h: np.ndarray, cones: list[Cone], tolerance: float = 1e-9) -> np.ndarray:
+    """x with the least x'Px/2 + q'x where a x = b, g x <= h and x is in all cones, by a logarithmic barrier within the
+    solutions of the equalities. Without an inner point that is found first: if even the least common excess over all
+    constraints is positive they exclude one another."""
+    start = np.linalg.lstsq(a, b, rcond=None)[0] if len(b) else np.zeros(len(q))
+    if len(b) and np.abs(a @ start - b).max() > 1e-9 * (1 + np.abs(b).max()):
+        raise InfeasibleError("the equalities exclude one another")
+    u, s, vt = np.linalg.svd(a) if len(b) else (None, np.empty(0), np.eye(len(q)))
+    free = vt[int((s > 1e-12 * s.max(initial=1)).sum()) :].T
+    inner = [Cone(c.f @ free, c.f @ start + c.k, free.T @ c.c, c.d + c.c @ start) for c in cones]
+    g_in, h_in = g @ free, h - g @ start
+
+    # Phase one: the least t with every constraint exceeded by t at most.
+    n = free.shape[1]
+    lifted = [Cone(np.column_stack([c.f, np.zeros(len(c.k))]), c.k, np.append(c.c, 1.0), c.d) for c in inner]
+    at = np.zeros(n + 1)
+    at[-1] = 1 + max([0.0, *(-h_in), *(-c.slack(np.zeros(n)) for c in inner)])
+    g_one = np.vstack([np.column_stack([g_in, -np.ones(len(h_in))]), -np.eye(n + 1)[-1:]])
+    h_one = np.append(h_in, 1.0)
+    small = 1e-8 * np.eye(n + 1)
+    small[-1, -1] = 0.0  # keeps the search bounded; the point found need not be optimal
+    at = _central(small, np.eye(n + 1)[-1], g_one, h_one, lifted, at, tolerance, lambda x: x[-1] < -1e-7)
+    if at[-1] > -1e-9:
+        raise InfeasibleError("the constraints exclude one another or have no inner point", excess=float(at[-1]))
+    z = _central(free.T @ p @ free, free.T @ (p @ start + q), g_in, h_in, inner, at[:-1], tolerance)
+    return start + free @ z
+
+
+def _central(p: np.ndarray, q: np.ndarray, g: np.ndarray, h: np.ndarray, cones: list[Cone], x: np.ndarray, tolerance: float, enough=lambda x: False) -> np.ndarray:
+    """Follows the central path from an inner point until the gap, the barrier's degree over its weight, is small."""
+    degree = len(h) + 2 * len(cones)
+    if not degree:
+        return np.linalg.lstsq(p, -q, rcond=None)[0]
+
+    def inside(x: np.ndarray) -> bool:
+        return bool((h - g @ x > 0).all() and all(c.slack(x) > 0 for c in cones))
+
+    def value(x: np.ndarray, weight: float) -> float:
+        total = weight * (x @ p @ x / 2 + q @ x) - np.log(h - g @ x).sum()
+        return float(total - sum(np.log((c.c @ x + c.d) ** 2 - ((c.f @ x + c.k) ** 2).sum()) for c in cones))
+
+    weight = 1.0
+    while True:
+        for _ in range(60):
+            r = 1 / (h - g @ x)
+            slope, bend = weight * (p @ x + q) + g.T @ r, weight * p + (g.T * r**2) @ g
+            for c in cones:
+                v, t = c.f @ x + c.k, c.c @ x + c.d
+                w = t * t - v @ v
+                dw = 2 * (t * c.c - c.f.T @ v)
+                slope = slope - dw / w
+                bend = bend + np.outer(dw, dw) / w**2 - 2 * (np.outer(c.c, c.c) - c.f.T @ c.f) / w
+            move = -np.linalg.lstsq(bend, slope, rcond=None)[0]
+            down = float(slope @ move)
+            if -down / 2 <= 1e-10:
+                break
+            length = 1.0
+            while length > 1e-14 and (not inside(x + length * move) or value(x + length * move, weight) > value(x, weight) + 0.25 * length * down):
+                length /= 2
+            if length <= 1e-14:
+                break
+            x = x + length * move
+            if enough(x):
+                return x
+        if degree / weight <= tolerance:
+            return x
+        weight *= 20
+
+
+CLASSES = ("eq", "bound", "cone", "soft")
+
+
+def _lowered(entries: pd.DataFrame) -> tuple:
+    """Names of the variables, the programme's matrices, its cones and the soft rows, from the rows of one problem."""
+    unknown = set(entries["cls"]) - set(CLASSES)
+    if unknown:
+        raise InputError("no such class of rows", classes=sorted(map(str, unknown)))
+    names = np.sort(entries["var"].unique())
+    if len(names) > MAX_VARIABLES:
+        raise MemoryLimitError("too many variables", variables=len(names))
+    place = {v: k for k, v in enumerate(names)}
+    whole = [(first, np.bincount([place[v] for v in part["var"]], part["coef"], len(names))) for _, part in entries.groupby("row") for first in [part.iloc[0]]]
+    soft = [(f, r) for f, r in whole if f["cls"] == "soft"]
+    if {f["loss"] for f, _ in soft} - {"l1", "l2", "huber"}:
+        raise InputError("no such loss")
+    plain = lambda f: f["loss"] == "l2" and pd.notna(f["target"])
+    extra = sum(0 if plain(f) else 2 if f["loss"] == "huber" else 1 for f, _ in soft)
+    size = len(names) + extra
+    p, q = np.zeros((size, size)), np.zeros(size)
+    a, b, g, h, blocks = [], [], [], [], {}
+    wide = lambda r: np.concatenate([r, np.zeros(extra)])
+    at = len(names)
+    for f, r in whole:
+        if f["cls"] == "eq":
+            a.append(wide(r))
+            b.append(f["target"])
+        elif f["cls"] == "bound" and f["lower"] == f["upper"]:
+            a.append(wide(r))
+            b.append(f["lower"])
+        elif f["cls"] == "bound":
+            for side, sign in ((f["upper"], 1.0), (f["lower"], -1.0)):
+                if pd.notna(side):
+                    g.append(sign * wide(r))
+                    h.append(sign * side)
+        elif f["cls"] == "cone":
+            blocks.setdefault(f["cone"], []).append((wide(r), 0.0 if pd.isna(f["target"]) else f["target"]))
+    for f, r in soft:
+        r = wide(r) / f["scale"]
+        if plain(f):
+            p += 2 * np.outer(r, r)
+            q -= 2 * f["target"] / f["scale"] * r
+            continue
+        u = np.zeros(size)  # the violation is at most v (+ w)
+        u[at] = 1.0
+        if f["loss"] == "l1":
+            q[at] += 1.0
+        elif f["loss"] == "l2":
+            p[at, at] += 2.0
+        else:
+            p[at, at] += 1.0
+            u[at + 1] = 1.0
+            q[at + 1] += f["delta"]
+        used = 2 if f["loss"] == "huber" else 1
+        for k in range(at, at + used):
+            g.append(-np.eye(size)[k])
+            h.append(0.0)
+        low, high = (f["target"], f["target"]) if pd.notna(f["target"]) else (f["lower"], f["upper"])
+        for side, sign in ((high, 1.0), (low, -1.0)):
+            if pd.notna(side):
+                g.append(sign * r - u)
+                h.append(sign * side / f["scale"])
+        at += used
+    cones = []
+    for rows in blocks.values():
+        (c, d), tail = rows[0], rows[1:]
+        cones.append(Cone(np.array([t[0] for t in tail]).reshape(-1, size), np.array([t[1] for t in tail], float), c, d))
+    return names, (p, q, np.array(a).reshape(-1, size), np.array(b, float), np.array(g).reshape(-1, size), np.array(h, float)), cones, soft
+
+
+def objective(soft: list, x: np.ndarray) -> float:
+    """The sum of the losses of the soft rows as given: rho(violation / scale), where a target is missed by the distance and
+    an interval by the way to its nearer end."""
+    total = 0.0
+    for f, r in soft:
+        e = float(r @ x)
+        if pd.notna(f["target"]):
+            miss = abs(e - f["target"])
+        else:
+            miss = max(0.0, *[v for v in (f["lower"] - e, e - f["upper"]) if pd.notna(v)])
+        t = miss / f["scale"]
+        total += t * t if f["loss"] == "l2" else t if f["loss"] == "l1" else t * t / 2 if t <= f["delta"] else f["delta"] * t - f["delta"] ** 2 / 2
+    return total
+
+
+def _solved(entries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    names, (p, q, a, b, g, h), cones, soft = _lowered(entries)
+    if cones:
+        x = barrier(p, q, a, b, g, h, cones)
+        worst = max(np.abs(a @ x - b).max(initial=0), (g @ x - h).max(initial=0), *(-c.slack(x) for c in cones))
+    else:
+        x, y, z = interior_point(p, q, a, b, g, h)
+        worst = max(np.abs(p @ x + q + a.T @ y + g.T @ z).max(initial=0), np.abs(a @ x - b).max(initial=0), (g @ x - h).max(initial=0), -z.min(initial=0))
+    if worst > 1e-6 * (1 + np.abs(h).max(initial=0) + np.abs(b).max(initial=0)):
+        raise ConditioningError("the optimality conditions are not met", worst=float(worst))
+    return names, x[: len(names)], objective(soft, x[: len(names)])
 
 
 def solve_problems(rows: DataFrame) -> DataFrame:
     """problem_id, var, value from rows (problem_id, row, cls, var, coef, target, lower, upper, scale, loss, delta) of
-    affine expressions: cls eq (= target), bound (in lower to upper) or soft (loss of (expression - target) / scale: l2, its
-    square; l1; huber)."""
+    affine expressions: cls eq (= target), bound (in lower to upper), soft (loss of the violation / scale of a target, or of
+    lower and upper where that is null: l2, its square; l1; huber) or cone. The rows of a cone have its name in ``cone``:
+    the first, expression + target, is at least the norm of the others. Another class is an error, and so is a problem
+    whose constraints exclude one another or whose optimum is not reached: no part of a result is given."""
+    rows = rows if "cone" in rows.columns else rows.withColumn("cone", F.lit(None).cast("long"))
 
     def solve(key: tuple, entries: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(entries["var"].unique())
-        if len(names) > MAX_VARIABLES:
-            raise MemoryLimitError("too many variables", variables=len(names))
-        place = {v: k for k, v in enumerate(names)}
-        whole = [(first, np.bincount([place[v] for v in part["var"]], part["coef"], len(names))) for _, part in entries.groupby("row") for first in [part.iloc[0]]]
-        soft = [(f, r) for f, r in whole if f["cls"] == "soft"]
-        extra = sum({"l2": 0, "l1": 1, "huber": 2}[f["loss"]] for f, _ in soft)
-        size = len(names) + extra
-        p, q = np.zeros((size, size)), np.zeros(size)
-        a, b, g, h = [], [], [], []
-        wide = lambda r: np.concatenate([r, np.zeros(extra)])
-        at = len(names)
-        for f, r in whole:
-            if f["cls"] == "eq":
-                a.append(wide(r))
-                b.append(f["target"])
-            elif f["cls"] == "bound":
-                for side, sign in ((f["upper"], 1.0), (f["lower"], -1.0)):
-                    if pd.notna(side):
-                        g.append(sign * wide(r))
-                        h.append(sign * side)
-        for f, r in soft:
-            r, t = wide(r) / f["scale"], f["target"] / f["scale"]
-            if f["loss"] == "l2":
-                p += 2 * np.outer(r, r)
-                q -= 2 * t * r
-                continue
-            u = np.zeros(size)  # |r x - t| <= v (+ w)
-            u[at] = 1.0
-            if f["loss"] == "l1":
-                q[at] += 1.0
-            else:
-                p[at, at] += 1.0
-                u[at + 1] = 1.0
-                q[at + 1] += f["delta"]
-            for k in range(at, at + (1 if f["loss"] == "l1" else 2)):
-                g.append(-np.eye(size)[k])
-                h.append(0.0)
-            g += [r - u, -r - u]
-            h += [t, -t]
-            at += 1 if f["loss"] == "l1" else 2
-        a, b = np.array(a).reshape(-1, size), np.array(b, float)
-        g, h = np.array(g).reshape(-1, size), np.array(h, float)
-        x, y, z = interior_point(p, q, a, b, g, h)
-        worst = max(np.abs(p @ x + q + a.T @ y + g.T @ z).max(initial=0), np.abs(a @ x - b).max(initial=0), (g @ x - h).max(initial=0), -z.min(initial=0))
-        if worst > 1e-6 * (1 + np.abs(h).max(initial=0) + np.abs(b).max(initial=0)):
-            raise ConditioningError("the optimality conditions are not met", worst=float(worst))
-        return pd.DataFrame({"problem_id": key[0], "var": names, "value": x[: len(names)]})
+        names, x, _ = _solved(entries)
+        return pd.DataFrame({"problem_id": key[0], "var": names, "value": x})
 
     return rows.groupBy("problem_id").applyInPandas(solve, "problem_id long, var long, value double")
+
+
+def problem_status(rows: DataFrame) -> DataFrame:
+    """problem_id, status (solved, infeasible or unsolved) and objective, the losses of the soft rows as given, of the
+    problems that solve_problems takes; null where there is no solution."""
+    rows = rows if "cone" in rows.columns else rows.withColumn("cone", F.lit(None).cast("long"))
+
+    def review(key: tuple, entries: pd.DataFrame) -> pd.DataFrame:
+        try:
+            status, least = "solved", _solved(entries)[2]
+        except (InfeasibleError, ConditioningError) as error:
+            status, least = "infeasible" if isinstance(error, InfeasibleError) else "unsolved", None
+        return pd.DataFrame({"problem_id": [key[0]], "status": [status], "objective": pd.Series([least], dtype=float)})
+
+    return rows.groupBy("problem_id").applyInPandas(review, "problem_id long, status string, objective double")

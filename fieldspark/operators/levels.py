@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.errors import ContrastError, GaugeError, InfeasibleError, InputError
-from fieldspark.operators import graphs
+from fieldspark.operators import graphs, ranking
 from fieldspark.sessions import checkpointed
 
 
@@ -17,6 +19,26 @@ def components(levels: DataFrame, orders: DataFrame) -> DataFrame:
     return joined.select("level_id", F.coalesce("root", "level_id").alias("component"))
 
 
+def membership_closure(levels: DataFrame, memberships: DataFrame, place: Sequence[str]) -> DataFrame:
+    """level_id, closure: the smallest level that must have the same value, because chains of levels share members: two
+    memberships (level_id and the coordinates of one value) at the same place."""
+    at = memberships.groupBy(*place).agg(F.min("level_id").alias("a"), F.collect_set("level_id").alias("all"))
+    edges = at.select("a", F.explode("all").alias("b")).where("a <> b")
+    joined = levels.select("level_id").join(graphs.components(edges), F.col("level_id") == F.col("node"), "left")
+    return joined.select("level_id", F.coalesce("root", "level_id").alias("closure"))
+
+
+def closure_conflicts(levels: DataFrame, memberships: DataFrame, orders: DataFrame, place: Sequence[str]) -> DataFrame:
+    """closure, problem, lower, upper: levels that must be equal but have different fixed values, the least and the largest
+    of them, or that an order keeps apart by more than 0."""
+    closures = checkpointed(membership_closure(levels, memberships, place))
+    fixed = levels.where("kind = 'fixed'").join(closures, "level_id").groupBy("closure").agg(F.min("value").alias("lower"), F.max("value").alias("upper")).where("lower < upper")
+    of = lambda side: closures.select(F.col("level_id").alias(side), F.col("closure").alias(f"{side}_closure"))
+    within = orders.where("min_gap > 0").join(of("lower_id"), "lower_id").join(of("upper_id"), "upper_id").where("lower_id_closure = upper_id_closure")
+    apart = within.groupBy(F.col("lower_id_closure").alias("closure")).agg(F.lit(0.0).alias("lower"), F.max("min_gap").alias("upper"))
+    return fixed.select("closure", F.lit("fixed").alias("problem"), "lower", "upper").union(apart.select("closure", F.lit("order").alias("problem"), "lower", "upper"))
+
+
 def topological_depth(levels: DataFrame, orders: DataFrame) -> DataFrame:
     """level_id, depth, height: the most orders and the largest sum of gaps on a path that ends at the level. A cycle is an
     error that names a level on it."""
@@ -91,9 +113,7 @@ def compile_levels(levels: DataFrame, memberships: DataFrame, orders: DataFrame,
     """cls, obs_id, var, coef, rhs: memberships f(x) - h = 0, fixed values h = v, orders h_upper - h_lower >= gap and priors
     as soft equalities. Variables of levels come after the field's, in the order of ord. field_terms are (obs_id, var,
     coef, constant) of f at each membership."""
-    from pyspark.sql import Window
-
-    numbered = levels.withColumn("var", F.lit(first_variable) + F.row_number().over(Window.orderBy("ord", "level_id")) - 1)
+    numbered = checkpointed(ranking.numbered(levels, ["ord", "level_id"], "var").withColumn("var", F.col("var") + first_variable))
     at = numbered.select("level_id", "var")
     member = field_terms.select(F.lit("membership").alias("cls"), "obs_id", "var", "coef", (-F.col("constant")).alias("rhs"))
     rhs = field_terms.select("obs_id", F.col("constant")).distinct()

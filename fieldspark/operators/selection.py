@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,24 @@ from pyspark.sql import functions as F
 from fieldspark.errors import InputError, MemoryLimitError
 from fieldspark.functions.kernels import Kernel
 from fieldspark.functions.mixing import INCREMENT, plain, splitmix64, times, unsigned_order
-from fieldspark.operators.fields import MAX_CENTERS, axes, kernel_pairs
+from fieldspark.operators import ranking
+from fieldspark.operators.fields import MAX_CENTERS, axes, fit, kernel_pairs
 from fieldspark.sessions import checkpointed
 
 
+def select_all(candidates: DataFrame) -> DataFrame:
+    """nth, idx: every candidate, in the order of idx."""
+    return ranking.numbered(candidates.select(F.col("idx").cast("long").alias("idx")), ["idx"], "nth").select(F.col("nth").cast("int").alias("nth"), "idx")
+
+
+def selected_basis(candidates: DataFrame, chosen: DataFrame, kernel: Kernel, dimension: int) -> DataFrame:
+    """field_id, selected: a review of the chosen centers (nth, idx): their kernel matrix must have full rank and a Cholesky
+    factor, or it is an error. One bounded task a field."""
+    own = candidates.join(chosen.select("idx", "nth"), "idx")
+    centers = own.select("field_id", F.col("nth").cast("int").alias("idx"), *axes(dimension), F.lit(0.0).alias("y"))
+    return fit(centers, kernel, dimension).groupBy("field_id").agg(F.count("*").alias("selected"))
+
+
 def select_user(candidates: DataFrame, chosen: Sequence[int]) -> DataFrame:
     """nth, idx: the candidates named, in that order; repeated or missing ones are errors."""
     if len(set(chosen)) != len(chosen):
@@ -37,7 +51,7 @@ def select_farthest(candidates: DataFrame, dimension: int, count: int, seed: int
     n = state.count()
     if not 0 < count <= n:
         raise InputError("more centers than candidates", count=count, candidates=n)
-    first = state.orderBy("idx").limit(seed % n + 1).orderBy(F.desc("idx")).first()
+    first = ranking.numbered(state, ["idx"], "__nth").where(F.col("__nth") == seed % n).first()
     made, last, distance = [], first, 0.0
     for nth in range(count):
         made.append((nth, last["idx"], distance))
@@ -124,6 +138,63 @@ def nearest_distances(points: DataFrame, dimension: int) -> DataFrame:
     return whole
 
 
+#: The least that each parameter of a candidate may be.
+LEAST = {"length": float(np.finfo(float).tiny), "support_radius": float(np.finfo(float).tiny), "regularization": 0.0, "axis_ratio": 1.0, "influence_radius": float(np.finfo(float).tiny)}
+
+
+def candidate_violations(candidates: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """cand, problem of tuning candidates (cand and parameters of LEAST, null where inactive): a parameter that is not finite,
+    below its least or out of its bounds, one that is active without bounds or the other way round, and candidates that
+    repeat an earlier one's parameters (0 and -0 are one)."""
+    names = [c for c in LEAST if c in candidates.columns]
+    problem = F.lit(None).cast("string")
+    for c in reversed(names):
+        v = F.col(c)
+        if c in bounds:
+            low, high = bounds[c]
+            if not LEAST[c] <= low <= high < float("inf"):
+                raise InputError("the bounds are not in order or too low", parameter=c)
+            problem = F.when(v.isNull(), f"{c} is missing").when(F.isnan(v) | (v < low) | (v > high), f"{c} is out of bounds").otherwise(problem)
+        else:
+            problem = F.when(v.isNotNull(), f"{c} has no bounds").otherwise(problem)
+    key = [(F.col(c) + F.lit(0.0)).alias(f"__{c}") for c in names]
+    first = F.min("cand").over(Window.partitionBy(*[f"__{c}" for c in names]))
+    rated = candidates.select("cand", problem.alias("problem"), *key).withColumn("__first", first)
+    return rated.select("cand", F.coalesce("problem", F.when(F.col("__first") < F.col("cand"), "repeats a candidate")).alias("problem")).where("problem is not null")
+
+
+def fixed_choice(candidates: DataFrame, chosen: int) -> DataFrame:
+    """cand, status: the candidate given is selected, the others are not evaluated. One that is not there is an error."""
+    if candidates.where(F.col("cand") == chosen).first() is None:
+        raise InputError("no such candidate", candidate=chosen)
+    return candidates.select("cand", F.when(F.col("cand") == chosen, "Selected").otherwise("NotEvaluated").alias("status"))
+
+
+def power_scores(evidence: DataFrame) -> DataFrame:
+    """cand, score from evidence (cand, max_sq_power, samples): the largest squared power of a candidate's parts. A part
+    without samples or with a negative power is an error."""
+    bad = evidence.where("not samples > 0 or not max_sq_power >= 0 or max_sq_power = double('infinity')").first()
+    if bad is not None:
+        raise InputError("evidence needs samples and a finite power of 0 or more", candidate=bad["cand"])
+    return evidence.groupBy("cand").agg(F.max("max_sq_power").alias("score"))
+
+
+def evaluated(candidates: DataFrame, folded: DataFrame, error: Callable[[pd.DataFrame, dict], tuple[float, float]], parameters: Sequence[str]) -> DataFrame:
+    """cand, fold, weighted_squared_error, weight: ``error`` of the rows of each fold under each candidate's parameters, a task
+    for a candidate and fold. candidates is a small table; folds are what the caller made them."""
+    few = candidates.select("cand", *parameters).limit(MAX_CENTERS + 1).collect()
+    if len(few) > MAX_CENTERS:
+        raise MemoryLimitError("too many candidates", limit=MAX_CENTERS)
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in c.asDict().items()]) for c in few]))  # every row under every candidate
+    pairs = folded.select("*", each.alias("__c")).select(*folded.columns, "__c.*")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        e, w = error(rows, {p: rows[p].iloc[0] for p in parameters})
+        return pd.DataFrame({"cand": [key[0]], "fold": [key[1]], "weighted_squared_error": [float(e)], "weight": [float(w)]})
+
+    return pairs.groupBy("cand", "fold").applyInPandas(run, "cand int, fold int, weighted_squared_error double, weight double")
+
+
 def distance_scores(median: float, candidates: DataFrame, names: Sequence[str]) -> DataFrame:
     """cand, score: the mean square of the logarithm of each active parameter over the median; null ones are inactive."""
     square = lambda c: F.pow(F.ln(F.col(c)) - F.ln(F.lit(median)), 2)
@@ -135,8 +206,8 @@ def distance_scores(median: float, candidates: DataFrame, names: Sequence[str])
 def folds(points: DataFrame, k: int, seed: int) -> DataFrame:
     """idx, fold: points in the seeded order, dealt in turn. The order is that of splitmix64(seed ^ idx * increment)."""
     key = unsigned_order(splitmix64(times(F.col("idx"), INCREMENT).bitwiseXOR(F.lit(seed))))
-    place = F.row_number().over(Window.orderBy(key, "idx")) - 1
-    return points.select("idx", F.pmod(place, F.lit(k)).alias("fold"))
+    placed = ranking.numbered(points.select("idx", key.alias("__key")), ["__key", "idx"], "__place")
+    return placed.select("idx", F.pmod("__place", F.lit(k)).alias("fold"))
 
 
 def cv_scores(evidence: DataFrame) -> DataFrame:

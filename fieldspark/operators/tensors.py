@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from fieldspark.errors import InputError
+
 
 def _pairs(dimension: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(dimension) for j in range(i, dimension)]
@@ -83,3 +85,20 @@ def ratio_cv(samples: DataFrame, directions: Sequence[str], weight: str, ratios:
     each = joined.select(F.col(weight).alias("w"), along.alias("along"))
     scored = each.select("w", F.explode(F.array(*[F.struct(F.lit(float(r)).alias("ratio"), ((F.col("along") * (r * r) + 1 - F.col("along")) / (r * r + 1)).alias("share")) for r in ratios])).alias("s"))
     return scored.groupBy("s.ratio").agg((F.sum(-F.col("w") * F.ln("s.share")) / F.sum("w")).alias("loss"))
+
+
+def axis_review(eigen: DataFrame, values: Sequence[str], isotropic: float) -> DataFrame:
+    """eigen with gap_k, the share of the sum by which each eigenvalue (in descending order) exceeds the next, and isotropic:
+    whether the largest exceeds the smallest by that share at most."""
+    if not 0 <= isotropic <= 1:
+        raise InputError("the threshold is a share", threshold=isotropic)
+    total = sum((F.col(v) for v in values[1:]), F.col(values[0]))
+    gaps = {f"gap_{k}": F.try_divide(F.col(a) - F.col(b), total) for k, (a, b) in enumerate(zip(values, values[1:]))}
+    return eigen.withColumns(gaps).withColumn("isotropic", F.try_divide(F.col(values[0]) - F.col(values[-1]), total) <= isotropic)
+
+
+def fixed_ratios(eigen: DataFrame, ratios: Sequence[float]) -> DataFrame:
+    """eigen with ratio_k, lengths along the axes over the shortest: finite, in descending order, the last one 1."""
+    if not ratios or ratios[-1] != 1 or any(not a >= b or not a < float("inf") for a, b in zip(ratios, ratios[1:])):
+        raise InputError("ratios must be finite, descending and end at 1", ratios=list(ratios))
+    return eigen.withColumns({f"ratio_{k}": F.lit(float(r)) for k, r in enumerate(ratios)})

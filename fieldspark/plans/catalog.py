@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geometry as G
 from fieldspark.functions import polynomials
 from fieldspark.functions.kernels import Anisotropy, Kernel, distance, jet
-from fieldspark.operators import constraints, convex, fields, levels, levelsets, neighbors, selection, tensors, trends
+from fieldspark.operators import constraints, convex, fields, functionals, levels, levelsets, neighbors, projects, ranking, selection, tensors, trends
 from fieldspark.plans import points as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +96,20 @@ def orientation_plunge(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", *[r6(c, f"n{k}") for k, c in enumerate(n)])
 
 
+@query("orientation_violations", "SELECT * FROM (SELECT l_orderkey * 8 + l_linenumber AS id, unnest([{'field': 'strike', 'value': CAST(l_partkey % 400 AS DOUBLE), 'bad': l_partkey % 400 >= 360}, {'field': 'dip', 'value': CAST(l_suppkey AS DOUBLE), 'bad': l_suppkey > 90}, {'field': 'plunge', 'value': l_quantity * 4 - 100, 'bad': l_quantity * 4 - 100 > 90 OR l_quantity * 4 - 100 < -90}], recursive := true) FROM lineitem) WHERE bad".replace("SELECT * FROM (", "SELECT id, field, value FROM ("))
+def orientation_violations(spark, sf):
+    rows = P.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 400).cast("double").alias("strike"), F.col("l_suppkey").cast("double").alias("dip"), (F.col("l_quantity") * 4 - 100).alias("plunge"))
+    return G.angle_violations(rows, {"strike": "full", "dip": "dip", "plunge": "signed"}, "id")
+
+
+@query("frame_ordered", f"SELECT idx, x1 AS east, x0 AS north, {s6('degrees(x0)', 'angle')} FROM {CUSTOMERS}")
+def frame_ordered(spark, sf):
+    """Columns that come as (north, east), angles that come in radians."""
+    frame = G.Frame("metre", "radians", epsg=32633, axis_order=(1, 0))
+    east, north = frame.ordered(["x0", "x1"])
+    return P.customers(spark, sf).select("idx", east.alias("east"), north.alias("north"), r6(frame.degrees(F.col("x0")), "angle"))
+
+
 AFFINE = G.Affine((4.0, -3.0), ((2.0, 1.0), (0.0, 0.5)))  # its inverse: ((0.5, -1), (0, 2))
 
 
@@ -190,6 +205,35 @@ for _name, (_kernel, _phi, _a, _curve) in JETS.items():
             query(f"kernel_jet_{_name}_d{_dim}", f"SELECT idx, {_jet_sql(_dim, _phi, _a, _curve)} FROM (SELECT idx, {_d}, sqrt({_r}) AS r FROM {GRID})")(_jet_query(_kernel, _dim))
 
 
+_D3 = [(i, j, l) for i in range(3) for j in range(i, 3) for l in range(j, 3)]  # noqa: E741
+_THIRD = lambda i, j, l: f"exp(-r2 / 18) * ({' + '.join([f'd{l} / 81' if i == j else '0', f'd{j} / 81' if i == l else '0', f'd{i} / 81' if j == l else '0'])} - d{i} * d{j} * d{l} / 729)"  # noqa: E731, E741
+
+
+@query("kernel_third_gaussian_d3", f"SELECT idx, {', '.join(s6(_THIRD(*n), 't' + ''.join(map(str, n))) for n in _D3)} FROM (SELECT *, d0 * d0 + d1 * d1 + d2 * d2 AS r2 FROM (SELECT idx, x0 - 12 AS d0, x1 - 5 AS d1, x2 - 4 AS d2 FROM {GRID}))")
+def kernel_third_gaussian_d3(spark, sf):
+    made = jet(Kernel("gaussian", 3.0), [F.col(f"x{k}") - _CENTER[k] for k in range(3)], 3)["t"]
+    return P.grid(spark, sf).select("idx", *[r6(made[i][j][l], f"t{i}{j}{l}") for i, j, l in _D3])  # noqa: E741
+
+
+#: A' A of the ellipsoid with axes (0.6, 0.8) and (-0.8, 0.6) and lengths 5 and 2
+_B = {(0, 0): 0.1744, (0, 1): -0.1008, (1, 1): 0.1156}
+_BD = ("(0.1744 * d0 - 0.1008 * d1)", "(0.1156 * d1 - 0.1008 * d0)")
+_E = f"exp(-(d0 * {_BD[0]} + d1 * {_BD[1]}) / 2)"
+_D2 = [(i, j, l) for i in range(2) for j in range(i, 2) for l in range(j, 2)]  # noqa: E741
+_B3 = lambda i, j, l: f"{_E} * ({_B[i, j]} * {_BD[l]} + {_B[i, l]} * {_BD[j]} + {_B[j, l]} * {_BD[i]} - {_BD[i]} * {_BD[j]} * {_BD[l]})"  # noqa: E731, E741
+
+
+@query(
+    "aniso_jet_ellipsoidal",
+    f"SELECT idx, {s6(f'-{_BD[0]} * {_E}', 'g0')}, {s6(f'-{_BD[1]} * {_E}', 'g1')}, " + ", ".join(s6(f"({_BD[i]} * {_BD[j]} - ({_B[i, j]})) * {_E}", f"h{i}{j}") for i, j in _B) + ", "
+    + ", ".join(s6(_B3(*n), "t" + "".join(map(str, n))) for n in _D2) + f" FROM (SELECT idx, x0 - 12 AS d0, x1 - 4 AS d1 FROM {CUSTOMERS})",
+)
+def aniso_jet_ellipsoidal(spark, sf):
+    made = jet(Kernel("gaussian", 1.0), [F.col("x0") - 12.0, F.col("x1") - 4.0], 3, Anisotropy.ellipsoidal(((0.6, 0.8), (-0.8, 0.6)), (5.0, 2.0)))
+    columns = [r6(g, f"g{i}") for i, g in enumerate(made["g"])] + [r6(made["h"][i][j], f"h{i}{j}") for i, j in _B] + [r6(made["t"][i][j][l], f"t{i}{j}{l}") for i, j, l in _D2]  # noqa: E741
+    return P.customers(spark, sf).select("idx", *columns)
+
+
 ANISOTROPIES = {
     "isotropic": (Anisotropy.isotropic(2, 2.0), "sqrt(d0 ** 2 + d1 ** 2) / 2"),
     "spheroidal": (Anisotropy.spheroidal((0.0, 1.0), 5.0, 2.0), "sqrt((d0 / 2) ** 2 + (d1 / 5) ** 2)"),
@@ -232,11 +276,62 @@ def poly_gradient_d2(spark, sf):
     return P.customers(spark, sf).select("idx", r6(g[3][0], "g3_0"), r6(g[4][0], "g4_0"), r6(g[4][1], "g4_1"), r6(g[5][1], "g5_1"))
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A functional for each order: values at its odd lines' quantities and derivatives at its even ones'."""
+    odd = F.col("l_linenumber") % 2 == 1
+    return P.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("expr_id"), F.when(odd, F.col("l_discount")).otherwise(F.col("l_tax")).alias("coef"), F.when(odd, functionals.VALUE).otherwise(functionals.DERIVATIVE).alias("kind"),
+        F.col("l_quantity").alias("x0"), F.lit(1.0).alias("u0"),
+    )
+
+
 @query("functional_samples", f"SELECT l_orderkey, count(*) AS terms, {s6('sum(CASE WHEN l_linenumber % 2 = 1 THEN l_discount * l_quantity ELSE l_tax * 2 * l_quantity END)', 'value')} FROM lineitem GROUP BY l_orderkey")
 def functional_samples(spark, sf):
-    """Sums of coefficients times values (odd terms) or derivatives (even terms) of f(q) = q^2 / ... at each order's lines."""
-    action = F.when(F.col("l_linenumber") % 2 == 1, F.col("l_discount") * F.col("l_quantity")).otherwise(F.col("l_tax") * 2.0 * F.col("l_quantity"))
-    return P.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("terms"), r6(F.sum(action), "value"))
+    """Functionals of a field sampled at the lines: its value is the quantity there, its gradient twice that."""
+    made = functionals.apply_to_samples(_lines(spark, sf), F.col("x0"), [F.col("x0") * 2.0])
+    return made.select(F.col("expr_id").alias("l_orderkey"), "terms", r6(F.col("value"), "value"))
+
+
+@query(
+    "functional_polynomial",
+    f"SELECT l_orderkey, k, {s6('sum(CASE WHEN l_linenumber % 2 = 1 THEN l_discount * CASE k WHEN 0 THEN 1 WHEN 1 THEN x ELSE x * x END ELSE l_tax * CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 * x END END)', 'v')} "
+    "FROM (SELECT *, l_quantity / 10 AS x FROM lineitem) CROSS JOIN (VALUES (0), (1), (2)) t(k) GROUP BY 1, 2",
+)
+def functional_polynomial(spark, sf):
+    made = functionals.apply_to_polynomials(_lines(spark, sf).withColumn("x0", F.col("x0") / 10), 1, 3)
+    return made.select(F.col("expr_id").alias("l_orderkey"), "k", r6(F.col("v"), "v"))
+
+
+@query("functional_order", "SELECT l_orderkey, CAST(max(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS derivatives FROM lineitem GROUP BY 1")
+def functional_order(spark, sf):
+    return functionals.derivative_order(_lines(spark, sf)).select(F.col("expr_id").alias("l_orderkey"), "derivatives")
+
+
+def _slopes(spark: SparkSession, sf: str) -> DataFrame:
+    """A functional for each size: the value and half the derivative there."""
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("coef"), F.lit(functionals.VALUE).alias("kind")), F.struct(F.lit(0.5).alias("coef"), F.lit(functionals.DERIVATIVE).alias("kind")))).alias("t")
+    return P.pts1(spark, sf).select("field_id", F.col("idx").alias("expr_id"), "x0", F.lit(1.0).alias("u0"), both).select("field_id", "expr_id", "x0", "u0", "t.*")
+
+
+@query("functional_kernel", f"WITH p AS (SELECT row_number() OVER (ORDER BY x0) - 1 AS i, x0 FROM {PTS1}) SELECT a.i AS i, b.i AS j, {s6('exp(-((a.x0 - b.x0) ** 2) / 50) * (1 + 0.25 * (1.0 / 25 - (a.x0 - b.x0) ** 2 / 625))', 'v')} FROM p a, p b")
+def functional_kernel(spark, sf):
+    terms = _slopes(spark, sf)
+    made = functionals.apply_to_kernel(terms, terms, Kernel("gaussian", 5.0), 1)
+    return made.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6(F.col("v"), "v"))
+
+
+@query("fit_gradient_reproduction", f"SELECT idx, {s6('1 + x0 / 10 - 2 * (x0 / 10) ** 2', 'f')}, {s6('1 - 4 * x0 / 10', 'f_0')}, -4.0 AS f_00 FROM {CUSTOMERS}")
+def fit_gradient_reproduction(spark, sf):
+    """A quadratic comes back from its values at even sizes and its derivatives at odd ones."""
+    odd, x = F.col("x0") % 2 == 1, F.col("x0") / 10
+    centers = P.pts1(spark, sf).select("field_id", F.col("idx").alias("expr_id"), odd.alias("odd"), x.alias("x0")).persist()
+    x = F.col("x0")
+    observed = centers.select("field_id", "expr_id", F.when(F.col("odd"), 1 - 4 * x).otherwise(1 + x - 2 * x * x).alias("y"))
+    terms = centers.select("field_id", "expr_id", F.lit(1.0).alias("coef"), F.when(F.col("odd"), functionals.DERIVATIVE).otherwise(functionals.VALUE).alias("kind"), "x0", F.lit(1.0).alias("u0"))
+    field = functionals.fit_functional_field(observed, terms, Kernel("phs", 5), 1)
+    rows = P.customers(spark, sf).select("idx", (F.col("x0") / 10).alias("x0"))
+    made = field.evaluate(rows, order=2)
+    return made.select("idx", *[r6(F.col(c), c) for c in ("f", "f_0", "f_00")])
 
 
 # -- matrices and fits
@@ -321,12 +416,13 @@ _QUADRATIC = "1 + u - 2 * v + 0.5 * u * u - u * v + v * v"
     f"SELECT idx, {s6(_QUADRATIC, 'f')}, {s6('1 + u - v', 'f_0')}, {s6('-2 - u + 2 * v', 'f_1')}, 1.0 AS f_00, -1.0 AS f_01, 2.0 AS f_11 FROM (SELECT idx, x0 / 12.5 - 1 AS u, x1 / 5 - 1 AS v FROM {CUSTOMERS})",
 )
 def fit_phs5_d2_quadratic_reproduction(spark, sf):
-    """A quadratic through 40 suppliers' places comes back with its derivatives."""
-    spot = P.suppliers(spark, sf).select((F.col("x0") / 12.5 - 1).alias("x0"), (F.col("x1") / 5 - 1).alias("x1")).distinct()
-    first = spot.orderBy(F.xxhash64("x0", "x1")).limit(40)  # a small set of centers; the points are all customers
+    """A quadratic through a place of each nation, its customers' least, mean or largest balance, comes back with its
+    derivatives at all customers' places."""
     u, v = F.col("x0"), F.col("x1")
-    centers = first.select(F.lit(0).cast("long").alias("field_id"), (F.row_number().over(Window.orderBy("x0", "x1")) - 1).alias("idx"), u, v, (1 + u - 2 * v + 0.5 * u * u - u * v + v * v).alias("y")).persist()
     rows = P.customers(spark, sf).select("idx", (u / 12.5 - 1).alias("x0"), (v / 5 - 1).alias("x1"))
+    nth = F.pmod(F.round((u + 1) * 12.5).cast("int"), F.lit(3))
+    spot = rows.groupBy("x0").agg(F.min("x1").alias("low"), F.avg("x1").alias("mean"), F.max("x1").alias("high")).select("x0", F.when(nth == 0, F.col("low")).when(nth == 1, F.col("mean")).otherwise(F.col("high")).alias("x1"))
+    centers = spot.select(F.lit(0).cast("long").alias("field_id"), (F.row_number().over(Window.orderBy("x0", "x1")) - 1).alias("idx"), u, v, (1 + u - 2 * v + 0.5 * u * u - u * v + v * v).alias("y")).persist()
     made = fields.fit_field(centers, Kernel("phs", 5), 2).evaluate(rows, order=2)
     return made.select("idx", *[r6(F.col(c), c) for c in ("f", "f_0", "f_1", "f_00", "f_01", "f_11")])
 
@@ -340,21 +436,33 @@ def fit_by_segment(spark, sf):
     return fields.fit(centers, MATERN, 1).join(centers, ["field_id", "idx"]).select("field_id", "x0", r6(F.col("value"), "w"))
 
 
-def gaussian_grid_field(spark: SparkSession, sf: str) -> fields.FittedField:
-    """A Gaussian field in three dimensions through 64 places of the grid."""
-    chosen = P.grid(spark, sf).where("x0 % 12 = 2 and x1 in (1, 4, 7, 10) and x2 in (0, 2, 5, 8)").select("x0", "x1", "x2", "y")
-    centers = chosen.select(F.lit(0).cast("long").alias("field_id"), (F.row_number().over(Window.orderBy("x0", "x1", "x2")) - 1).alias("idx"), "*").persist()
-    return fields.fit_field(centers, Kernel("gaussian", 4.0), 3)
+_SPOTS = f"(SELECT x0, x0 % 10 AS x1, (7 * x0) % 9 AS x2, y FROM {PTS1})"
+_BUMPS = "q.w * exp(-q.r2 / 32)"
 
 
-@query("eval_batch_gradient")
+@query(
+    "eval_batch_gradient",
+    f"WITH q AS (SELECT nth, l_orderkey, l_linenumber, l_quantity - x0 AS d0, l_discount * 100 - x1 AS d1, l_tax * 100 - x2 AS d2, y AS w, (l_quantity - x0) ** 2 + (l_discount * 100 - x1) ** 2 + (l_tax * 100 - x2) ** 2 AS r2 FROM (SELECT row_number() OVER () AS nth, * FROM lineitem) CROSS JOIN {_SPOTS}) "
+    f"SELECT l_orderkey, l_linenumber, {s6(f'sum({_BUMPS})', 'f')}, " + ", ".join(s6(f"sum(-q.d{k} / 16 * {_BUMPS})", f"f_{k}") for k in range(3)) + " FROM q GROUP BY nth, l_orderkey, l_linenumber",
+)
 def eval_batch_gradient(spark, sf):
-    """Value and gradient at every line item of a field with 64 Gaussian centers, about 80 where the grid is whole."""
+    """Value and gradient at every line item of a field with a Gaussian at a place for each size, 50, weighted by price."""
+    spots = P.pts1(spark, sf).select("x0", (F.col("x0") % 10).alias("x1"), ((F.col("x0") * 7) % 9).alias("x2"), "y").toPandas()
+    field = fields.FittedField(Kernel("gaussian", 4.0), spots[["x0", "x1", "x2"]].to_numpy(float), spots["y"].to_numpy(float), np.empty(0))
     rows = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x0"), (F.col("l_discount") * 100).alias("x1"), (F.col("l_tax") * 100).alias("x2"))
-    made = gaussian_grid_field(spark, sf).evaluate(rows, order=1)
+    made = field.evaluate(rows, order=1)
     return made.select("l_orderkey", "l_linenumber", *[r6(F.col(c), c) for c in ("f", "f_0", "f_1", "f_2")])
 
 
+@query("project_reference", f"SELECT idx, {s6('2 - x0 / 10', 'slope')}, -0.1 AS slope_0, {s6('1 + x0 / 5', 'rise')}, 0.2 AS rise_0 FROM {CUSTOMERS}")
+def project_reference(spark, sf):
+    """Two fields by their ids, with gradients, at all customers."""
+    spots = P.pts1(spark, sf).persist()
+    made = [(n, fields.fit_field(spots.withColumn("y", y), Kernel("phs", 3), 1)) for n, y in (("slope", 2 - F.col("x0") / 10), ("rise", 1 + F.col("x0") / 5))]
+    out = projects.Project(tuple(made)).evaluate(P.customers(spark, sf), ["x0"], 1)
+    return out.select("idx", *[r6(F.col(c), c) for c in ("slope", "slope_0", "rise", "rise_0")])
+
+
 # -- neighbours and sparse systems
 
 
@@ -424,6 +532,14 @@ def tensor_d2_eigen(spark, sf):
 _C3 = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
+@query("tensor_axes", f"SELECT l_returnflag, {s6('2 * d', 'gap_0')}, 2 * d <= 0.3 AS isotropic, 2.0 AS ratio_0, 1.0 AS ratio_1 FROM (SELECT *, sqrt(((c_00 - c_11) / 2) ** 2 + c_01 ** 2) AS d FROM (SELECT l_returnflag, {_M2} FROM {DIRS2} GROUP BY 1))")
+def tensor_axes(spark, sf):
+    made = tensors.tensor(P.directions(spark, sf, 2), ["u0", "u1"], "w", ["l_returnflag"])
+    axes = tensors.axes_2d(F.col("c_00"), F.col("c_01"), F.col("c_11"))
+    found = tensors.axis_review(made.select("l_returnflag", axes["l0"].alias("l0"), axes["l1"].alias("l1")), ["l0", "l1"], 0.3)
+    return tensors.fixed_ratios(found, [2.0, 1.0]).select("l_returnflag", r6(F.col("gap_0"), "gap_0"), "isotropic", "ratio_0", "ratio_1")
+
+
 @query("tensor_d3", f"SELECT l_returnflag, {', '.join(s6(f'sum(w * u{i} * u{j}) / sum(w)', f'c_{i}{j}') for i, j in _C3)}, 1.0 AS trace FROM {DIRS3} GROUP BY 1")
 def tensor_d3(spark, sf):
     made = tensors.axes_3d(tensors.tensor(P.directions(spark, sf, 3), ["u0", "u1", "u2"], "w", ["l_returnflag"]))
@@ -479,16 +595,63 @@ def mixture_value(spark, sf):
     return P.customers(spark, sf).select("idx", r6(MIXTURE.value(_at(), _to()), "k"))
 
 
-_DX = "0.001"
+_ANI = "exp(-(((0.6 * (x0 - 10) + 0.8 * (x1 - 4)) / 5) ** 2 + ((0.6 * (x1 - 4) - 0.8 * (x0 - 10)) / 2) ** 2) / 2)"
+_ISO = "exp(-((x0 - 10) ** 2 + (x1 - 4) ** 2) / 32)"
+_P = ("(0.1744 * (x0 - 10) - 0.1008 * (x1 - 4))", "(0.1156 * (x1 - 4) - 0.1008 * (x0 - 10))")
+_C = ("((x0 - 12) / 9)", "((x1 - 5) / 9)")
+_Q = ("((x0 - 10) / 16)", "((x1 - 4) / 16)")
+_BK = f"{_BUMP} * (0.8 * exp(-5.0 / 18)) * {_ANI}"
+_MIX_G = lambda i: f"-0.25 * {_ISO} * {_Q[i]} - {_BK} * ({_P[i]} + {_C[i]})"
+_MIX_H = lambda i, j: f"0.25 * {_ISO} * ({_Q[i]} * {_Q[j]} - {1 / 16 if i == j else 0}) + {_BK} * (({_P[i]} + {_C[i]}) * ({_P[j]} + {_C[j]}) - ({_B[i, j]}) - {1 / 9 if i == j else 0})"
 
 
-@query("mixture_gradient", f"SELECT idx, round(({_MIX.replace('x0', f'(x0 + {_DX})')} - ({_MIX.replace('x0', f'(x0 - {_DX})')})) / 0.002, 4) + 0.0 AS g0, round(({_MIX.replace('x1', f'(x1 + {_DX})')} - ({_MIX.replace('x1', f'(x1 - {_DX})')})) / 0.002, 4) + 0.0 AS g1 FROM {CUSTOMERS} WHERE false")
+@query("mixture_gradient", f"SELECT idx, {s6(_MIX_G(0), 'g0')}, {s6(_MIX_G(1), 'g1')} FROM {CUSTOMERS}")
 def mixture_gradient(spark, sf):
-    """Where the gradient and the central difference disagree; there is no such place."""
     g = MIXTURE.gradient(_at(), _to())
-    differences = [(MIXTURE.value([c + (0.001 if k == i else 0.0) for i, c in enumerate(_at())], _to()) - MIXTURE.value([c - (0.001 if k == i else 0.0) for i, c in enumerate(_at())], _to())) / 0.002 for k in range(2)]
-    made = P.customers(spark, sf).select("idx", g[0].alias("g0"), g[1].alias("g1"), differences[0].alias("d0"), differences[1].alias("d1"))
-    return made.where("abs(g0 - d0) > 1e-5 or abs(g1 - d1) > 1e-5").select("idx", "g0", "g1")
+    return P.customers(spark, sf).select("idx", r6(g[0], "g0"), r6(g[1], "g1"))
+
+
+@query("mixture_hessian", f"SELECT idx, {', '.join(s6(_MIX_H(i, j), f'h{i}{j}') for i, j in _B)} FROM {CUSTOMERS}")
+def mixture_hessian(spark, sf):
+    h = MIXTURE.derivatives(_at(), _to())[1]
+    return P.customers(spark, sf).select("idx", *[r6(h[i][j], f"h{i}{j}") for i, j in _B])
+
+
+_STEP1 = lambda t: f"(CASE WHEN {t} <= 0 OR {t} >= 1 THEN 0 ELSE 30 * ({t}) ** 2 * (1 - ({t})) ** 2 END)"
+_BOX0 = f"({_STEP1('(x0 - 2) / 1.5')} * {_STEP('(20 - x0) / 1.5')} - {_STEP('(x0 - 2) / 1.5')} * {_STEP1('(20 - x0) / 1.5')}) / 1.5 * {_STEP('(x1 - 1) / 1.5')} * {_STEP('(8 - x1) / 1.5')}"
+
+
+@query("mixture_boxed_gradient", f"SELECT idx, {s6(f'-0.25 * {_ISO} * {_Q[0]} + {_ISO} * (({_BOX0}) - {_BOX} * {_Q[0]})', 'g0')} FROM {CUSTOMERS}")
+def mixture_boxed_gradient(spark, sf):
+    """The weight of the second component leaves its box smoothly; at the other point it is 1."""
+    mixture = trends.Mixture(((trends.Weight(0.5), Kernel("gaussian", 1.0), Anisotropy.isotropic(2, 4.0)), (BOX, Kernel("gaussian", 1.0), Anisotropy.isotropic(2, 4.0))))
+    return P.customers(spark, sf).select("idx", r6(mixture.gradient(_at(), _to())[0], "g0"))
+
+
+def _controls(spark: SparkSession, sf: str) -> DataFrame:
+    """A control for each supplier; its direction turns with its key."""
+    turn = F.col("idx") * 0.7
+    return P.suppliers(spark, sf).select(F.col("idx").alias("ord"), "x0", "x1", F.when(F.col("idx") % 10 == 9, 0.0).otherwise(3 * F.cos(turn)).alias("u0"), F.when(F.col("idx") % 10 == 9, 0.0).otherwise(3 * F.sin(turn)).alias("u1"), F.lit(5.0).alias("along"), (1.0 + F.col("idx") % 4).alias("across"), F.lit(2.0).alias("radius"), F.when(F.col("idx") % 10 == 8, -1.0).otherwise(0.5).alias("strength"))
+
+
+_CTRL = f"(SELECT idx, row_number() OVER (ORDER BY idx) AS component, idx % 10 = 9 AS flat, CASE WHEN idx % 10 = 9 THEN NULL ELSE cos(idx * 0.7) END AS u0, CASE WHEN idx % 10 = 9 THEN NULL ELSE sin(idx * 0.7) END AS u1, 1.0 + idx % 4 AS across FROM {SUPPLIERS})"
+
+
+@query(
+    "trend_controls",
+    f"SELECT component, {s6('(1.0 / 5 - 1 / across) * u0 * u0 + 1 / across', 'm00')}, {s6('(1.0 / 5 - 1 / across) * u0 * u1', 'm01')}, {s6('jump', 'jump')}, CASE WHEN idx % 10 = 8 THEN 'a length, radius or strength is not positive' WHEN flat THEN 'no direction' WHEN 5 / across > 4 THEN 'condition' WHEN jump > 0.69 THEN 'jump' END AS problem "
+    f"FROM (SELECT *, acos(least(1.0, abs(u0 * lag(u0) OVER (ORDER BY idx) + u1 * lag(u1) OVER (ORDER BY idx)))) AS jump FROM {_CTRL}) UNION ALL SELECT 0, 0.25, 0.0, NULL, NULL",
+)
+def trend_controls(spark, sf):
+    made = trends.compiled_controls(_controls(spark, sf), (0.5, 4.0), trends.TrendPolicy(condition=4.0, jump=0.69))
+    return made.select("component", r6(F.col("matrix")[0][0], "m00"), r6(F.col("matrix")[0][1], "m01"), r6(F.col("jump"), "jump"), "problem")
+
+
+@query("trend_diagnostics", f"SELECT count(*) AS samples, count(*) FILTER (c < 0.3) AS low_confidence, {s6('min(c)', 'least')}, {s6('max(c)', 'most')}, (SELECT count(*) FROM supplier) AS controls FROM (SELECT 0.25 + ({_BUMP}) ** 2 AS c FROM {CUSTOMERS})")
+def trend_diagnostics(spark, sf):
+    compiled = trends.compiled_controls(_controls(spark, sf), (0.5, 4.0), trends.TrendPolicy())
+    made = trends.diagnostics(compiled, P.customers(spark, sf), MIXTURE, 0.3)["summary"]
+    return made.select("samples", "low_confidence", r6(F.col("least"), "least"), r6(F.col("most"), "most"), "controls")
 
 
 @query("mixture_coverage", f"SELECT idx, {s6(f'0.25 + ({_BUMP}) ** 2', 'coverage')}, 0.25 AS background, 2 AS active FROM {CUSTOMERS}")
@@ -514,17 +677,34 @@ def select_user(spark, sf):
     return selection.select_user(P.pts1(spark, sf), [7, 3, 11])
 
 
-@query("select_farthest")
+#: Twelve farthest points, one after another: the least distance to those before, the largest of it, ties by idx. The ties by
+#: a seeded hash that the operator has do not occur where distances differ.
+@query(
+    "select_farthest",
+    f"WITH RECURSIVE s AS MATERIALIZED (SELECT idx, x0, x1 FROM {SUPPLIERS}), r(nth, idx, distance, taken) AS ("
+    "SELECT 0, idx, CAST(0 AS DOUBLE), [idx] FROM (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS k, count(*) OVER () AS n FROM s) WHERE k = 5 % n UNION ALL "
+    "SELECT nth + 1, best.idx, best.d, list_append(taken, best.idx) FROM (SELECT r.nth, r.taken, (SELECT max_by({'idx': c.idx, 'd': c.d}, c.d) FROM (SELECT a.idx, min(sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2)) AS d FROM s a JOIN s b ON list_contains(r.taken, b.idx) WHERE NOT list_contains(r.taken, a.idx) GROUP BY a.idx) c) AS best FROM r WHERE r.nth < 11)) "
+    f"SELECT nth, idx, {s6('distance', 'distance')} FROM r",
+)
 def select_farthest(spark, sf):
     return selection.select_farthest(P.suppliers(spark, sf), 2, 12, seed=5).select("nth", "idx", r6(F.col("distance"), "distance"))
 
 
-@query("select_greedy_power", "SELECT 1 AS nth WHERE false")
+@query("select_all", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS nth, s_suppkey AS idx FROM supplier")
+def select_all(spark, sf):
+    return selection.select_all(P.suppliers(spark, sf))
+
+
+@query("select_basis", "SELECT CAST(0 AS BIGINT) AS field_id, count(DISTINCT p_size) AS selected FROM part")
+def select_basis(spark, sf):
+    """All sizes as centers: their exponential kernel is positive definite."""
+    candidates = P.pts1(spark, sf).persist()
+    return selection.selected_basis(candidates, selection.select_all(candidates), Kernel("matern12", 5.0), 1)
+
+
+@query("select_greedy_power")
 def select_greedy_power(spark, sf):
-    """Where a pivot of the power-greedy order exceeds the one before it; there is none."""
-    made = selection.select_greedy(P.pts1(spark, sf).persist(), Kernel("matern12", 5.0), 1, 20, "power")
-    grown = made.withColumn("before", F.lag("score").over(Window.orderBy("nth")))
-    return grown.where("score > before + 1e-12").select("nth")
+    return selection.select_greedy(P.pts1(spark, sf).persist(), Kernel("matern12", 5.0), 1, 20, "power").select("nth", "idx", r6(F.col("score"), "score"))
 
 
 @query("select_greedy_residual")
@@ -542,7 +722,7 @@ _MEDIAN = f"(SELECT quantile_cont(d, 0.5) FROM (SELECT min(sqrt((a.x0 - b.x0) **
 
 @query("tune_distance", f"SELECT cand, {s6(f'ln(length / {_MEDIAN}) ** 2', 'score')} FROM (VALUES (0, 0.25), (1, 0.5), (2, 1.0), (3, 2.0), (4, 4.0)) t(cand, length)")
 def tune_distance(spark, sf):
-    median = selection.nearest_distances(P.suppliers(spark, sf), 2).agg(F.median("nearest")).first()[0]
+    median = ranking.quantiles(selection.nearest_distances(P.suppliers(spark, sf), 2), "nearest", [0.5])[0]
     candidates = spark.createDataFrame([(k, 0.25 * 2**k) for k in range(5)], "cand int, length double")
     return selection.distance_scores(median, candidates, ["length"]).select("cand", r6(F.col("score"), "score"))
 
@@ -570,6 +750,33 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy(F.col("c.cand").alias("cand"), "fold").agg(F.sum(F.pow(F.col("c.length") - 2, 2) * F.col("w")).alias("weighted_squared_error"), F.sum("w").alias("weight"))
 
 
+@query("tune_candidates", "SELECT * FROM (SELECT p_partkey AS cand, CASE WHEN p_size / 10.0 < 0.5 OR p_size / 10.0 > 4 THEN 'length is out of bounds' WHEN p_partkey % 7 = 0 THEN 'axis_ratio has no bounds' WHEN p_partkey > min(p_partkey) OVER (PARTITION BY p_size, p_partkey % 7 = 0) THEN 'repeats a candidate' END AS problem FROM part) WHERE problem IS NOT NULL")
+def tune_candidates(spark, sf):
+    """A candidate for each part: most repeat the length of another one."""
+    rows = P.table(spark, sf, "part").select(F.col("p_partkey").alias("cand"), (F.col("p_size") / 10.0).alias("length"), F.when(F.col("p_partkey") % 7 == 0, 2.0).alias("axis_ratio"))
+    return selection.candidate_violations(rows, {"length": (0.5, 4.0)})
+
+
+@query("tune_fixed", "SELECT p_partkey AS cand, CASE WHEN p_partkey = (SELECT min(p_partkey) FROM part) THEN 'Selected' ELSE 'NotEvaluated' END AS status FROM part")
+def tune_fixed(spark, sf):
+    rows = P.table(spark, sf, "part").select(F.col("p_partkey").alias("cand"))
+    return selection.fixed_choice(rows, rows.agg(F.min("cand")).first()[0])
+
+
+@query("tune_power", "SELECT c_nationkey AS cand, max(abs(c_acctbal)) AS score FROM customer GROUP BY 1")
+def tune_power(spark, sf):
+    return selection.power_scores(P.table(spark, sf, "customer").select(F.col("c_nationkey").alias("cand"), F.abs("c_acctbal").alias("max_sq_power"), F.lit(1).cast("long").alias("samples")))
+
+
+@query("tune_evaluated", f"SELECT cand, fold, round(e, 3) + 0.0 AS weighted_squared_error, round(w, 3) + 0.0 AS weight FROM ({_EVIDENCE})")
+def tune_evaluated(spark, sf):
+    """The same evidence by an evaluator of each region's customers under each candidate."""
+    joined = P.table(spark, sf, "customer").join(P.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select((F.abs("c_acctbal") / 1000).alias("w"), F.col("n_regionkey").alias("fold"))
+    candidates = spark.createDataFrame([(k, 0.5 * 2**k) for k in range(4)], "cand int, length double")
+    made = selection.evaluated(candidates, joined, lambda rows, own: (((own["length"] - 2) ** 2 * rows["w"]).sum(), rows["w"].sum()), ["length"])
+    return made.select("cand", "fold", *[(F.round(c, 3) + 0.0).alias(c) for c in ("weighted_squared_error", "weight")])
+
+
 @query("tune_cv", f"SELECT cand, {s6('sum(e) / sum(w)', 'score')} FROM ({_EVIDENCE}) GROUP BY 1")
 def tune_cv(spark, sf):
     return selection.cv_scores(_evidence(spark, sf)).select("cand", r6(F.col("score"), "score"))
@@ -617,19 +824,68 @@ def _canonical(spark: SparkSession, sf: str, cls: str) -> DataFrame:
 _TERMS = "CROSS JOIN LATERAL (SELECT 0 AS var, l_discount * 100 AS coef UNION ALL SELECT 1, l_tax * 100) t"
 
 
-@query("canonical_eq", f"SELECT obs_id, var, {s6('coef', 'coef')}, {s6('target - constant', 'rhs')} FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) {_TERMS} WHERE rel = 'eq' AND enforcement = 'hard' AND coef <> 0")
+@query("canonical_eq", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('target - constant', 'rhs')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) WHERE rel = 'eq' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
 def canonical_eq(spark, sf):
-    return _canonical(spark, sf, "eq").select("obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("rhs"), "rhs"))
+    return _canonical(spark, sf, "eq").select("row", "obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("rhs"), "rhs"))
 
 
-@query("canonical_bound", f"SELECT obs_id, var, {s6('coef', 'coef')}, {s6('lower - constant', 'lower')}, {s6('upper - constant', 'upper')} FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) {_TERMS} WHERE rel = 'bound' AND enforcement = 'hard' AND coef <> 0")
+@query("canonical_bound", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('lower - constant', 'lower')}, {s6('upper - constant', 'upper')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) WHERE rel = 'bound' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
 def canonical_bound(spark, sf):
-    return _canonical(spark, sf, "bound").select("obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("lower"), "lower"), r6(F.col("upper"), "upper"))
+    return _canonical(spark, sf, "bound").select("row", "obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("lower"), "lower"), r6(F.col("upper"), "upper"))
 
 
-@query("canonical_cone", f"SELECT obs_id, var, {s6('coef', 'coef')}, {s6('constant', 'constant')} FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) {_TERMS} WHERE rel = 'cone' AND enforcement = 'hard' AND coef <> 0")
+@query("canonical_cone", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('constant', 'constant')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) WHERE rel = 'cone' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
 def canonical_cone(spark, sf):
-    return _canonical(spark, sf, "cone").select("obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("constant"), "constant"))
+    return _canonical(spark, sf, "cone").select("row", "obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("constant"), "constant"))
+
+
+@query("canonical_soft", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('target - constant', 'rhs')}, {s6('lower - constant', 'lower')}, {s6('upper - constant', 'upper')}, scale FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) WHERE enforcement = 'soft') {_TERMS} WHERE coef <> 0")
+def canonical_soft(spark, sf):
+    return _canonical(spark, sf, "soft").select("row", "obs_id", "var", *[r6(F.col(c), c) for c in ("coef", "rhs", "lower", "upper")], "scale")
+
+
+@query("affine_violations", "SELECT l_orderkey AS obs_id, nth AS term_idx, problem FROM (SELECT *, CASE WHEN l_suppkey >= 90 THEN 'no such variable' WHEN lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY nth) >= l_suppkey THEN 'variables are not ascending' WHEN l_tax = 0 THEN 'coefficient' END AS problem FROM (SELECT *, l_linenumber * 1000000 + l_partkey AS nth FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) = 1)) WHERE problem IS NOT NULL")
+def affine_violations(spark, sf):
+    """An expression for each order, over its lines' suppliers."""
+    lines = P.table(spark, sf, "lineitem").withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey"))).where("n = 1")
+    terms = lines.select(F.col("l_orderkey").alias("obs_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("term_idx"), F.col("l_suppkey").alias("var"), F.col("l_tax").alias("coef"))
+    return constraints.term_violations(terms, 90)
+
+
+@query("variable_blocks", "SELECT c_mktsegment AS block, CAST(coalesce(sum(n) OVER (ORDER BY c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n AS length FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)")
+def variable_blocks(spark, sf):
+    """A variable for each customer, in a block for each segment."""
+    counted = P.table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("block")).agg(F.count("*").alias("length"))
+    return constraints.variable_blocks(counted.withColumn("ord", F.col("block")))
+
+
+_LINEAR = ["lower", "upper", "interval", "inside", "outside", "gap", "increasing", "decreasing"]
+
+
+@query("linear_lowered", "SELECT c_custkey AS obs_id, 'bound' AS rel, CASE WHEN k IN (0, 2, 4, 5, 6) THEN v END AS lower, CASE WHEN k IN (1, 3) THEN v WHEN k = 2 THEN v + 10 WHEN k = 7 THEN -v END AS upper FROM (SELECT c_custkey, c_custkey % 8 AS k, abs(c_acctbal) AS v FROM customer)")
+def linear_lowered(spark, sf):
+    """A constraint of one of eight kinds for each customer: slopes on a derivative, others on a value."""
+    rows = P.table(spark, sf, "customer").select(F.col("c_custkey").alias("obs_id"), F.col("c_custkey").alias("ord"), F.get(F.array(*map(F.lit, _LINEAR)), (F.col("c_custkey") % 8).cast("int")).alias("kind"), F.abs("c_acctbal").alias("value"))
+    null = F.lit(None).cast("double")
+    rows = rows.withColumn("upper", F.col("value") + 10).withColumn("enforcement", F.lit("hard")).withColumn("scale", null).withColumn("loss", F.lit(None).cast("string")).withColumn("delta", null)
+    terms = rows.select(F.col("obs_id").alias("expr_id"), F.lit(1.0).alias("coef"), F.when(F.col("obs_id") % 8 >= 6, functionals.DERIVATIVE).otherwise(functionals.VALUE).alias("kind"))
+    return constraints.lower_linear(rows, terms).select("obs_id", "rel", "lower", "upper")
+
+
+@query("linear_gap", "SELECT o_orderkey AS obs_id, 'u' || k AS place, CASE k WHEN 0 THEN 2.0 ELSE -3.0 END AS coef FROM orders CROSS JOIN (VALUES (0), (1)) t(k)")
+def linear_gap(spark, sf):
+    """The difference of two expressions for each order: 2 f(u0) above and 3 f(u1) below."""
+    orders = P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("obs_id"), (F.col("o_orderkey") * 2).alias("upper_id"), (F.col("o_orderkey") * 2 + 1).alias("lower_id"))
+    terms = orders.select(F.explode(F.array(F.struct(F.col("upper_id").alias("expr_id"), F.lit(2.0).alias("coef"), F.lit("u0").alias("place")), F.struct(F.col("lower_id").alias("expr_id"), F.lit(3.0).alias("coef"), F.lit("u1").alias("place")))).alias("t")).select("t.*")
+    return constraints.gap_terms(orders, terms).select("obs_id", "place", "coef")
+
+
+@query("linear_composed", "SELECT CAST(row_number() OVER (ORDER BY s, k) - 1 AS BIGINT) AS ord, k AS obs_id FROM (SELECT 0 AS s, s_suppkey AS k FROM supplier UNION ALL SELECT 1, -1 - c_custkey FROM customer) ORDER BY 1")
+def linear_composed(spark, sf):
+    """Rows for suppliers, then for customers, whose ids are negative."""
+    own = ranking.numbered(P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("obs_id")), ["obs_id"], "ord")
+    more = ranking.numbered(P.table(spark, sf, "customer").select((-1 - F.col("c_custkey")).alias("obs_id")), ["obs_id"], "ord")
+    return constraints.compose(more.select("ord", "obs_id"), own.select("ord", "obs_id"))
 
 
 @query("linear_bounds", "SELECT c_custkey AS idx, c_mktsegment AS kind, CASE WHEN c_nationkey % 7 IN (0, 2, 4, 5, 6) THEN c_acctbal END AS lower, CASE WHEN c_nationkey % 7 = 2 THEN c_acctbal + 10 WHEN c_nationkey % 7 = 1 THEN c_acctbal WHEN c_nationkey % 7 = 3 THEN -c_acctbal END AS upper FROM customer")
@@ -640,10 +896,7 @@ def linear_bounds(spark, sf):
     return made.select(F.col("c_custkey").alias("idx"), F.col("c_mktsegment").alias("kind"), "lower", "upper")
 
 
-_ROW = "SELECT o_orderkey AS id, o_custkey % 50 AS c, CASE WHEN o_orderkey % 2 = 0 THEN -3 ELSE 2 END AS k FROM orders WHERE o_totalprice > 200000"
-
-
-@query("near_duplicates", f"SELECT a.id AS first, b.id AS second, 'duplicate' AS kind FROM ({_ROW}) a JOIN ({_ROW}) b ON a.c = b.c AND a.id < b.id AND a.c % 5 = 0")
+@query("near_duplicates", "SELECT first, id AS second, 'duplicate' AS kind FROM (SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey % 50) AS first FROM orders WHERE o_custkey % 5 = 0) WHERE id > first")
 def near_duplicates(spark, sf):
     """Rows of two coefficients in proportion (c + 1) : 1, for every fifth c; the others' second variable is their own."""
     base = P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 50).alias("c"), F.when(F.col("o_orderkey") % 2 == 0, -4.0).otherwise(2.0).alias("k"))
@@ -672,16 +925,81 @@ def normals_polarity(spark, sf):
     return made.select("obs_id", "row", *[r6(F.col(f"c{k}"), f"c{k}") for k in range(3)], "lower")
 
 
-@query("normals_orthogonal", "SELECT CAST(NULL AS BIGINT) AS obs_id WHERE false")
-def normals_orthogonal(spark, sf):
-    """Observations whose complement rows are not orthonormal to the normal and to one another; there are none."""
-    rows = P.directions(spark, sf, 3).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1", "u2")
-    n = [F.col(f"u{k}") for k in range(3)]
-    rows = rows.withColumn("basis", G.complement_array(n))
-    a, b = [[F.get("basis", at + k) for k in range(3)] for at in (0, 3)]
-    dot = lambda p, q: sum((x * y for x, y in zip(p, q)), F.lit(0.0))
-    worst = F.greatest(F.abs(dot(a, n)), F.abs(dot(b, n)), F.abs(dot(a, b)), F.abs(dot(a, a) - 1), F.abs(dot(b, b) - 1))
-    return rows.where(worst > 1e-9).select("obs_id")
+_AXIS = "CASE WHEN abs(u0) = least(abs(u0), abs(u1), abs(u2)) THEN 0 WHEN abs(u1) = least(abs(u0), abs(u1), abs(u2)) THEN 1 ELSE 2 END"
+_RAW = [f"(CASE WHEN axis = {k} THEN 1.0 ELSE 0.0 END - along * u{k}) / sqrt(1 - along * along)" for k in range(3)]
+_SIGN = lambda v: f"CASE WHEN {v}0 > 0 THEN 1.0 WHEN {v}0 < 0 THEN -1.0 WHEN {v}1 > 0 THEN 1.0 WHEN {v}1 < 0 THEN -1.0 WHEN {v}2 < 0 THEN -1.0 ELSE 1.0 END"
+
+
+@query(
+    "normals_basis",
+    f"WITH a AS (SELECT *, {_AXIS} AS axis FROM {DIRS3}), b AS (SELECT *, CASE axis WHEN 0 THEN u0 WHEN 1 THEN u1 ELSE u2 END AS along FROM a), c AS (SELECT *, {', '.join(f'{r} AS r{k}' for k, r in enumerate(_RAW))} FROM b), "
+    f"d AS (SELECT *, {', '.join(f'({_SIGN("r")}) * r{k} AS p{k}' for k in range(3))} FROM c), e AS (SELECT *, u1 * p2 - u2 * p1 AS s0, u2 * p0 - u0 * p2 AS s1, u0 * p1 - u1 * p0 AS s2 FROM d) "
+    f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, 0 AS \"row\", {', '.join(s6(f'p{k}', f'c{k}') for k in range(3))} FROM e WHERE abs(u1) > 0.001 AND abs(u2) > 0.001 "
+    f"UNION ALL SELECT l_orderkey * 8 + l_linenumber, 1, {', '.join(s6(f'sign(CASE WHEN abs(s1) > 1e-9 THEN s1 ELSE s2 END) * s{k}', f'c{k}') for k in range(3))} FROM e WHERE abs(u1) > 0.001 AND abs(u2) > 0.001",
+)
+def normals_basis(spark, sf):
+    """The two rows across each normal that is along no axis; the second, whose sign rounding may decide, with its middle
+    part positive, or the last one where that is 0."""
+    rows = P.directions(spark, sf, 3).where("abs(u1) > 0.001 and abs(u2) > 0.001").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1", "u2")
+    turn = F.when(F.col("row") == 1, F.signum(F.when(F.abs("c1") > 1e-9, F.col("c1")).otherwise(F.col("c2")))).otherwise(1.0)
+    return constraints.normal_rows(rows, ["u0", "u1", "u2"], "axial").select("obs_id", "row", *[r6(F.col(f"c{k}") * turn, f"c{k}") for k in range(3)])
+
+
+@query("normals_gradient", f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, k AS \"row\", CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END AS c0, CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END AS c1, {s6('2 * CASE k WHEN 0 THEN u0 ELSE u1 END', 'lower')} FROM {DIRS2} CROSS JOIN (VALUES (0), (1)) t(k)")
+def normals_gradient(spark, sf):
+    rows = P.directions(spark, sf, 2).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1")
+    return constraints.normal_rows(rows, ["u0", "u1"], "gradient", least=F.lit(2.0)).select("obs_id", "row", "c0", "c1", r6(F.col("lower"), "lower"))
+
+
+@query("normals_cone", f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, k AS \"row\", CASE WHEN k = 2 THEN 'bound' ELSE 'cone' END AS rel, {s6('CASE k WHEN 0 THEN u0 * tan(radians(20)) WHEN 1 THEN abs(u1) ELSE u0 END', 'c0')}, {s6('CASE k WHEN 0 THEN u1 * tan(radians(20)) WHEN 1 THEN -u0 * (CASE WHEN u1 < 0 THEN -1 ELSE 1 END) ELSE u1 END', 'c1')} FROM {DIRS2} CROSS JOIN (VALUES (0), (1), (2)) t(k) WHERE abs(u1) > 1e-9")
+def normals_cone(spark, sf):
+    rows = P.directions(spark, sf, 2).where("abs(u1) > 1e-9").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1")
+    made = constraints.normal_rows(rows, ["u0", "u1"], "cone", least=F.lit(0.5), angle=F.lit(20.0))
+    return made.select("obs_id", "row", "rel", r6(F.col("c0"), "c0"), r6(F.col("c1"), "c1"))
+
+
+@query("normals_near_zero", "SELECT l_orderkey * 8 + l_linenumber AS obs_id, round(sqrt(l_discount ** 2 + l_tax ** 2), 6) + 0.0 AS norm, sqrt(l_discount ** 2 + l_tax ** 2) <= 0.001 * l_quantity AS near_zero FROM lineitem")
+def normals_near_zero(spark, sf):
+    rows = P.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "l_discount", "l_tax", "l_quantity")
+    return constraints.near_zero_gradients(rows, ["l_discount", "l_tax"], F.col("l_quantity"), 0.001).select("obs_id", r6(F.col("norm"), "norm"), "near_zero")
+
+
+@query("normals_soft", "SELECT o_orderkey AS obs_id, 'only l2 does not depend on the basis' AS problem FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0")
+def normals_soft(spark, sf):
+    loss = F.when(F.col("o_orderkey") % 3 == 0, "l2").when(F.col("o_orderkey") % 3 == 1, "l1").otherwise("huber")
+    rows = P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("obs_id"), F.when(F.col("o_orderstatus") == "O", "soft").otherwise("hard").alias("enforcement"), loss.alias("loss"))
+    return constraints.soft_normal_violations(rows, 3, "axial")
+
+
+def _tangents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("obs_id"), F.col("s_suppkey").alias("ord"), F.lit("hard").alias("enforcement"), F.lit(None).cast("double").alias("scale"), F.lit(None).cast("string").alias("loss"), F.lit(None).cast("double").alias("delta"), F.col("s_nationkey").cast("double").alias("a"), (F.col("s_acctbal") / 1000).alias("b"), F.lit(2.0).alias("t"), F.lit(-1.0).alias("s"))
+    return constraints.tangent_rows(rows, ["a", "b"], ["t", "s"], (-1, (0.0, 0.0), 5.0))
+
+
+@query("tangents_rows", "SELECT s_suppkey AS obs_id, s_suppkey AS ord, 'eq' AS rel, 0.0 AS target FROM supplier UNION ALL SELECT -1, max(s_suppkey) + 1, 'eq', 5.0 FROM supplier")
+def tangents_rows(spark, sf):
+    return _tangents(spark, sf)[0].select("obs_id", "ord", "rel", "target")
+
+
+@query("tangents_terms", f"SELECT idx AS expr_id, 1.0 AS coef, 'dderiv' AS kind, {s6('x0', 'x0')}, {s6('x1', 'x1')}, 2.0 AS u0, -1.0 AS u1 FROM {SUPPLIERS} UNION ALL SELECT -1, 1.0, 'value', 0.0, 0.0, 0.0, 0.0")
+def tangents_terms(spark, sf):
+    return _tangents(spark, sf)[1].select("expr_id", "coef", "kind", r6(F.col("x0"), "x0"), r6(F.col("x1"), "x1"), "u0", "u1")
+
+
+@query("hard_conflicts_exact", "SELECT o_orderkey AS \"row\", 0.1 * k AS lower, 0.1 * k AS upper FROM (SELECT o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS k FROM orders) WHERE k IN (1, 2, 3, 4, 6)")
+def hard_conflicts_exact(spark, sf):
+    """z = k / 10 and 3 z = 3 k / 10 for each order: both are binary numbers, which for most k exclude one another."""
+    rows = P.table(spark, sf, "orders").select(F.col("o_orderkey"), (F.col("o_orderkey") % 7).cast("int").alias("k"))
+    tenths = lambda of: F.get(F.array(*[F.lit(float(f"{n / 10:.1f}")) for n in range(19)]), of)
+    both = F.explode(F.array(F.struct(F.col("o_orderkey").alias("row"), F.lit(1.0).alias("coef"), tenths(F.col("k")).alias("side")), F.struct((-F.col("o_orderkey")).alias("row"), F.lit(3.0).alias("coef"), tenths(F.col("k") * 3).alias("side")))).alias("r")
+    spread = rows.select(F.col("o_orderkey").alias("var"), both).select("r.row", "var", "r.coef", F.col("r.side").alias("lower"), F.col("r.side").alias("upper"))
+    found = constraints.hard_conflicts(spread)
+    return found.select((-F.col("row")).alias("row"), r6(F.col("lower"), "lower"), r6(F.col("upper"), "upper"))
+
+
+@query("thickness_labels", "SELECT s_suppkey AS idx, 'SampledLocalNormalCone' AS label FROM supplier")
+def thickness_labels(spark, sf):
+    return constraints.labelled_thickness(P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("idx")), "cone")
 
 
 @query("thickness_cones", "SELECT s_suppkey AS obs_id, k AS \"row\", k - 1 AS axis, CASE WHEN k = 0 THEN 1.0 ELSE s_acctbal END AS coef FROM supplier CROSS JOIN (VALUES (0), (1), (2), (3)) t(k)")
@@ -689,40 +1007,86 @@ def thickness_cones(spark, sf):
     return constraints.thickness_cones(P.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("obs_id"), "s_acctbal"), F.col("s_acctbal"), 3)
 
 
-# -- levels: nations ordered within their region by key
+# -- levels: the lines of an order, each above the one before
+
+
+_LEVELS = "(SELECT DISTINCT l_orderkey AS g, l_linenumber AS k, l_orderkey * 8 + l_linenumber AS id FROM lineitem)"
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    ordered = P.table(spark, sf, "nation").select(F.col("n_nationkey").alias("upper_id"), F.lag("n_nationkey").over(w).alias("lower_id"), (F.col("n_nationkey") * 0.25).alias("min_gap"))
+    lines = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    id_ = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    ordered = lines.select(id_.alias("upper_id"), F.lag(id_).over(w).alias("lower_id"), (F.col("l_linenumber") * 0.25).alias("min_gap"))
     return ordered.where("lower_id is not null").select("lower_id", "upper_id", "min_gap")
 
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("n_nationkey") % 4 == 0, "fixed").otherwise("unknown")
-    return P.table(spark, sf, "nation").select(F.col("n_nationkey").alias("level_id"), F.col("n_nationkey").alias("ord"), kind.alias("kind"), F.when(kind == "fixed", F.col("n_nationkey") * 0.5).alias("value"), F.lit(None).cast("double").alias("mean"))
+    k = F.col("l_linenumber")
+    kind = F.when(k % 3 == 0, "fixed").otherwise("unknown")
+    lines = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return lines.select((F.col("l_orderkey") * 8 + k).alias("level_id"), (F.col("l_orderkey") * 8 + k).alias("ord"), kind.alias("kind"), F.when(kind == "fixed", k * 0.5).alias("value"), F.lit(None).cast("double").alias("mean"))
 
 
-@query("levels_components", "SELECT n_nationkey AS level_id, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS component FROM nation")
+@query("levels_components", f"SELECT id AS level_id, min(id) OVER (PARTITION BY g) AS component FROM {_LEVELS}")
 def levels_components(spark, sf):
     return levels.components(_levels(spark, sf), _orders(spark, sf))
 
 
-@query("levels_topological", "SELECT n_nationkey AS level_id, row_number() OVER w - 1 AS depth, coalesce(sum(CASE WHEN first <> n_nationkey THEN n_nationkey * 0.25 END) OVER w, 0.0) AS height FROM (SELECT *, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS first FROM nation) WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
+@query("levels_topological", f"SELECT id AS level_id, row_number() OVER w - 1 AS depth, coalesce(sum(CASE WHEN first <> id THEN k * 0.25 END) OVER w, 0.0) AS height FROM (SELECT *, min(id) OVER (PARTITION BY g) AS first FROM {_LEVELS}) WINDOW w AS (PARTITION BY g ORDER BY k)")
 def levels_topological(spark, sf):
     return levels.topological_depth(_levels(spark, sf), _orders(spark, sf)).select("level_id", F.col("depth").cast("long").alias("depth"), "height")
 
 
-@query("levels_gauge", "SELECT min(n_nationkey) AS component, count(*) AS levels FROM nation GROUP BY n_regionkey HAVING bool_and(n_nationkey % 4 <> 0)")
+@query("levels_gauge", f"SELECT min(id) AS component, count(*) AS levels FROM {_LEVELS} GROUP BY g HAVING bool_and(k % 3 <> 0)")
 def levels_gauge(spark, sf):
     return levels.loose_components(_levels(spark, sf), _orders(spark, sf))
 
 
-@query("levels_fixed_conflicts", "WITH h AS (SELECT n_nationkey AS k, n_regionkey AS g, sum(n_nationkey * 0.25) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS s FROM nation) SELECT a.k AS lower_id, b.k AS upper_id, b.s - a.s AS least, (b.k - a.k) * 0.5 AS difference FROM h a JOIN h b ON a.g = b.g AND a.k < b.k AND a.k % 4 = 0 AND b.k % 4 = 0 WHERE (b.k - a.k) * 0.5 < b.s - a.s")
+@query("levels_fixed_conflicts", f"WITH h AS (SELECT id, k, g, sum(k * 0.25) OVER (PARTITION BY g ORDER BY k) AS s FROM {_LEVELS}) SELECT a.id AS lower_id, b.id AS upper_id, b.s - a.s AS least, (b.k - a.k) * 0.5 AS difference FROM h a JOIN h b ON a.g = b.g AND a.k < b.k AND a.k % 3 = 0 AND b.k % 3 = 0 WHERE (b.k - a.k) * 0.5 < b.s - a.s")
 def levels_fixed_conflicts(spark, sf):
     return levels.fixed_conflicts(_levels(spark, sf), _orders(spark, sf))
 
 
+_MEMBERS = "(SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS g, l_linenumber AS k, CAST(l_orderkey AS DOUBLE) AS x0, CAST(l_linenumber % 2 AS DOUBLE) AS x1 FROM lineitem)"
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd lines of an order are at one place, even ones at another, so they must be equal."""
+    lines = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("level_id"), F.col("l_orderkey").cast("double").alias("x0"), (F.col("l_linenumber") % 2).cast("double").alias("x1"))
+
+
+@query("levels_closure", f"SELECT id AS level_id, min(id) OVER (PARTITION BY x0, x1) AS closure FROM {_MEMBERS}")
+def levels_closure(spark, sf):
+    return levels.membership_closure(_levels(spark, sf), _members(spark, sf), ["x0", "x1"])
+
+
+@query(
+    "levels_closure_conflicts",
+    f"WITH m AS (SELECT *, min(id) OVER (PARTITION BY x0, x1) AS c, lag(k) OVER (PARTITION BY g ORDER BY k) AS before FROM {_MEMBERS}) "
+    "SELECT c AS closure, 'fixed' AS problem, min(k * 0.5) AS lower, max(k * 0.5) AS upper FROM m WHERE k % 3 = 0 GROUP BY c HAVING min(k) < max(k) "
+    "UNION ALL SELECT c, 'order', 0.0, max(k * 0.25) FROM m WHERE (k - before) % 2 = 0 GROUP BY c",
+)
+def levels_closure_conflicts(spark, sf):
+    return levels.closure_conflicts(_levels(spark, sf), _members(spark, sf), _orders(spark, sf), ["x0", "x1"])
+
+
+@query(
+    "levels_compiled",
+    f"WITH v AS (SELECT *, row_number() OVER (ORDER BY id) + 2 AS var FROM {_LEVELS}), p AS (SELECT *, lag(var) OVER (PARTITION BY g ORDER BY k) AS lower_var FROM v) "
+    "SELECT 'membership' AS cls, id AS obs_id, CAST(0 AS BIGINT) AS var, k * 1.0 AS coef, -0.5 AS rhs FROM v UNION ALL SELECT 'membership', id, var, -1.0, -0.5 FROM v UNION ALL SELECT 'fixed', id, var, 1.0, k * 0.5 FROM v WHERE k % 3 = 0 "
+    "UNION ALL SELECT 'order', id, var, 1.0, k * 0.25 FROM p WHERE lower_var IS NOT NULL UNION ALL SELECT 'order', id, lower_var, -1.0, k * 0.25 FROM p WHERE lower_var IS NOT NULL",
+)
+def levels_compiled(spark, sf):
+    """Memberships k z_0 + 0.5 - h = 0 of each line's level, fixed values and orders; three variables come before the levels'."""
+    known, members = _levels(spark, sf), _members(spark, sf)
+    terms = members.select(F.col("level_id").alias("obs_id"), F.lit(0).cast("long").alias("var"), F.pmod(F.col("level_id"), F.lit(8)).cast("double").alias("coef"), F.lit(0.5).alias("constant"))
+    orders = _orders(spark, sf).withColumn("obs_id", F.col("upper_id"))
+    made = levels.compile_levels(known, members.select("level_id", F.col("level_id").alias("obs_id")), orders, terms, 3)
+    return made.select("cls", "obs_id", F.col("var").cast("long").alias("var"), F.col("coef").cast("double").alias("coef"), F.col("rhs").cast("double").alias("rhs"))
+
+
 # -- level sets and thickness
 
 
@@ -733,57 +1097,123 @@ def level_points_segments(spark, sf):
     centers = P.pts1(spark, sf).persist()
     mean, low, high = centers.agg(F.avg("y"), F.min("x0"), F.max("x0")).first()
     field = fields.fit_field(centers, Kernel("phs", 1), 1)
-    found = levelsets.level_points(spark, lambda x: field.expressions(x)[0], mean, low, high, int(high - low), tolerance=1e-13, steps=50)
+    found = levelsets.level_points(spark, field.function(), mean, low, high, int(high - low), tolerance=1e-13)
     return found.select(r6(F.col("x"), "x"), "kind")
 
 
-CIRCLE = lambda x: x[0] * x[0] + x[1] * x[1] - 0.81
+_MEAN = "(SELECT avg(x0) / 10 AS m FROM " + PTS1 + ")"
 
 
-def _box_cells(spark: SparkSession, sf: str) -> int:
-    """As many cells as the square root of the number of suppliers, at least 24: the grid grows with the table."""
-    return max(24, int(P.table(spark, sf, "supplier").count() ** 0.5))
+@query("level_points_stationary", f"SELECT level, {s6('m + t', 'x')}, CASE WHEN t = 0 THEN 'stationary' ELSE 'crossing' END AS kind, {s6('2 * t', 'slope')} FROM {_MEAN} CROSS JOIN (VALUES (0.0, 0.0), (1.0, -1.0), (1.0, 1.0)) v(level, t)")
+def level_points_stationary(spark, sf):
+    """(x - m)^2 through the sizes' places: it touches 0 at their mean m and crosses 1 on either side of it."""
+    spots = P.pts1(spark, sf).withColumn("x0", F.col("x0") / 10).persist()
+    m = spots.agg(F.avg("x0")).first()[0]
+    field = fields.fit_field(spots.withColumn("y", (F.col("x0") - m) ** 2), Kernel("phs", 5), 1)
+    at = lambda level: levelsets.level_points(spark, field.function(), level, m - 2.0, m + 1.7, 40, tolerance=1e-9, slope=field.function(1), width=1e-6).withColumn("level", F.lit(level))
+    return at(0.0).union(at(1.0)).select("level", r6(F.col("x"), "x"), "kind", r6(F.round("slope", 4), "slope"))
+
+
+def circle_field(spark: SparkSession, sf: str) -> fields.FittedField:
+    """The square of the distance from the customers' mean place, through a place of each nation: its least, mean or largest
+    balance."""
+    u, v = F.col("x0"), F.col("x1")
+    rows = P.customers(spark, sf).select((u / 12.5 - 1).alias("x0"), (v / 5 - 1).alias("x1"))
+    cu, cv = rows.agg(F.avg("x0"), F.avg("x1")).first()
+    nth = F.pmod(F.round((u + 1) * 12.5).cast("int"), F.lit(3))
+    spot = rows.groupBy("x0").agg(F.min("x1").alias("low"), F.avg("x1").alias("mean"), F.max("x1").alias("high")).select("x0", F.when(nth == 0, F.col("low")).when(nth == 1, F.col("mean")).otherwise(F.col("high")).alias("x1"))
+    centers = spot.select(F.lit(0).cast("long").alias("field_id"), (F.row_number().over(Window.orderBy("x0", "x1")) - 1).alias("idx"), u, v, ((u - cu) ** 2 + (v - cv) ** 2).alias("y"))
+    return fields.fit_field(centers.persist(), Kernel("phs", 5), 2)
+
+
+def _circle_nodes(spark: SparkSession, sf: str) -> tuple[fields.FittedField, DataFrame]:
+    """As many cells a side as the square root of the number of suppliers, at least 24."""
+    n = max(24, int(P.table(spark, sf, "supplier").count() ** 0.5))
+    field = circle_field(spark, sf)
+    return field, levelsets.grid_nodes(spark, field.function(), 0.81, (-1.5, -1.5), (1.5, 1.5), (n, n))
 
 
 _N = "(SELECT greatest(24, CAST(floor(sqrt(count(*))) AS INTEGER)) AS n FROM supplier)"
-_NODES = f"(SELECT i, j, -1.5 + i * (3.0 / n) AS x, -1.5 + j * (3.0 / n) AS y, (-1.5 + i * (3.0 / n)) ** 2 + (-1.5 + j * (3.0 / n)) ** 2 - 0.81 AS g FROM {_N} c, range(0, 200) a(i), range(0, 200) b(j) WHERE i <= n AND j <= n)"
+_MID = f"(SELECT avg(x0 / 12.5 - 1) AS cu, avg(x1 / 5 - 1) AS cv FROM {CUSTOMERS})"
+_NODES = f"(SELECT *, (x - cu) ** 2 + (y - cv) ** 2 - 0.81 AS g FROM (SELECT i, j, n, cu, cv, -1.5 + i * (3.0 / n) AS x, -1.5 + j * (3.0 / n) AS y FROM {_N} c, {_MID} m, LATERAL (SELECT unnest(range(n + 1)) AS i) a, LATERAL (SELECT unnest(range(n + 1)) AS j) b))"
+_SIDES = (
+    f"(SELECT 'h' AS side, a.i AS i, a.j AS j, a.cu + sign(a.x + b.x - 2 * a.cu) * sqrt(0.81 - (a.y - a.cv) ** 2) AS x, a.y AS y, a.cu AS cu, a.cv AS cv FROM {_NODES} a JOIN {_NODES} b ON b.i = a.i + 1 AND b.j = a.j WHERE (a.g < 0) <> (b.g < 0) "
+    f"UNION ALL SELECT 'v', a.i, a.j, a.x, a.cv + sign(a.y + b.y - 2 * a.cv) * sqrt(0.81 - (a.x - a.cu) ** 2), a.cu, a.cv FROM {_NODES} a JOIN {_NODES} b ON b.j = a.j + 1 AND b.i = a.i WHERE (a.g < 0) <> (b.g < 0))"
+)
 
 
 @query("iso_nodes", f"SELECT i, j, {s6('g', 'g')} FROM {_NODES}")
 def iso_nodes(spark, sf):
-    n = _box_cells(spark, sf)
-    return levelsets.grid_nodes(spark, CIRCLE, 0.0, (-1.5, -1.5), (1.5, 1.5), (n, n)).select("i", "j", r6(F.col("g"), "g"))
+    return _circle_nodes(spark, sf)[1].select("i", "j", r6(F.col("g"), "g"))
 
 
-@query("iso_edges", f"SELECT 'h' AS side, a.i AS i, a.j AS j, {s6('sign(a.x + b.x) * sqrt(0.81 - a.y ** 2)', 'x')}, {s6('a.y', 'y')} FROM {_NODES} a JOIN {_NODES} b ON b.i = a.i + 1 AND b.j = a.j WHERE (a.g < 0) <> (b.g < 0) UNION ALL SELECT 'v', a.i, a.j, {s6('a.x', 'x')}, {s6('sign(a.y + b.y) * sqrt(0.81 - a.x ** 2)', 'y')} FROM {_NODES} a JOIN {_NODES} b ON b.j = a.j + 1 AND b.i = a.i WHERE (a.g < 0) <> (b.g < 0)")
+@query("iso_edges", f"SELECT side, i, j, {s6('x', 'x')}, {s6('y', 'y')} FROM {_SIDES}")
 def iso_edges(spark, sf):
-    n = _box_cells(spark, sf)
-    nodes = levelsets.grid_nodes(spark, CIRCLE, 0.0, (-1.5, -1.5), (1.5, 1.5), (n, n))
-    return levelsets.edge_crossings(nodes, CIRCLE, 0.0).select("side", "i", "j", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+    field, nodes = _circle_nodes(spark, sf)
+    return levelsets.edge_crossings(nodes, field.function(), 0.81).select("side", "i", "j", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+
 
+def _circle_lines(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    field, nodes = _circle_nodes(spark, sf)
+    vertices = levelsets.edge_crossings(nodes, field.function(), 0.81, diagonals=method == "simplices")
+    return levelsets.polylines(levelsets.segments(nodes, vertices, method))
 
-@query("iso_polylines", f"WITH e AS (SELECT count(*) AS n FROM (SELECT 1 FROM {_NODES} a JOIN {_NODES} b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1) WHERE (a.g < 0) <> (b.g < 0))) SELECT n AS vertices, n AS segments, true AS closed FROM e")
+
+@query("iso_polylines", f"SELECT count(*) AS vertices, count(*) AS segments, true AS closed FROM {_SIDES}")
 def iso_polylines(spark, sf):
-    n = _box_cells(spark, sf)
-    nodes = levelsets.grid_nodes(spark, CIRCLE, 0.0, (-1.5, -1.5), (1.5, 1.5), (n, n))
-    return levelsets.polylines(levelsets.segments(nodes)).select("vertices", "segments", "closed")
+    return levelsets.line_summary(_circle_lines(spark, sf, "squares")).select("vertices", "segments", "closed")
 
 
+@query(
+    "iso_vertices",
+    f"WITH v AS (SELECT x, y, row_number() OVER (ORDER BY side, i, j) AS vid, row_number() OVER (ORDER BY atan2(y - cv, x - cu)) - 1 AS k, count(*) OVER () AS n FROM {_SIDES}), s AS (SELECT k AS k0 FROM v WHERE vid = 1), "
+    "f AS (SELECT *, (k - k0 + n) % n AS ahead FROM v, s), w AS (SELECT max(CASE WHEN ahead = 1 THEN vid END) < max(CASE WHEN ahead = n - 1 THEN vid END) AS up FROM f) "
+    f"SELECT CASE WHEN up THEN ahead ELSE (n - ahead) % n END AS seq, {s6('x', 'x')}, {s6('y', 'y')} FROM f, w",
+)
+def iso_vertices(spark, sf):
+    """The circle's vertices in the order of the line: from the first, towards its neighbour that comes first."""
+    return _circle_lines(spark, sf, "squares").select(F.col("seq").cast("long").alias("seq"), r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+
+
+@query(
+    "iso_simplices",
+    f"SELECT vertices + d AS vertices, vertices + d AS segments, true AS closed FROM (SELECT count(*) AS vertices FROM {_SIDES}), (SELECT count(*) AS d FROM {_NODES} a JOIN {_NODES} b ON b.i = a.i + 1 AND b.j = a.j + 1 WHERE (a.g < 0) <> (b.g < 0))",
+)
+def iso_simplices(spark, sf):
+    return levelsets.line_summary(_circle_lines(spark, sf, "simplices")).select("vertices", "segments", "closed")
 
 
 @query("thickness_samples", "SELECT c_custkey AS idx, CASE WHEN abs(x) <= 4 THEN 1.0 END AS thickness, CASE WHEN abs(x) > 4 THEN 'not_found' END AS failure FROM (SELECT c_custkey, c_acctbal / 1000 - 4 AS x FROM customer)")
 def thickness_samples(spark, sf):
-    """f = 2 x between the levels -1 and 1: wherever both are within reach the thickness is 1."""
+    """f = 2 x between the levels -9 and 9: wherever both are within reach the thickness is 9."""
     rows = P.table(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_acctbal") / 1000 - 4).alias("x"))
-    made = levelsets.thickness(rows, F.col("x"), lambda x: x[0] * 2.0, lambda x: x[0] * 0.0 + 2.0, (-9.0, 9.0), 8.5, 17)
+    made = levelsets.thickness(rows, ["x"], lambda x: x[0] * 2.0, lambda x: [x[0] * 0.0 + 2.0], (-9.0, 9.0), 8.5, 17)
     return made.select("idx", (F.round(F.col("thickness") / 9, 6) + 0.0).alias("thickness"), "failure")
 
 
-@query("thickness_quantiles")
+_UPDOWN = "(SELECT *, (-r + sqrt(r * r + 4 * q * (10 - p))) / (2 * q) + (r - sqrt(r * r - 4 * q * (p - 0.05))) / (2 * q) AS t FROM (SELECT *, x * y AS p, sqrt(x * x + y * y) AS r, x * y / (x * x + y * y) AS q FROM (SELECT c_custkey, c_nationkey / 10 + 0.5 AS x, c_acctbal / 5000 + 0.5 AS y FROM customer)))"
+
+
+def _saddle_thickness(spark: SparkSession, sf: str) -> DataFrame:
+    """f = x y between 0.05 and 10: along its gradient's line f is quadratic."""
+    rows = P.table(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_nationkey") / 10 + 0.5).alias("x"), (F.col("c_acctbal") / 5000 + 0.5).alias("y"))
+    return levelsets.thickness(rows, ["x", "y"], lambda x: x[0] * x[1], lambda x: [x[1], x[0]], (0.05, 10.0), 8.0, 16)
+
+
+@query("thickness_saddle", f"SELECT c_custkey AS idx, {s6('t', 'thickness')} FROM {_UPDOWN}")
+def thickness_saddle(spark, sf):
+    return _saddle_thickness(spark, sf).select("idx", r6(F.col("thickness"), "thickness"))
+
+
+@query("thickness_quantiles", f"SELECT count(*) AS measured, CAST(0 AS BIGINT) AS failed, count(*) FILTER (t < 3) AS violations, {s6('min(t)', 'minimum')}, {s6('min(t)', 'q0')}, {s6('quantile_cont(t, 0.5)', 'q1')}, {s6('quantile_cont(t, 0.9)', 'q2')} FROM {_UPDOWN}")
 def thickness_quantiles(spark, sf):
-    rows = P.table(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_acctbal") / 5000).alias("x"))
-    made = levelsets.thickness(rows, F.col("x"), lambda x: x[0] * x[0] * x[0] + x[0], lambda x: x[0] * x[0] * 3.0 + 1.0, (-1.0, 9.0), 4.0, 16)
-    return levelsets.thickness_report(made, 2.4, [0.0, 0.5, 1.0]).select("measured", "failed", "violations", *[r6(F.col(c), c) for c in ("minimum", "q0", "q1", "q2")])
+    made = levelsets.thickness_report(_saddle_thickness(spark, sf), 3.0, [0.0, 0.5, 0.9])
+    return made.select("measured", "failed", "violations", *[r6(F.col(c), c) for c in ("minimum", "q0", "q1", "q2")])
+
+
+@query("thickness_proposals", f"SELECT c_custkey AS idx, 3.0 AS thickness, 'SampledGeometricValidation' AS label FROM {_UPDOWN} WHERE t < 3")
+def thickness_proposals(spark, sf):
+    return levelsets.thickness_proposals(_saddle_thickness(spark, sf), 3.0).select("idx", F.col("required").alias("thickness"), "label")
 
 
 # -- convex problems
@@ -805,6 +1235,57 @@ def convex_box_qp_solver(spark, sf):
     return convex.solve_problems(rows).select("problem_id", (F.round("value", 4) + 0.0).alias("value"))
 
 
+def _entries(rows: DataFrame, *made: Column) -> DataFrame:
+    return rows.select("problem_id", F.explode(F.array(*made)).alias("r")).select("problem_id", "r.*")
+
+
+def _entry(row: int, cls: str, var: int, target: Column | None = None, lower: Column | None = None, upper: Column | None = None, loss: str = "l2", coef: float = 1.0, cone: int | None = None) -> Column:
+    side = lambda c: (F.lit(None) if c is None else c).cast("double")
+    return F.struct(
+        F.lit(row).alias("row"), F.lit(cls).alias("cls"), F.lit(var).cast("long").alias("var"), F.lit(coef).alias("coef"), side(target).alias("target"), side(lower).alias("lower"), side(upper).alias("upper"),
+        F.lit(1.0).alias("scale"), F.lit(loss).alias("loss"), F.lit(0.75).alias("delta"), F.lit(cone).cast("long").alias("cone"),
+    )
+
+
+_MEANS = "(SELECT c_nationkey AS k, avg(c_acctbal) / 1000 AS m FROM customer GROUP BY 1)"
+
+
+def _means(spark: SparkSession, sf: str) -> DataFrame:
+    return P.table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("problem_id")).agg((F.avg("c_acctbal") / 1000).alias("m"))
+
+
+_P3 = f"(SELECT k, m - k * 0.5 AS h, k * 0.3 AS a, m - 2 AS b, sqrt((k * 0.3) ** 2 + (m - 2) ** 2) AS v FROM {_MEANS})"
+_HEAD = "CASE WHEN v <= h THEN h WHEN v <= -h THEN 0 ELSE (h + v) / 2 END"
+_FACTOR = "CASE WHEN v <= h THEN 1 WHEN v <= -h THEN 0 ELSE (h + v) / 2 / v END"
+
+
+@query("convex_soc_solver", f"SELECT CAST(k AS BIGINT) AS problem_id, CAST(var AS BIGINT) AS var, round(CASE var WHEN 0 THEN {_HEAD} WHEN 1 THEN {_FACTOR} * a ELSE {_FACTOR} * b END, 3) + 0.0 AS value FROM {_P3} CROSS JOIN (VALUES (0), (1), (2)) t(var)")
+def convex_soc_solver(spark, sf):
+    """The nearest point of the cone x_0 >= |(x_1, x_2)| to a point for each nation, by the barrier method."""
+    m, k = F.col("m"), F.col("problem_id")
+    rows = _entries(_means(spark, sf), *[_entry(n, "soft", n, t) for n, t in enumerate((m - k * 0.5, k * 0.3, m - 2))], *[_entry(3 + n, "cone", n, cone=0) for n in range(3)])
+    return convex.solve_problems(rows).select("problem_id", "var", (F.round("value", 3) + 0.0).alias("value"))
+
+
+@query("convex_soft_bounds", f"SELECT CAST(k AS BIGINT) AS problem_id, round((m + least(greatest(m, 2 + k * 0.1), 3 + k * 0.1)) / 2, 4) + 0.0 AS value FROM {_MEANS}")
+def convex_soft_bounds(spark, sf):
+    """Between a target and an interval, both with squared loss: halfway from the target to the interval."""
+    m, k = F.col("m"), F.col("problem_id")
+    rows = _entries(_means(spark, sf), _entry(0, "soft", 0, m), _entry(1, "soft", 0, None, 2 + k * 0.1, 3 + k * 0.1))
+    return convex.solve_problems(rows).select("problem_id", (F.round("value", 4) + 0.0).alias("value"))
+
+
+@query("convex_status", f"SELECT CAST(k AS BIGINT) AS problem_id, CASE WHEN k % 3 = 0 THEN 'infeasible' ELSE 'solved' END AS status, CASE WHEN k % 3 <> 0 THEN round(greatest(m - 5 - k * 0.01, 0), 4) + 0.0 END AS objective FROM {_MEANS}")
+def convex_status(spark, sf):
+    """x + y = 5 + k / 100 and y >= 0; for every third nation y >= 1 and x >= 5, which cannot be. x ought to be m."""
+    m, k = F.col("m"), F.col("problem_id")
+    third = k % 3 == 0
+    both = [_entry(0, "eq", v, 5 + k * 0.01) for v in (0, 1)]
+    rows = _entries(_means(spark, sf), *both, _entry(1, "bound", 0, None, F.when(third, 5.0), None), _entry(2, "bound", 1, None, F.when(third, 1.0).otherwise(0.0), None), _entry(3, "soft", 0, m, loss="l1"))
+    made = convex.problem_status(rows.where("cls <> 'bound' or lower is not null"))
+    return made.select("problem_id", "status", (F.round(F.when(F.abs("objective") < 1e-6, 0.0).otherwise(F.col("objective")), 4) + 0.0).alias("objective"))
+
+
 @query("convex_l1_median", "WITH s AS (SELECT o_custkey, o_totalprice AS v, count(*) AS w FROM orders GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY o_custkey ORDER BY v) AS below, sum(w) OVER (PARTITION BY o_custkey) AS total FROM s) SELECT o_custkey, min(v) AS median FROM c WHERE below * 2 >= total GROUP BY 1")
 def convex_l1_median(spark, sf):
     return convex.weighted_median(P.table(spark, sf, "orders").withColumn("w", F.lit(1)), ["o_custkey"], "o_totalprice", "w")
@@ -823,5 +1304,3 @@ def convex_soc_projection(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return fit_matern12_eval(spark, sf)
-
-

@@ -9,11 +9,10 @@ import __spark_entry__ as entry
 import duckdb
 import pytest
 
+from fieldspark.plans import catalog
+
 SF = "/root/testdata/sf0.001"
-SOME = [
-    "fit_matern12_eval", "fit_phs1_eval", "fit_by_segment", "kernel_phs4", "kernel_jet_matern52_d3", "aniso_distance_ellipsoidal", "gram_cpd_augmented", "neighbor_pairs", "eval_local_counts", "tensor_d2_eigen",
-    "mixture_value", "direction_jumps", "tune_folds", "tune_cv", "semantic_validate", "canonical_bound", "near_duplicates", "normals_polarity", "levels_components", "iso_edges", "convex_l1_median",
-]
+OWN = sorted(set(catalog.ORACLE_SQL))
 
 
 def test_import_needs_no_session():
@@ -25,7 +24,7 @@ def plain(row):
     return tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else float(v) if type(v).__name__ == "Decimal" else v for v in row)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", OWN)
 def test_results_match_their_sql(spark, name):
     con = duckdb.connect()
     for path in Path(SF).glob("*.parquet"):

@@ -136,10 +136,27 @@ def test_quadratic_programme(spark):
     got = {(r.problem_id, r["var"]): r.value for r in convex.solve_problems(problem(spark, rows)).collect()}
     assert [got[1, 0], got[1, 1], got[2, 0]] == pytest.approx([0.5, 1.5, 2.0], abs=1e-5)
     assert got[3, 0] == pytest.approx(0.75, abs=1e-5)
+    with pytest.raises(Exception, match="1001"):
+        convex.solve_problems(problem(spark, [(1, 0, "nonsense", 0, 1.0, 3.0, None, None, None, None, None)])).collect()
     with pytest.raises(Exception, match="6001"):
         convex.solve_problems(problem(spark, [(1, 0, "eq", 0, 1.0, 3.0, None, None, None, None, None), (1, 1, "bound", 0, 1.0, None, 0.0, 1.0, None, None, None)])).collect()
 
 
+def test_cones_and_certificates(spark):
+    """x = 3 and y = 4 within |(x, y)| <= z, z near 0: 3-4-5; a cone that a bound excludes; repeated rows."""
+    soft = (1, 9, "soft", 2, 1.0, 0.0, None, None, 1.0, "l1", None, None)
+    rows = [(1, v, "eq", v, 1.0, (3.0, 4.0)[v], None, None, None, None, None, None) for v in (0, 1)] + [soft]
+    rows += [(1, 3 + k, "cone", v, 1.0, None, None, None, None, None, None, 7) for k, v in enumerate((2, 0, 1))]
+    frame = lambda rows: spark.createDataFrame(rows, problem(spark, []).schema.simpleString()[7:-1].replace(":", " ") + ", cone long")
+    got = {r["var"]: r.value for r in convex.solve_problems(frame(rows)).collect()}
+    assert [got[k] for k in range(3)] == pytest.approx([3, 4, 5], abs=1e-5)
+    out = [*rows, (1, 20, "bound", 2, 1.0, None, None, 4.5, None, None, None, None)]
+    status = {r.problem_id: r for r in convex.problem_status(frame(rows).union(frame(out).withColumn("problem_id", F.lit(2).cast("long")))).collect()}
+    assert status[1].status == "solved" and status[1].objective == pytest.approx(5, abs=1e-5) and status[2].status == "infeasible" and status[2].objective is None
+    twice = [(3, k, "eq", 0, 1.0, 2.0, None, None, None, None, None, None) for k in (0, 1)]
+    assert convex.solve_problems(frame(twice)).first().value == pytest.approx(2)
+
+
 def test_levels(spark):
     given = spark.createDataFrame([(10, 0, "fixed", 0.0, None), (20, 1, "unknown", None, None), (30, 2, "prior", None, 2.0)], "level_id long, ord int, kind string, value double, mean double")
     orders = spark.createDataFrame([(10, 20, 0.5), (20, 30, 0.75)], "lower_id long, upper_id long, min_gap double")
@@ -157,6 +174,55 @@ def test_level_points(spark):
     assert [r.x for r in found] == pytest.approx([-2, 1]) and {r.kind for r in found} == {"crossing"}
 
 
+def drawn(spark, f, low, high, cells, method="squares", level=0.0):
+    nodes = levelsets.grid_nodes(spark, f, level, low, high, cells)
+    return levelsets.segments(nodes, levelsets.edge_crossings(nodes, f, level, diagonals=method == "simplices"), method)
+
+
 def test_saddle_cells(spark):
-    nodes = levelsets.grid_nodes(spark, lambda x: x[0] * x[1] + 0.2, 0.0, (-1.0, -1.0), (1.0, 1.0), (1, 1))
-    assert {frozenset((r.a, r.b)) for r in levelsets.segments(nodes).collect()} == {frozenset(("bottom", "right")), frozenset(("top", "left"))}
+    """The corners that share the decider's sign are connected, the positive ones where saddle and center are 0."""
+    for f in (lambda x: x[0] * x[1] + 0.2, lambda x: x[0] * x[1]):
+        got = drawn(spark, f, (-1.0, -1.0), (1.0, 1.0), (1, 1)).collect()
+        sides = lambda x, y: "bottom" if y == -1 else "top" if y == 1 else "left" if x == -1 else "right"
+        assert {frozenset((sides(r.ax, r.ay), sides(r.bx, r.by))) for r in got} == {frozenset(("bottom", "right")), frozenset(("top", "left"))}
+
+
+@pytest.mark.parametrize("method", ["squares", "simplices"])
+def test_lines_in_order(spark, method):
+    """An open line from side to side, a circle, and two circles at once; a line through nodes."""
+    made = levelsets.polylines(drawn(spark, lambda x: x[0] - 0.23, (-1.0, -1.0), (1.0, 1.0), (8, 8), method)).orderBy("seq").collect()
+    assert [r.seq for r in made] == list(range(len(made))) and not any(r.closed for r in made)
+    assert [r.y for r in made] == sorted((r.y for r in made), reverse=made[0].y > 0) and {round(r.x, 9) for r in made} == {0.23}
+    rings = lambda x: ((x[0] - 2) ** 2 + x[1] ** 2 - 0.81) * ((x[0] + 2) ** 2 + x[1] ** 2 - 0.5)
+    lines = levelsets.polylines(drawn(spark, rings, (-3.5, -1.5), (3.5, 1.5), (56, 24), method)).toPandas()
+    assert lines.line.nunique() == 2 and lines.closed.all()
+    for _, own in lines.sort_values("seq").groupby("line"):
+        assert own.seq.tolist() == list(range(len(own))) and own.vid.iloc[0] == own.vid.min() == own.line.iloc[0]
+        assert own.vid.iloc[1] < own.vid.iloc[-1]
+        step = np.hypot(np.diff(own.x, append=own.x.iloc[0]), np.diff(own.y, append=own.y.iloc[0]))
+        assert step.max() < 0.2
+    with pytest.raises(errors.InputError):
+        drawn(spark, lambda x: x[0], (-1.0, -1.0), (1.0, 1.0), (2, 2), method)
+    corner = levelsets.polylines(drawn(spark, lambda x: x[0] + x[1], (-1.0, -1.0), (1.0, 1.0), (2, 2))).orderBy("seq").collect()
+    assert [(r.x, r.y) for r in corner] in ([(-1, 1), (0, 0), (1, -1)], [(1, -1), (0, 0), (-1, 1)])
+    crossing = levelsets.line_summary(levelsets.polylines(drawn(spark, lambda x: x[0] - 0.23, (-1.0, -1.0), (1.0, 1.0), (8, 8), method))).first()
+    assert crossing.segments == crossing.vertices - 1
+
+
+def test_touching_points(spark):
+    f, slope = (lambda x: (x[0] - 0.3) ** 2 * (x[0] + 1.1)), (lambda x: 2 * (x[0] - 0.3) * (x[0] + 1.1) + (x[0] - 0.3) ** 2)
+    found = levelsets.level_points(spark, f, 0.0, -2.0, 2.0, 16, tolerance=1e-9, slope=slope, width=1e-4).orderBy("x").collect()
+    assert [(round(r.x, 4), r.kind) for r in found] == [(-1.1, "crossing"), (0.3, "stationary")]
+    ends = levelsets.level_points(spark, lambda x: x[0] ** 2 - 4.0, 0.0, -2.0, 2.0, 3).collect()
+    assert {r.kind for r in ends} == {"boundary"} and len(ends) == 2
+    with pytest.raises(errors.InputError):
+        levelsets.level_points(spark, f, 0.0, 1.0, 1.0, 4)
+
+
+def test_thickness_failures(spark):
+    rows = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, None), (3, 50.0)], "idx int, x double")
+    got = {r.idx: (r.thickness, r.failure) for r in levelsets.thickness(rows, ["x"], lambda x: x[0] ** 2, lambda x: [2 * x[0]], (0.25, 4.0), 5.0, 20).collect()}
+    assert got[0] == (None, "gradient") and got[2] == (None, None) and got[3] == (None, "not_found") and got[1][0] == pytest.approx(1.5)
+    rough = levelsets.thickness(rows.where("idx = 1"), ["x"], lambda x: x[0] ** 2, lambda x: [2 * x[0]], (0.26, 4.1), 5.0, 20, halvings=3).first()
+    assert rough.failure == "refinement_limit"
+    assert levelsets.thickness_report(rows.select(F.lit(None).cast("double").alias("thickness"), F.lit("gradient").alias("failure")), 1.0, [0.5]).first().q0 is None
