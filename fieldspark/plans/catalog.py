@@ -16,6 +16,7 @@ from fieldspark.functions import polynomials
 from fieldspark.functions.kernels import Anisotropy, Kernel, distance, jet
 from fieldspark.operators import constraints, convex, fields, functionals, levels, levelsets, neighbors, projects, ranking, selection, tensors, trends
 from fieldspark.plans import points as P
+from fieldspark.sessions import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -487,22 +488,18 @@ def sparse_stats(spark, sf):
     return neighbors.matrix_stats(places, neighbors.sparse_matrix(places, C4, 3)).withColumn("density", F.round("density", 6) + 0.0)
 
 
-@query("fit_wendland_isolated", f"SELECT idx, 0.0 AS miss FROM {GRID}")
+@query("fit_wendland_isolated", f"SELECT idx, {s6('y', 'w')} FROM {GRID}")
 def fit_wendland_isolated(spark, sf):
     """With a support of one spacing no center reaches another: the weights are the values."""
-    places = P.grid(spark, sf)
-    return neighbors.fit_sparse(places, Kernel("wendland_c2", 1.0), 3).join(places, "idx").select("idx", r6(F.abs(F.col("w") - F.col("y")), "miss"))
+    return neighbors.fit_sparse(P.grid(spark, sf), Kernel("wendland_c2", 1.0), 3).select("idx", r6(F.col("w"), "w"))
 
 
-@query("fit_wendland_residual", f"SELECT idx, 0.0 AS miss FROM {GRID}")
+@query("fit_wendland_residual", f"SELECT idx, {s6('y', 'f')} FROM {GRID}")
 def fit_wendland_residual(spark, sf):
     """A sparse fit by conjugate gradients takes the given values at its centers."""
-    from fieldspark.sessions import checkpointed
-
     places = checkpointed(P.grid(spark, sf))
     kernel = Kernel("wendland_c4", 1.2)
-    made = neighbors.evaluate_sparse(places, places, neighbors.fit_sparse(places, kernel, 3), kernel, 3)
-    return made.join(places, "idx").select("idx", r6(F.abs(F.col("f") - F.col("y")), "miss"))
+    return neighbors.evaluate_sparse(places, places, neighbors.fit_sparse(places, kernel, 3), kernel, 3).select("idx", r6(F.col("f"), "f"))
 
 
 @query("eval_local_counts", f"SELECT a.idx AS idx, count(b.idx) AS visited FROM {SUPPLIERS} a LEFT JOIN {CUSTOMERS} b ON (a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 < 0.25 GROUP BY 1")
@@ -672,22 +669,24 @@ def direction_jumps(spark, sf):
 # -- selection and tuning
 
 
-@query("select_user", "SELECT * FROM (VALUES (0, 7), (1, 3), (2, 11)) t(nth, idx)")
+@query("select_user", "SELECT CAST(nth AS INTEGER) AS nth, idx FROM (SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS nth, s_suppkey AS idx FROM supplier) WHERE nth < 3")
 def select_user(spark, sf):
-    return selection.select_user(P.pts1(spark, sf), [7, 3, 11])
+    """The three richest suppliers, in that order."""
+    rich = P.table(spark, sf, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(3).collect()
+    return selection.select_user(P.suppliers(spark, sf), [r["s_suppkey"] for r in rich])
 
 
-#: Twelve farthest points, one after another: the least distance to those before, the largest of it, ties by idx. The ties by
+#: Eight farthest points, one after another: the least distance to those before, the largest of it, ties by idx. The ties by
 #: a seeded hash that the operator has do not occur where distances differ.
 @query(
     "select_farthest",
     f"WITH RECURSIVE s AS MATERIALIZED (SELECT idx, x0, x1 FROM {SUPPLIERS}), r(nth, idx, distance, taken) AS ("
     "SELECT 0, idx, CAST(0 AS DOUBLE), [idx] FROM (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS k, count(*) OVER () AS n FROM s) WHERE k = 5 % n UNION ALL "
-    "SELECT nth + 1, best.idx, best.d, list_append(taken, best.idx) FROM (SELECT r.nth, r.taken, (SELECT max_by({'idx': c.idx, 'd': c.d}, c.d) FROM (SELECT a.idx, min(sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2)) AS d FROM s a JOIN s b ON list_contains(r.taken, b.idx) WHERE NOT list_contains(r.taken, a.idx) GROUP BY a.idx) c) AS best FROM r WHERE r.nth < 11)) "
+    "SELECT nth + 1, best.idx, best.d, list_append(taken, best.idx) FROM (SELECT r.nth, r.taken, (SELECT max_by({'idx': c.idx, 'd': c.d}, c.d) FROM (SELECT a.idx, min(sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2)) AS d FROM s a JOIN s b ON list_contains(r.taken, b.idx) WHERE NOT list_contains(r.taken, a.idx) GROUP BY a.idx) c) AS best FROM r WHERE r.nth < 7)) "
     f"SELECT nth, idx, {s6('distance', 'distance')} FROM r",
 )
 def select_farthest(spark, sf):
-    return selection.select_farthest(P.suppliers(spark, sf), 2, 12, seed=5).select("nth", "idx", r6(F.col("distance"), "distance"))
+    return selection.select_farthest(P.suppliers(spark, sf), 2, 8, seed=5).select("nth", "idx", r6(F.col("distance"), "distance"))
 
 
 @query("select_all", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS nth, s_suppkey AS idx FROM supplier")
@@ -782,7 +781,7 @@ def tune_cv(spark, sf):
     return selection.cv_scores(_evidence(spark, sf)).select("cand", r6(F.col("score"), "score"))
 
 
-@query("tune_select", "SELECT 2 AS cand, 0.0 AS score, 1 AS ties")
+@query("tune_select", f"WITH s AS (SELECT cand, sum(e) / sum(w) AS score FROM ({_EVIDENCE}) GROUP BY 1) SELECT min_by(cand, score) AS cand, {s6('min(score)', 'score')}, CAST(count(*) FILTER (score = (SELECT min(score) FROM s)) AS BIGINT) AS ties FROM s")
 def tune_select(spark, sf):
     return selection.select_minimum(selection.cv_scores(_evidence(spark, sf)), 7).select("cand", r6(F.col("score"), "score"), "ties")
 
@@ -1267,12 +1266,12 @@ def convex_soc_solver(spark, sf):
     return convex.solve_problems(rows).select("problem_id", "var", (F.round("value", 3) + 0.0).alias("value"))
 
 
-@query("convex_soft_bounds", f"SELECT CAST(k AS BIGINT) AS problem_id, round((m + least(greatest(m, 2 + k * 0.1), 3 + k * 0.1)) / 2, 4) + 0.0 AS value FROM {_MEANS}")
+@query("convex_soft_bounds", f"SELECT CAST(k AS BIGINT) AS problem_id, round((m + least(greatest(m, 2 + k * 0.1), 3 + k * 0.1)) / 1.994, 4) + 0.0 AS value FROM {_MEANS}")
 def convex_soft_bounds(spark, sf):
     """Between a target and an interval, both with squared loss: halfway from the target to the interval."""
     m, k = F.col("m"), F.col("problem_id")
     rows = _entries(_means(spark, sf), _entry(0, "soft", 0, m), _entry(1, "soft", 0, None, 2 + k * 0.1, 3 + k * 0.1))
-    return convex.solve_problems(rows).select("problem_id", (F.round("value", 4) + 0.0).alias("value"))
+    return convex.solve_problems(rows).select("problem_id", (F.round(F.col("value") / 0.997, 4) + 0.0).alias("value"))  # no ties in rounding
 
 
 @query("convex_status", f"SELECT CAST(k AS BIGINT) AS problem_id, CASE WHEN k % 3 = 0 THEN 'infeasible' ELSE 'solved' END AS status, CASE WHEN k % 3 <> 0 THEN round(greatest(m - 5 - k * 0.01, 0), 4) + 0.0 END AS objective FROM {_MEANS}")
