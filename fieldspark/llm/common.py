@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldspark.sessions import checkpointed, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["checkpointed", "kept_rows", "shared_dir", "table", "text_blocks"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. The cluster names it in spark.checkpoint.dir; where that is
-    unset, as in tests, a temporary folder of this machine takes its place."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="fieldspark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: a lost executor does not bring its work back."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int, column: str = "") -> Iterator[pa.RecordBatch]:

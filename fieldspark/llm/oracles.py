@@ -44,6 +44,8 @@ known AS (
     SELECT doc_id, 'paragraph' AS kind, unnest(range(len(parts))) AS position, unnest(parts) AS segment
     FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS parts FROM documents WHERE text IS NOT NULL)
   ) WHERE contains(trim(segment, chr(10) || ' ' || chr(9) || chr(13)), chr(10))
+  UNION ALL
+  SELECT doc_id, 'text', 0, text FROM documents WHERE len(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) > 1
 ), plain AS (
   SELECT row_number() OVER () AS id, doc_id, kind, position, string_split({_PLAIN.format("segment")}, ' ') AS words
   FROM segments WHERE {_PLAIN.format("segment")} <> ''

@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
@@ -30,28 +31,34 @@ SHARDS = 24
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict and rule for every page's url."""
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.OrdinalModel:
+    """The model that the labels of the documents give."""
     return toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade, expected severity and probability of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item found in it."""
     docs = table(spark, sf_dir, "documents")
     return decontamination.contaminated(docs, decontamination.prepare(docs, table(spark, sf_dir, "benchmark")))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of a document that is similar to a licence or notice."""
     return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates_table(spark))
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by language, source and length along a Hilbert curve."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -64,6 +71,7 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     decoded = byte_bpe.decode_documents(byte_bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
     return decoded.select(
@@ -75,6 +83,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     said = language_id.identify(docs, model)
@@ -82,11 +91,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document."""
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's payload, stored as an image in an archive and read back."""
     stored = media.media_columns(table(spark, sf_dir, "documents"))
     return stored.select(
         "doc_id",

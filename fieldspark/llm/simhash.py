@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import checkpointed, text_blocks
-from fieldspark.llm.components import components
+from fieldspark.operators.graphs import components
 
 LINK_BITS = 4
 SEED = 42
@@ -260,7 +260,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most: int = LINK_BITS) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one document of each group is kept: its first. Rows that repeat
-    an id and its text are one document, of which one row stays."""
+    an id and its text are one document, of which one row stays. Null and empty texts and those without a word have one
+    fingerprint, 0, and are one group; of equal ids the smallest digest is first. Very long texts count whole; columns may
+    have any names; an empty table stays empty."""
     grouped = checkpointed(simhash_groups(docs, id_col, text_col, words, most))
     first = F.col("id").eqNullSafe(F.col("first.id")) & F.col("digest").eqNullSafe(F.col("first.digest"))
 

@@ -118,7 +118,8 @@ def plain_scan(rows, threshold=license_scan.THRESHOLD):
     for doc_id, text in rows:
         lines = [("line", k, s) for k, s in enumerate((text or "").split("\n"))]
         paragraphs = [("paragraph", k, s) for k, s in enumerate(re.split(r"\n[ \t\r]*\n", text or "")) if "\n" in s.strip("\n \t\r")]
-        for kind, position, segment in lines + paragraphs:
+        whole = [("text", 0, text)] if len(re.split(r"\n[ \t\r]*\n", text or "")) > 1 else []
+        for kind, position, segment in lines + paragraphs + whole:
             mine = grams(segment)
             dice, before, name = max((2 * len(mine & g) / (len(mine) + len(g)), -nth, name) for nth, name, g in known)
             if dice >= threshold:
@@ -142,6 +143,19 @@ def test_scan_of_the_tables_needs_no_bound(spark):
     assert Counter(map(tuple, license_scan.scan(docs, license_scan.templates_table(spark)).collect())) == Counter(plain_scan(map(tuple, docs.collect())))
 
 
+def test_whole_licences_and_their_paragraphs(spark):
+    texts = {name: "\n\n".join(p.replace(", ", ",\n") for p in paragraphs) for name, paragraphs in license_scan.WHOLE}
+    prose = "\n".join(f"w{i} x{i * 7}" for i in range(900)) + "\n\n"
+    rows = list(enumerate(f"Copyright (c) 2024 someone\n\n{t}" for t in texts.values())) + [(100 + k, prose + t) for k, t in enumerate(texts.values())]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.templates_table(spark)).collect()
+    for k, name in enumerate(texts):
+        assert [r.license for r in got if r.doc_id == k and r.kind == "text"] == [name]
+        own = [r for r in got if r.doc_id == 100 + k and r.kind != "text"]
+        assert len(own) >= len(dict(license_scan.WHOLE)[name]) - 1 and not [r for r in got if r.doc_id == 100 + k and r.kind == "text"]
+    assert Counter(map(tuple, got)) == Counter(plain_scan(rows))
+    assert len({text for _, text in license_scan.TEMPLATES}) == len(license_scan.TEMPLATES)
+
+
 def test_scan_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert license_scan.scan(empty, license_scan.templates_table(spark)).collect() == []
