@@ -13,28 +13,34 @@ from fieldspark.llm.common import shared_dir, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model holds for toxic go."""
+    """Documents that the ordinal model holds for toxic, P(grade > 0) > 1/2, go. Null and empty texts and those without a
+    letter stay; repeated rows stay or go alike; labels of null ids, or of none of the documents, are not used; without
+    labels all stay. All columns, of any names, are kept as they are."""
     return toxicity.keep_clean(docs, registry.toxicity_model(spark, docs, sf_dir))
 
 
 def reject_other_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those that are certainly in another language than the one they state."""
+    """Documents without letters, null and empty texts among them, go, and those that are certainly in another language than
+    the one they state. A null or unknown stated language is no reason to go; without any stated language only texts
+    without a letter go. Repeated rows stay or go alike; all columns are kept."""
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.keep_identified(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest id, null ids last. A row that repeats an
+    id and its text goes; texts without a word are one group. All columns are kept."""
     return simhash.simhash_dedup(docs, words=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item, copied or paraphrased, go."""
+    """Documents with a benchmark item, copied or paraphrased, go. Null and empty texts stay; repeated rows stay or go alike;
+    without items all stay. All columns are kept."""
     return decontamination.keep_uncontaminated(docs, decontamination.prepare(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the token ids of every document that is left."""
+    """doc_id and the token ids of every document that is left: none for a null or empty text, a row for each repeated row."""
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
