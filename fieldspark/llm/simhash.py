@@ -15,6 +15,15 @@ Two fingerprints link if at most ``LINK_BITS`` = 4 bits differ. Finding all link
   bucket are passed on, never all its pairs.
 
 Equal fingerprints are one class before anything else happens, so copies cost one shuffled row each.
+
+Fingerprints of texts whose sets of shingles have a Jaccard similarity of 0.8 differ in some ten bits: too many for these
+anchors. Where a similarity is asked for, a second view therefore proposes pairs of different texts, which are then
+checked on their whole sets of shingles:
+
+* Minima of the shingles' hashes under ``BANDS * BAND_ROWS`` multipliers, ``BAND_ROWS`` to a bucket. Texts of similarity
+  0.8 share one of the buckets with probability 1 - (1 - 0.8^6)^16 = 0.992.
+* Four bits of each minimum are the text's sketch. Within a bucket, pairs whose sketches rule the similarity out are
+  dropped; those that certainly have it are linked as a spanning forest; all others between are checked.
 """
 
 from __future__ import annotations
@@ -39,6 +48,11 @@ VIEWS = ((0, 23, 1, (8, 8, 8, 8, 9)), (23, 23, 1, (8, 8, 8, 8, 9)), (46, 18, 0,
 #: Fixed value: the generator polynomial of the binary Golay code of length 23, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY_POLYNOMIAL = 0b101011100011
 SMALL_RUN = 32
+BANDS, BAND_ROWS, SKETCH_WORDS = 16, 6, 6  # 96 minima; 16 of 4 bits to a word of the sketch
+MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
+NIBBLES = np.uint64(0x1111111111111111)
+#: Standard deviations of a sketch's differences beyond which a pair is not, or is certainly, as similar as asked.
+MAYBE, CERTAIN = 2.2, 2.6
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------------
@@ -54,33 +68,70 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The 64-bit SimHash of a text; 0 for a null text or one without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of a text's word shingles in order, repeats included; none for a null text or one without words."""
     parts = (text or "").encode().lower().split()  # bytes: only A-Z and the six ASCII spaces
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     size = min(words, len(parts))
     starts = [0, *accumulate(len(p) + 1 for p in parts)]
     xxh64 = xxhash.xxh64_intdigest
-    hashes = np.fromiter((xxh64(joined[a : b - 1], SEED) for a, b in zip(starts, starts[size:])), np.uint64)
-    counts = _bit_counts(hashes)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.fromiter((xxh64(joined[a : b - 1], SEED) for a, b in zip(starts, starts[size:])), np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    return int(np.packbits(_bit_counts(hashes) * 2 > len(hashes), bitorder="little").view(np.uint64)[0]) if len(hashes) else 0
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The 64-bit SimHash of a text; 0 for a null text or one without words."""
+    return _majority(shingle_hashes(text, words))
+
+
+def minima(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS bucket keys and SKETCH_WORDS words of 16 four-bit marks, of the least products of a set of hashes."""
+    low = np.full(len(MULTIPLIERS), ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[at : at + 2048, None] * MULTIPLIERS).min(0))
+    buckets = MULTIPLIERS[:BANDS].copy()
+    for column in low.reshape(BANDS, BAND_ROWS).T:
+        buckets = (buckets ^ column ^ (buckets >> np.uint64(29))) * MULTIPLIERS[BANDS]
+    marks = (low * MULTIPLIERS[-1] >> np.uint64(60)).reshape(SKETCH_WORDS, 16)
+    return buckets, np.bitwise_or.reduce(marks << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+
 
+SKETCHED = ", ".join(["size long", *(f"s{k} long" for k in range(SKETCH_WORDS))])
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, digest (Spark's xxhash64 of the text, null for null), fp (the fingerprint's bits as a long) of each row."""
+
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, sketched: bool = False) -> DataFrame:
+    """id, digest (Spark's xxhash64 of the text, null for null), fp (the fingerprint's bits as a long) of each row; if
+    sketched, also size (number of different shingles), s0 to s5 (the sketch) and buckets."""
+    names = ["id", "digest", "fp", *((c.split()[0] for c in SKETCHED.split(", ")) if sketched else ()), *(["buckets"] if sketched else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_blocks(batches, 8 << 20):
             texts = rows.column(1).to_pylist()
-            prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
             digests = np.array([xxhash.xxh64_intdigest(t or "", SEED) for t in texts], np.uint64).view(np.int64)
             digests = pa.array(digests, mask=np.array([t is None for t in texts], bool))
-            yield pa.RecordBatch.from_arrays([rows.column(0), digests, pa.array(prints)], ["id", "digest", "fp"])
+            prints, sizes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+            buckets, sketches = np.zeros((len(texts), BANDS), np.uint64), np.zeros((len(texts), SKETCH_WORDS), np.uint64)
+            for k, t in enumerate(texts):
+                hashes = shingle_hashes(t, words)
+                prints[k] = _majority(hashes)
+                if sketched and len(hashes):
+                    different = np.unique(hashes)
+                    sizes[k] = len(different)
+                    buckets[k], sketches[k] = minima(different)
+            columns = [rows.column(0), digests, pa.array(prints.view(np.int64))]
+            if sketched:
+                offsets = np.arange(0, buckets.size + 1, BANDS, dtype=np.int32)
+                keys = pa.ListArray.from_arrays(offsets, pa.array(buckets.ravel().view(np.int64)))
+                columns += [pa.array(sizes), *(pa.array(c.copy().view(np.int64)) for c in sketches.T), keys]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, digest long, fp long")
+    return chosen.mapInArrow(run, "id long, digest long, fp long" + (f", {SKETCHED}, buckets array<long>" if sketched else ""))
 
 
 # -- anchors ---------------------------------------------------------------------------------------------------------
@@ -232,20 +283,148 @@ def links(prints: DataFrame, most: int = LINK_BITS) -> DataFrame:
     return sorted_.mapInArrow(_compare(most), "a long, b long").distinct()
 
 
+# -- similar texts beyond the fingerprints' reach ----------------------------------------------------------------------
+
+
+def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many marks sketches (last axis: their words) differ."""
+    x = a ^ b
+    x = x | x >> np.uint64(1)
+    return np.bitwise_count((x | x >> np.uint64(2)) & NIBBLES).sum(-1, dtype=np.int64)
+
+
+def bucket_candidates(keys: np.ndarray, rows: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs to check among rows (digest, fingerprint, size, sketch) sorted by key: all pairs of a bucket that
+    may be as similar as asked, but for those within ``most`` bits, which are linked anyway, and for those of a large
+    bucket that others certainly connect."""
+    differing = (1 - similarity) * 15 / 16
+    mean, deviation = len(MULTIPLIERS) * differing, (len(MULTIPLIERS) * differing * (1 - differing)) ** 0.5
+    prints, sizes, sketches = rows[:, 1], rows[:, 2].astype(np.float64), rows[:, 3:]
+
+    def judge(a, b) -> tuple[np.ndarray, np.ndarray]:
+        linked = np.bitwise_count(prints[a] ^ prints[b]) <= most
+        differ = _differences(sketches[a], sketches[b])
+        ratio = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
+        maybe = ~linked & ratio & (differ <= mean + MAYBE * deviation)
+        return maybe, linked | maybe & (differ <= mean - CERTAIN * deviation)
+
+    edge = np.flatnonzero(np.diff(keys)) + 1
+    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
+    large = ends - starts > SMALL_RUN
+    left_places, right_places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s, e in zip(starts[large], ends[large]):
+        left = np.arange(s, e)
+        while len(left):
+            frontier, left = [left[0]], left[1:]
+            while frontier and len(left):
+                one = frontier.pop()
+                maybe, sure = judge(one, left)
+                left_places.append(np.full(maybe.sum(), one))
+                right_places.append(left[maybe])
+                frontier.extend(left[sure])
+                left = left[~sure]
+    at = np.flatnonzero(np.repeat(~large, ends - starts))
+    for step in range(1, SMALL_RUN):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        if not len(at):
+            break
+        maybe, _ = judge(at, at + step)
+        left_places.append(at[maybe])
+        right_places.append(at[maybe] + step)
+    return np.concatenate(left_places), np.concatenate(right_places)
+
+
+def _candidates(similarity: float, most: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, rows = np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
+            a, b = bucket_candidates(keys, rows, similarity, most)
+            pairs = np.concatenate([rows[a, :2], rows[b, :2]], axis=1).view(np.int64)
+            pairs = np.unique(np.where((pairs[:, :1] < pairs[:, 2:3]), pairs, pairs[:, [2, 3, 0, 1]]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in pairs.T], ["a", "fp_a", "b", "fp_b"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            rows = np.stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)], axis=1).view(np.uint64)
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+            if cut or (held and held[-1][0][-1] != keys[0]):
+                yield emit([*held, (keys[:cut], rows[:cut])])
+                held = []
+            held.append((keys[cut:], rows[cut:]))
+        if held:
+            yield emit(held)
+
+    return run
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_blocks(batches, 4 << 20):
+            sets = [np.unique(shingle_hashes(t, words)) for t in rows.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists], ["digest", "hashes"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep = np.zeros(rows.num_rows, bool)
+            for k, (a, b) in enumerate(zip(rows.column(2), rows.column(3))):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep[k] = shared / (len(a) + len(b) - shared) >= similarity
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float, most: int) -> DataFrame:
+    """a, b: fingerprints of different texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more,
+    apart from those that ``links`` connects. ``rows`` are the sketched fingerprints of ``docs``. Only texts of some
+    pair move, as their sets of hashes, once for each partner."""
+    sketch = [c.split()[0] for c in SKETCHED.split(", ")]
+    values = [F.first(c).alias(c) for c in ("fp", *sketch, "buckets")]  # the same in all rows of a digest
+    texts = rows.where("size > 0").groupBy("digest").agg(*values)
+    spread = texts.select(F.explode("buckets").alias("bucket"), "digest", "fp", *sketch)
+    session = docs.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = spread.repartition(n, "bucket").sortWithinPartitions("bucket")
+    pairs = checkpointed(sorted_.mapInArrow(_candidates(similarity, most), "a long, fp_a long, b long, fp_b long").distinct())
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("paired")).distinct()
+    text = F.col(text_col).cast("string")
+    met = docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).where("text is not null")
+    met = met.join(paired, met.digest == paired.paired, "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    sets = checkpointed(met.mapInArrow(_shingle_sets(words), "digest long, hashes array<long>"))
+    left, right = (sets.select(F.col("digest").alias(f"of_{x}"), F.col("hashes").alias(f"set_{x}")) for x in "ab")
+    both = pairs.join(left, pairs.a == left.of_a).join(right, pairs.b == right.of_b).select("fp_a", "fp_b", "set_a", "set_b")
+    return both.mapInArrow(_alike(similarity), "a long, b long").distinct()
+
+
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = LINK_BITS) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = LINK_BITS, similarity: float | None = None) -> DataFrame:
     """id, digest, fp, first: every row's fingerprint and the first row (struct of no_id, id, digest) of its group.
 
-    A group is what links of at most ``most`` differing bits connect; its first row has the smallest id, null after
+    A group is what links of at most ``most`` differing bits connect, and, where a similarity is given, links between
+    texts of at least that Jaccard similarity of their sets of shingles; its first row has the smallest id, null after
     all others, then the smallest digest. A null text counts as an empty one: both have fingerprint 0 and link with
     whatever is near 0. Rows without an id keep a null id. An empty table gives no rows; other columns are not read.
     """
-    rows = checkpointed(with_fingerprints(docs, id_col, text_col, words))
+    rows = checkpointed(with_fingerprints(docs, id_col, text_col, words, sketched=similarity is not None))
     own = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest"))
     prints = checkpointed(rows.groupBy("fp").agg(own.alias("own")))
-    roots = components(links(prints.select("fp"), most))
+    found = links(prints.select("fp"), most)
+    if similarity is not None:
+        found = found.union(similar_links(docs, rows, text_col, words, similarity, most))
+    roots = components(found)
     grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     firsts = grouped.groupBy("root").agg(F.min("own").alias("first"))
     named = grouped.join(firsts, "root").select(F.col("fp").alias("print"), "first")
@@ -258,12 +437,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return grouped.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most: int = LINK_BITS) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most: int = LINK_BITS, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one document of each group is kept: its first. Rows that repeat
     an id and its text are one document, of which one row stays. Null and empty texts and those without a word have one
     fingerprint, 0, and are one group; of equal ids the smallest digest is first. Very long texts count whole; columns may
     have any names; an empty table stays empty."""
-    grouped = checkpointed(simhash_groups(docs, id_col, text_col, words, most))
+    grouped = checkpointed(simhash_groups(docs, id_col, text_col, words, most, similarity))
     first = F.col("id").eqNullSafe(F.col("first.id")) & F.col("digest").eqNullSafe(F.col("first.digest"))
 
     def key(id_: Column, digest: Column) -> Column:

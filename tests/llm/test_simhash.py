@@ -129,3 +129,70 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(empty).collect() == []
     assert simhash.simhash_dedup(empty).collect() == []
+
+
+def plain_similar_groups(rows, words=5, similarity=0.8):
+    """First id of each row's group, by all pairs of fingerprints and of sets of shingles."""
+    def shingles(text):
+        parts = WORD.findall((text or "").lower())
+        return {" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)} or ({" ".join(parts)} if parts else set())
+
+    prints, sets = [plain_fingerprint(t, words) for _, t in rows], [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity
+            if alike or (prints[i] ^ prints[j]).bit_count() <= 4:
+                parent[root(j)] = root(i)
+    firsts = {}
+    for k, (i, _) in enumerate(rows):
+        firsts[root(k)] = min(firsts.get(root(k), i), i)
+    return {i: firsts[root(k)] for k, (i, _) in enumerate(rows)}
+
+
+def copies(seed, bases, length, changes):
+    """Texts of which each base comes with copies that have some words replaced."""
+    rng = random.Random(seed)
+    made = []
+    for b in range(bases):
+        base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+        made.append(" ".join(base))
+        for n in changes:
+            other = list(base)
+            for at in rng.sample(range(length), n):
+                other[at] = f"x{rng.randrange(10**6)}"
+            made.append(" ".join(other))
+    return list(enumerate(made))
+
+
+def test_groups_by_similarity_match_brute_force(spark):
+    rows = copies(3, 60, 150, (1, 2, 3, 3, 4, 6, 9))
+    rows += [(5001, None), (5000, ""), (5002, " \t"), (5003, "two words"), (5004, "Two  WORDS"), (5005, "two other"), (5006, "a " * 4000), (5007, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("size", F.lit(1))
+    wanted = plain_similar_groups(rows)
+    got = {r.id: r.first.id for r in simhash.simhash_groups(docs, words=5, similarity=0.8).collect()}
+    assert all(wanted[i] == wanted[first] for i, first in got.items())  # nothing that is not similar
+    near = [i for i, first in wanted.items() if first != i]
+    assert sum(got[i] == wanted[i] for i in near) >= 0.97 * len(near)
+    by_bits = {r.id: r.first.id for r in simhash.simhash_groups(docs, words=5).collect()}
+    assert sum(by_bits[i] == wanted[i] for i in near) < 0.9 * len(near)
+    kept = {r.doc_id for r in simhash.simhash_dedup(docs).select("doc_id").collect()}
+    assert kept == {first for first in got.values()}
+
+
+def test_one_large_group_of_different_near_copies(spark):
+    rows = copies(4, 1, 200, [2 + k % 6 for k in range(400)])
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()
+    wanted = plain_similar_groups(rows)
+    assert sum(r.first.id == wanted[r.id] for r in got) >= 0.97 * len(rows)
+
+
+def test_similarity_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.simhash_groups(empty, words=5, similarity=0.8).collect() == []
