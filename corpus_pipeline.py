@@ -28,7 +28,8 @@ def reject_other_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id, null ids last. A row that repeats an
+    """One document of each group of near duplicates (fingerprints within four bits, or five-word shingles of similarity 0.8 or
+    more) stays, the one with the smallest id, null ids last. A row that repeats an
     id and its text goes; texts without a word are one group. All columns are kept."""
     return simhash.simhash_dedup(docs, words=5)
 
