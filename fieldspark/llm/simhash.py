@@ -388,7 +388,8 @@ def _alike(similarity: float):
 def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float, most: int) -> DataFrame:
     """a, b: fingerprints of different texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more,
     apart from those that ``links`` connects. ``rows`` are the sketched fingerprints of ``docs``. Only texts of some
-    pair move, as their sets of hashes, once for each partner."""
+    pair are made into sets of hashes, which move once for each partner; to find them, the texts of all documents are
+    shuffled by digest once, unless the digests of pairs are few enough for Spark to broadcast."""
     sketch = [c.split()[0] for c in SKETCHED.split(", ")]
     values = [F.first(c).alias(c) for c in ("fp", *sketch, "buckets")]  # the same in all rows of a digest
     texts = rows.where("size > 0").groupBy("digest").agg(*values)
