@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import byte_bpe, decontamination, language_id, license_scan, media, oracles, sharding, simhash, token_counts, toxicity, url_filter
+from fieldspark.llm import byte_bpe, decontamination, language_id, license_scan, media, oracles, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from fieldspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,15 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and spans of every document that repeat a string of 50 bytes of an earlier one, and a digest of the rest."""
+    docs = table(spark, sf_dir, "documents")
+    rows = suffix_dedup.text_rows(docs)
+    found = suffix_dedup.repeats(docs, rows).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    kept = F.when(F.col("copied"), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest"))))
+    return suffix_dedup.for_documents(rows, found).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -122,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_media_columns": op10_media_columns,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
