@@ -59,3 +59,43 @@ known AS (
 )
 SELECT doc_id, kind, position, license, nth AS template, dice FROM ranked WHERE place = 1 AND dice >= {license_scan.THRESHOLD}
 """
+
+OP12_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^ \t]+') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS part FROM documents
+  )
+), placed AS (
+  SELECT piece, lang, unnest(words) AS w, unnest(range(len(words))) AS place FROM pieces
+), runs AS (
+  SELECT lang, w AS w1, lead(w) OVER ahead AS w2, lead(w, 2) OVER ahead AS w3 FROM placed WINDOW ahead AS (PARTITION BY piece ORDER BY place)
+), words AS (
+  SELECT lang, w1 AS w, count(*) AS f FROM runs GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM words GROUP BY lang
+), pairs AS (
+  SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), triples AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM triples UNION ALL SELECT lang, w2, w3, f FROM triples) GROUP BY ALL
+), cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, 1 AS k, p.f AS a, x.f AS l, y.f AS r
+  FROM pairs p JOIN words x ON (p.lang = x.lang AND p.w1 = x.w) JOIN words y ON (p.lang = y.lang AND p.w2 = y.w)
+  LEFT JOIN longer g ON (p.lang = g.lang AND p.w1 = g.w1 AND p.w2 = g.w2) WHERE g.f IS NULL OR 100 * g.f < 50 * p.f
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.f, x.f, y.f
+  FROM triples t JOIN words x ON (t.lang = x.lang AND t.w1 = x.w) JOIN pairs y ON (t.lang = y.lang AND t.w2 = y.w1 AND t.w3 = y.w2)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.f, x.f, y.f
+  FROM triples t JOIN pairs x ON (t.lang = x.lang AND t.w1 = x.w1 AND t.w2 = x.w2) JOIN words y ON (t.lang = y.lang AND t.w3 = y.w)
+), scored AS (
+  SELECT *, ((a::HUGEINT * a * 1000000) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE nth = 1
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
