@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import byte_bpe, collocations, decontamination, language_id, license_scan, media, oracles, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from fieldspark.llm import byte_bpe, collocations, decontamination, divergence, language_id, license_scan, media, oracles, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from fieldspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source's terms differ from every other source of its language, and which terms it favours."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of two and three words of every language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -136,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_media_columns": op10_media_columns,
+    "op11_source_divergence": op11_source_divergence,
     "op12_collocations": op12_collocations,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
@@ -143,5 +149,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": oracles.OP1_URL_FILTER,
     "op4_license_scan": oracles.OP4_LICENSE_SCAN,
+    "op11_source_divergence": oracles.OP11_SOURCE_DIVERGENCE,
     "op12_collocations": oracles.OP12_COLLOCATIONS,
 }
