@@ -283,6 +283,8 @@ def _spread(shared: Broadcast, words_of: Broadcast | None, size: int, parts: int
         salt = TaskContext.get().partitionId() % salts
         held, total = [], 0
         for (lang,), texts in slices(batches, 1):
+            if lang not in numbered.langs:
+                continue  # none of its words is frequent
             slice_, at, left, right = _phrases(numbered, previous, lang, texts, ranks)
             plain = (left >= 0) & (right >= 0)
             if strings:

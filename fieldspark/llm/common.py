@@ -7,10 +7,16 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 from fieldspark.sessions import checkpointed, shared_dir
 
-__all__ = ["checkpointed", "kept_rows", "shared_dir", "table", "text_blocks"]
+__all__ = ["checkpointed", "kept_rows", "quoted", "shared_dir", "table", "text_blocks"]
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,4 +47,7 @@ def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], l
         for rows in text_blocks(batches, max_bytes, text_col):
             yield rows.filter(pa.array(keep(rows), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # mapInArrow would read dots in names as paths
+    schema = StructType([StructField(name, field.dataType, field.nullable) for name, field in zip(plain, docs.schema)])
+    text_col = plain[docs.columns.index(text_col)]
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import checkpointed, text_blocks
+from fieldspark.llm.common import checkpointed, quoted, text_blocks
 from fieldspark.operators.graphs import components
 
 LINK_BITS = 4
@@ -451,9 +451,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     gone = grouped.where(~first).select(key(F.col("id"), F.col("digest")).alias("gone_key")).distinct()
     repeated = grouped.where(first).groupBy("id", "digest").count().where("count > 1").limit(1).count() > 0
-    text = docs[text_col].cast("string")
-    mine = key(docs[id_col].cast("long"), F.when(text.isNotNull(), F.xxhash64(text)))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mine.alias("row_key"))
+    text = docs[quoted(text_col)].cast("string")
+    mine = key(docs[quoted(id_col)].cast("long"), F.when(text.isNotNull(), F.xxhash64(text)))
+    keyed = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), mine.alias("row_key"))
     kept = keyed.join(gone, keyed.row_key == gone.gone_key, "left_anti")
     if repeated:
         kept = kept.dropDuplicates(["row_key"])

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import checkpointed, text_blocks
+from fieldspark.llm.common import checkpointed, quoted, text_blocks
 
 LENGTH = 50
 GRAM = 24
@@ -486,8 +486,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = text_rows(docs, id_col, text_col)
     found = for_documents(rows, repeats(docs, rows, text_col, length), length).select("id", "digest", "copied", "kept").distinct()
-    text = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"), text.alias("text"), docs[id_col].cast("long").alias("key"))
+    text = F.coalesce(docs[quoted(text_col)].cast("string"), F.lit("")).cast("binary")
+    keyed = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns if c != text_col]).alias("row"), text.alias("text"), docs[quoted(id_col)].cast("long").alias("key"))
     met = keyed.withColumn("sha", F.unhex(F.sha2("text", 256))).join(found, (F.col("sha") == F.col("digest")) & F.col("key").eqNullSafe(F.col("id")))
-    left = F.when(F.col("copied"), F.lit(b"")).otherwise(F.coalesce("kept", "text"))
-    return met.select("row.*", left.alias(text_col))
+    kept = F.when(F.col("copied"), F.lit(b"")).otherwise(F.coalesce("kept", "text"))
+    return met.select("row.*", kept.alias(text_col)).select(*map(quoted, docs.columns))
