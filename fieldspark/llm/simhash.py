@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import checkpointed, quoted, text_blocks
+from fieldspark.llm.vocabulary import hash_filter, in_filter
 from fieldspark.operators.graphs import components
 
 LINK_BITS = 4
@@ -52,7 +53,7 @@ BANDS, BAND_ROWS, SKETCH_WORDS = 16, 6, 6  # 96 minima; 16 of 4 bits to a word o
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
 NIBBLES = np.uint64(0x1111111111111111)
 #: Standard deviations of a sketch's differences beyond which a pair is not, or is certainly, as similar as asked.
-MAYBE, CERTAIN = 2.2, 2.6
+MAYBE, CERTAIN = 3.0, 2.6
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------------
@@ -361,6 +362,14 @@ def _candidates(similarity: float, most: int):
     return run
 
 
+def _maybe_paired(bits):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield rows.filter(pa.array(in_filter(bits.value, rows.column(0).to_numpy().view(np.uint64))))
+
+    return run
+
+
 def _shingle_sets(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_blocks(batches, 4 << 20):
@@ -388,8 +397,8 @@ def _alike(similarity: float):
 def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float, most: int) -> DataFrame:
     """a, b: fingerprints of different texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more,
     apart from those that ``links`` connects. ``rows`` are the sketched fingerprints of ``docs``. Only texts of some
-    pair are made into sets of hashes, which move once for each partner; to find them, the texts of all documents are
-    shuffled by digest once, unless the digests of pairs are few enough for Spark to broadcast."""
+    pair are made into sets of hashes, which move once for each partner. A bit set of fixed size keeps the others from
+    being shuffled."""
     sketch = [c.split()[0] for c in SKETCHED.split(", ")]
     values = [F.first(c).alias(c) for c in ("fp", *sketch, "buckets")]  # the same in all rows of a digest
     texts = rows.where("size > 0").groupBy("digest").agg(*values)
@@ -399,8 +408,10 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, s
     sorted_ = spread.repartition(n, "bucket").sortWithinPartitions("bucket")
     pairs = checkpointed(sorted_.mapInArrow(_candidates(similarity, most), "a long, fp_a long, b long, fp_b long").distinct())
     paired = pairs.select(F.explode(F.array("a", "b")).alias("paired")).distinct()
+    bits = session.sparkContext.broadcast(hash_filter(paired, F.col("paired")))
     text = F.col(text_col).cast("string")
     met = docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).where("text is not null")
+    met = met.mapInArrow(_maybe_paired(bits), "digest long, text string")
     met = met.join(paired, met.digest == paired.paired, "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     sets = checkpointed(met.mapInArrow(_shingle_sets(words), "digest long, hashes array<long>"))
     left, right = (sets.select(F.col("digest").alias(f"of_{x}"), F.col("hashes").alias(f"set_{x}")) for x in "ab")
