@@ -51,13 +51,12 @@ def canonical(constraints: DataFrame, terms: DataFrame) -> dict[str, DataFrame]:
     kind = F.when(F.col("enforcement") == "soft", "soft").otherwise(F.col("rel"))
     numbered = ranking.numbered(constraints.withColumn("cls", kind), ["ord", "obs_id"], "row", within="cls")
     summed = terms.groupBy("obs_id", "var").agg(F.sum("coef").alias("coef")).where("coef <> 0")
-    whole = checkpointed(numbered.join(summed, "obs_id"))
-    moved = whole.select(
-        "cls", "row", "obs_id", "var", "coef", (F.col("target") - F.col("constant")).alias("rhs"), (F.col("lower") - F.col("constant")).alias("lower"),
+    moved = lambda c: numbered.where(F.col("cls") == c).join(summed, "obs_id").select(
+        "row", "obs_id", "var", "coef", (F.col("target") - F.col("constant")).alias("rhs"), (F.col("lower") - F.col("constant")).alias("lower"),
         (F.col("upper") - F.col("constant")).alias("upper"), "constant", "scale", "loss", "delta",
     )
     sides = {"eq": ["rhs"], "bound": ["lower", "upper"], "cone": ["constant"], "soft": ["rhs", "lower", "upper", "scale", "loss", "delta"]}
-    return {c: moved.where(F.col("cls") == c).select("row", "obs_id", "var", "coef", *columns) for c, columns in sides.items()}
+    return {c: moved(c).select("row", "obs_id", "var", "coef", *columns) for c, columns in sides.items()}
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:

@@ -795,9 +795,20 @@ def tune_gcv(spark, sf):
 # -- constraints: one row for each line item, its discount and tax the coefficients of two variables
 
 
-def _constraints(spark: SparkSession, sf: str) -> DataFrame:
+#: What tells the lines of an order with one number apart; lines that agree in all of it are alike.
+_LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+_LINE_ID = f"(l_orderkey * 8 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(_LINE)})"
+
+
+def _line_id() -> Column:
+    """An id of its own for each line item."""
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_LINE))
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + copy
+
+
+def _constraints(spark: SparkSession, sf: str, own: bool = False) -> DataFrame:
     k = F.col("l_linenumber")
-    rows = P.table(spark, sf, "lineitem").select(((F.col("l_orderkey") * 8) + k).alias("obs_id"), k, "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    rows = P.table(spark, sf, "lineitem").select((_line_id() if own else F.col("l_orderkey") * 8 + k).alias("obs_id"), k, "l_quantity", "l_discount", "l_tax", "l_returnflag")
     return rows.select(
         "obs_id", F.col("obs_id").alias("ord"), F.when(k % 3 == 0, "eq").when(k % 3 == 1, "bound").otherwise("cone").alias("rel"), F.col("l_discount").alias("constant"), F.col("l_quantity").alias("target"),
         F.when(k % 3 == 1, F.col("l_quantity") - 25).alias("lower"), F.when(k % 2 == 0, F.lit(20.0)).alias("upper"), F.when(F.col("l_returnflag") == "R", "soft").otherwise("hard").alias("enforcement"),
@@ -807,6 +818,7 @@ def _constraints(spark: SparkSession, sf: str) -> DataFrame:
 
 _CONSTRAINTS = """(SELECT l_orderkey * 8 + l_linenumber AS obs_id, CASE l_linenumber % 3 WHEN 0 THEN 'eq' WHEN 1 THEN 'bound' ELSE 'cone' END AS rel, l_discount AS constant, l_quantity AS target,
 CASE WHEN l_linenumber % 3 = 1 THEN l_quantity - 25 END AS lower, CASE WHEN l_linenumber % 2 = 0 THEN 20.0 END AS upper, CASE WHEN l_returnflag = 'R' THEN 'soft' ELSE 'hard' END AS enforcement, l_tax AS scale, l_discount, l_tax FROM lineitem)"""
+_OWN_CONSTRAINTS = _CONSTRAINTS.replace("l_orderkey * 8 + l_linenumber AS obs_id", f"{_LINE_ID} AS obs_id")
 
 
 @query("semantic_validate", f"SELECT * FROM (SELECT obs_id, CASE WHEN rel = 'bound' AND lower IS NULL AND upper IS NULL THEN 'no bound' WHEN rel = 'bound' AND lower > upper THEN 'lower above upper' WHEN enforcement = 'soft' AND NOT scale > 0 THEN 'scale' WHEN count(*) OVER (PARTITION BY obs_id) > 1 THEN 'repeated id' END AS problem FROM {_CONSTRAINTS}) WHERE problem IS NOT NULL")
@@ -815,7 +827,7 @@ def semantic_validate(spark, sf):
 
 
 def _canonical(spark: SparkSession, sf: str, cls: str) -> DataFrame:
-    rows = _constraints(spark, sf).withColumn("copies", F.count("*").over(Window.partitionBy("obs_id"))).where("copies = 1").drop("copies")
+    rows = _constraints(spark, sf, own=True)
     terms = rows.select("obs_id", F.explode(F.array(F.struct(F.lit(0).alias("var"), (F.col("l_discount") * 100).alias("coef")), F.struct(F.lit(1).alias("var"), (F.col("l_tax") * 100).alias("coef")))).alias("t")).select("obs_id", "t.*")
     return constraints.canonical(rows, terms)[cls]
 
@@ -823,31 +835,31 @@ def _canonical(spark: SparkSession, sf: str, cls: str) -> DataFrame:
 _TERMS = "CROSS JOIN LATERAL (SELECT 0 AS var, l_discount * 100 AS coef UNION ALL SELECT 1, l_tax * 100) t"
 
 
-@query("canonical_eq", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('target - constant', 'rhs')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) WHERE rel = 'eq' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
+@query("canonical_eq", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('target - constant', 'rhs')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM {_OWN_CONSTRAINTS} WHERE rel = 'eq' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
 def canonical_eq(spark, sf):
     return _canonical(spark, sf, "eq").select("row", "obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("rhs"), "rhs"))
 
 
-@query("canonical_bound", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('lower - constant', 'lower')}, {s6('upper - constant', 'upper')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) WHERE rel = 'bound' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
+@query("canonical_bound", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('lower - constant', 'lower')}, {s6('upper - constant', 'upper')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM {_OWN_CONSTRAINTS} WHERE rel = 'bound' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
 def canonical_bound(spark, sf):
     return _canonical(spark, sf, "bound").select("row", "obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("lower"), "lower"), r6(F.col("upper"), "upper"))
 
 
-@query("canonical_cone", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('constant', 'constant')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) WHERE rel = 'cone' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
+@query("canonical_cone", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('constant', 'constant')} FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM {_OWN_CONSTRAINTS} WHERE rel = 'cone' AND enforcement = 'hard') {_TERMS} WHERE coef <> 0")
 def canonical_cone(spark, sf):
     return _canonical(spark, sf, "cone").select("row", "obs_id", "var", r6(F.col("coef"), "coef"), r6(F.col("constant"), "constant"))
 
 
-@query("canonical_soft", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('target - constant', 'rhs')}, {s6('lower - constant', 'lower')}, {s6('upper - constant', 'upper')}, scale FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM (SELECT * FROM {_CONSTRAINTS} QUALIFY count(*) OVER (PARTITION BY obs_id) = 1) WHERE enforcement = 'soft') {_TERMS} WHERE coef <> 0")
+@query("canonical_soft", f"SELECT nth AS \"row\", obs_id, var, {s6('coef', 'coef')}, {s6('target - constant', 'rhs')}, {s6('lower - constant', 'lower')}, {s6('upper - constant', 'upper')}, scale FROM (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS nth FROM {_OWN_CONSTRAINTS} WHERE enforcement = 'soft') {_TERMS} WHERE coef <> 0")
 def canonical_soft(spark, sf):
     return _canonical(spark, sf, "soft").select("row", "obs_id", "var", *[r6(F.col(c), c) for c in ("coef", "rhs", "lower", "upper")], "scale")
 
 
-@query("affine_violations", "SELECT l_orderkey AS obs_id, nth AS term_idx, problem FROM (SELECT *, CASE WHEN l_suppkey >= 90 THEN 'no such variable' WHEN lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY nth) >= l_suppkey THEN 'variables are not ascending' WHEN l_tax = 0 THEN 'coefficient' END AS problem FROM (SELECT *, l_linenumber * 1000000 + l_partkey AS nth FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) = 1)) WHERE problem IS NOT NULL")
+@query("affine_violations", f"SELECT l_orderkey AS obs_id, nth AS term_idx, problem FROM (SELECT *, CASE WHEN l_suppkey >= 90 THEN 'no such variable' WHEN lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY nth) >= l_suppkey THEN 'variables are not ascending' WHEN l_tax = 0 THEN 'coefficient' END AS problem FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {', '.join(_LINE)}) AS nth FROM lineitem)) WHERE problem IS NOT NULL")
 def affine_violations(spark, sf):
     """An expression for each order, over its lines' suppliers."""
-    lines = P.table(spark, sf, "lineitem").withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey"))).where("n = 1")
-    terms = lines.select(F.col("l_orderkey").alias("obs_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("term_idx"), F.col("l_suppkey").alias("var"), F.col("l_tax").alias("coef"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *_LINE))
+    terms = P.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("obs_id"), nth.alias("term_idx"), F.col("l_suppkey").alias("var"), F.col("l_tax").alias("coef"))
     return constraints.term_violations(terms, 90)
 
 
@@ -911,9 +923,9 @@ def hard_conflicts(spark, sf):
     return constraints.hard_conflicts(rows)
 
 
-@query("normals_complement", f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, {s6('abs(u1)', 'c0')}, {s6('-u0 * (CASE WHEN u1 < 0 THEN -1 ELSE 1 END)', 'c1')} FROM {DIRS2} WHERE abs(u1) > 1e-9")
+@query("normals_complement", f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, {s6('abs(u1)', 'c0')}, {s6('CASE WHEN u1 = 0 THEN abs(u0) WHEN u1 < 0 THEN u0 ELSE -u0 END', 'c1')} FROM {DIRS2}")
 def normals_complement(spark, sf):
-    rows = P.directions(spark, sf, 2).where("abs(u1) > 1e-9").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1")
+    rows = P.directions(spark, sf, 2).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1")
     return constraints.normal_rows(rows, ["u0", "u1"], "axial").select("obs_id", r6(F.col("c0"), "c0"), r6(F.col("c1"), "c1"))
 
 
@@ -933,13 +945,13 @@ _SIGN = lambda v: f"CASE WHEN {v}0 > 0 THEN 1.0 WHEN {v}0 < 0 THEN -1.0 WHEN {v}
     "normals_basis",
     f"WITH a AS (SELECT *, {_AXIS} AS axis FROM {DIRS3}), b AS (SELECT *, CASE axis WHEN 0 THEN u0 WHEN 1 THEN u1 ELSE u2 END AS along FROM a), c AS (SELECT *, {', '.join(f'{r} AS r{k}' for k, r in enumerate(_RAW))} FROM b), "
     f"d AS (SELECT *, {', '.join(f'({_SIGN("r")}) * r{k} AS p{k}' for k in range(3))} FROM c), e AS (SELECT *, u1 * p2 - u2 * p1 AS s0, u2 * p0 - u0 * p2 AS s1, u0 * p1 - u1 * p0 AS s2 FROM d) "
-    f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, 0 AS \"row\", {', '.join(s6(f'p{k}', f'c{k}') for k in range(3))} FROM e WHERE abs(u1) > 0.001 AND abs(u2) > 0.001 "
-    f"UNION ALL SELECT l_orderkey * 8 + l_linenumber, 1, {', '.join(s6(f'sign(CASE WHEN abs(s1) > 1e-9 THEN s1 ELSE s2 END) * s{k}', f'c{k}') for k in range(3))} FROM e WHERE abs(u1) > 0.001 AND abs(u2) > 0.001",
+    f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, 0 AS \"row\", {', '.join(s6(f'p{k}', f'c{k}') for k in range(3))} FROM e "
+    f"UNION ALL SELECT l_orderkey * 8 + l_linenumber, 1, {', '.join(s6(f'sign(CASE WHEN abs(s1) > 1e-9 THEN s1 ELSE s2 END) * s{k}', f'c{k}') for k in range(3))} FROM e",
 )
 def normals_basis(spark, sf):
-    """The two rows across each normal that is along no axis; the second, whose sign rounding may decide, with its middle
+    """The two rows across each normal; the second, whose sign rounding may decide, with its middle
     part positive, or the last one where that is 0."""
-    rows = P.directions(spark, sf, 3).where("abs(u1) > 0.001 and abs(u2) > 0.001").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1", "u2")
+    rows = P.directions(spark, sf, 3).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1", "u2")
     turn = F.when(F.col("row") == 1, F.signum(F.when(F.abs("c1") > 1e-9, F.col("c1")).otherwise(F.col("c2")))).otherwise(1.0)
     return constraints.normal_rows(rows, ["u0", "u1", "u2"], "axial").select("obs_id", "row", *[r6(F.col(f"c{k}") * turn, f"c{k}") for k in range(3)])
 
@@ -950,9 +962,9 @@ def normals_gradient(spark, sf):
     return constraints.normal_rows(rows, ["u0", "u1"], "gradient", least=F.lit(2.0)).select("obs_id", "row", "c0", "c1", r6(F.col("lower"), "lower"))
 
 
-@query("normals_cone", f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, k AS \"row\", CASE WHEN k = 2 THEN 'bound' ELSE 'cone' END AS rel, {s6('CASE k WHEN 0 THEN u0 * tan(radians(20)) WHEN 1 THEN abs(u1) ELSE u0 END', 'c0')}, {s6('CASE k WHEN 0 THEN u1 * tan(radians(20)) WHEN 1 THEN -u0 * (CASE WHEN u1 < 0 THEN -1 ELSE 1 END) ELSE u1 END', 'c1')} FROM {DIRS2} CROSS JOIN (VALUES (0), (1), (2)) t(k) WHERE abs(u1) > 1e-9")
+@query("normals_cone", f"SELECT l_orderkey * 8 + l_linenumber AS obs_id, k AS \"row\", CASE WHEN k = 2 THEN 'bound' ELSE 'cone' END AS rel, {s6('CASE k WHEN 0 THEN u0 * tan(radians(20)) WHEN 1 THEN abs(u1) ELSE u0 END', 'c0')}, {s6('CASE k WHEN 0 THEN u1 * tan(radians(20)) WHEN 1 THEN CASE WHEN u1 = 0 THEN abs(u0) WHEN u1 < 0 THEN u0 ELSE -u0 END ELSE u1 END', 'c1')} FROM {DIRS2} CROSS JOIN (VALUES (0), (1), (2)) t(k)")
 def normals_cone(spark, sf):
-    rows = P.directions(spark, sf, 2).where("abs(u1) > 1e-9").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1")
+    rows = P.directions(spark, sf, 2).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("obs_id"), "u0", "u1")
     made = constraints.normal_rows(rows, ["u0", "u1"], "cone", least=F.lit(0.5), angle=F.lit(20.0))
     return made.select("obs_id", "row", "rel", r6(F.col("c0"), "c0"), r6(F.col("c1"), "c1"))
 
