@@ -188,6 +188,8 @@ def _sums(least: int, decode) -> object:
 
         def settle() -> None:
             nonlocal table, held, size
+            if not held:
+                return
             if now[1] >= 0:
                 at, n = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
                 table += np.bincount(at, n, TILE * TILE).astype(np.int64)

@@ -85,6 +85,15 @@ def test_dense_and_sparse_tiles_and_salts(spark):
     assert added == sums
 
 
+def test_a_tile_that_ends_with_a_full_buffer():
+    keys = np.arange(1 << 18) // 512 << 20 | np.arange(1 << 18) % 512
+    rows = [r for _ in range(3) for r in collocations.tiled(keys, np.full(len(keys), 2), 1, 0)]
+    assert {r[2:4] for r in rows} == {(0, 0)}
+    taken = []
+    list(collocations._sums(6, lambda keys, counts: taken.append((keys, counts)) or True)([collocations._tile_rows(rows)]))
+    assert len(taken) == 1 and (taken[0][0] == keys).all() and (taken[0][1] == 6).all()
+
+
 def test_empty_tables(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert collocations.collocations(spark.createDataFrame([(1, None, None, "", "")], SCHEMA)).count() == 0
