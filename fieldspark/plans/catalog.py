@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import geometry as G
 from fieldspark.functions import polynomials
 from fieldspark.functions.kernels import Anisotropy, Kernel, distance, jet
-from fieldspark.operators import constraints, convex, fields, functionals, levels, levelsets, neighbors, projects, ranking, selection, tensors, trends
+from fieldspark.operators import constraints, convex, fields, functionals, levels, levelsets, neighbors, projects, ranking, selection, sparsefactor, tensors, trends
 from fieldspark.plans import points as P
 from fieldspark.sessions import checkpointed
 
@@ -502,6 +502,34 @@ def fit_wendland_residual(spark, sf):
     return neighbors.evaluate_sparse(places, places, neighbors.fit_sparse(places, kernel, 3), kernel, 3).select("idx", r6(F.col("f") / 0.997, "f"))
 
 
+@query("fit_wendland_factor", f"SELECT idx, {s6('y / 0.997', 'f')}, 0 AS component, true AS exact FROM {GRID}".replace("0 AS component", f"(SELECT min(idx) FROM {GRID}) AS component"))
+def fit_wendland_factor(spark, sf):
+    """A sparse fit by the factor of each connected component, all of the grid here, takes the given values at its centers."""
+    places = checkpointed(P.grid(spark, sf))
+    kernel = Kernel("wendland_c4", 1.2)
+    weights = checkpointed(sparsefactor.fit_factored(places, kernel, 3))
+    found = neighbors.evaluate_sparse(places, places, weights.select("idx", "w"), kernel, 3)
+    return found.join(weights, "idx").select("idx", r6(F.col("f") / 0.997, "f"), "component", (F.col("backward_error") <= 128 * sparsefactor.EPS * 5000).alias("exact"))
+
+
+_BALANCES = "(SELECT CAST(round(c_nationkey * 100000 + c_acctbal) AS BIGINT) AS idx, avg(c_custkey) / 997 AS y FROM customer GROUP BY 1)"
+
+
+@query(
+    "fit_wendland_components",
+    f"WITH p AS (SELECT *, CASE WHEN idx - lag(idx) OVER (ORDER BY idx) < 30 THEN 0 ELSE 1 END AS opens FROM {_BALANCES}), q AS (SELECT *, sum(opens) OVER (ORDER BY idx) AS island FROM p) "
+    f"SELECT idx, min(idx) OVER (PARTITION BY island) AS component, {s6('y', 'f')} FROM q",
+)
+def fit_wendland_components(spark, sf):
+    """Customers along a line by nation and balance: their many components are factorised side by side."""
+    rows = P.table(spark, sf, "customer").groupBy(F.round(F.col("c_nationkey") * 100000 + F.col("c_acctbal")).cast("long").alias("idx")).agg((F.avg("c_custkey") / 997).alias("y"))
+    places = checkpointed(rows.withColumn("x0", F.col("idx") / 1000.0))
+    kernel = Kernel("wendland_c2", 0.0299999)  # 30 thousandths are apart, whatever the rounding
+    weights = checkpointed(sparsefactor.fit_factored(places, kernel, 1))
+    found = neighbors.evaluate_sparse(places, places, weights.select("idx", "w"), kernel, 1)
+    return found.join(weights, "idx").select("idx", "component", r6(F.col("f"), "f"))
+
+
 @query("eval_local_counts", f"SELECT a.idx AS idx, count(b.idx) AS visited FROM {SUPPLIERS} a LEFT JOIN {CUSTOMERS} b ON (a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 < 0.25 GROUP BY 1")
 def eval_local_counts(spark, sf):
     weights = P.customers(spark, sf).select("idx", F.lit(1.0).alias("w"))
