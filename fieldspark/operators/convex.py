@@ -1,8 +1,9 @@
 """Convex problems of many independent small fields: box-constrained least squares, robust location, projections.
 
 A problem with hard equalities, bounds and cones and soft squared, absolute or Huber terms is lowered to a quadratic
-programme and solved in one bounded task a problem, by a primal-dual interior-point method or, with cones, by a barrier
-method; optimality and constraints are then checked, and the losses recomputed from the rows that came in. Problems that separate by coordinate have closed forms as expressions.
+programme over cones and solved in one bounded task a problem (``conic``). Its solution and multipliers are then checked
+against the rows as given, and the losses recomputed from them. Problems that separate by coordinate have closed forms
+as expressions.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.errors import ConditioningError, InfeasibleError, InputError, MemoryLimitError
+from fieldspark.operators import conic
 
 MAX_VARIABLES = 1_000
 
@@ -45,55 +47,6 @@ def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) ->
     return summed.select(*by, value, below.alias("below"), total.alias("total")).where("below * 2 >= total").groupBy(*by).agg(F.min(value).alias("median"))
 
 
-def interior_point(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, h: np.ndarray, tolerance: float = 1e-9, most: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, y, z with the least x'Px/2 + q'x where a x = b and g x <= h; z >= 0 are the bounds' multipliers."""
-    n, m, k = len(q), len(b), len(h)
-    x, y, s, z = np.zeros(n), np.zeros(m), np.maximum(1.0, np.abs(h)), np.ones(k)
-    for _ in range(most):
-        rd, rp, rg = p @ x + q + a.T @ y + g.T @ z, a @ x - b, g @ x + s - h
-        mu = s @ z / k if k else 0.0
-        scale = 1 + max(np.abs(q).max(initial=0), np.abs(b).max(initial=0), np.abs(h).max(initial=0))
-        if max(np.abs(rd).max(initial=0), np.abs(rp).max(initial=0), np.abs(rg).max(initial=0), mu) <= tolerance * scale:
-            return x, y, z
-        if certified(a, b, g, h, y, z):
-            raise InfeasibleError("the constraints exclude one another")
-
-        def step(sigma: float, correction: np.ndarray) -> tuple[np.ndarray, ...]:
-            d = z / s
-            kkt = np.block([[p + g.T @ (d[:, None] * g), a.T], [a, np.zeros((m, m))]])
-            rc = s * z + correction - sigma * mu
-            right = np.concatenate([-rd - g.T @ (d * rg - rc / s), -rp])
-            size = 1 / np.sqrt(np.maximum(np.abs(kkt).max(axis=1), 1e-300))
-            move = size * np.linalg.lstsq(kkt * size * size[:, None], size * right, rcond=None)[0]  # repeated rows have many multipliers
-            dx, dy = move[:n], move[n:]
-            ds = -rg - g @ dx
-            return dx, dy, ds, -(rc + z * ds) / s
-
-        def length(v: np.ndarray, dv: np.ndarray) -> float:
-            down = dv < 0
-            return min(1.0, 0.99 * float((-v[down] / dv[down]).min())) if down.any() else 1.0
-
-        dx, dy, ds, dz = step(0.0, np.zeros(k))
-        alpha = min(length(s, ds), length(z, dz))
-        after = (s + alpha * ds) @ (z + alpha * dz) / k if k else 0.0
-        sigma = (after / mu) ** 3 if mu > 0 else 0.0
-        dx, dy, ds, dz = step(sigma, ds * dz)
-        alpha = min(length(s, ds), length(z, dz))
-        x, y, s, z = x + alpha * dx, y + alpha * dy, s + alpha * ds, z + alpha * dz
-    raise ConditioningError("no solution within the allowed steps", steps=most)
-
-
-def certified(a: np.ndarray, b: np.ndarray, g: np.ndarray, h: np.ndarray, y: np.ndarray, z: np.ndarray) -> bool:
-    """Whether multipliers, scaled to a largest of 1, prove that no x has a x = b and g x <= h: z >= 0, their combination of
-    the rows is 0 and that of the sides is below 0, each beyond rounding."""
-    size = max(np.abs(y).max(initial=0), np.abs(z).max(initial=0))
-    if not size > 1e3 or z.min(initial=0) < 0:
-        return False
-    y, z = y / size, z / size
-    rows, sides = np.abs(a.T @ y + g.T @ z).max(initial=0), float(b @ y + h @ z)
-    return sides < 0 and rows <= 1e-8 * -sides
-
-
 # -- cones
 
 
@@ -106,78 +59,6 @@ class Cone:
     c: np.ndarray
     d: float
 
-    def slack(self, x: np.ndarray) -> float:
-        return float(self.c @ x + self.d - np.linalg.norm(self.f @ x + self.k))
-
-
-def barrier(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, h: np.ndarray, cones: list[Cone], tolerance: float = 1e-9) -> np.ndarray:
-    """x with the least x'Px/2 + q'x where a x = b, g x <= h and x is in all cones, by a logarithmic barrier within the
-    solutions of the equalities. Without an inner point that is found first: if even the least common excess over all
-    constraints is positive they exclude one another."""
-    start = np.linalg.lstsq(a, b, rcond=None)[0] if len(b) else np.zeros(len(q))
-    if len(b) and np.abs(a @ start - b).max() > 1e-9 * (1 + np.abs(b).max()):
-        raise InfeasibleError("the equalities exclude one another")
-    u, s, vt = np.linalg.svd(a) if len(b) else (None, np.empty(0), np.eye(len(q)))
-    free = vt[int((s > 1e-12 * s.max(initial=1)).sum()) :].T
-    inner = [Cone(c.f @ free, c.f @ start + c.k, free.T @ c.c, c.d + c.c @ start) for c in cones]
-    g_in, h_in = g @ free, h - g @ start
-
-    # Phase one: the least t with every constraint exceeded by t at most.
-    n = free.shape[1]
-    lifted = [Cone(np.column_stack([c.f, np.zeros(len(c.k))]), c.k, np.append(c.c, 1.0), c.d) for c in inner]
-    at = np.zeros(n + 1)
-    at[-1] = 1 + max([0.0, *(-h_in), *(-c.slack(np.zeros(n)) for c in inner)])
-    g_one = np.vstack([np.column_stack([g_in, -np.ones(len(h_in))]), -np.eye(n + 1)[-1:]])
-    h_one = np.append(h_in, 1.0)
-    small = 1e-8 * np.eye(n + 1)
-    small[-1, -1] = 0.0  # keeps the search bounded; the point found need not be optimal
-    at = _central(small, np.eye(n + 1)[-1], g_one, h_one, lifted, at, tolerance, lambda x: x[-1] < -1e-7)
-    if at[-1] > -1e-9:
-        raise InfeasibleError("the constraints exclude one another or have no inner point", excess=float(at[-1]))
-    z = _central(free.T @ p @ free, free.T @ (p @ start + q), g_in, h_in, inner, at[:-1], tolerance)
-    return start + free @ z
-
-
-def _central(p: np.ndarray, q: np.ndarray, g: np.ndarray, h: np.ndarray, cones: list[Cone], x: np.ndarray, tolerance: float, enough=lambda x: False) -> np.ndarray:
-    """Follows the central path from an inner point until the gap, the barrier's degree over its weight, is small."""
-    degree = len(h) + 2 * len(cones)
-    if not degree:
-        return np.linalg.lstsq(p, -q, rcond=None)[0]
-
-    def inside(x: np.ndarray) -> bool:
-        return bool((h - g @ x > 0).all() and all(c.slack(x) > 0 for c in cones))
-
-    def value(x: np.ndarray, weight: float) -> float:
-        total = weight * (x @ p @ x / 2 + q @ x) - np.log(h - g @ x).sum()
-        return float(total - sum(np.log((c.c @ x + c.d) ** 2 - ((c.f @ x + c.k) ** 2).sum()) for c in cones))
-
-    weight = 1.0
-    while True:
-        for _ in range(60):
-            r = 1 / (h - g @ x)
-            slope, bend = weight * (p @ x + q) + g.T @ r, weight * p + (g.T * r**2) @ g
-            for c in cones:
-                v, t = c.f @ x + c.k, c.c @ x + c.d
-                w = t * t - v @ v
-                dw = 2 * (t * c.c - c.f.T @ v)
-                slope = slope - dw / w
-                bend = bend + np.outer(dw, dw) / w**2 - 2 * (np.outer(c.c, c.c) - c.f.T @ c.f) / w
-            move = -np.linalg.lstsq(bend, slope, rcond=None)[0]
-            down = float(slope @ move)
-            if -down / 2 <= 1e-10:
-                break
-            length = 1.0
-            while length > 1e-14 and (not inside(x + length * move) or value(x + length * move, weight) > value(x, weight) + 0.25 * length * down):
-                length /= 2
-            if length <= 1e-14:
-                break
-            x = x + length * move
-            if enough(x):
-                return x
-        if degree / weight <= tolerance:
-            return x
-        weight *= 20
-
 
 CLASSES = ("eq", "bound", "cone", "soft")
 
@@ -264,20 +145,45 @@ def objective(soft: list, x: np.ndarray) -> float:
     return total
 
 
-def _solved(entries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+def optimality(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, cones: conic.Cones, found: conic.Solution) -> float:
+    """The worst departure of a solution and its multipliers from optimality, each over the terms that it is made of:
+    rows, cones and dual cones, stationarity, and the sum of products of slacks and multipliers over the objective."""
+    x, z = found.x, found.z
+    s = b - a @ x
+    bend = np.abs(p).max(initial=0)
+    far = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0) / bend if bend else 0.0)  # how large x is, or would be unbound
+    size = np.abs(a) @ np.abs(x) + np.abs(b) + conic.SMALL * np.abs(a).max(axis=1, initial=0) * far
+    worst = float((np.abs(s[: cones.zeros]) / np.maximum(size[: cones.zeros], 1e-300)).max(initial=0))
+    line = cones.line
+    worst = max(worst, float((-s[line] / np.maximum(size[line], 1e-300)).max(initial=0)), float((-z[line]).max(initial=0) / max(1e-300, np.abs(z).max(initial=0))))
+    for k in cones.blocks:
+        for u, scale in ((s[k], size[k].max()), (z[k], np.abs(z).max(initial=0))):
+            worst = max(worst, float(np.linalg.norm(u[1:]) - u[0]) / max(1e-300, float(scale)))
+    slope = p @ x + q + a.T @ z
+    terms = np.abs(p) @ np.abs(x) + np.abs(q) + np.abs(a.T) @ np.abs(z)
+    terms = np.maximum(terms, conic.SMALL * terms.max(initial=0))
+    worst = max(worst, float((np.abs(slope) / np.maximum(terms, 1e-300)).max(initial=0)))
+    cost = max(1e-300, np.abs(p).max(initial=0), np.abs(q).max(initial=0))
+    value = max(abs(float(x @ p @ x)) / 2, abs(float(q @ x)), cost * conic.least_value(x))
+    return max(worst, abs(float(s[cones.zeros :] @ z[cones.zeros :])) / value)
+
+
+REVIEW = 1e-6
+
+
+def _solved(entries: pd.DataFrame, options: conic.Options) -> tuple[np.ndarray, np.ndarray, float]:
     names, (p, q, a, b, g, h), cones, soft = _lowered(entries)
-    if cones:
-        x = barrier(p, q, a, b, g, h, cones)
-        worst = max(np.abs(a @ x - b).max(initial=0), (g @ x - h).max(initial=0), *(-c.slack(x) for c in cones))
-    else:
-        x, y, z = interior_point(p, q, a, b, g, h)
-        worst = max(np.abs(p @ x + q + a.T @ y + g.T @ z).max(initial=0), np.abs(a @ x - b).max(initial=0), (g @ x - h).max(initial=0), -z.min(initial=0))
-    if worst > 1e-6 * (1 + np.abs(h).max(initial=0) + np.abs(b).max(initial=0)):
-        raise ConditioningError("the optimality conditions are not met", worst=float(worst))
-    return names, x[: len(names)], objective(soft, x[: len(names)])
-
-
-def solve_problems(rows: DataFrame) -> DataFrame:
+    rows = np.vstack([a, g, *(-np.vstack([c.c, c.f]) for c in cones)])
+    sides = np.concatenate([b, h, *(np.append(c.d, c.k) for c in cones)])
+    shape = conic.Cones(len(b), len(h), [1 + len(c.k) for c in cones])
+    found = conic.solve(p, q, rows, sides, shape, options)
+    worst = optimality(p, q, rows, sides, shape, found)
+    if not worst <= REVIEW:
+        raise ConditioningError("the optimality conditions are not met", worst=worst)
+    return names, found.x[: len(names)], objective(soft, found.x[: len(names)])
+
+
+def solve_problems(rows: DataFrame, options: conic.Options = conic.Options()) -> DataFrame:
     """problem_id, var, value from rows (problem_id, row, cls, var, coef, target, lower, upper, scale, loss, delta) of
     affine expressions: cls eq (= target), bound (in lower to upper), soft (loss of the violation / scale of a target, or of
     lower and upper where that is null: l2, its square; l1; huber) or cone. The rows of a cone have its name in ``cone``:
@@ -286,20 +192,20 @@ def solve_problems(rows: DataFrame) -> DataFrame:
     rows = rows if "cone" in rows.columns else rows.withColumn("cone", F.lit(None).cast("long"))
 
     def solve(key: tuple, entries: pd.DataFrame) -> pd.DataFrame:
-        names, x, _ = _solved(entries)
+        names, x, _ = _solved(entries, options)
         return pd.DataFrame({"problem_id": key[0], "var": names, "value": x})
 
     return rows.groupBy("problem_id").applyInPandas(solve, "problem_id long, var long, value double")
 
 
-def problem_status(rows: DataFrame) -> DataFrame:
+def problem_status(rows: DataFrame, options: conic.Options = conic.Options()) -> DataFrame:
     """problem_id, status (solved, infeasible or unsolved) and objective, the losses of the soft rows as given, of the
     problems that solve_problems takes; null where there is no solution."""
     rows = rows if "cone" in rows.columns else rows.withColumn("cone", F.lit(None).cast("long"))
 
     def review(key: tuple, entries: pd.DataFrame) -> pd.DataFrame:
         try:
-            status, least = "solved", _solved(entries)[2]
+            status, least = "solved", _solved(entries, options)[2]
         except (InfeasibleError, ConditioningError) as error:
             status, least = "infeasible" if isinstance(error, InfeasibleError) else "unsolved", None
         return pd.DataFrame({"problem_id": [key[0]], "status": [status], "objective": pd.Series([least], dtype=float)})

@@ -1300,7 +1300,7 @@ _FACTOR = "CASE WHEN v <= h THEN 1 WHEN v <= -h THEN 0 ELSE (h + v) / 2 / v END"
 
 @query("convex_soc_solver", f"SELECT CAST(k AS BIGINT) AS problem_id, CAST(var AS BIGINT) AS var, round(CASE var WHEN 0 THEN {_HEAD} WHEN 1 THEN {_FACTOR} * a ELSE {_FACTOR} * b END, 3) + 0.0 AS value FROM {_P3} CROSS JOIN (VALUES (0), (1), (2)) t(var)")
 def convex_soc_solver(spark, sf):
-    """The nearest point of the cone x_0 >= |(x_1, x_2)| to a point for each nation, by the barrier method."""
+    """The nearest point of the cone x_0 >= |(x_1, x_2)| to a point for each nation."""
     m, k = F.col("m"), F.col("problem_id")
     rows = _entries(_means(spark, sf), *[_entry(n, "soft", n, t) for n, t in enumerate((m - k * 0.5, k * 0.3, m - 2))], *[_entry(3 + n, "cone", n, cone=0) for n in range(3)])
     return convex.solve_problems(rows).select("problem_id", "var", (F.round("value", 3) + 0.0).alias("value"))
@@ -1314,6 +1314,38 @@ def convex_soft_bounds(spark, sf):
     return convex.solve_problems(rows).select("problem_id", (F.round(F.col("value") / 0.997, 4) + 0.0).alias("value"))  # no ties in rounding
 
 
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """A problem for each supplier: its number and its balance in thousands."""
+    return P.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("problem_id"), (F.col("s_acctbal") / 1000).alias("m"))
+
+
+_BALANCE = "(SELECT s_suppkey AS k, s_acctbal / 1000 AS m FROM supplier)"
+
+
+@query("convex_wide_bounds", f"SELECT CAST(k AS BIGINT) AS problem_id, CAST(v AS BIGINT) AS var, round(CASE v WHEN 0 THEN least(greatest(m, 0.0), 10.0 ** (k % 10)) ELSE greatest(m / 1000, 0) END * 1000 / 0.997, 2) + 0.0 AS value FROM {_BALANCE} CROSS JOIN (VALUES (0), (1)) t(v)")
+def convex_wide_bounds(spark, sf):
+    """Values of thousands and of thousandths, within bounds from 1 to 10^9."""
+    m, k = F.col("m"), F.col("problem_id")
+    rows = _entries(_suppliers(spark, sf), _entry(0, "soft", 0, m), _entry(1, "soft", 1, m / 1000), _entry(2, "bound", 0, None, F.lit(0.0), F.pow(F.lit(10.0), k % 10)), _entry(3, "bound", 1, None, F.lit(0.0), F.lit(1e9)))
+    return convex.solve_problems(rows).select("problem_id", "var", (F.round(F.col("value") * 1000 / 0.997, 2) + 0.0).alias("value"))
+
+
+@query("convex_touching_cone", f"SELECT CAST(k AS BIGINT) AS problem_id, 'solved' AS status, round(m * m, 4) + 0.0 AS objective FROM {_BALANCE}")
+def convex_touching_cone(spark, sf):
+    """|x| <= t = 0 has no inner point, but a solution: x = 0, however far from where x ought to be; y is free."""
+    m, k = F.col("m"), F.col("problem_id")
+    rows = _entries(_suppliers(spark, sf), _entry(0, "eq", 2, F.lit(0.0)), _entry(1, "cone", 2, cone=0), _entry(2, "cone", 0, cone=0), _entry(3, "soft", 0, m), _entry(4, "soft", 1, k / 7))
+    return convex.problem_status(rows).select("problem_id", "status", (F.round("objective", 4) + 0.0).alias("objective"))
+
+
+@query("convex_infeasible_cone", f"SELECT CAST(k AS BIGINT) AS problem_id, CASE WHEN k % 3 = 2 THEN 'infeasible' ELSE 'solved' END AS status, CAST(CASE k % 3 WHEN 0 THEN 0.25 WHEN 1 THEN round((2 - sqrt(1.25)) ** 2, 3) END AS DOUBLE) AS objective FROM {_BALANCE}")
+def convex_infeasible_cone(spark, sf):
+    """|(x, y)| <= t <= 1.5 and x >= 0, 1 or 2, y ought to be 2: the cone's end, a part of it, or nothing."""
+    k = F.col("problem_id")
+    rows = _entries(_suppliers(spark, sf), _entry(0, "cone", 2, cone=0), _entry(1, "cone", 0, cone=0), _entry(2, "cone", 1, cone=0), _entry(3, "bound", 2, None, None, F.lit(1.5)), _entry(4, "bound", 0, None, k % 3, None), _entry(5, "soft", 1, F.lit(2.0)))
+    return convex.problem_status(rows).select("problem_id", "status", (F.round("objective", 3) + 0.0).alias("objective"))
+
+
 @query("convex_status", f"SELECT CAST(k AS BIGINT) AS problem_id, CASE WHEN k % 3 = 0 THEN 'infeasible' ELSE 'solved' END AS status, CASE WHEN k % 3 <> 0 THEN round(greatest(m - 5 - k * 0.01, 0), 4) + 0.0 END AS objective FROM {_MEANS}")
 def convex_status(spark, sf):
     """x + y = 5 + k / 100 and y >= 0; for every third nation y >= 1 and x >= 5, which cannot be. x ought to be m."""
