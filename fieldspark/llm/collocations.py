@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import checkpointed
-from fieldspark.llm.vocabulary import BREAK, byte_table, hash_filter, hashed_pairs, hashes, in_filter, slices, tokenised
+from fieldspark.llm.vocabulary import BREAK, byte_table, hash_filter, hashed_pairs, hashes, in_filter, slices, summed, tokenised
 
 LEAST = 10
 #: What parts pieces (. , ; : ! ? and line ends), and what parts words.
@@ -144,15 +144,6 @@ def dense(down: np.ndarray, across: np.ndarray) -> np.ndarray:
     return (down + 1) * (across + 1) <= DENSE
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys, each once, and the sums of their counts."""
-    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
 def tiled(keys: np.ndarray, counts: np.ndarray, parts: int, salt: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     """Rows of _TILES for keys (language, left and right number) in order, each once."""
     left, right = keys >> _ID & (1 << _ID) - 1, keys & (1 << _ID) - 1
@@ -195,7 +186,7 @@ def _sums(least: int, decode) -> object:
                 table += np.bincount(at, n, TILE * TILE).astype(np.int64)
                 held, size = [], 0
             else:
-                held = [_added(held)]
+                held = [summed(held)]
                 size = len(held[0][0])
 
         def closed() -> pa.RecordBatch:
@@ -301,10 +292,10 @@ def _spread(shared: Broadcast, words_of: Broadcast | None, size: int, parts: int
             held.append((keys, counts))
             total += len(keys)
             if total > FLUSH:
-                yield _tile_rows(tiled(*_added(held), parts, salt))
+                yield _tile_rows(tiled(*summed(held), parts, salt))
                 held, total = [], 0
         if held:
-            yield _tile_rows(tiled(*_added(held), parts, salt))
+            yield _tile_rows(tiled(*summed(held), parts, salt))
 
     return run
 

@@ -16,6 +16,7 @@ Probabilities are whole numbers, computed in 38 decimal digits; differences stay
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import checkpointed
-from fieldspark.llm.vocabulary import byte_table, hash_filter, hashes, in_filter, slices, tokenised
+from fieldspark.llm.common import checkpointed, text_blocks
+from fieldspark.llm.vocabulary import SLICE_BYTES, byte_table, hash_filter, hashes, in_filter, slices, summed, tokenised
 
 LEAST_DOCS = 10
 RANKS = 10
@@ -33,7 +34,8 @@ COLUMNS = 8192
 MEMBERS = 128
 LEAF = (8, 32)
 LEVELS = 4  # MEMBERS = LEAF[0] << LEVELS
-FLUSH = 1 << 19
+#: Different terms, and counted pairs of a source and a term, that a task holds.
+TERMS, FLUSH = 1 << 19, 1 << 22
 #: Bytes that stand between terms.
 TABLE = byte_table([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
@@ -62,7 +64,7 @@ def _documents_with_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Reco
             if n and term != b"\xff":
                 counts[term] = counts.get(term, 0) + n
         size += len(counts)
-        if size > FLUSH:
+        if size > TERMS:
             yield from sent()
             held.clear()
             size = 0
@@ -74,33 +76,54 @@ def _with_ends(parts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return tokenised([b" ".join(parts)], bytes(range(256)))
 
 
+@dataclass
+class _Held:
+    """Counts of one language within a task: numbers of its terms and sources, and (source, term, count) not yet added up."""
+
+    terms: dict[bytes, int] = field(default_factory=dict)
+    sources: dict[str, int] = field(default_factory=dict)
+    parts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def add(self, lang: str, by_source: list[tuple[str, list[bytes]]], kept: np.ndarray) -> int:
+        words, codes = _with_ends([t for _, texts in by_source for t in (b" ".join(texts).translate(TABLE), b"\xff")])
+        end = words.index(b"\xff")
+        fits = in_filter(kept, hashes(words, lang))
+        fits[end] = False
+        number = np.array([self.terms.setdefault(w, len(self.terms)) if fit else -1 for w, fit in zip(words, fits.tolist())])
+        source = np.array([self.sources.setdefault(s, len(self.sources)) for s, _ in by_source])
+        owner = np.cumsum(codes == end)  # an end follows its source's last term
+        use = fits[codes]
+        keys, counts = np.unique(source[owner[use]] << 40 | number[codes[use]], return_counts=True)
+        self.parts.append((keys, counts))
+        return len(keys)
+
+    def sent(self, lang: str) -> Iterator[pa.RecordBatch]:
+        keys, counts = summed(self.parts)
+        terms, sources = pa.array(list(self.terms), pa.binary()), pa.array(list(self.sources), pa.string())
+        for at in range(0, len(keys), 1 << 16):
+            own = keys[at : at + (1 << 16)]
+            source, term = sources.take(pa.array(own >> 40)), terms.take(pa.array(own & (1 << 40) - 1)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), source, term, pa.array(counts[at : at + (1 << 16)])], ["lang", "source", "term", "n"])
+
+
 def _count_terms(kept: Broadcast):
-    """lang, source, term, n of what a task reads, terms in order; terms that the bit set rules out are left out."""
+    """lang, source, term, n, added up over what a task reads; terms that the bit set rules out are left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        held: dict[str, _Held] = {}
         size = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            rows = sorted((term, lang, source, n) for (lang, source), counts in held.items() for term, n in counts.items())
-            for at in range(0, len(rows), 1 << 16):
-                terms, langs, sources, n = zip(*rows[at : at + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sources), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
-
-        for (lang, source), texts in slices(batches, 2):
-            terms, codes = tokenised(texts, TABLE)
-            fits = in_filter(kept.value, hashes(terms, lang))
-            counts = held.setdefault((lang, source), {})
-            size -= len(counts)
-            for term, n, fit in zip(terms, np.bincount(codes, minlength=len(terms)).tolist(), fits.tolist()):
-                if n and fit:
-                    counts[term] = counts.get(term, 0) + n
-            size += len(counts)
+        for rows in text_blocks(batches, SLICE_BYTES, "text"):
+            by_lang: dict[str, list] = {}
+            for (lang, source), texts in slices([rows], 2):
+                by_lang.setdefault(lang, []).append((source, texts))
+            for lang, by_source in by_lang.items():
+                size += held.setdefault(lang, _Held()).add(lang, by_source, kept.value)
             if size > FLUSH:
-                yield from sent()
-                held.clear()
-                size = 0
-        yield from sent()
+                for lang, own in held.items():
+                    yield from own.sent(lang)
+                held, size = {}, 0
+        for lang, own in held.items():
+            yield from own.sent(lang)
 
     return run
 
@@ -213,7 +236,7 @@ def group_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     held = texts.select("lang", "text").mapInArrow(_documents_with_terms, "lang string, term string, docs long")
     kept = checkpointed(held.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term"))
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(kept, F.xxhash64("lang", "term")))
-    # Tasks send their terms added up and in order, so they go to their term's partition without another partial sum.
+    # Tasks send their terms added up, so they go to their term's partition without another partial sum.
     counted = texts.mapInArrow(_count_terms(bits), "lang string, source string, term string, n long").repartition("lang", "term")
     summed = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi")
     cells = checkpointed(summed.withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term"))).select("lang", "source", "term", "n", "lang_n"))

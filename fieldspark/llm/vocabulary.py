@@ -57,6 +57,15 @@ def slices(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield from by.items()
 
 
+def summed(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, and the sums of their counts."""
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def hashes(words: Iterable[bytes], lang: str) -> np.ndarray:
     """What xxhash64(lang, word) gives in Spark, as unsigned numbers."""
     seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
