@@ -43,11 +43,12 @@ def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int, column: str =
 def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], list[bool]], max_bytes: int = 2 << 20) -> DataFrame:
     """The rows of docs, all columns as they are, for which ``keep`` says so of a slice of rows. Nothing is shuffled."""
 
+    names = docs.columns
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # mapInArrow would read dots in names as paths
+    schema = StructType([StructField(name, field.dataType, field.nullable) for name, field in zip(plain, docs.schema)])
+    text_col = plain[names.index(text_col)]
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_blocks(batches, max_bytes, text_col):
-            yield rows.filter(pa.array(keep(rows), pa.bool_()))
+            yield rows.filter(pa.array(keep(rows.rename_columns(names)), pa.bool_()))
 
-    plain = [f"c{k}" for k in range(len(docs.columns))]  # mapInArrow would read dots in names as paths
-    schema = StructType([StructField(name, field.dataType, field.nullable) for name, field in zip(plain, docs.schema)])
-    text_col = plain[docs.columns.index(text_col)]
-    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns)
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*names)
