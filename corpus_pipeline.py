@@ -35,9 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item, copied or paraphrased, go. Null and empty texts stay; repeated rows stay or go alike;
-    without items all stay. All columns are kept."""
-    return decontamination.keep_uncontaminated(docs, decontamination.prepare(docs, table(spark, sf_dir, "benchmark")))
+    """Documents with a benchmark item, copied or paraphrased, go; an item of a word or two counts only where it is the whole
+    document. Null and empty texts stay; repeated rows stay or go alike; without items all stay. All columns are kept."""
+    return decontamination.keep_uncontaminated(docs, decontamination.prepare(docs, table(spark, sf_dir, "benchmark")), evidence=decontamination.EVIDENCE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
