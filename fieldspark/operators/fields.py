@@ -18,16 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fieldspark.errors import CapabilityError, ConditioningError, InputError, MemoryLimitError, RankError
+from fieldspark.errors import CapabilityError, InputError, MemoryLimitError
 from fieldspark.functions import polynomials
 from fieldspark.functions.kernels import Anisotropy, Kernel, jet
+from fieldspark.operators import densefactor
+from fieldspark.operators.densefactor import SolveOptions
 
 MAX_CENTERS = 4_000
-#: Centers up to which a field is evaluated by expressions that Spark runs itself.
+#: Centers times results (a value, its derivatives) up to which a field is evaluated by expressions that Spark runs itself.
 EXPRESSION_CENTERS = 32
 #: Kernel evaluations at once in an Arrow task.
 BLOCK = 1 << 18
-EPS = float(np.finfo(float).eps)
 
 
 def axes(dimension: int, prefix: str = "x") -> list[str]:
@@ -73,88 +74,87 @@ def augmented(centers: DataFrame, kernel: Kernel, dimension: int, anisotropy: An
 
 def rank_review(matrix: np.ndarray) -> int:
     """The rank after equilibration; a singular value near the threshold is an error rather than a guess."""
-    a = np.array(matrix, float)
-    for _ in range(8):
-        for axis in (1, 0):
-            size = np.abs(a).max(axis=axis, keepdims=True)
-            if not size.all():
-                break
-            a /= size
-    s = np.linalg.svd(a, compute_uv=False)
-    tau = max(a.shape) * EPS * s[0]
-    if ((s > tau / 16) & (s < tau * 16)).any():
-        raise RankError("the rank is ambiguous", smallest=float(s[-1]), threshold=float(tau))
-    return int((s > tau).sum())
-
-
-def null_space(matrix: np.ndarray) -> np.ndarray:
-    """Orthonormal columns Z with Q' Z = 0 for a matrix Q of full column rank."""
-    rank = rank_review(matrix)
-    if rank < matrix.shape[1]:
-        raise RankError("the centers do not determine the polynomial", rank=rank, terms=matrix.shape[1])
-    q, _ = np.linalg.qr(matrix, mode="complete")
-    z = q[:, matrix.shape[1] :]
-    z -= matrix @ np.linalg.lstsq(matrix, z, rcond=None)[0]
-    return np.linalg.qr(z)[0] if z.shape[1] else z
-
-
-def solve_dense(k: np.ndarray, p: np.ndarray, y: np.ndarray, factorization: str = "auto") -> tuple[np.ndarray, float]:
-    """Weights and polynomial coefficients, and the backward error. No regularisation is added: a kernel matrix that is
-    not positive definite where it should be, or a residual beyond 128 n eps, is an error."""
-    n, m = len(k), p.shape[1]
-    system = np.block([[k, p], [p.T, np.zeros((m, m))]])
-    rhs = np.concatenate([y, np.zeros(m)])
-    scale = 1 / np.sqrt(np.maximum(np.abs(system).max(axis=1), 1e-300))
-    scaled = system * scale * scale[:, None]
-    if m:
-        z = null_space(p)
-        if z.shape[1]:
-            energy = np.linalg.eigvalsh(z.T @ k @ z)
-            if energy.min() <= -64 * n * EPS * max(1.0, np.abs(energy).max()):
-                raise ConditioningError("the kernel is not definite on the null space", smallest=float(energy.min()))
-    elif factorization in ("auto", "cholesky"):
-        try:
-            np.linalg.cholesky(scaled)
-        except np.linalg.LinAlgError as error:
-            raise ConditioningError("the kernel matrix is not positive definite") from error
-    if rank_review(scaled) < len(scaled):
-        raise RankError("the system is singular", size=len(scaled))
-    found = scale * np.linalg.solve(scaled, scale * rhs)
-    error = lambda v: float(np.abs(system @ v - rhs).max())
-    for _ in range(8):  # as long as the residual shrinks
-        better = found + scale * np.linalg.solve(scaled, scale * (rhs - system @ found))
-        if error(better) >= error(found):
-            break
-        found = better
-    backward = error(found) / max(np.abs(system).sum(axis=1).max() * np.abs(found).max() + np.abs(rhs).max(), 1e-300)
-    if backward > 128 * len(system) * EPS:
-        raise ConditioningError("the residual is too large", backward_error=backward)
-    return found, backward
+    return densefactor.require_rank(matrix, agree=False).svd_rank
+
+
+null_space = densefactor.null_space
+
+
+def solve_dense(k: np.ndarray, p: np.ndarray, y: np.ndarray, options: SolveOptions = SolveOptions()) -> tuple[np.ndarray, float]:
+    """Weights and polynomial coefficients, and the backward error. Nothing is regularised unless the options say so: a
+    kernel matrix that is not positive definite where it should be, or a residual beyond 128 n eps, is an error."""
+    made = densefactor.solve(k, p, y, options)
+    return made.found, made.backward_error
 
 
 COEFFICIENTS = "field_id long, role string, idx int, value double, backward_error double"
 
 
-def fit(centers: DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None = None) -> DataFrame:
+def system_of(own: pd.DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None) -> tuple[np.ndarray, np.ndarray]:
+    """The kernel matrix and the polynomial's columns of one field's centers, in their order."""
+    x = own[axes(dimension)].to_numpy(float)
+    n, basis = len(x), polynomials.exponents(dimension, kernel.cpd_order)
+    k = np.empty((n, n))
+    step = max(1, BLOCK // max(1, n))
+    for at in range(0, n, step):
+        k[at : at + step] = jet(kernel, [x[at : at + step, i, None] - x[None, :, i] for i in range(dimension)], 0, anisotropy)["value"]
+    return k, np.stack([np.broadcast_to(polynomials.derivative(list(x.T), e), n) for e in basis], 1) if basis else np.empty((n, 0))
+
+
+def fit(centers: DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None = None, options: SolveOptions = SolveOptions()) -> DataFrame:
     """COEFFICIENTS of every field of centers (field_id, idx from 0 without gaps, x0 ..., y)."""
     require_centers(centers)
 
     def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("idx")
-        x = own[axes(dimension)].to_numpy(float)
-        n, basis = len(x), polynomials.exponents(dimension, kernel.cpd_order)
-        k = np.empty((n, n))
-        step = max(1, BLOCK // n)
-        for at in range(0, n, step):
-            k[at : at + step] = jet(kernel, [x[at : at + step, i, None] - x[None, :, i] for i in range(dimension)], 0, anisotropy)["value"]
-        p = np.stack([np.broadcast_to(polynomials.derivative(list(x.T), e), n) for e in basis], 1) if basis else np.empty((n, 0))
-        found, backward = solve_dense(k, p, own["y"].to_numpy(float))
+        k, p = system_of(own, kernel, dimension, anisotropy)
+        found, backward = solve_dense(k, p, own["y"].to_numpy(float), options)
+        n = len(own)
         roles = np.where(np.arange(len(found)) < n, "center", "poly")
         return pd.DataFrame({"field_id": key[0], "role": roles, "idx": np.where(roles == "center", np.arange(len(found)), np.arange(len(found)) - n), "value": found, "backward_error": backward})
 
     return centers.select("field_id", "idx", *axes(dimension), "y").groupBy("field_id").applyInPandas(solve, COEFFICIENTS)
 
 
+def fit_review(centers: DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None = None, options: SolveOptions = SolveOptions()) -> DataFrame:
+    """What a fit of each field would meet: field_id, condition of the system that is solved, its inertia (positive,
+    negative, zero; null for Cholesky factors), steps of refinement, backward_error."""
+    require_centers(centers)
+
+    def review(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("idx")
+        made = densefactor.solve(*system_of(own, kernel, dimension, anisotropy), own["y"].to_numpy(float), options)
+        signs = made.inertia or (None, None, None)
+        return pd.DataFrame({"field_id": [key[0]], "condition": [made.condition], **{n: pd.array([v], "Int64") for n, v in zip(("positive", "negative", "zero"), signs)}, "refinements": [made.refinements], "backward_error": [made.backward_error]})
+
+    return centers.select("field_id", "idx", *axes(dimension), "y").groupBy("field_id").applyInPandas(review, "field_id long, condition double, positive long, negative long, zero long, refinements long, backward_error double")
+
+
+def polynomial_ranks(centers: DataFrame, order: int, dimension: int) -> DataFrame:
+    """field_id, decision (full, deficient or ambiguous), svd_rank and qr_rank of each field's polynomial of degree below the
+    order at its centers."""
+
+    def review(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        x = [own[c].to_numpy(float) for c in axes(dimension)]
+        p = np.stack([np.broadcast_to(polynomials.derivative(x, e), len(own)) for e in polynomials.exponents(dimension, order)], 1)
+        made = densefactor.decide_rank(p)
+        return pd.DataFrame({"field_id": [key[0]], "decision": [made.decision], "svd_rank": [made.svd_rank], "qr_rank": [made.qr_rank]})
+
+    return centers.select("field_id", *axes(dimension)).groupBy("field_id").applyInPandas(review, "field_id long, decision string, svd_rank long, qr_rank long")
+
+
+def projected_energies(centers: DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None = None) -> DataFrame:
+    """field_id, nth, energy: eigenvalues, ascending, of each field's kernel matrix within the null space of its polynomial."""
+    require_centers(centers)
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        k, p = system_of(own.sort_values("idx"), kernel, dimension, anisotropy)
+        values = densefactor.energies(k, densefactor.null_space(p) if p.shape[1] else np.eye(len(k)))
+        return pd.DataFrame({"field_id": key[0], "nth": np.arange(len(values)), "energy": values})
+
+    return centers.select("field_id", "idx", *axes(dimension)).groupBy("field_id").applyInPandas(run, "field_id long, nth long, energy double")
+
+
 # -- fitted fields
 
 
@@ -177,10 +177,9 @@ class FittedField:
         """The derivatives that the centers themselves take of the kernel."""
         return 0
 
-    @property
-    def by_expressions(self) -> bool:
-        """Whether Spark evaluates the field as an expression."""
-        return len(self.centers) <= EXPRESSION_CENTERS
+    def by_expressions(self, order: int) -> bool:
+        """Whether Spark evaluates the field as an expression: few centers times results, or planning takes longer than work."""
+        return len(self.centers) * len(self.names(order)) <= EXPRESSION_CENTERS
 
     def _apart(self, x: np.ndarray) -> None:
         if len(self.centers) and (np.abs(x[:, None, :] - self.centers[None]).max(axis=2) == 0).any():
@@ -244,7 +243,7 @@ class FittedField:
         names = self.names(order, prefix)
         if set(names) & set(points.columns):
             raise InputError("the result's names are taken", names=sorted(set(names) & set(points.columns)))
-        if self.by_expressions and not apart:
+        if self.by_expressions(order) and not apart:
             made = self.expressions([F.col(c).cast("double") for c in columns], order)
             return points.select("*", *[m.alias(n) for m, n in zip(made, names)])
         shared = points.sparkSession.sparkContext.broadcast(self)  # at most MAX_CENTERS centers

@@ -157,8 +157,7 @@ class FunctionalField(FittedField):
     def center_derivatives(self) -> int:
         return int(self.derivative.any())
 
-    @property
-    def by_expressions(self) -> bool:
+    def by_expressions(self, order: int) -> bool:
         return False
 
     def numbers(self, x: np.ndarray, order: int = 0) -> np.ndarray:

@@ -820,6 +820,68 @@ def tune_gcv(spark, sf):
     return selection.gcv_scores(rows).select("cand", r6(F.col("score"), "score"))
 
 
+# -- dense factors, ranks and null spaces: a field for each nation
+
+
+def _by_nation(spark: SparkSession, sf: str, *axes: Column) -> DataFrame:
+    """field_id, idx, x0 ..., y: the customers of each nation along their numbers."""
+    idx = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    return P.table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("field_id"), idx.alias("idx"), *[a.alias(f"x{k}") for k, a in enumerate(axes)], (F.col("c_acctbal") / 1000).alias("y"))
+
+
+@query("fit_ldlt_inertia", "SELECT CAST(c_nationkey AS BIGINT) AS field_id, count(*) AS positive, CAST(3 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS zero FROM customer GROUP BY 1")
+def fit_ldlt_inertia(spark, sf):
+    """Systems with a linear polynomial, by indefinite factors: as many negative eigenvalues as the polynomial has terms."""
+    centers = _by_nation(spark, sf, F.col("c_custkey") / 100, F.col("c_acctbal") / 1000)
+    return fields.fit_review(centers, Kernel("phs", 3), 2).select("field_id", "positive", "negative", "zero")
+
+
+_SLOPES = """(SELECT CAST(c_nationkey AS BIGINT) AS field_id, row_number() OVER w - 1 AS idx,
+coalesce((lead(c_acctbal) OVER w - c_acctbal) / (lead(c_custkey) OVER w - c_custkey), 0) / 10 AS after, coalesce((c_acctbal - lag(c_acctbal) OVER w) / (c_custkey - lag(c_custkey) OVER w), 0) / 10 AS before
+FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))"""
+
+
+@query("fit_null_space_weights", f"SELECT field_id, idx, {s6('(before - after) / 1.994', 'w')} FROM {_SLOPES}")
+def fit_null_space_weights(spark, sf):
+    """The piecewise linear function through the balances, solved for within the null space of the constant: each weight is
+    half the fall of the slope at its center."""
+    made = fields.fit(_by_nation(spark, sf, F.col("c_custkey") / 100), Kernel("phs", 1), 1, options=fields.SolveOptions(route="null_space"))
+    return made.where("role = 'center'").select("field_id", F.col("idx").cast("long").alias("idx"), r6(F.col("value") / 0.997, "w"))
+
+
+@query("fit_augmented_weights", f"SELECT field_id, idx, {s6('(before - after) / 1.994', 'w')} FROM {_SLOPES}")
+def fit_augmented_weights(spark, sf):
+    """The same weights by the indefinite factor of the whole system."""
+    made = fields.fit(_by_nation(spark, sf, F.col("c_custkey") / 100), Kernel("phs", 1), 1)
+    return made.where("role = 'center'").select("field_id", F.col("idx").cast("long").alias("idx"), r6(F.col("value") / 0.997, "w"))
+
+
+@query("cpd_energies", f"SELECT CAST(a.c_nationkey AS BIGINT) AS field_id, CAST(count(DISTINCT a.c_custkey) - 1 AS BIGINT) AS terms, CAST(count(DISTINCT a.c_custkey) - 1 AS BIGINT) AS positive, round(sum(abs(a.c_custkey - b.c_custkey)) / 100 / count(DISTINCT a.c_custkey) / 0.997, 4) + 0.0 AS total FROM customer a JOIN customer b USING (c_nationkey) GROUP BY 1")
+def cpd_energies(spark, sf):
+    """Energies of -|x - y| within the null space of the constant: all positive, and their sum is that of all distances over
+    the number of centers."""
+    made = fields.projected_energies(_by_nation(spark, sf, F.col("c_custkey") / 100), Kernel("phs", 1), 1)
+    return made.groupBy("field_id").agg(F.count("*").alias("terms"), F.count_if(F.col("energy") > 0).alias("positive"), (F.round(F.sum("energy") / 0.997, 4) + 0.0).alias("total"))
+
+
+@query("cpd_rank", "SELECT CAST(c_nationkey AS BIGINT) AS field_id, CASE c_nationkey % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'deficient' ELSE 'ambiguous' END AS decision, CASE c_nationkey % 3 WHEN 0 THEN CAST(3 AS BIGINT) WHEN 1 THEN CAST(2 AS BIGINT) END AS svd_rank FROM customer GROUP BY 1, 2, 3")
+def cpd_rank(spark, sf):
+    """Linear polynomials at customers' places: in the plane, on a line, and off a line by about the rank's threshold."""
+    own = Window.partitionBy("c_nationkey")
+    x, third = F.col("c_custkey") / 100, F.col("c_nationkey") % 3
+    off = F.max(x).over(own) * F.count("*").over(own) * (1.8 * 2.0**-52) * F.when(F.col("c_custkey") % 2 == 0, 1.0).otherwise(-1.0)
+    centers = _by_nation(spark, sf, x, F.when(third == 0, F.col("c_acctbal") / 1000).when(third == 1, x).otherwise(x + off))
+    made = fields.polynomial_ranks(centers, 2, 2)
+    return made.select("field_id", "decision", F.when(F.col("decision") != "ambiguous", F.col("svd_rank")).alias("svd_rank"))
+
+
+@query("fit_regularized_isolated", f"SELECT CAST(0 AS BIGINT) AS field_id, idx, {s6('y / 1.25', 'w')} FROM (SELECT row_number() OVER (ORDER BY x0) - 1 AS idx, y FROM {PTS1})")
+def fit_regularized_isolated(spark, sf):
+    """Centers out of each other's reach and a quarter on the diagonal, as an option asks."""
+    made = fields.fit(P.pts1(spark, sf), Kernel("wendland_c2", 0.9), 1, options=fields.SolveOptions(regularization=0.25, condition_limit=10.0))
+    return made.select("field_id", F.col("idx").cast("long").alias("idx"), r6(F.col("value"), "w"))
+
+
 # -- constraints: one row for each line item, its discount and tax the coefficients of two variables
 
 

@@ -5,10 +5,11 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from fieldspark.errors import ConditioningError, MemoryLimitError
+from fieldspark.errors import ConditioningError, InputError, MemoryLimitError, RankError
 from fieldspark.functions import exact
 from fieldspark.functions.kernels import Kernel
-from fieldspark.operators import sparsefactor
+from fieldspark.operators import densefactor, fields, sparsefactor
+from fieldspark.operators.densefactor import SolveOptions
 
 
 def test_sums_of_products_are_exact_whatever_the_scale():
@@ -78,3 +79,77 @@ def test_indefinite_and_singular_systems_are_refused(spark):
     for matrix in (rows((0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 1.0)), rows((0, 0, 1.0)), rows((0, 0, 1.0), (1, 1, -1.0))):
         with pytest.raises(Exception, match=ConditioningError.__name__):
             sparsefactor.solve_factored(matrix, rhs).collect()
+
+
+def test_indefinite_factors():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 8, 40):
+        for empty_diagonal in (False, True):
+            a = rng.standard_normal((n, n))
+            a = a + a.T
+            if empty_diagonal and n > 1:
+                np.fill_diagonal(a, 0.0)
+            factor = densefactor.ldlt(a)
+            d, at = np.zeros((n, n)), 0
+            for block in factor.blocks:
+                d[at : at + len(block), at : at + len(block)] = block
+                at += len(block)
+            assert np.allclose(factor.lower @ d @ factor.lower.T, a[np.ix_(factor.order, factor.order)])
+            values = np.linalg.eigvalsh(a)
+            assert factor.inertia() == ((values > 0).sum(), (values < 0).sum(), 0)
+            b = rng.standard_normal(n)
+            assert np.allclose(factor.solve(b), np.linalg.solve(a, b))
+    assert any(len(b) == 2 for b in densefactor.ldlt(np.array([[0.0, 1.0], [1.0, 0.0]])).blocks)
+    assert densefactor.ldlt(np.zeros((2, 2))).inertia() == (0, 0, 2)
+
+
+def test_ranks_by_two_methods():
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((30, 4))
+    assert densefactor.decide_rank(a).decision == "full"
+    assert np.allclose(densefactor.pivoted_diagonal(a).prod(), np.prod(np.linalg.svd(a)[1]))
+    a[:, 3] = a[:, 0]
+    review = densefactor.decide_rank(a)
+    assert (review.decision, review.svd_rank, review.qr_rank) == ("deficient", 3, 3)
+    a[:, 3] += rng.standard_normal(30) * review.threshold / 4
+    assert densefactor.decide_rank(a).decision == "ambiguous"
+    with pytest.raises(RankError):
+        densefactor.null_space(a)
+
+
+def test_null_space_and_augmented_routes_agree():
+    rng = np.random.default_rng(5)
+    x = rng.random((40, 2))
+    r = np.linalg.norm(x[:, None] - x[None], axis=2)
+    k, p, y = r**3, np.column_stack([np.ones(40), x]), rng.standard_normal(40)
+    one, other = (densefactor.solve(k, p, y, SolveOptions(route=route)) for route in ("augmented", "null_space"))
+    assert one.inertia == (40, 3, 0) and other.inertia is None
+    assert one.found == pytest.approx(other.found, rel=1e-8)
+    z = densefactor.null_space(p)
+    assert exact.gram_defect(p, z) < 1e-14 and exact.gram_defect(z, z) < 1e-14
+    assert (densefactor.energies(k, z) > 0).all()
+    with pytest.raises(ConditioningError):
+        densefactor.solve(-k, p, y)
+    with pytest.raises(InputError):
+        densefactor.energies(k + np.triu(np.ones((40, 40)), 1), z)
+    with pytest.raises(InputError):
+        densefactor.solve(k, p, y, SolveOptions(factorization="cholesky"))
+
+
+def test_options():
+    k, y, none = np.array([[2.0, 1.0], [1.0, 2.0]]), np.array([3.0, 4.0]), np.zeros((2, 0))
+    assert densefactor.solve(k, none, y, SolveOptions(regularization=1.0)).found == pytest.approx(np.linalg.solve(k + np.eye(2), y))
+    assert densefactor.solve(k, none, y, SolveOptions(factorization="ldlt")).inertia == (2, 0, 0)
+    for options, error in ((SolveOptions(condition_limit=2.9), ConditioningError), (SolveOptions(memory_limit=100), MemoryLimitError), (SolveOptions(regularization=1e-30), InputError)):
+        with pytest.raises(error):
+            densefactor.solve(k, none, y, options)
+    with pytest.raises(InputError):
+        SolveOptions(factorization="lu")
+
+
+def test_few_centers_are_expressions(spark):
+    field = fields.FittedField(Kernel("gaussian", 1.5), np.array([[0.0, 1.0], [2.0, 0.5]]), np.array([1.0, -2.0]), np.empty(0))
+    assert field.by_expressions(2) and not field.by_expressions(2) == fields.FittedField(Kernel("gaussian", 1.5), np.zeros((5, 2)), np.zeros(5), np.empty(0)).by_expressions(2)
+    points = spark.createDataFrame([(0.3, 0.4)], "x0 double, x1 double")
+    found = field.evaluate(points, order=2).first()
+    assert [found[n] for n in field.names(2)] == pytest.approx(field.numbers(np.array([[0.3, 0.4]]), 2)[0].tolist())
