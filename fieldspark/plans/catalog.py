@@ -1144,6 +1144,16 @@ def levels_gauge(spark, sf):
     return levels.loose_components(_levels(spark, sf), _orders(spark, sf))
 
 
+@query(
+    "levels_gauge_members",
+    f"WITH g AS (SELECT *, bool_or(k % 2 = 1) OVER (PARTITION BY g) AS joined FROM {_LEVELS}), c AS (SELECT *, CASE WHEN joined THEN -1 ELSE g END AS part FROM g) SELECT min(id) AS component, count(*) AS levels FROM c GROUP BY part HAVING bool_and(k % 3 <> 0)",
+)
+def levels_gauge_members(spark, sf):
+    """Odd lines' levels have members: the field connects their orders, so one fixed value among them holds all."""
+    known = _levels(spark, sf)
+    return levels.loose_components(known, _orders(spark, sf), known.where("level_id % 8 % 2 = 1"))
+
+
 @query("levels_fixed_conflicts", f"WITH h AS (SELECT id, k, g, sum(k * 0.25) OVER (PARTITION BY g ORDER BY k) AS s FROM {_LEVELS}) SELECT a.id AS lower_id, b.id AS upper_id, b.s - a.s AS least, (b.k - a.k) * 0.5 AS difference FROM h a JOIN h b ON a.g = b.g AND a.k < b.k AND a.k % 3 = 0 AND b.k % 3 = 0 WHERE (b.k - a.k) * 0.5 < b.s - a.s")
 def levels_fixed_conflicts(spark, sf):
     return levels.fixed_conflicts(_levels(spark, sf), _orders(spark, sf))
@@ -1165,9 +1175,9 @@ def levels_closure(spark, sf):
 
 @query(
     "levels_closure_conflicts",
-    f"WITH m AS (SELECT *, min(id) OVER (PARTITION BY x0, x1) AS c, lag(k) OVER (PARTITION BY g ORDER BY k) AS before FROM {_MEMBERS}) "
+    f"WITH m AS (SELECT *, min(id) OVER (PARTITION BY x0, x1) AS c FROM {_MEMBERS}) "
     "SELECT c AS closure, 'fixed' AS problem, min(k * 0.5) AS lower, max(k * 0.5) AS upper FROM m WHERE k % 3 = 0 GROUP BY c HAVING min(k) < max(k) "
-    "UNION ALL SELECT c, 'order', 0.0, max(k * 0.25) FROM m WHERE (k - before) % 2 = 0 GROUP BY c",
+    "UNION ALL SELECT c, 'order', 0.0, max(s) - min(s) FROM (SELECT *, sum(k * 0.25) OVER (PARTITION BY g ORDER BY k) AS s FROM m) GROUP BY c HAVING count(*) > 1",
 )
 def levels_closure_conflicts(spark, sf):
     return levels.closure_conflicts(_levels(spark, sf), _members(spark, sf), _orders(spark, sf), ["x0", "x1"])

@@ -160,7 +160,7 @@ def test_cones_and_certificates(spark):
 def test_levels(spark):
     given = spark.createDataFrame([(10, 0, "fixed", 0.0, None), (20, 1, "unknown", None, None), (30, 2, "prior", None, 2.0)], "level_id long, ord int, kind string, value double, mean double")
     orders = spark.createDataFrame([(10, 20, 0.5), (20, 30, 0.75)], "lower_id long, upper_id long, min_gap double")
-    members = spark.createDataFrame([(10, 1)], "level_id long, obs_id long")
+    members = spark.createDataFrame([(10, 1), (20, 2), (30, 3)], "level_id long, obs_id long")
     levels.validate(given, members, orders)
     assert {r.level_id: r.height for r in levels.topological_depth(given, orders).collect()} == {10: 0.0, 20: 0.5, 30: 1.25}
     with pytest.raises(errors.InfeasibleError):
