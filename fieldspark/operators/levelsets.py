@@ -76,6 +76,51 @@ def level_points(spark: SparkSession, f: Numbers, level: float, low: float, high
     return made if slope is not None else made.drop("slope")
 
 
+def level_stretches(spark: SparkSession, f: Numbers, level: float, low: float, high: float, intervals: int, tolerance: float = 1e-10, width: float = 1e-12, steps: int = 100) -> DataFrame:
+    """x, until: maximal stretches of a line on which f keeps the level within the tolerance: neighbouring nodes that have it,
+    as f has between them, taken together, with their ends refined to the width towards the next nodes that do not."""
+    if not low < high or intervals < 1 or not tolerance > 0 or not width > 0 or steps < 1:
+        raise InputError("need low < high, an interval, a step and positive tolerances")
+    step = (high - low) / intervals
+    nodes = spark.range(intervals + 1).select("id", F.when(F.col("id") == intervals, high).otherwise(F.lit(low) + F.col("id") * step).alias("x"))
+    inner = [0.25, 0.5, 0.75]
+    flat = lambda x: (np.abs(f([x]) - level) <= tolerance).astype(float)
+    valued = _mapped(nodes, ["x"], lambda x: [flat(x[0]), np.minimum.reduce([flat(np.minimum(x[0] + step * t, high)) for t in (0.0, *inner, 1.0)])], ["has", "keeps"])
+    valued = checkpointed(valued.withColumn("keeps", F.when(F.col("id") == intervals, 0.0).otherwise(F.col("keeps"))))
+    # A stretch is a run of intervals that keep the level: islands by a running count, one number a node.
+    w = Window.orderBy("id")  # as many rows as nodes were asked for
+    runs = valued.where("keeps = 1").withColumn("island", F.col("id") - F.row_number().over(w))
+    spans = runs.groupBy("island").agg(F.min("id").alias("first"), (F.max("id") + 1).alias("last"))
+    at = lambda name, k: nodes.select(F.col("id").alias(name), F.col("x").alias(k))
+    ends = spans.join(at("first", "a"), "first").join(at("last", "b"), "last").select("a", "b")
+
+    def refined(x: list[np.ndarray]) -> list[np.ndarray]:
+        made = []
+        for inside, sign, stop in ((x[0], -1.0, low), (x[1], 1.0, high)):
+            good, bad = inside.copy(), np.clip(inside + sign * step, low, high)
+            same = flat(bad) == 1  # the rectangle's end, or a neighbour that has the level again beyond a gap
+            good = np.where(same & (bad == stop), bad, good)
+            for _ in range(steps):
+                middle = (good + bad) / 2
+                keeps = flat(middle) == 1
+                open_ = np.abs(bad - good) > width
+                good, bad = np.where(open_ & keeps, middle, good), np.where(open_ & ~keeps, middle, bad)
+            made.append(good)
+        return made
+
+    return _mapped(ends, ["a", "b"], refined, ["x", "until"]).select("x", "until")
+
+
+def level_set(spark: SparkSession, f: Numbers, level: float, low: float, high: float, intervals: int, tolerance: float = 1e-10, steps: int = 100, slope: Numbers | None = None, width: float = 1e-12) -> DataFrame:
+    """x, until, kind: the whole level set on a line: stretches (kind interval) and the points of ``level_points`` outside of
+    them, whose until is null."""
+    points = level_points(spark, f, level, low, high, intervals, tolerance, steps, slope, width).select("x", "kind")
+    stretches = checkpointed(level_stretches(spark, f, level, low, high, intervals, tolerance, width, steps))
+    near = F.lit(2 * width + (high - low) * 1e-12)
+    covered = points.join(F.broadcast(stretches.select(F.col("x").alias("from"), "until")), (F.col("x") >= F.col("from") - near) & (F.col("x") <= F.col("until") + near), "left_anti")  # as many stretches as intervals at most
+    return stretches.select("x", "until", F.lit("interval").alias("kind")).union(covered.select("x", F.lit(None).cast("double").alias("until"), "kind"))
+
+
 # -- lines
 
 
@@ -127,7 +172,8 @@ def edge_crossings(nodes: DataFrame, f: Numbers, level: float, tolerance: float
 def segments(nodes: DataFrame, vertices: DataFrame, method: str = "squares") -> DataFrame:
     """i, j, a, b, ax, ay, bx, by: the segments of cell (i, j) between its sides' vertices. squares: a cell with four different
     vertices is decided by its bilinear saddle, where that is 0 by its center, and at last in favour of the positive corners:
-    those that share the decider's sign are connected. simplices: the cell is two triangles on either side of its diagonal."""
+    those that share the decider's sign are connected. simplices: the cell is two triangles on either side of its diagonal.
+    A cell with three different vertices, as where the level runs through a corner and two sides, is an error."""
     if method not in ("squares", "simplices"):
         raise InputError("no such method", method=method)
     n = F.col("side")
@@ -140,6 +186,9 @@ def segments(nodes: DataFrame, vertices: DataFrame, method: str = "squares") ->
     last = nodes.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
     cells = cells.where(F.col("i").between(0, last["i"] - 1) & F.col("j").between(0, last["j"] - 1)).withColumn("different", F.size(F.array_distinct(F.transform("v", lambda e: e["vid"]))))
     corner = lambda di, dj, name: nodes.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("g").alias(name))
+    three = cells.where("different = 3").first()
+    if three is not None:
+        raise InputError("the level enters a cell at three places", i=three["i"], j=three["j"])
     four = cells.where("different = 4")
     for di, dj, name in ((0, 0, "ll"), (1, 0, "lr"), (1, 1, "ur"), (0, 1, "ul")):
         four = four.join(corner(di, dj, name), ["i", "j"])
@@ -201,6 +250,16 @@ def polylines(drawn: DataFrame) -> DataFrame:
     return listed.join(spots, "vid").select("line", "seq", "vid", "at.x", "at.y", "closed")
 
 
+def isolines(nodes: DataFrame, vertices: DataFrame, method: str = "squares") -> DataFrame:
+    """``polylines`` of ``segments``, where every open line must end on the rectangle's sides: one that ends within is an error."""
+    lines = checkpointed(polylines(segments(nodes, vertices, method)))
+    ends = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    loose = open_inside(lines, lines.where(F.col("x").isin(ends[0], ends[1]) | F.col("y").isin(ends[2], ends[3])).select("vid").distinct()).first()
+    if loose is not None:
+        raise InputError("a line ends within the rectangle", line=loose["line"], vertex=loose["vid"])
+    return lines
+
+
 def line_summary(lines: DataFrame) -> DataFrame:
     """line, vertices, segments, closed of each line."""
     return lines.groupBy("line").agg(F.count("*").alias("vertices"), F.bool_and("closed").alias("closed")).select("line", "vertices", (F.col("vertices") - F.when(F.col("closed"), 0).otherwise(1)).alias("segments"), "closed")

@@ -35,18 +35,27 @@ def numbered(rows: DataFrame, keys: Sequence[str], name: str = "nth", within: st
 
 
 def quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
-    """Quantiles of the column's values that are not null, by linear interpolation between ranks (type 7): only the rows at
-    those ranks come to the driver. None without values."""
-    values = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    ranked = checkpointed(numbered(values, ["v"]))
-    n = ranked.count()
-    if not n:
+    """Quantiles of the column's values that are not null, by linear interpolation between ranks (type 7): only the values at
+    those ranks come to the driver. None without values. Equal values are counted before they are dealt by ranges, so a
+    value that most rows have is one row there."""
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    parted = checkpointed(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    starts, total = [], 0
+    for part, n in sorted(map(tuple, parted.groupBy("part").agg(F.sum("n")).collect())):
+        starts.append((part, total))
+        total += n
+    if not total:
         return [None for _ in shares]
-    places = [(n - 1) * p for p in shares]
-    wanted = sorted({k for p in places for k in (floor(p), min(floor(p) + 1, n - 1))})
-    found = {r["nth"]: r["v"] for r in ranked.where(F.col("nth").isin(wanted)).collect()}
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long"))  # a row for each range
+    until = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = parted.join(start, "part").select("v", "n", until.alias("until"))
+    places = [(total - 1) * p for p in shares]
+    wanted = sorted({k for p in places for k in (floor(p), min(floor(p) + 1, total - 1))})
+    holds = F.exists(F.array(*[F.lit(k).cast("long") for k in wanted]), lambda k: (k < F.col("until")) & (k >= F.col("until") - F.col("n")))
+    found = sorted((r["until"], r["v"]) for r in ranked.where(holds).collect())
+    at = {k: next(v for until, v in found if k < until) for k in wanted}
     made = []
     for p in places:
-        low, high = found[floor(p)], found[min(floor(p) + 1, n - 1)]
+        low, high = at[floor(p)], at[min(floor(p) + 1, total - 1)]
         made.append(low + (high - low) * (p - floor(p)))
     return made

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.errors import InputError, MemoryLimitError
-from fieldspark.functions.kernels import Kernel
+from fieldspark.functions.kernels import Anisotropy, Kernel
 from fieldspark.functions.mixing import INCREMENT, plain, splitmix64, times, unsigned_order
 from fieldspark.operators import ranking
-from fieldspark.operators.fields import MAX_CENTERS, axes, fit, kernel_pairs
+from fieldspark.operators.fields import MAX_CENTERS, FittedField, axes, fit, kernel_pairs, solve_dense, system_of
 from fieldspark.sessions import checkpointed
 
 
@@ -179,20 +179,59 @@ def power_scores(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("cand").agg(F.max("max_sq_power").alias("score"))
 
 
-def evaluated(candidates: DataFrame, folded: DataFrame, error: Callable[[pd.DataFrame, dict], tuple[float, float]], parameters: Sequence[str]) -> DataFrame:
-    """cand, fold, weighted_squared_error, weight: ``error`` of the rows of each fold under each candidate's parameters, a task
-    for a candidate and fold. candidates is a small table; folds are what the caller made them."""
+def _few(candidates: DataFrame, parameters: Sequence[str]) -> list[dict]:
     few = candidates.select("cand", *parameters).limit(MAX_CENTERS + 1).collect()
     if len(few) > MAX_CENTERS:
         raise MemoryLimitError("too many candidates", limit=MAX_CENTERS)
-    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in c.asDict().items()]) for c in few]))  # every row under every candidate
-    pairs = folded.select("*", each.alias("__c")).select(*folded.columns, "__c.*")
+    return [c.asDict() for c in few]
+
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        e, w = error(rows, {p: rows[p].iloc[0] for p in parameters})
-        return pd.DataFrame({"cand": [key[0]], "fold": [key[1]], "weighted_squared_error": [float(e)], "weight": [float(w)]})
+_EVIDENCE = "cand int, fold int, weighted_squared_error double, weight double"
 
-    return pairs.groupBy("cand", "fold").applyInPandas(run, "cand int, fold int, weighted_squared_error double, weight double")
+
+def evaluated(candidates: DataFrame, folded: DataFrame, error: Callable[[pd.DataFrame, dict], tuple[float, float]], parameters: Sequence[str]) -> DataFrame:
+    """cand, fold, weighted_squared_error, weight: ``error`` of the rows of each fold under each candidate's parameters. It must
+    be a sum over rows and a sum of weights, for it is computed for the rows of a batch at a time and added up: neither
+    rows nor folds are gathered or repeated. candidates is a small table; folds are what the caller made them."""
+    few = _few(candidates, parameters)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [(c["cand"], fold, *map(float, error(own, {p: c[p] for p in parameters}))) for fold, own in rows.groupby("fold") for c in few]
+            yield pd.DataFrame(made, columns=["cand", "fold", "weighted_squared_error", "weight"])
+
+    parts = folded.mapInPandas(run, _EVIDENCE)
+    return parts.groupBy("cand", "fold").agg(F.sum("weighted_squared_error").alias("weighted_squared_error"), F.sum("weight").alias("weight"))
+
+
+def cross_validated(candidates: DataFrame, folded: DataFrame, dimension: int, kernel: Callable[[dict], Kernel], parameters: Sequence[str], anisotropy: Callable[[dict], Anisotropy | None] | None = None) -> DataFrame:
+    """cand, fold, weighted_squared_error, weight of points (idx, x0 ..., y, fold and optionally weight): for each candidate
+    and fold a field is fitted to the points of all other folds, with the kernel (and anisotropy) that the candidate's
+    parameters give, and its squared errors at the fold's own points are added up. Each is a task of at most MAX_CENTERS
+    points, which is checked; a fit that fails is an error."""
+    few, x = _few(candidates, parameters), axes(dimension)
+    n = folded.count()
+    if n > MAX_CENTERS:
+        raise MemoryLimitError("too many points for dense fits", points=n, limit=MAX_CENTERS)
+    numbers = sorted(r["fold"] for r in folded.select("fold").distinct().collect())  # no more than points
+    weight = F.col("weight") if "weight" in folded.columns else F.lit(1.0)
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("__nth"), F.lit(f).alias("__fold")) for k in range(len(few)) for f in numbers])).alias("t")
+    spread = folded.select("idx", *x, "y", "fold", weight.cast("double").alias("weight"), every).select("*", "t.*").drop("t")
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        c = few[key[0]]
+        own = own.sort_values("idx")
+        held = (own["fold"] == key[1]).to_numpy()
+        parts, shape = {p: c[p] for p in parameters}, anisotropy
+        k, a = kernel(parts), shape(parts) if shape else None
+        found, _ = solve_dense(*system_of(own[~held], k, dimension, a), own.loc[~held, "y"].to_numpy(float))
+        m = int((~held).sum())
+        field = FittedField(k, own.loc[~held, x].to_numpy(float), found[:m], found[m:], a)
+        miss = field.numbers(own.loc[held, x].to_numpy(float))[:, 0] - own.loc[held, "y"].to_numpy(float)
+        w = own.loc[held, "weight"].to_numpy(float)
+        return pd.DataFrame({"cand": [c["cand"]], "fold": [key[1]], "weighted_squared_error": [float(w @ miss**2)], "weight": [float(w.sum())]})
+
+    return spread.groupBy("__nth", "__fold").applyInPandas(run, _EVIDENCE)
 
 
 def distance_scores(median: float, candidates: DataFrame, names: Sequence[str]) -> DataFrame:

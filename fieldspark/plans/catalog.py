@@ -795,6 +795,23 @@ def tune_power(spark, sf):
     return selection.power_scores(P.table(spark, sf, "customer").select(F.col("c_nationkey").alias("cand"), F.abs("c_acctbal").alias("max_sq_power"), F.lit(1).cast("long").alias("samples")))
 
 
+_BRIDGE = "CASE WHEN before IS NULL THEN yb * exp(-(after - x0) / l) WHEN after IS NULL THEN ya * exp(-(x0 - before) / l) ELSE (ya * (exp((after - x0) / l) - exp(-(after - x0) / l)) + yb * (exp((x0 - before) / l) - exp(-(x0 - before) / l))) / (exp((after - before) / l) - exp(-(after - before) / l)) END"
+
+
+@query(
+    "tune_fitted",
+    f"WITH p AS (SELECT *, (row_number() OVER w - 1) % 3 AS fold, lag(x0) OVER w AS before, lead(x0) OVER w AS after, lag(y) OVER w AS ya, lead(y) OVER w AS yb FROM {PTS1} WINDOW w AS (ORDER BY x0)), "
+    f"m AS (SELECT cand, fold, {_BRIDGE} - y AS miss FROM p CROSS JOIN (VALUES (0, 0.5), (1, 1.0), (2, 2.0), (3, 4.0)) c(cand, l)) SELECT cand, CAST(fold AS INTEGER) AS fold, {s6('sum(miss * miss)', 'weighted_squared_error')}, CAST(count(*) AS DOUBLE) AS weight FROM m GROUP BY 1, 2",
+)
+def tune_fitted(spark, sf):
+    """Exponential kernels of four lengths, each fitted without a third of the sizes: between its neighbours a left-out price
+    is foretold by the two alone."""
+    points = P.pts1(spark, sf).withColumn("fold", (F.col("idx") % 3).cast("int"))
+    candidates = spark.createDataFrame([(k, 0.5 * 2**k) for k in range(4)], "cand int, length double")
+    made = selection.cross_validated(candidates, points, 1, lambda c: Kernel("matern12", c["length"]), ["length"])
+    return made.select("cand", "fold", r6(F.col("weighted_squared_error"), "weighted_squared_error"), "weight")
+
+
 @query("tune_evaluated", f"SELECT cand, fold, round(e, 3) + 0.0 AS weighted_squared_error, round(w, 3) + 0.0 AS weight FROM ({_EVIDENCE})")
 def tune_evaluated(spark, sf):
     """The same evidence by an evaluator of each region's customers under each candidate."""
@@ -1215,6 +1232,24 @@ def level_points_segments(spark, sf):
 _MEAN = "(SELECT avg(x0) / 10 AS m FROM " + PTS1 + ")"
 
 
+_STEPS = f"(SELECT x0, floor(20 * y) AS y, row_number() OVER (ORDER BY x0) AS k FROM {PTS1})"
+
+
+@query(
+    "level_stretches",
+    f"WITH m AS (SELECT min(y) AS m FROM {_STEPS}), h AS (SELECT x0, k, k - row_number() OVER (ORDER BY k) AS island FROM {_STEPS}, m WHERE y = m), i AS (SELECT min(x0) AS x, max(x0) AS until, count(*) AS n FROM h GROUP BY island), e AS (SELECT min(x0) AS low, max(x0) AS high FROM {_STEPS}) "
+    f"SELECT {s6('x', 'x')}, CASE WHEN n > 1 THEN round(until, 6) + 0.0 END AS until, CASE WHEN n > 1 THEN 'interval' WHEN x = low OR x = high THEN 'boundary' ELSE 'crossing' END AS kind FROM i, e",
+)
+def level_stretches(spark, sf):
+    """The lowest level of the piecewise linear function through whole numbers: stretches where neighbours have it, else points."""
+    steps = P.pts1(spark, sf).withColumn("y", F.floor(20 * F.col("y")).cast("double")).persist()
+    field = fields.fit_field(steps, Kernel("phs", 1), 1)
+    least, low, high = steps.agg(F.min("y"), F.min("x0"), F.max("x0")).first()
+    steps.unpersist()
+    found = levelsets.level_set(spark, field.function(), least, low, high, int(high - low), tolerance=1e-9, width=1e-8)
+    return found.select(r6(F.col("x"), "x"), (F.round("until", 6) + 0.0).alias("until"), "kind")
+
+
 @query("level_points_stationary", f"SELECT level, {s6('m + t', 'x')}, CASE WHEN t = 0 THEN 'stationary' ELSE 'crossing' END AS kind, {s6('2 * t', 'slope')} FROM {_MEAN} CROSS JOIN (VALUES (0.0, 0.0), (1.0, -1.0), (1.0, 1.0)) v(level, t)")
 def level_points_stationary(spark, sf):
     """(x - m)^2 through the sizes' places: it touches 0 at their mean m and crosses 1 on either side of it."""
@@ -1267,7 +1302,7 @@ def iso_edges(spark, sf):
 def _circle_lines(spark: SparkSession, sf: str, method: str) -> DataFrame:
     field, nodes = _circle_nodes(spark, sf)
     vertices = levelsets.edge_crossings(nodes, field.function(), 0.81, diagonals=method == "simplices")
-    return levelsets.polylines(levelsets.segments(nodes, vertices, method))
+    return levelsets.isolines(nodes, vertices, method)
 
 
 @query("iso_polylines", f"SELECT count(*) AS vertices, count(*) AS segments, true AS closed FROM {_SIDES}")

@@ -7,12 +7,15 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.errors import InputError, VersionError
+from fieldspark.errors import InputError, MemoryLimitError, VersionError
 from fieldspark.functions.geometry import require_finite
 from fieldspark.functions.kernels import Anisotropy, Kernel
 from fieldspark.operators.fields import MAX_CENTERS, FittedField, axes
+from fieldspark.operators.functionals import FunctionalField
 
-VERSION = 1
+VERSION = 2
+#: A field's terms (several for each functional) and its polynomial.
+MAX_ROWS = 8 * MAX_CENTERS
 
 
 def point_schema(dimension: int, value: bool = True) -> str:
@@ -38,25 +41,34 @@ def write_points(points: DataFrame, path: str, format: str = "parquet") -> None:
 
 
 def write_field(spark: SparkSession, field: FittedField, path: str) -> None:
-    """A row for the definition, one for each center and one for each polynomial coefficient, in their order."""
-    definition = json.dumps({"version": VERSION, "family": field.kernel.family, "parameter": field.kernel.parameter, "anisotropy": field.anisotropy and field.anisotropy.matrix})
-    rows = [("definition", 0, None, None, definition)]
-    rows += [("center", i, [float(c) for c in x], float(w), None) for i, (x, w) in enumerate(zip(field.centers, field.weights))]
-    rows += [("polynomial", i, None, float(c), None) for i, c in enumerate(field.polynomial)]
-    spark.createDataFrame(rows, "role string, idx int, x array<double>, value double, definition string").coalesce(1).write.parquet(path)
+    """A row for the definition, one for each center and one for each polynomial coefficient, in their order. The centers of
+    a field of functionals are its terms, with a direction where they are derivatives."""
+    functional = isinstance(field, FunctionalField)
+    definition = json.dumps({"version": VERSION, "family": field.kernel.family, "parameter": field.kernel.parameter, "anisotropy": field.anisotropy and field.anisotropy.matrix, "functionals": functional, "dimension": field.dimension})
+    rows = [("definition", 0, None, None, definition, None)]
+    ways = [[float(u) for u in way] if slope else None for way, slope in zip(field.directions, field.derivative)] if functional else [None] * len(field.centers)
+    rows += [("center", i, [float(c) for c in x], float(w), None, way) for i, (x, w, way) in enumerate(zip(field.centers, field.weights, ways))]
+    rows += [("polynomial", i, None, float(c), None, None) for i, c in enumerate(field.polynomial)]
+    spark.createDataFrame(rows, "role string, idx int, x array<double>, value double, definition string, direction array<double>").coalesce(1).write.parquet(path)
 
 
 def read_field(spark: SparkSession, path: str) -> FittedField:
-    rows = spark.read.parquet(path).orderBy("role", "idx").limit(2 * MAX_CENTERS).collect()
+    """The field as it was written: a plain one, or one of functionals. One of another version is an error, and so is one with
+    more rows than a field can have."""
+    rows = spark.read.parquet(path).orderBy("role", "idx").limit(MAX_ROWS + 1).collect()
+    if len(rows) > MAX_ROWS:
+        raise MemoryLimitError("the field has too many rows", limit=MAX_ROWS)
     definition = json.loads(next(r.definition for r in rows if r.role == "definition"))
     if definition["version"] != VERSION:
         raise VersionError("the field was written by another version", version=definition["version"])
-    of = lambda role: [r for r in rows if r.role == role]
-    a = definition["anisotropy"]
-    return FittedField(
-        Kernel(definition["family"], definition["parameter"]),
-        np.array([r.x for r in of("center")]),
-        np.array([r.value for r in of("center")]),
-        np.array([r.value for r in of("polynomial")]),
-        a and Anisotropy(tuple(map(tuple, a))),
-    )
+    centers, polynomial = ([r for r in rows if r.role == role] for role in ("center", "polynomial"))
+    a, dimension = definition["anisotropy"], definition["dimension"]
+    parts = (
+        Kernel(definition["family"], definition["parameter"]), np.array([r.x for r in centers], float).reshape(-1, dimension),
+        np.array([r.value for r in centers]), np.array([r.value for r in polynomial]), a and Anisotropy(tuple(map(tuple, a))),
+    )
+    if not definition["functionals"]:
+        return FittedField(*parts)
+    derivative = np.array([r.direction is not None for r in centers], bool)
+    directions = np.array([r.direction or [0.0] * dimension for r in centers], float).reshape(-1, dimension)
+    return FunctionalField(*parts, directions=directions, derivative=derivative)
