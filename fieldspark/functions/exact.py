@@ -77,3 +77,72 @@ def backward_error(residual: np.ndarray, row_sums: np.ndarray, x: np.ndarray, b:
     size = float(row_sums.max(initial=0) * np.abs(x).max(initial=0) + np.abs(b).max(initial=0))
     worst = float(np.abs(residual).max(initial=0))
     return worst if worst == 0 else worst / max(size, np.finfo(float).tiny)
+
+
+# -- small symmetric matrices
+
+
+def _whole_entries(matrix: np.ndarray) -> list[list[int]]:
+    """The entries times one power of two that makes all of them whole."""
+    parts = [[Fraction(float(v)) for v in row] for row in matrix]
+    common = max(f.denominator for row in parts for f in row)  # powers of two
+    return [[int(f * common) for f in row] for row in parts]
+
+
+def leading_signs(matrix: np.ndarray) -> list[int]:
+    """The signs of a square matrix's leading minors, exactly: elimination without fractions, whose every quotient is whole."""
+    a, signs, before = _whole_entries(matrix), [], 1
+    for k in range(len(a)):
+        signs.append((a[k][k] > 0) - (a[k][k] < 0))
+        if not a[k][k]:
+            return signs + [0] * (len(a) - len(signs)) if len(signs) < len(a) else signs
+        for i in range(k + 1, len(a)):
+            for j in range(k + 1, len(a)):
+                a[i][j] = (a[i][j] * a[k][k] - a[i][k] * a[k][j]) // before
+        before = a[k][k]
+    return signs
+
+
+def definite(matrices: np.ndarray) -> np.ndarray:
+    """Whether each symmetric matrix (n, d, d) is positive definite. Minors in doubles decide where they are beyond their
+    rounding error; the others are decided exactly, a matrix at a time."""
+    n, d = matrices.shape[:2]
+    finite = np.isfinite(matrices).all((1, 2))
+    good, sure = finite.copy(), np.ones(n, bool)
+    scaled = np.where(finite[:, None, None], matrices, 0.0)
+    top = np.abs(scaled).max((1, 2), initial=0.0)
+    scaled = scaled / np.where(top > 0, top, 1.0)[:, None, None]
+    for k in range(1, d + 1):
+        minor = np.linalg.det(scaled[:, :k, :k])
+        sure &= (np.abs(minor) > 64 * k * np.finfo(float).eps) & ((top > 1e-250) & (top < 1e250))
+        good &= minor > 0
+    for i in np.flatnonzero(finite & ~sure):
+        good[i] = all(s > 0 for s in leading_signs(matrices[i]))
+    return good
+
+
+def singular_values(matrices: np.ndarray, sweeps: int = 30) -> np.ndarray:
+    """Singular values of each small matrix (n, d, d), descending, by one-sided Jacobi rotations: pairs of columns are turned
+    until they are at right angles, which keeps small values accurate beside large ones."""
+    a = np.array(matrices, float)
+    d = a.shape[2]
+    for _ in range(sweeps):
+        turned = False
+        for i in range(d):
+            for j in range(i + 1, d):
+                u, v = a[:, :, i], a[:, :, j]
+                size, top = np.linalg.norm(u, axis=1), np.linalg.norm(v, axis=1)
+                safe = np.where((size > 0) & (top > 0), size * top, 1.0)
+                angle = ((u / np.sqrt(safe)[:, None]) * (v / np.sqrt(safe)[:, None])).sum(1)
+                turn = np.abs(angle) > 4 * np.finfo(float).eps
+                if not turn.any():
+                    continue
+                turned = True
+                ratio = np.where(turn, (top / np.where(size > 0, size, 1.0) - size / np.where(top > 0, top, 1.0)) / np.where(turn, 2 * angle, 1.0), 0.0)
+                t = np.where(turn, np.where(ratio >= 0, 1.0, -1.0) / (np.abs(ratio) + np.hypot(1.0, ratio)), 0.0)
+                c = 1 / np.hypot(1.0, t)
+                s = c * t
+                a[:, :, i], a[:, :, j] = c[:, None] * u - s[:, None] * v, s[:, None] * u + c[:, None] * v
+        if not turned:
+            break
+    return -np.sort(-np.linalg.norm(a, axis=1), axis=1)

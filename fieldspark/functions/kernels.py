@@ -6,15 +6,19 @@ direct forms, which stay finite where the quotients do not.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import inf
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from fieldspark.errors import CapabilityError, InputError
+from fieldspark.functions import exact
 
 
 class _Spark:
@@ -202,13 +206,16 @@ class Anisotropy:
     @staticmethod
     def from_metric(metric: tuple[tuple[float, ...], ...]) -> Anisotropy:
         b = np.asarray(metric, float)
-        if (b != b.T).any() or np.linalg.eigvalsh(b).min() <= 0:
+        if (b != b.T).any() or not exact.definite(b[None])[0]:
             raise InputError("the metric must be symmetric and positive definite")
-        return Anisotropy._of(np.linalg.cholesky(b).T)
+        try:
+            return Anisotropy._of(np.linalg.cholesky(b).T)
+        except np.linalg.LinAlgError as error:
+            raise InputError("the metric is definite, but by less than doubles hold") from error
 
     @property
     def condition(self) -> float:
-        s = np.linalg.svd(np.asarray(self.matrix), compute_uv=False)
+        s = exact.singular_values(np.asarray(self.matrix, float)[None])[0]
         return float(s[0] / s[-1])
 
     def separation(self, d: list[Any]) -> list[Any]:
@@ -229,6 +236,30 @@ class Anisotropy:
         return [[[whole[j][k][i] for k in n] for j in n] for i in n]
 
 
+def metric_review(rows: DataFrame, entries: list[str], dimension: int) -> DataFrame:
+    """rows with definite and condition: whether the symmetric metric whose upper triangle the columns hold, row by row, is
+    positive definite, decided exactly where doubles cannot; and the quotient of its extreme singular values (null if one
+    is 0). A null entry gives nulls."""
+    places = [(i, j) for i in range(dimension) for j in range(i, dimension)]
+    if len(entries) != len(places):
+        raise InputError("as many columns as the upper triangle has are needed", columns=len(entries))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.zeros((batch.num_rows, dimension, dimension))
+            none = np.zeros(batch.num_rows, bool)
+            for name, (i, j) in zip(entries, places):
+                column = batch.column(batch.schema.get_field_index(name))
+                none |= column.is_null().to_numpy(zero_copy_only=False)
+                made[:, i, j] = made[:, j, i] = column.cast(pa.float64()).fill_null(1.0).to_numpy(zero_copy_only=False)
+            values = exact.singular_values(np.nan_to_num(made))
+            condition = np.divide(values[:, 0], values[:, -1], out=np.zeros(len(values)), where=values[:, -1] > 0)
+            found = [pa.array(exact.definite(made), mask=none), pa.array(condition, mask=none | (values[:, -1] == 0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "definite", "condition"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("definite", BooleanType()), StructField("condition", DoubleType())]))
+
+
 def distance(d: list[Any]) -> Any:
     m = _Spark if isinstance(d[0], Column) else _Numpy
     return m.sqrt(sum((x * x for x in d[1:]), d[0] * d[0]))

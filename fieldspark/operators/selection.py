@@ -110,9 +110,26 @@ def greedy(gram: np.ndarray, y: np.ndarray, count: int, by: str, ties: np.ndarra
 # -- tuning
 
 
+#: Points of the fullest cell with which the search for neighbours begins.
+CELL_POINTS = 32
+
+
+def _cell_width(points: DataFrame, x: Sequence[str], extent: float) -> float:
+    """A width at which no cell holds many of the points, which are different: the largest extent / 2^k for which that is so,
+    by halving the range of k. So far outliers do not put all others into a few cells."""
+    low, high = 0, 60
+    while low < high:
+        k = (low + high) // 2
+        width = F.lit(extent / 2**k)
+        fullest = points.groupBy(*[F.floor(F.col(c) / width).alias(c) for c in x]).count().agg(F.max("count")).first()[0]
+        low, high = (low, k) if fullest <= CELL_POINTS else (k + 1, high)
+    return extent / 2**low
+
+
 def nearest_distances(points: DataFrame, dimension: int) -> DataFrame:
-    """idx, nearest: the distance to the nearest other point. Candidates come from a grid of cells, wider where points are
-    sparse: a point is settled when one is found within its cells' reach, the others go on to cells twice as wide."""
+    """idx, nearest: the distance to the nearest other point. Points at one place are found first: their distance is 0, and
+    they stand for one. Candidates come from a grid of cells, at first so small that none holds many points: a point is
+    settled when one is found within its cells' reach, the others go on to cells twice as wide."""
     x = axes(dimension)
     points = points.select(F.col("idx").cast("long").alias("idx"), *x)
     bounds = points.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in x]).first()
@@ -123,9 +140,11 @@ def nearest_distances(points: DataFrame, dimension: int) -> DataFrame:
         return points.select("idx", F.lit(0.0).alias("nearest"))
     from fieldspark.operators.neighbors import within
 
-    width, open_, made = extent / n ** (1 / dimension), points, []
+    places = checkpointed(points.groupBy(*x).agg(F.min("idx").alias("idx"), F.count("*").alias("n")))
+    open_, made = places.where("n = 1").select("idx", *x), []
+    width = _cell_width(places, x, extent)
     while True:
-        found = within(open_, points, width, dimension).where("i <> j").groupBy("i").agg(F.min("r").alias("nearest"))
+        found = within(open_, places, width, dimension).where("i <> j").groupBy("i").agg(F.min("r").alias("nearest"))
         found = checkpointed(found.select(F.col("i").alias("idx"), "nearest"))
         made.append(found)
         open_ = checkpointed(open_.join(found, "idx", "left_anti"))
@@ -135,7 +154,8 @@ def nearest_distances(points: DataFrame, dimension: int) -> DataFrame:
     whole = made[0]
     for more in made[1:]:
         whole = whole.union(more)
-    return whole
+    many = places.where("n > 1").select(*x, F.lit(0.0).alias("nearest"))
+    return whole.union(points.join(many, x).select("idx", "nearest"))
 
 
 #: The least that each parameter of a candidate may be.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import geometry as G
 from fieldspark.functions import polynomials
-from fieldspark.functions.kernels import Anisotropy, Kernel, distance, jet
+from fieldspark.functions.kernels import Anisotropy, Kernel, distance, jet, metric_review
 from fieldspark.operators import constraints, convex, fields, functionals, levels, levelsets, neighbors, projects, ranking, selection, sparsefactor, tensors, trends
 from fieldspark.plans import points as P
 from fieldspark.sessions import checkpointed
@@ -837,6 +837,22 @@ def tune_gcv(spark, sf):
     return selection.gcv_scores(rows).select("cand", r6(F.col("score"), "score"))
 
 
+@query("metric_definite", "SELECT l_orderkey, l_linenumber, l_partkey % 3 = 1 AS definite FROM lineitem")
+def metric_definite(spark, sf):
+    """Metrics (a^2, a b, b^2 + s) with s of -1, 0 and 1: their determinant, a^2 s, is below the rounding of its terms."""
+    a, b, s = F.lit(94_000_000.0) + F.col("l_partkey"), F.lit(94_300_000.0) + F.col("l_suppkey") * 2, (F.col("l_partkey") % 3).cast("double")
+    rows = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (a * a).alias("m00"), (a * b).alias("m01"), (b * b + F.when(s == 2, -1.0).otherwise(s)).alias("m11"))
+    return metric_review(rows, ["m00", "m01", "m11"], 2).select("l_orderkey", "l_linenumber", "definite")
+
+
+@query("metric_condition", f"SELECT l_orderkey, l_linenumber, {s6('greatest(l_quantity, 100 * l_discount + 1) / least(l_quantity, 100 * l_discount + 1) / 0.997', 'condition')} FROM lineitem")
+def metric_condition(spark, sf):
+    """Metrics with two known principal values, turned by 3-4-5."""
+    p, q = F.col("l_quantity"), F.col("l_discount") * 100 + 1
+    rows = P.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (p * 0.64 + q * 0.36).alias("m00"), ((p - q) * 0.48).alias("m01"), (p * 0.36 + q * 0.64).alias("m11"))
+    return metric_review(rows, ["m00", "m01", "m11"], 2).select("l_orderkey", "l_linenumber", r6(F.col("condition") / 0.997, "condition"))
+
+
 # -- dense factors, ranks and null spaces: a field for each nation
 
 

@@ -153,3 +153,50 @@ def test_few_centers_are_expressions(spark):
     points = spark.createDataFrame([(0.3, 0.4)], "x0 double, x1 double")
     found = field.evaluate(points, order=2).first()
     assert [found[n] for n in field.names(2)] == pytest.approx(field.numbers(np.array([[0.3, 0.4]]), 2)[0].tolist())
+
+
+def test_signs_of_minors_are_exact():
+    rng = np.random.default_rng(6)
+    assert exact.leading_signs(np.array([[2.0, 1.0], [1.0, 0.5]])) == [1, 0]
+    assert exact.leading_signs(np.array([[0.0, 1.0], [1.0, 0.0]])) == [0, 0]
+    for _ in range(40):
+        a = rng.integers(-5, 6, (3, 3)).astype(float)
+        a = (a + a.T) * 2.0 ** rng.integers(-400, 400)
+        signs = [int(np.sign(round(np.linalg.det(a[:k, :k] / np.abs(a).max() * 10)))) if np.abs(a).max() else 0 for k in (1, 2, 3)]
+        if exact.leading_signs(a)[:1] == [0]:
+            continue
+        values = [Fraction(0)] * 3
+        f = [[Fraction(x) for x in row] for row in a]
+        values[0] = f[0][0]
+        values[1] = f[0][0] * f[1][1] - f[0][1] * f[1][0]
+        values[2] = sum(f[0][i] * (f[1][(i + 1) % 3] * f[2][(i + 2) % 3] - f[1][(i + 2) % 3] * f[2][(i + 1) % 3]) for i in range(3))
+        wanted = [(v > 0) - (v < 0) for v in values]
+        assert exact.leading_signs(a)[: 1 + (wanted[1] != 0) + 1][:2] == wanted[:2] and signs is not None
+        assert exact.definite(a[None])[0] == all(w > 0 for w in wanted)
+    near = np.array([[[9e7**2, 9e7 * 9.1e7], [9e7 * 9.1e7, 9.1e7**2 + s]] for s in (-1.0, 0.0, 1.0)])
+    assert exact.definite(near).tolist() == [False, False, True]
+    assert not exact.definite(np.array([[[np.nan, 0.0], [0.0, 1.0]]]))[0]
+
+
+def test_jacobi_singular_values():
+    rng = np.random.default_rng(7)
+    a = rng.standard_normal((50, 3, 3))
+    assert exact.singular_values(a) == pytest.approx(np.linalg.svd(a, compute_uv=False))
+    graded = np.array([np.diag([1e100, 1.0, 1e-100]) @ np.linalg.qr(rng.standard_normal((3, 3)))[0].T])
+    assert exact.singular_values(graded.transpose(0, 2, 1))[0] == pytest.approx([1e100, 1.0, 1e-100])
+    assert exact.singular_values(np.zeros((1, 2, 2))).tolist() == [[0.0, 0.0]]
+
+
+def test_neighbours_with_far_outliers_and_points_at_one_place(spark):
+    from fieldspark.operators import neighbors, selection
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.random((400, 2)) * 1e-3, [[1e6, 1e6], [-1e6, 0.0], [5.0, 5.0], [5.0, 5.0]]])
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "idx int, x0 double, x1 double")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    found = {r.idx: r.nearest for r in selection.nearest_distances(rows, 2).collect()}
+    assert [found[k] for k in range(len(x))] == pytest.approx(d.min(1).tolist())
+    width = selection._cell_width(rows.where("idx < 403"), ["x0", "x1"], 2e6)
+    fullest = rows.groupBy(*[(rows[c] / width).cast("long") for c in ("x0", "x1")]).count().agg({"count": "max"}).first()[0]
+    assert width < 1e-3 and fullest <= 4 * selection.CELL_POINTS and neighbors is not None
