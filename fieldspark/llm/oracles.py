@@ -137,3 +137,24 @@ WITH docs AS (
 )
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+OP13_SUFFIX_DEDUP = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS nth, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT nth, id, place, substr(h, 2 * place + 1, 100) AS w FROM (SELECT nth, id, h, unnest(range(length(h) // 2 - 49)) AS place FROM docs)
+), gone AS (
+  SELECT nth, place FROM (SELECT nth, id, place, min(id) OVER (PARTITION BY w) AS first FROM windows) WHERE first < id
+), islands AS (
+  SELECT nth, place, sum(opens) OVER (PARTITION BY nth ORDER BY place) AS island FROM (SELECT nth, place, CASE WHEN place - lag(place) OVER (PARTITION BY nth ORDER BY place) <= 50 THEN 0 ELSE 1 END AS opens FROM gone)
+), spans AS (
+  SELECT nth, min(place) AS start, max(place) + 50 AS stop FROM islands GROUP BY nth, island
+), pieces AS (
+  SELECT nth, start, stop, coalesce(lag(stop) OVER (PARTITION BY nth ORDER BY start), 0) AS before FROM spans
+), cut AS (
+  SELECT nth, sum(stop - start) AS n_removed, count(*) AS n_spans, max(stop) AS last, string_agg(substr(h, 2 * before + 1, 2 * (start - before)), '' ORDER BY start) AS kept FROM pieces JOIN docs USING (nth) GROUP BY nth
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN cut USING (nth)
+"""

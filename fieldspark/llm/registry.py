@@ -151,4 +151,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": oracles.OP4_LICENSE_SCAN,
     "op11_source_divergence": oracles.OP11_SOURCE_DIVERGENCE,
     "op12_collocations": oracles.OP12_COLLOCATIONS,
+    "op13_suffix_dedup": oracles.OP13_SUFFIX_DEDUP,
 }
