@@ -502,14 +502,14 @@ def fit_wendland_residual(spark, sf):
     return neighbors.evaluate_sparse(places, places, neighbors.fit_sparse(places, kernel, 3), kernel, 3).select("idx", r6(F.col("f") / 0.997, "f"))
 
 
-@query("fit_wendland_factor", f"SELECT idx, {s6('y / 0.997', 'f')}, 0 AS component, true AS exact FROM {GRID}".replace("0 AS component", f"(SELECT min(idx) FROM {GRID}) AS component"))
+@query("fit_wendland_factor", f"SELECT idx, {s6('y / 0.997', 'f')}, true AS exact FROM {GRID}")
 def fit_wendland_factor(spark, sf):
-    """A sparse fit by the factor of each connected component, all of the grid here, takes the given values at its centers."""
+    """A sparse fit by the factor of each connected component takes the given values at its centers."""
     places = checkpointed(P.grid(spark, sf))
     kernel = Kernel("wendland_c4", 1.2)
     weights = checkpointed(sparsefactor.fit_factored(places, kernel, 3))
     found = neighbors.evaluate_sparse(places, places, weights.select("idx", "w"), kernel, 3)
-    return found.join(weights, "idx").select("idx", r6(F.col("f") / 0.997, "f"), "component", (F.col("backward_error") <= 128 * sparsefactor.EPS * 5000).alias("exact"))
+    return found.join(weights, "idx").select("idx", r6(F.col("f") / 0.997, "f"), (F.col("backward_error") <= 128 * sparsefactor.EPS * 5000).alias("exact"))
 
 
 _BALANCES = "(SELECT CAST(round(c_nationkey * 100000 + c_acctbal) AS BIGINT) AS idx, avg(c_custkey) / 997 AS y FROM customer GROUP BY 1)"
