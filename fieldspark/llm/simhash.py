@@ -49,6 +49,8 @@ VIEWS = ((0, 23, 1, (8, 8, 8, 8, 9)), (23, 23, 1, (8, 8, 8, 8, 9)), (46, 18, 0,
 #: Fixed value: the generator polynomial of the binary Golay code of length 23, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY_POLYNOMIAL = 0b101011100011
 SMALL_RUN = 32
+#: Links that one task reduces to a spanning forest.
+LINKS = 1 << 20
 BANDS, BAND_ROWS, SKETCH_WORDS = 16, 6, 6  # 96 minima; 16 of 4 bits to a word of the sketch
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
 NIBBLES = np.uint64(0x1111111111111111)
@@ -318,7 +320,7 @@ def bucket_candidates(keys: np.ndarray, rows: np.ndarray, similarity: float, mos
         while len(left):
             frontier, left = [left[0]], left[1:]
             while frontier and len(left):
-                one = frontier.pop()
+                one = frontier.pop(0)
                 maybe, sure = judge(one, left)
                 left_places.append(np.full(maybe.sum(), one))
                 right_places.append(left[maybe])
@@ -405,7 +407,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, s
     spread = texts.select(F.explode("buckets").alias("bucket"), "digest", "fp", *sketch)
     session = docs.sparkSession
     n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = spread.repartition(n, "bucket").sortWithinPartitions("bucket")
+    sorted_ = spread.repartition(n, "bucket").sortWithinPartitions("bucket", "digest")  # buckets of a group begin with the same texts
     pairs = checkpointed(sorted_.mapInArrow(_candidates(similarity, most), "a long, fp_a long, b long, fp_b long").distinct())
     paired = pairs.select(F.explode(F.array("a", "b")).alias("paired")).distinct()
     bits = session.sparkContext.broadcast(hash_filter(paired, F.col("paired")))
@@ -419,6 +421,32 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, s
     return both.mapInArrow(_alike(similarity), "a long, b long").distinct()
 
 
+def _spanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect whatever the task's links connect, one fewer than the nodes of each group."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for rows in batches:
+        keep = np.zeros(rows.num_rows, bool)
+        for k, (a, b) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+            a, b = top(a), top(b)
+            if a != b:
+                root[b] = a
+                keep[k] = True
+        yield rows.filter(pa.array(keep))
+
+
+def spanning(found: DataFrame, most: int = LINKS) -> DataFrame:
+    """Enough of the links a, b to connect what they connect, from parts of about ``most`` links each: where many texts of a
+    group are alike, their links grow with its square, and those that are passed on do not."""
+    found = checkpointed(found)
+    return found.repartition(-(-found.count() // most) or 1).mapInArrow(_spanned, "a long, b long")
+
+
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 
@@ -436,7 +464,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = links(prints.select("fp"), most)
     if similarity is not None:
         found = found.union(similar_links(docs, rows, text_col, words, similarity, most))
-    roots = components(found)
+    roots = components(spanning(found))
     grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     firsts = grouped.groupBy("root").agg(F.min("own").alias("first"))
     named = grouped.join(firsts, "root").select(F.col("fp").alias("print"), "first")
