@@ -297,12 +297,13 @@ def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_candidates(keys: np.ndarray, rows: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs to check among rows (digest, fingerprint, size, sketch) sorted by key: all pairs of a bucket that
+    """Places of pairs to check among rows (digest, fingerprint, size, sketch, and, if there, band and 32 bits of the keys of
+    all bands) sorted by key: all pairs of a bucket that
     may be as similar as asked, but for those within ``most`` bits, which are linked anyway, and for those of a large
     bucket that others certainly connect."""
     differing = (1 - similarity) * 15 / 16
     mean, deviation = len(MULTIPLIERS) * differing, (len(MULTIPLIERS) * differing * (1 - differing)) ** 0.5
-    prints, sizes, sketches = rows[:, 1], rows[:, 2].astype(np.float64), rows[:, 3:]
+    prints, sizes, sketches = rows[:, 1], rows[:, 2].astype(np.float64), rows[:, 3 : 3 + SKETCH_WORDS]
 
     def judge(a, b) -> tuple[np.ndarray, np.ndarray]:
         linked = np.bitwise_count(prints[a] ^ prints[b]) <= most
@@ -335,7 +336,13 @@ def bucket_candidates(keys: np.ndarray, rows: np.ndarray, similarity: float, mos
         maybe, _ = judge(at, at + step)
         left_places.append(at[maybe])
         right_places.append(at[maybe] + step)
-    return np.concatenate(left_places), np.concatenate(right_places)
+    a, b = np.concatenate(left_places), np.concatenate(right_places)
+    if rows.shape[1] > 3 + SKETCH_WORDS:  # a pair is the business of the first band that both share
+        band = rows[:, 3 + SKETCH_WORDS].astype(np.int64)
+        bands = np.ascontiguousarray(rows[:, 4 + SKETCH_WORDS :]).view(np.uint32)
+        mine = ~((bands[a] == bands[b]) & (np.arange(BANDS) < band[a, None])).any(1)
+        a, b = a[mine], b[mine]
+    return a, b
 
 
 def _candidates(similarity: float, most: int):
@@ -404,7 +411,10 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, s
     sketch = [c.split()[0] for c in SKETCHED.split(", ")]
     values = [F.first(c).alias(c) for c in ("fp", *sketch, "buckets")]  # the same in all rows of a digest
     texts = rows.where("size > 0").groupBy("digest").agg(*values)
-    spread = texts.select(F.explode("buckets").alias("bucket"), "digest", "fp", *sketch)
+    low = F.lit(0xFFFFFFFF)
+    bands = [F.shiftleft(F.get("buckets", k + 1), 32).bitwiseOR(F.get("buckets", k).bitwiseAND(low)).alias(f"b{k}") for k in range(0, BANDS, 2)]
+    spread = texts.select(F.posexplode("buckets").alias("band", "bucket"), "digest", "fp", *sketch, *bands)
+    spread = spread.select("bucket", "digest", "fp", *sketch, F.col("band").cast("long").alias("band"), *[f"b{k}" for k in range(0, BANDS, 2)])
     session = docs.sparkSession
     n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = spread.repartition(n, "bucket").sortWithinPartitions("bucket", "digest")  # buckets of a group begin with the same texts
