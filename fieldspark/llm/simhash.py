@@ -23,7 +23,8 @@ checked on their whole sets of shingles:
 * Minima of the shingles' hashes under ``BANDS * BAND_ROWS`` multipliers, ``BAND_ROWS`` to a bucket. Texts of similarity
   0.8 share one of the buckets with probability 1 - (1 - 0.8^6)^16 = 0.992.
 * Four bits of each minimum are the text's sketch. Within a bucket, pairs whose sketches rule the similarity out are
-  dropped; those that certainly have it are linked as a spanning forest; all others between are checked.
+  dropped. Rows with any other pair meet again, bucket by bucket, with their sets: pairs that nothing connects yet are
+  checked there, and the links of a spanning forest are passed on.
 """
 
 from __future__ import annotations
@@ -54,8 +55,10 @@ LINKS = 1 << 20
 BANDS, BAND_ROWS, SKETCH_WORDS = 16, 6, 6  # 96 minima; 16 of 4 bits to a word of the sketch
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
 NIBBLES = np.uint64(0x1111111111111111)
-#: Standard deviations of a sketch's differences beyond which a pair is not, or is certainly, as similar as asked.
-MAYBE, CERTAIN = 3.0, 2.6
+#: Standard deviations of a sketch's differences beyond which a pair is not as similar as asked.
+MAYBE = 3.0
+#: Rows of a bucket, and shingles of their sets, that are checked in one place.
+UNIT_ROWS, UNIT_HASHES = 4096, 4 << 20
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------------
@@ -105,6 +108,7 @@ def minima(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SKETCHED = ", ".join(["size long", *(f"s{k} long" for k in range(SKETCH_WORDS))])
+MEMBER = f"bucket long, part long, digest long, fp long, {SKETCHED}"
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, sketched: bool = False) -> DataFrame:
@@ -296,81 +300,156 @@ def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(2)) & NIBBLES).sum(-1, dtype=np.int64)
 
 
-def bucket_candidates(keys: np.ndarray, rows: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs to check among rows (digest, fingerprint, size, sketch, and, if there, band and 32 bits of the keys of
-    all bands) sorted by key: all pairs of a bucket that
-    may be as similar as asked, but for those within ``most`` bits, which are linked anyway, and for those of a large
-    bucket that others certainly connect."""
+def _judged(prints: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float, most: int):
+    """A function of places: which pairs differ in ``most`` bits at most, and which others may be as similar as asked."""
     differing = (1 - similarity) * 15 / 16
-    mean, deviation = len(MULTIPLIERS) * differing, (len(MULTIPLIERS) * differing * (1 - differing)) ** 0.5
-    prints, sizes, sketches = rows[:, 1], rows[:, 2].astype(np.float64), rows[:, 3 : 3 + SKETCH_WORDS]
+    count = len(MULTIPLIERS)
+    bound = count * differing + MAYBE * (count * differing * (1 - differing)) ** 0.5
 
     def judge(a, b) -> tuple[np.ndarray, np.ndarray]:
         linked = np.bitwise_count(prints[a] ^ prints[b]) <= most
-        differ = _differences(sketches[a], sketches[b])
         ratio = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
-        maybe = ~linked & ratio & (differ <= mean + MAYBE * deviation)
-        return maybe, linked | maybe & (differ <= mean - CERTAIN * deviation)
-
-    edge = np.flatnonzero(np.diff(keys)) + 1
-    starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(keys)]])
-    large = ends - starts > SMALL_RUN
-    left_places, right_places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for s, e in zip(starts[large], ends[large]):
-        left = np.arange(s, e)
-        while len(left):
-            frontier, left = [left[0]], left[1:]
-            while frontier and len(left):
-                one = frontier.pop(0)
-                maybe, sure = judge(one, left)
-                left_places.append(np.full(maybe.sum(), one))
-                right_places.append(left[maybe])
-                frontier.extend(left[sure])
-                left = left[~sure]
-    at = np.flatnonzero(np.repeat(~large, ends - starts))
-    for step in range(1, SMALL_RUN):
+        return linked, ~linked & ratio & (_differences(sketches[a], sketches[b]) <= bound)
+
+    return judge
+
+
+def bucket_members(keys: np.ndarray, rows: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """Whether each of some rows (digest, fingerprint, size, sketch, band, and 32 bits of the keys of all bands), sorted by
+    key, may be as similar as asked to another row of its bucket with which it shares no earlier band, and is not linked to
+    it anyway."""
+    judge = _judged(rows[:, 1], rows[:, 2].astype(np.float64), rows[:, 3 : 3 + SKETCH_WORDS], similarity, most)
+    band = rows[:, 3 + SKETCH_WORDS].astype(np.int64)
+    bands = np.ascontiguousarray(rows[:, 4 + SKETCH_WORDS :]).view(np.uint32)
+    member = np.zeros(len(keys), bool)
+    at, step = np.arange(len(keys)), 0
+    while True:
+        step += 1
         at = at[at + step < len(keys)]
         at = at[keys[at] == keys[at + step]]
         if not len(at):
-            break
-        maybe, _ = judge(at, at + step)
-        left_places.append(at[maybe])
-        right_places.append(at[maybe] + step)
-    a, b = np.concatenate(left_places), np.concatenate(right_places)
-    if rows.shape[1] > 3 + SKETCH_WORDS:  # a pair is the business of the first band that both share
-        band = rows[:, 3 + SKETCH_WORDS].astype(np.int64)
-        bands = np.ascontiguousarray(rows[:, 4 + SKETCH_WORDS :]).view(np.uint32)
-        mine = ~((bands[a] == bands[b]) & (np.arange(BANDS) < band[a, None])).any(1)
-        a, b = a[mine], b[mine]
-    return a, b
-
-
-def _candidates(similarity: float, most: int):
+            return member
+        a = at[judge(at, at + step)[1]]
+        b = a + step
+        mine = ~((bands[a] == bands[b]) & (np.arange(BANDS) < band[a, None])).any(1)  # the first band that both share
+        member[a[mine]] = member[b[mine]] = True
+
+
+def _members(similarity: float, most: int, unit_rows: int, unit_hashes: int):
+    """bucket, part, digest, fp, size and sketch of the members of buckets, from rows sorted by bucket. A bucket of more than
+    unit_rows rows is not held: all of its rows are members, in parts of about unit_hashes shingles."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            keys, rows = np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
-            a, b = bucket_candidates(keys, rows, similarity, most)
-            pairs = np.concatenate([rows[a, :2], rows[b, :2]], axis=1).view(np.int64)
-            pairs = np.unique(np.where((pairs[:, :1] < pairs[:, 2:3]), pairs, pairs[:, [2, 3, 0, 1]]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in pairs.T], ["a", "fp_a", "b", "fp_b"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last, filled = None, 0.0  # the bucket whose rows have begun to go on unjudged, and what they fill, in parts
+
+        def emit(keys: np.ndarray, rows: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(keys), pa.array(parts), *(pa.array(c.copy().view(np.int64)) for c in rows[:, : 3 + SKETCH_WORDS].T)]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in MEMBER.split(", ")])
+
+        def parts_of(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            nonlocal last, filled
+            share = np.maximum(rows[:, 2].astype(np.float64) / unit_hashes, 1 / unit_rows)
+            total = np.cumsum(share) - share
+            first = np.flatnonzero(np.diff(keys, prepend=keys[0] if keys[0] == last else ~keys[0]))
+            base = np.repeat(np.concatenate([[-filled], total[first]]), np.diff(np.concatenate([[0], first, [len(keys)]])))
+            last, filled = keys[-1], total[-1] + share[-1] - base[-1]
+            return (total - base).astype(np.int64)
+
+        held_keys, held = np.empty(0, np.int64), np.empty((0, 0), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            rows = np.stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)], axis=1).view(np.uint64)
+            more = np.stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)], axis=1).view(np.uint64)
+            keys, rows = np.concatenate([held_keys, batch.column(0).to_numpy()]), np.concatenate([held, more]) if len(held) else more
+            going = int(np.searchsorted(keys, last, "right")) if last is not None and keys[0] == last else 0
             cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
-            if cut or (held and held[-1][0][-1] != keys[0]):
-                yield emit([*held, (keys[:cut], rows[:cut])])
-                held = []
-            held.append((keys[cut:], rows[cut:]))
+            if going:
+                yield emit(keys[:going], rows[:going], parts_of(keys[:going], rows[:going]))
+            if cut > going:
+                yield from judged(keys[going:cut], rows[going:cut], emit, parts_of)
+            held_keys, held = keys[max(cut, going) :], rows[max(cut, going) :]
+            if len(held) > unit_rows:
+                yield emit(held_keys, held, parts_of(held_keys, held))
+                held_keys, held = held_keys[:0], held[:0]
+        if len(held):
+            yield from judged(held_keys, held, emit, parts_of)
+
+    def judged(keys: np.ndarray, rows: np.ndarray, emit, parts_of) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.diff(keys)) + 1
+        sizes = np.diff(np.concatenate([[0], edge, [len(keys)]]))
+        member = np.repeat(sizes > unit_rows, sizes)
+        some = np.flatnonzero(~member)
+        member[some] = bucket_members(keys[some], rows[some], similarity, most)
+        if member.any():
+            yield emit(keys[member], rows[member], parts_of(keys[member], rows[member]))
+
+    return run
+
+
+def unit_links(prints: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, similarity: float, most: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places that span what similar rows connect, beyond what is linked anyway: rows of equal groups or
+    fingerprints within ``most`` bits. Every pair of rows that nothing connects yet and whose sketches do not rule it out is
+    checked on the whole sets of hashes, so only the pairs of a forest are passed on and no link is lost."""
+    judge = _judged(prints, np.array([len(s) for s in sets], np.float64), sketches, similarity, most)
+    groups = groups.copy()
+    for one in range(len(sets) - 1):
+        left = one + 1 + np.flatnonzero(groups[one + 1 :] != groups[one])
+        if not len(left):
+            continue
+        linked, maybe = judge(one, left)
+        near, maybe = left[linked], left[maybe]
+        if len(maybe):
+            sizes = np.array([len(sets[k]) for k in maybe])
+            hashes = np.concatenate([sets[k] for k in maybe])
+            place = np.minimum(np.searchsorted(sets[one], hashes), len(sets[one]) - 1)
+            shared = np.add.reduceat((sets[one][place] == hashes).astype(np.int64), np.cumsum(sizes) - sizes)
+            alike = maybe[shared / (len(sets[one]) + sizes - shared) >= similarity]
+            alike = alike[np.unique(groups[alike], return_index=True)[1]]
+            alike = alike[~np.isin(groups[alike], groups[near])]
+            for k in alike.tolist():
+                yield one, k
+            near = np.concatenate([near, alike])
+        if len(near):
+            groups[np.isin(groups, groups[near])] = groups[one]
+
+
+def _confirmed(similarity: float, most: int):
+    """fp_a, fp_b: the links of each unit (bucket, part), from rows sorted by them: fp, root, sketch, hashes."""
+
+    def links_of(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        prints = rows["fp"].to_numpy().view(np.uint64)
+        if len(prints) < 2:
+            return
+        sketches = np.stack([rows[f"s{k}"].to_numpy() for k in range(SKETCH_WORDS)], axis=1).view(np.uint64)
+        sets = [x.values.to_numpy().view(np.uint64) for x in rows["hashes"]]
+        for a, b in unit_links(prints, sketches, sets, rows["root"].to_numpy(), similarity, most):
+            yield int(prints[a].view(np.int64)), int(prints[b].view(np.int64))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            bucket, part = rows["bucket"].to_numpy(), rows["part"].to_numpy()
+            edge = (np.flatnonzero((np.diff(bucket) != 0) | (np.diff(part) != 0)) + 1).tolist()
+            found: list[tuple[int, int]] = []
+            for s, e in zip([0, *edge], [*edge, len(bucket)]):
+                if held and (held[-1]["bucket"][-1].as_py(), held[-1]["part"][-1].as_py()) != (bucket[s], part[s]):
+                    found.extend(links_of(pa.concat_tables(held).combine_chunks()))
+                    held = []
+                held.append(rows.slice(s, e - s))
+            yield _linked(found)
         if held:
-            yield emit(held)
+            yield _linked(list(links_of(pa.concat_tables(held).combine_chunks())))
 
     return run
 
 
+def _linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def _maybe_paired(bits):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -390,24 +469,22 @@ def _shingle_sets(words: int):
     return run
 
 
-def _alike(similarity: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            keep = np.zeros(rows.num_rows, bool)
-            for k, (a, b) in enumerate(zip(rows.column(2), rows.column(3))):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep[k] = shared / (len(a) + len(b) - shared) >= similarity
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(keep))
+def _confirm(units: DataFrame, sets: DataFrame, similarity: float, most: int, partitions: int) -> DataFrame:
+    """a, b: the links of units, rows of which are bucket, part, digest, fp, root and the sketch."""
+    sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
+    whole = units.join(sets.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).select("bucket", "part", "fp", "root", *sketch, "hashes")
+    sorted_ = whole.repartition(partitions, "bucket", "part").sortWithinPartitions("bucket", "part")
+    return sorted_.mapInArrow(_confirmed(similarity, most), "a long, b long").distinct()
 
-    return run
 
+def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float, most: int, linked: DataFrame, unit_rows: int = UNIT_ROWS, unit_hashes: int = UNIT_HASHES) -> DataFrame:
+    """a, b: links between fingerprints of different texts whose sets of shingles have a Jaccard similarity of
+    ``similarity`` or more. With ``linked``, those of ``links``, they connect whatever pairs of a bucket connect that sketches
+    do not rule out; they are as many as rows of buckets at most, never all pairs.
 
-def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float, most: int) -> DataFrame:
-    """a, b: fingerprints of different texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more,
-    apart from those that ``links`` connects. ``rows`` are the sketched fingerprints of ``docs``. Only texts of some
-    pair are made into sets of hashes, which move once for each partner. A bit set of fixed size keeps the others from
-    being shuffled."""
+    Pairs are checked where the rows of a bucket meet, with their sets of hashes, so those of a large group need not be
+    written. A bucket of more than ``unit_rows`` rows or ``unit_hashes`` hashes is dealt in parts. Its rows outside the group that is then
+    the largest of the bucket meet every part in a second turn, so that each pair has been checked or is connected."""
     sketch = [c.split()[0] for c in SKETCHED.split(", ")]
     values = [F.first(c).alias(c) for c in ("fp", *sketch, "buckets")]  # the same in all rows of a digest
     texts = rows.where("size > 0").groupBy("digest").agg(*values)
@@ -417,18 +494,28 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, s
     spread = spread.select("bucket", "digest", "fp", *sketch, F.col("band").cast("long").alias("band"), *[f"b{k}" for k in range(0, BANDS, 2)])
     session = docs.sparkSession
     n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = spread.repartition(n, "bucket").sortWithinPartitions("bucket", "digest")  # buckets of a group begin with the same texts
-    pairs = checkpointed(sorted_.mapInArrow(_candidates(similarity, most), "a long, fp_a long, b long, fp_b long").distinct())
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("paired")).distinct()
-    bits = session.sparkContext.broadcast(hash_filter(paired, F.col("paired")))
+    sorted_ = spread.repartition(n, "bucket").sortWithinPartitions("bucket", F.xxhash64("digest", "bucket"))  # parts of different buckets mix a group differently
+    members = checkpointed(sorted_.mapInArrow(_members(similarity, most, unit_rows, unit_hashes), MEMBER).drop("size"))
+    named = members.select("digest").distinct()
+    bits = session.sparkContext.broadcast(hash_filter(named, F.col("digest")))
     text = F.col(text_col).cast("string")
     met = docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).where("text is not null")
     met = met.mapInArrow(_maybe_paired(bits), "digest long, text string")
-    met = met.join(paired, met.digest == paired.paired, "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    met = met.join(named, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     sets = checkpointed(met.mapInArrow(_shingle_sets(words), "digest long, hashes array<long>"))
-    left, right = (sets.select(F.col("digest").alias(f"of_{x}"), F.col("hashes").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(left, pairs.a == left.of_a).join(right, pairs.b == right.of_b).select("fp_a", "fp_b", "set_a", "set_b")
-    return both.mapInArrow(_alike(similarity), "a long, b long").distinct()
+    found = checkpointed(_confirm(members.withColumn("root", F.col("fp")), sets, similarity, most, n))
+    parts = members.groupBy("bucket").agg((F.max("part") + 1).alias("parts")).where("parts > 1")
+    dealt = checkpointed(members.join(parts, "bucket"))
+    if dealt.isEmpty():
+        return found
+    roots = components(spanning(found.union(linked)))
+    rooted = dealt.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    rooted = checkpointed(rooted)
+    largest = rooted.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
+    meeting = rooted.join(largest, "bucket")
+    own, everywhere = meeting.where("root = main"), meeting.where("root <> main")
+    units = own.union(everywhere.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(own.columns))
+    return found.union(_confirm(units.join(everywhere.select("bucket").distinct(), "bucket"), sets, similarity, most, n))
 
 
 def _spanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +560,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = checkpointed(rows.groupBy("fp").agg(own.alias("own")))
     found = links(prints.select("fp"), most)
     if similarity is not None:
-        found = found.union(similar_links(docs, rows, text_col, words, similarity, most))
+        found = checkpointed(found)
+        found = found.union(similar_links(docs, rows, text_col, words, similarity, most, found))
     roots = components(spanning(found))
     grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     firsts = grouped.groupBy("root").agg(F.min("own").alias("first"))

@@ -196,3 +196,44 @@ def test_one_large_group_of_different_near_copies(spark):
 def test_similarity_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_groups(empty, words=5, similarity=0.8).collect() == []
+
+
+def bucketed(rows, similarity=0.8, words=5, **sizes):
+    """Texts of one bucket each: what the pairs of members are, by all pairs, and what the units pass on."""
+    sets = [np.unique(simhash.shingle_hashes(t, words)) for _, t in rows]
+    prints = np.array([simhash.fingerprint(t, words) for _, t in rows], np.uint64)
+    sketches = np.stack([simhash.minima(s)[1] for s in sets])
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= similarity * len(np.union1d(sets[i], sets[j]))}
+    return prints, sketches, sets, alike
+
+
+def connected(n, pairs):
+    root = list(range(n))
+    for i, j in pairs:
+        root = [root[i] if r == root[j] else r for r in root]
+    return {frozenset(k for k in range(n) if root[k] == r) for r in root}
+
+
+def test_pairs_of_a_unit_are_checked_where_they_meet():
+    """Copies only just similar: as many links as a forest has, and none lost though the sketches let many others pass."""
+    prints, sketches, sets, alike = bucketed(copies(8, 1, 200, [1 + k % 3 for k in range(150)]))
+    by_bits = {(i, j) for i in range(len(prints)) for j in range(i) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 4}
+    found = list(simhash.unit_links(prints, sketches, sets, np.arange(len(sets)), 0.8, 4))
+    assert {(max(p), min(p)) for p in found} <= alike and len(found) < len(sets) < len(alike) / 4
+    assert connected(len(sets), found + list(by_bits)) == connected(len(sets), alike | by_bits)
+
+
+def test_buckets_in_parts_connect_the_same(spark):
+    """Rows of one part that find no partner there meet the other parts."""
+    rows = copies(9, 2, 200, [1 + k % 9 for k in range(150)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = simhash.with_fingerprints(docs, "doc_id", "text", 5, sketched=True).cache()
+    linked = simhash.links(prints.select("fp").distinct())
+    fps = {r.fp for r in prints.select("fp").collect()}
+    number = {fp: k for k, fp in enumerate(sorted(fps))}
+    by_bits = [(number[r.a], number[r.b]) for r in linked.collect()]
+    got = []
+    for sizes in ({}, {"unit_rows": 7}, {"unit_hashes": 900}):
+        found = simhash.similar_links(docs, prints, "text", 5, 0.8, 4, linked, **sizes).collect()
+        got.append(connected(len(fps), [(number[r.a], number[r.b]) for r in found] + by_bits))
+    assert got[0] == got[1] == got[2] and len(got[0]) < len(fps) / 2
