@@ -7,8 +7,8 @@ item of m words is sought among windows of the least size that is not below m, w
    of them a passage weigh nothing, unless an item would lose most of its weight.
 2. A truncated singular value decomposition of the TF-IDF matrix of passages is found by randomised subspace iteration:
    each round multiplies the matrix, whose rows stay distributed, with a thin block and adds up the products. Its rows are
-   all items and, with as much weight together, the passages of a bounded sample of documents, ``SAMPLE_DOCS``. Its rank
-   grows with the number of items.
+   all items and, with as much weight together, all passages of all documents, whose known words are written once and
+   read in each round. Its rank grows with the number of items.
 3. Every window of every document is projected: sums of short blocks make those of all window sizes. Windows shorter
    than ``LEAST_PART`` of the shortest item of their size are passed over; the others are compared with all items of
    their size in matrix products. Those with a cosine of ``LEAST_COSINE`` that have ``LEAST_PART`` of the item's length in
@@ -34,18 +34,19 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import checkpointed, kept_rows, text_blocks
+from fieldspark.llm.vocabulary import BREAK
 
 RANKS, EXTRA, ROUNDS = (64, 256), 8, 2
-SAMPLE_DOCS, BLOCK_ITEMS, MAX_WORDS = 2_000, 20_000, 1 << 18
+BLOCK_ITEMS, MAX_WORDS = 20_000, 1 << 18
 MOST_FREQUENT, LEAST_WEIGHT, LEAST_PART, LEAST_COSINE = 0.05, 0.1, 0.4, 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 #: Words from which an item is sought by its direction, and of a passage when frequencies are counted.
@@ -53,8 +54,10 @@ SHORT_WORDS, PASSAGE = 5, 32
 #: An item of fewer words says too little to be evidence, unless a text is nothing but the item.
 EVIDENCE = 3
 SLICE, LONG, PRODUCT = 2 << 20, 1 << 17, 1 << 22
-#: Words whose rows of a product are added up in one task.
-WORDS = 4096
+#: Words whose rows of a product are added up in one task, and numbers that a task multiplies at once.
+WORDS, NUMBERS = 4096, 1 << 19
+#: Words up to which a task of a product holds a number for each pair of them.
+GRAM = 4096
 SEED = 20_240_901
 
 #: Bytes between words: what ASCII has beside letters and digits. Bytes of other characters belong to words.
@@ -89,13 +92,34 @@ def _parted(text: str) -> str:
     return made.tobytes().decode("utf-32-le")
 
 
-def words(text: str | None) -> list[bytes]:
-    """The lower-cased runs of letters, marks and digits of any script; characters of ``UNSPACED`` scripts are words."""
+def _spaced(text: str | None) -> bytes:
+    """The lower-cased text in UTF-8, with spaces for what is between words."""
     text = (text or "").lower()
     data = text.encode()
     if not text.isascii() and data.translate(None, _PLAIN):
         data = _parted(text).encode()
-    return data.translate(_GAPS).split()
+    return data.translate(_GAPS)
+
+
+def words(text: str | None) -> list[bytes]:
+    """The lower-cased runs of letters, marks and digits of any script; characters of ``UNSPACED`` scripts are words."""
+    return _spaced(text).split()
+
+
+def known_words(number: dict[bytes, int]) -> pa.Array:
+    """The words in the order of their numbers, and after them the end of a text and what is before its first word."""
+    return pa.array([*sorted(number, key=number.get), BREAK, b""], pa.large_binary())
+
+
+def numbered(known: pa.Array, texts: Iterable[str | None]) -> list[np.ndarray]:
+    """The numbers of each text's words, -1 for those without one. The texts are split together."""
+    data = b"".join(_spaced(text) + b" " + BREAK + b" " for text in texts)
+    text = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data)])
+    parts = pc.list_flatten(pc.ascii_split_whitespace(text)).cast(pa.large_binary())
+    ids = pc.index_in(parts, value_set=known).fill_null(-1).to_numpy()
+    ids = ids[ids <= len(known) - 2]
+    ends = np.flatnonzero(ids == len(known) - 2)
+    return [ids[s:e] for s, e in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
 
 
 def answer_words(text: str) -> int:
@@ -153,35 +177,45 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.number)
 
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words(text), repeat(-1)), np.int32)
 
+def passages_of(ids: np.ndarray) -> tuple[np.ndarray, int]:
+    """The known words of a text's passages, with -1 after each passage that has any, and how many passages there are."""
+    there = np.flatnonzero(ids >= 0)
+    nth = there // PASSAGE
+    before = np.concatenate([[0], np.cumsum(np.diff(nth) > 0)]) if len(nth) else nth
+    made = np.full(len(there) + (int(before[-1]) + 1 if len(nth) else 0), -1, np.int32)
+    made[np.arange(len(there)) + before] = ids[there]
+    return made, -(-len(ids) // PASSAGE)
 
-def passage_counts(vocabulary: Vocabulary, texts: Iterable[str | None]) -> tuple[np.ndarray, int]:
-    """How often each word of the vocabulary occurs, and how many passages there are. A word that comes twice in a
-    passage counts twice."""
-    counts, passages = np.zeros(len(vocabulary) + 1, np.int64), 0
-    for text in texts:
-        ids = vocabulary.ids(text)
-        counts += np.bincount(ids + 1, minlength=len(counts))
-        passages += -(-len(ids) // PASSAGE)
-    return counts[1:], passages
 
+def encoded(docs: DataFrame, shared) -> DataFrame:
+    """ids, passages: passages_of every row of docs (one column, text), by the words' numbers, kept in the checkpoint folder."""
 
-def frequencies(docs: DataFrame, shared) -> tuple[np.ndarray, int]:
-    """passage_counts over all rows of docs (one column, text): a row for each word that a task met."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, passages = np.zeros(len(shared.value), np.int64), 0
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_blocks(batches, SLICE):
-            some, n = passage_counts(shared.value, rows.column(0).to_pylist())
-            counts, passages = counts + some, passages + n
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], there]).astype(np.int32)), pa.array(np.concatenate([[passages], counts[there]]))], ["word", "n"])
+            made = [passages_of(ids) for ids in numbered(shared.value, rows.column(0).to_pylist())]
+            offsets = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in made])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([ids for ids, _ in made])))
+            yield pa.RecordBatch.from_arrays([lists, pa.array([n for _, n in made], pa.int64())], ["ids", "passages"])
+
+    return checkpointed(docs.mapInArrow(encode, "ids array<int>, passages long"))
+
+
+def frequencies(corpus: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
+    """How often each word of the vocabulary occurs in encoded texts, and how many passages there are. A word that comes
+    twice in a passage counts twice."""
 
-    found = docs.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, passages = np.zeros(n_words + 1, np.int64), 0
+        for rows in batches:
+            counts += np.bincount(rows.column(0).flatten().to_numpy() + 1, minlength=n_words + 1)
+            passages += pc.sum(rows.column(1)).as_py() or 0
+        there = np.flatnonzero(counts[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], there]).astype(np.int32)), pa.array(np.concatenate([[passages], counts[1:][there]]))], ["word", "n"])
+
+    found = corpus.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     word, n = found["word"].to_numpy(), found["n"].to_numpy()
-    counts = np.zeros(len(shared.value), np.int64)
+    counts = np.zeros(n_words, np.int64)
     counts[word[word >= 0]] = n[word >= 0]
     return counts, int(n[word < 0].sum())
 
@@ -200,25 +234,65 @@ def weights_of(vocabulary: Vocabulary, counts: np.ndarray, passages: int) -> np.
 # -- the decomposition -----------------------------------------------------------------------------------------------
 
 
-def _product(rows: DataFrame, weights, block: np.ndarray) -> np.ndarray:
-    """A' (A block) for the matrix A of the rows: arrays of word numbers, weighted, of the length that each row has."""
-    shared = rows.sparkSession.sparkContext.broadcast((weights, block.astype(np.float32)))
+def _weighted(batch: pa.RecordBatch, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a batch's passages that have a weight, where each passage begins, and the square of what its words'
+    weights are multiplied by."""
+    lists = batch.column(0)
+    ids = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    value = np.append(weight, 0.0)[ids]  # the last one is that of -1
+    some = np.flatnonzero(value)
+    passage = (row + np.cumsum(ids < 0))[some]
+    starts = np.flatnonzero(np.diff(passage, prepend=-1))
+    if not len(starts):
+        return ids[some], starts, np.empty(0)
+    return ids[some], starts, batch.column(1).to_numpy()[row[some[starts]]] ** 2 / np.add.reduceat(value[some] ** 2, starts)
+
+
+def _met_together(together: np.ndarray, size: int, ids: np.ndarray, counts: np.ndarray, squares: np.ndarray) -> None:
+    """Adds the passages' squares at every pair of places in them, one half of a symmetric matrix of size x size words."""
+    ids, owner = ids.astype(np.int64), np.repeat(np.arange(len(counts)), counts)
+    at, value = np.arange(len(ids)), squares[owner]
+    np.add.at(together, ids * (size + 1), value / 2)
+    for step in range(1, int(counts.max())):
+        at = at[: np.searchsorted(at, len(ids) - step)]
+        at = at[owner[at] == owner[at + step]]
+        np.add.at(together, ids[at] * size + ids[at + step], value[at])
+
+
+def _product(rows: DataFrame, weights, block: np.ndarray, most_words: int = GRAM) -> np.ndarray:
+    """A' (A block) for the matrix A of the passages in rows: arrays of word numbers, -1 between passages, and the length
+    that each passage's weighted words have. A task multiplies passage by passage or, with ``most_words`` words or fewer, its
+    sums for each pair of words."""
+    shared = rows.sparkSession.sparkContext.broadcast((weights, (weights[:, None] * block).astype(np.float32)))
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, thin = shared.value
-        total = np.zeros(thin.shape, np.float64)
+        total, together = np.zeros(thin.shape, np.float64), None
+        most = max(1, NUMBERS // thin.shape[1])
         for batch in batches:
-            lists = batch.column(0)
-            ids = lists.flatten().to_numpy()
-            lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-            if not len(ids):
+            ids, starts, squares = _weighted(batch, weight)
+            ends = np.append(starts[1:], len(ids))
+            if len(weight) <= most_words and (ends - starts if len(starts) else starts).max(initial=0) <= PASSAGE:
+                if len(starts):
+                    together = np.zeros(len(weight) ** 2) if together is None else together
+                    _met_together(together, len(weight), ids, ends - starts, squares)
                 continue
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            value = weight[ids]
-            value = value * (batch.column(1).to_numpy() / np.sqrt(np.maximum(np.bincount(owner, value**2, len(lengths)), 1e-12)))[owner]
-            dense = np.zeros((len(lengths), thin.shape[1]))
-            np.add.at(dense, owner, value[:, None] * thin[ids])
-            np.add.at(total, ids, value[:, None] * dense[owner])
+            scale = squares[:, None].astype(np.float32)
+            begin = 0
+            while begin < len(starts):
+                end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + most, "right")))
+                own, first = ids[starts[begin] : ends[end - 1]], starts[begin:end] - starts[begin]
+                dense = np.add.reduceat(thin[own], first, axis=0) * scale[begin:end]
+                order = np.argsort(own, kind="stable")
+                owner = np.repeat(np.arange(end - begin), np.diff(first, append=len(own)))
+                edges = np.flatnonzero(np.diff(own[order], prepend=-1))
+                total[own[order[edges]]] += np.add.reduceat(dense[owner[order]], edges, axis=0)
+                begin = end
+        if together is not None:
+            half = together.reshape(len(weight), -1).astype(np.float32)
+            total += half @ thin + half.T @ thin
+        total *= weight[:, None]
         for k, at in enumerate(range(0, len(total), WORDS)):
             if (part := total[at : at + WORDS]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], ["words", "part"])
@@ -265,7 +339,7 @@ class Space:
     """What all blocks share: the words' numbers, weights and projections, and the least window size."""
 
     def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, basis: np.ndarray):
-        self.number = vocabulary.number
+        self.known = known_words(vocabulary.number)
         self.weighty = np.append(weights > 0, False)  # the last one is that of the number -1
         self.projection = (weights[:, None] * basis).astype(np.float32)
         self.least = min((i.scale for i in vocabulary.items), default=8)
@@ -275,7 +349,7 @@ class Search:
     """What a task needs: the space, and a block of items by window size."""
 
     def __init__(self, space: Space, items: list[Item], short: list[Item]):
-        self.number, self.weighty, self.projection, self.least = space.number, space.weighty, space.projection, space.least
+        self.known, self.weighty, self.projection, self.least = space.known, space.weighty, space.projection, space.least
         self.scales: dict[int, tuple[list[Item], np.ndarray, np.ndarray]] = {}
         for scale in sorted({i.scale for i in items}):
             own = [i for i in items if i.scale == scale]
@@ -325,9 +399,6 @@ class Search:
                     begin = int(nth[k]) * scale // 2
                     yield int(owner[k]), items[i], begin, min(begin + scale, int(lengths[owner[k]])), float(product[w, i] / norm[k])
 
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words(text), repeat(-1)), np.int32)
-
     def exact(self, ids: np.ndarray) -> Iterator[tuple[Item, int]]:
         """The short items among the words of a text, and where each begins first."""
         for size, (known, by_key) in self.short.items():
@@ -364,8 +435,7 @@ class Search:
                 if kind and found[:4] > best[rows[k]].get(item.item_id, (-1.0,))[:4]:
                     best[rows[k]][item.item_id] = found
 
-        for row, text in enumerate(texts if self.scales or self.short else []):
-            ids = self.ids(text)
+        for row, ids in enumerate(numbered(self.known, texts) if self.scales or self.short else []):
             for item, at in self.exact(ids):
                 found = (1.0, 1.0, 1.0, -at, len(item.ids), "copy")
                 best[row][item.item_id] = max(found, best[row].get(item.item_id, (-1.0,)), key=lambda f: f[:4])
@@ -413,19 +483,9 @@ def prepare(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     vocabulary = Vocabulary(map(tuple, items.distinct().orderBy("item_id", "text").toLocalIterator()))
     if not len(vocabulary):
         return []
-    shared = spark.sparkContext.broadcast(vocabulary)
-    counts, passages = frequencies(texts, shared)
+    corpus = encoded(texts, spark.sparkContext.broadcast(known_words(vocabulary.number)))
+    counts, passages = frequencies(corpus, len(vocabulary))
     weights = weights_of(vocabulary, counts, passages)
-    marked = texts.select("text", F.xxhash64("text").alias("mark"))
-    chosen = marked.select("mark").distinct().orderBy("mark").limit(SAMPLE_DOCS)  # bounded, so it is broadcast
-    sample = marked.join(F.broadcast(chosen), "mark").dropDuplicates(["mark"]).select("text")
-    known = spark.sparkContext.broadcast(weights)
-
-    def passages_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_blocks(batches, SLICE):
-            made = [ids[at : at + PASSAGE] for ids in map(shared.value.ids, rows.column(0).to_pylist()) for at in range(0, len(ids), PASSAGE)]
-            made = [p[(p >= 0) & (known.value[p] > 0)] for p in made]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p in made if len(p)], pa.list_(pa.int32()))], ["ids"])
 
     def searches(basis: np.ndarray) -> list[Shared]:
         space = spark.sparkContext.broadcast(Space(vocabulary, weights, basis))
@@ -433,10 +493,10 @@ def prepare(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
 
     if not vocabulary.items:
         return searches(np.zeros((len(weights), 1), np.float32))
-    corpus = checkpointed(sample.mapInArrow(passages_of, "ids array<int>").coalesce(16))
-    share = (len(vocabulary.items) / max(1, corpus.count())) ** 0.5
+    share = (len(vocabulary.items) / max(1, passages)) ** 0.5
     own = spark.createDataFrame([(i.ids.tolist(), 1.0) for i in vocabulary.items], "ids array<int>, length double")
-    matrix = corpus.select("ids", F.lit(share).alias("length")).union(own)
+    few = 4 * spark.sparkContext.defaultParallelism  # each task passes on a block of its own
+    matrix = corpus.coalesce(few).select("ids", F.lit(share).alias("length")).union(own.coalesce(1))
     return searches(latent_basis(matrix, weights, rank_of(len(vocabulary.items))))
 
 

@@ -193,3 +193,42 @@ def test_blocks_share_one_space(spark, monkeypatch):
     searches = D.prepare(docs, benchmark)
     assert len(searches) == 4 and len({id(s.space) for s in searches}) == 1
     assert [(r["item_id"], r["kind"]) for r in D.contaminated(docs, searches).collect() if r["share"] == 1.0] == [(3, "copy")]
+
+
+def test_the_decomposition_is_that_of_all_documents(spark, monkeypatch):
+    """Every passage of every document is a row of the matrix, and the product over them is the dense one."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"term{k}" for k in range(30)]
+    items = spark.createDataFrame([(0, " ".join(vocabulary[:12])), (1, " ".join(vocabulary[12:]))], "item_id long, text string")
+    texts = [" ".join(w for k in range(40) for w in (rng.choice(vocabulary), f"other{d}")) for d in range(2_300)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "", "no known word"])), "doc_id long, text string")
+    seen = {}
+
+    def watched(rows, weights, rank, found=D.latent_basis):
+        block = np.eye(len(weights))
+        seen.update(rows=rows.select("ids").collect(), weights=weights, products=[D._product(rows, weights, block, most) for most in (0, D.GRAM)], length=rows.agg({"length": "min"}).first()[0])
+        return found(rows, weights, rank)
+
+    monkeypatch.setattr(D, "latent_basis", watched)
+    assert D.prepare(docs, items)
+    matrix = []
+    for passage in [p for t in texts for ws in [t.split()] for p in (ws[at : at + D.PASSAGE] for at in range(0, len(ws), D.PASSAGE))]:
+        row = np.bincount([vocabulary.index(w) for w in passage if w in vocabulary], minlength=30) * seen["weights"]
+        value = np.sqrt((seen["weights"] ** 2 * np.bincount([vocabulary.index(w) for w in passage if w in vocabulary], minlength=30)).sum())
+        matrix.append(row / value * seen["length"])
+    for k in (slice(0, 12), slice(12, 30)):
+        row = np.zeros(30)
+        row[k] = seen["weights"][k] / np.linalg.norm(seen["weights"][k])
+        matrix.append(row)
+    dense = np.array(matrix)
+    assert sum(i >= 0 for r in seen["rows"] for i in r.ids) == 2_300 * 40 + 30
+    for product in seen["products"]:
+        assert product == pytest.approx(dense.T @ dense, rel=1e-4, abs=1e-4)
+
+
+def test_words_of_texts_are_numbered_together():
+    texts = [None, "", " ", "a", "Ünïcode 東京タワー x　y z", "a\x1cb\x85c", "ÿ \xff", "\n\nB", "tail ", "one, two"]
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in D.words(t) if w not in (b"z", b"one")))}
+    got = D.numbered(D.known_words(number), texts)
+    assert [g.tolist() for g in got] == [[number.get(w, -1) for w in D.words(t)] for t in texts]
+    assert D.numbered(D.known_words(number), []) == []
