@@ -6,7 +6,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fieldspark.llm import byte_bpe, decontamination, language_id, registry, simhash, toxicity
 from fieldspark.llm.common import shared_dir, table
@@ -22,9 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def reject_other_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, null and empty texts among them, go, and those that are certainly in another language than
     the one they state. A null or unknown stated language is no reason to go; without any stated language only texts
-    without a letter go. Repeated rows stay or go alike; all columns are kept."""
-    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
-    return language_id.keep_identified(docs, model)
+    without a letter go. The model learns from all rows. Repeated rows stay or go alike; all columns are kept."""
+    return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

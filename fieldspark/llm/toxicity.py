@@ -5,10 +5,10 @@ Features are the words of a text and the first 3 to 8 letters of longer ones, ea
 thresholds. A text's expected severity is the sum of these probabilities, its grade the most probable one, and it is
 toxic if P(grade > 0) > 1/2.
 
-The model is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS``: those whose id hashes lowest. The features
-that occur more in higher grades, beyond chance by a G-test, are its vocabulary, the ``FEATURES`` that tell most if there
-are more; Spark sums their counts. Then the sample's rows of those features go to the driver for the fit, a few numbers
-each. Labels that only say toxic or not are graded by how much there is: among toxic rows, the numbers of different
+The model is fitted on all labelled rows. The features that occur more in higher grades, beyond chance by a G-test, are
+its vocabulary, the ``FEATURES`` that tell most if there are more; Spark sums their counts. The rows, as places in the
+vocabulary, stay distributed: each step of L-BFGS sums likelihood and slope over all of them, and the driver holds a few
+vectors. Labels that only say toxic or not are graded by how much there is: among toxic rows, the numbers of different
 features of the vocabulary are cut at quantiles into ``TIERS`` grades. Scoring is one pass over whole texts.
 """
 
@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import checkpointed, kept_rows, text_blocks
 from fieldspark.llm.letters import SPACE, letters
+from fieldspark.llm.vocabulary import hash_filter, in_filter
 
-SAMPLE_ROWS, FEATURES, TIERS = 20_000, 4_096, 3
+FEATURES, TIERS = 4_096, 3
 #: Rows of the least frequent feature that may be chosen, and its least G statistic: of a million features that tell
 #: nothing about two grades, a few hundredths of one exceed 30.
 LEAST_ROWS, LEAST_G = 3, 30.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Steps of a fit, and the largest slope at which it has arrived.
+ROUNDS, LEAST_SLOPE = 60, 1e-6
 SLICE = 2 << 20
 #: Odd multipliers that spread hashes over 64 bits.
 MULTIPLIER, FINISHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -98,42 +101,96 @@ class OrdinalModel:
         return worded[:, None] / (1.0 + np.exp(np.clip(self.thresholds - score[:, None], -500, 500)))
 
 
-def fit(rows: np.ndarray, places: np.ndarray, grades: np.ndarray, n_features: int, rounds: int = 400, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that minimise the negative log-likelihood and a ridge penalty, by Adam over all rows.
+def _thresholds(free: np.ndarray) -> np.ndarray:
+    """The first threshold and logarithms of gaps as thresholds: they stay ordered."""
+    return free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
-    Thresholds are the first one and positive gaps, so they stay ordered. A grade that no row has gets a gap all the
-    same. All rows of one grade, or none, leave the weights 0."""
-    n, top = len(grades), int(grades.max(initial=0))
-    weights, free = np.zeros(n_features), np.zeros(max(top, 1))  # the first threshold, then logarithms of gaps
+
+def _sums(rows: np.ndarray, places: np.ndarray, grades: np.ndarray, counts: np.ndarray, x: np.ndarray, n_features: int) -> np.ndarray:
+    """The negative log-likelihood of rows that count ``counts`` times, and its slope by weights and free thresholds."""
+    weights, free, n = x[:n_features], x[n_features:], len(grades)
+    top, thresholds = len(free), _thresholds(free)
+    low, high = np.maximum(grades - 1, 0), np.minimum(grades, top - 1)
+    score = np.bincount(rows, weights[places], n)
+    above = 1 / (1 + np.exp(np.clip(thresholds - score[:, None], -500, 500)))
+    upper = np.where(grades > 0, above[np.arange(n), low], 1.0)  # P(grade >= own)
+    lower = np.where(grades < top, above[np.arange(n), high], 0.0)  # P(grade > own)
+    likely = np.maximum(upper - lower, 1e-12)
+    d_upper = np.where(grades > 0, upper * (1 - upper), 0.0) / likely * counts
+    d_lower = np.where(grades < top, lower * (1 - lower), 0.0) / likely * counts
+    d_threshold = np.bincount(low, d_upper * (grades > 0), top) - np.bincount(high, d_lower * (grades < top), top)
+    d_weights = np.bincount(places, (d_lower - d_upper)[rows], n_features)
+    return np.concatenate([[-(np.log(likely) * counts).sum()], d_weights, [d_threshold.sum()], np.cumsum(d_threshold[::-1])[::-1][1:] * np.exp(free[1:])])
+
+
+def _minimised(evaluate, x: np.ndarray) -> np.ndarray:
+    """Where a function of value and slope is least, by L-BFGS with halved steps: at most ``ROUNDS`` steps."""
+    value, slope = evaluate(x)
+    history: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(ROUNDS):
+        if np.abs(slope).max() <= LEAST_SLOPE:
+            break
+        way, parts = -slope, []
+        for s, y in reversed(history):
+            parts.append((s @ way) / (s @ y))
+            way = way - parts[-1] * y
+        way = way * (history[-1][0] @ history[-1][1] / (history[-1][1] @ history[-1][1]) if history else 1 / np.linalg.norm(slope))
+        for (s, y), part in zip(history, reversed(parts)):
+            way = way + s * (part - (y @ way) / (s @ y))
+        step = 1.0
+        while (found := evaluate(x + step * way))[0] > value + 1e-4 * step * (way @ slope):
+            step /= 2
+            if step < 1e-6:
+                return x
+        pair = step * way, found[1] - slope
+        if pair[0] @ pair[1] > 0:
+            history = [*history[-9:], pair]
+        x, (value, slope) = x + step * way, found
+    return x
+
+
+def _fitted(sums, totals: np.ndarray, n_features: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds that minimise the mean negative log-likelihood and a ridge penalty. ``sums`` gives _sums over all
+    rows, of which totals has the number by grade. A grade that no row has gets a gap all the same. All rows of one
+    grade, or none, leave the weights 0."""
+    top, n = len(totals) - 1, totals.sum()
     if top == 0:
-        return weights, np.array([50.0])
-    share = np.clip([(grades > k).mean() for k in range(top)], 1e-6, 1 - 1e-6)
+        return np.zeros(n_features), np.array([50.0])
+    share = np.clip([totals[k + 1 :].sum() / n for k in range(top)], 1e-6, 1 - 1e-6)
     start = np.log(1 / share - 1)
-    free[0], free[1:] = start[0], np.log(np.maximum(np.diff(start), 0.05))
-    moment, square = np.zeros(n_features + top), np.zeros(n_features + top)
-    low, high = np.maximum(grades - 1, 0), np.minimum(grades, top - 1)
-    for turn in range(1, rounds + 1):
-        gaps = np.exp(free[1:])
-        thresholds = free[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(rows, weights[places], n)
-        above = 1 / (1 + np.exp(np.clip(thresholds - score[:, None], -500, 500)))
-        upper = np.where(grades > 0, above[np.arange(n), low], 1.0)  # P(grade >= own)
-        lower = np.where(grades < top, above[np.arange(n), high], 0.0)  # P(grade > own)
-        likely = np.maximum(upper - lower, 1e-12)
-        d_upper = np.where(grades > 0, upper * (1 - upper), 0.0) / likely
-        d_lower = np.where(grades < top, lower * (1 - lower), 0.0) / likely
-        d_score = -(d_upper - d_lower) / n
-        d_threshold = (np.bincount(low, d_upper * (grades > 0), top) - np.bincount(high, d_lower * (grades < top), top)) / n
-        slope = np.concatenate([
-            np.bincount(places, d_score[rows], n_features) + ridge * weights,
-            [d_threshold.sum()],
-            np.cumsum(d_threshold[::-1])[::-1][1:] * gaps,
-        ])
-        moment, square = 0.9 * moment + 0.1 * slope, 0.99 * square + 0.01 * slope**2
-        step = 0.1 * (moment / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-9)
-        weights -= step[:n_features]
-        free -= step[n_features:]
-    return weights, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
+    free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 0.05))])
+
+    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
+        total, own = sums(x) / n, np.concatenate([x[:n_features], np.zeros(top)])
+        return total[0] + ridge / 2 * (own @ own), total[1:] + ridge * own
+
+    x = _minimised(evaluate, np.concatenate([np.zeros(n_features), free]))
+    return x[:n_features], _thresholds(x[n_features:])
+
+
+def fit(rows: np.ndarray, places: np.ndarray, grades: np.ndarray, n_features: int, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """_fitted for rows in arrays."""
+    return _fitted(lambda x: _sums(rows, places, grades, np.ones(len(grades)), x, n_features), np.bincount(grades, minlength=1), n_features, ridge)
+
+
+def fit_rows(seen: DataFrame, n_features: int, totals: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """_fitted for a table of grade, n (how often) and places: each step sums over all of its rows, a vector from a task."""
+    session = seen.sparkSession
+    seen = seen.coalesce(session.sparkContext.defaultParallelism)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(x) + 1)
+            for batch in batches:
+                lists = batch.column(2)
+                lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+                places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                total += _sums(np.repeat(np.arange(len(lengths)), lengths), places, batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), x, n_features)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        return sum((np.frombuffer(r["sums"]) for r in seen.mapInArrow(add, "sums binary").collect()), np.zeros(len(x) + 1))
+
+    return _fitted(sums, totals, n_features, ridge)
 
 
 def _g(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -148,27 +205,32 @@ def _g(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.where(counts @ grades / counts.sum(1) > totals @ grades / n, told, 0.0)
 
 
-def _tiers(grades: np.ndarray, evidence: np.ndarray, tiers: int) -> np.ndarray:
-    """Grades 0 and 1 as 0 and 1 to ``tiers``: rows of grade 1 by quantiles of their evidence."""
-    some = evidence[grades > 0]
-    cuts = np.unique(np.quantile(some, np.arange(1, tiers) / tiers)) if len(some) else np.empty(0)
-    return np.where(grades > 0, 1 + np.searchsorted(cuts, evidence), 0)
+def _cuts(values: np.ndarray, counts: np.ndarray, tiers: int) -> np.ndarray:
+    """Quantiles, as numpy.quantile has them, of values (in order) of which each is there so often, each cut once."""
+    if not len(values):
+        return np.empty(0)
+    ends, place = np.cumsum(counts), np.arange(1, tiers) / tiers * (counts.sum() - 1)
+    below, above = (values[np.searchsorted(ends, f(place), "right")] for f in (np.floor, np.ceil))
+    return np.unique(below + (above - below) * (place - np.floor(place)))
 
 
-def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, n_features: int = FEATURES, tiers: int = TIERS) -> OrdinalModel:
-    """Fits on at most ``sample_rows`` rows of ``graded`` (id_col and grade, from 0 to at most 255) and their texts. If
+def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_features: int = FEATURES, tiers: int = TIERS) -> OrdinalModel:
+    """Fits on all rows of ``graded`` (id_col and grade, from 0 to at most 255) and their texts. If
     there are only grades 0 and 1, grade 1 is told apart by evidence into ``tiers`` grades. Null ids, grades and texts are
     left out; of an id with several grades or texts each counts, and each repeated row; a graded id without a document
     does not count. Texts count whole, however long. Without any row the model calls nothing toxic. Other columns are not read."""
     chosen = graded.where(F.col(id_col).isNotNull() & F.col("grade").between(0, 255)).select(F.col(id_col).cast("long").alias("id"), F.col("grade").cast("int").alias("grade"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "grade").limit(sample_rows)  # bounded, so it is broadcast
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # An id that many documents share brings all of them: of those, too, only the bounded number counts. Marks are chosen
-    # before any text moves; a text comes once with the number of its rows, spread by mark, never sorted in one task.
-    labelled = texts.join(F.broadcast(chosen), "id").select("grade", "text", F.xxhash64("id", "text").alias("mark"))
-    marks = labelled.select("mark", "grade").orderBy("mark", "grade").limit(sample_rows).groupBy("mark", "grade").agg(F.count("*").alias("n"))
-    met = labelled.join(F.broadcast(marks), ["mark", "grade"])  # bounded, so it is broadcast
-    sample = checkpointed(met.groupBy("mark", "grade", "n").agg(F.first("text").alias("text")).select("grade", "text", "n"))
+    chosen = chosen.groupBy("id", "grade").agg(F.count("*").alias("n"))
+    session = docs.sparkSession
+    bits = session.sparkContext.broadcast(hash_filter(chosen, F.xxhash64("id")))  # so that few other texts move
+
+    def maybe_graded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield rows.filter(pa.array(in_filter(bits.value, rows.column(2).to_numpy().view(np.uint64))))
+
+    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.select("id", "text", F.xxhash64("id").alias("mark")).mapInArrow(maybe_graded, "id long, text string, mark long")
+    sample = checkpointed(texts.join(chosen, "id").select("grade", "text", "n"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_blocks(batches, SLICE):
@@ -207,15 +269,15 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
             offsets = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))], ["grade", "n", "places"])
 
-    seen = sample.mapInArrow(present, "grade int, n long, places array<int>").toArrow()
-    seen = seen.take(np.repeat(np.arange(seen.num_rows), seen["n"].to_numpy()))
-    lists = seen["places"].combine_chunks()
-    lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    grades = seen["grade"].to_numpy().astype(np.int64)
+    seen = checkpointed(sample.mapInArrow(present, "grade int, n long, places array<int>").groupBy("grade", "places").agg(F.sum("n").alias("n")).select("grade", "n", "places"))
     if top == 1:
-        grades = _tiers(grades, lengths, tiers)
-    weights, thresholds = fit(np.repeat(np.arange(len(lengths)), lengths), places, grades, len(vocabulary))
+        found = seen.where("grade > 0").groupBy(F.size("places").alias("features")).agg(F.sum("n").alias("n")).orderBy("features").toPandas()
+        cuts = _cuts(found["features"].to_numpy(float), found["n"].to_numpy(), tiers)
+        tier = sum((F.when(F.size("places") > float(c), 1).otherwise(0) for c in cuts), F.lit(1))
+        seen = seen.withColumn("grade", F.when(F.col("grade") > 0, tier).otherwise(0))
+        by_tier = np.bincount(1 + np.searchsorted(cuts, found["features"]), found["n"], 1)
+        by_grade = np.concatenate([by_grade[:1], by_tier[1:]])
+    weights, thresholds = fit_rows(seen, len(vocabulary), by_grade)
     return OrdinalModel(vocabulary, weights, thresholds)
 
 

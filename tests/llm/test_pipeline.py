@@ -112,3 +112,10 @@ def test_awkward_rows_and_empty_tables_whole(spark, awkward, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{awkward}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_language_model_learns_from_all_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(corpus_pipeline.language_id, "train", lambda rows, found=corpus_pipeline.language_id.train: seen.append(rows.count()) or found(rows))
+    assert corpus_pipeline.reject_other_languages(spark, docs, "").count() == 40 and seen == [40]

@@ -79,3 +79,36 @@ def test_awkward_rows(spark):
     nothing = toxicity.train(docs, graded.limit(0))
     assert toxicity.score(docs, nothing).where("toxic").count() == 0
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """More rows than a sample would have, and ids that repeat: the fit has them all, and its sums do not depend on tasks."""
+    n = 20_500
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 10 = 0, 'you vile idiot', concat('dear friend ', id % 7)) as text")
+    graded = docs.selectExpr("doc_id", "cast(doc_id % 10 = 0 as int) as grade")
+    seen = {}
+
+    def watched(rows, n_features, totals, found=toxicity.fit_rows):
+        kept = rows.toPandas()
+        lengths = kept.places.map(len).to_numpy()
+        again = np.repeat(np.arange(len(kept)), kept.n)  # each row as often as it counts
+        places = np.concatenate([np.asarray(kept.places[k], np.int64) for k in again])
+        plain = toxicity.fit(np.repeat(np.arange(len(again)), lengths[again]), places, kept.grade.to_numpy()[again].astype(np.int64), n_features)
+        seen.update(totals=totals, rows=kept.n.sum(), plain=plain, found=found(rows.repartition(5), n_features, totals))
+        return seen["found"]
+
+    monkeypatch.setattr(toxicity, "fit_rows", watched)
+    model = toxicity.train(docs, graded.union(graded.where("doc_id < 3")))
+    assert seen["rows"] == seen["totals"].sum() == n + 3
+    for found, plain in zip(seen["found"], seen["plain"]):
+        assert found == pytest.approx(plain, abs=1e-3)
+    assert toxicity.score(docs, model).where("toxic").count() == n // 10
+
+
+def test_cuts_are_quantiles():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 5, 400):
+        values, counts = np.unique(rng.integers(0, 9, size), return_counts=True)
+        whole = np.repeat(values, counts)
+        assert toxicity._cuts(values.astype(float), counts, 3) == pytest.approx(np.unique(np.quantile(whole, [1 / 3, 2 / 3])))
+    assert not len(toxicity._cuts(np.empty(0), np.empty(0), 3))
