@@ -275,8 +275,11 @@ def _product(rows: DataFrame, weights, block: np.ndarray, most_words: int = GRAM
             ends = np.append(starts[1:], len(ids))
             if len(weight) <= most_words and (ends - starts if len(starts) else starts).max(initial=0) <= PASSAGE:
                 if len(starts):
-                    together = np.zeros(len(weight) ** 2) if together is None else together
-                    _met_together(together, len(weight), ids, ends - starts, squares)
+                    together = np.zeros((len(weight), len(weight)), np.float32) if together is None else together
+                    together.fill(0)
+                    _met_together(together.reshape(-1), len(weight), ids, ends - starts, squares.astype(np.float32))
+                    total += together @ thin
+                    total += together.T @ thin
                 continue
             scale = squares[:, None].astype(np.float32)
             begin = 0
@@ -289,9 +292,6 @@ def _product(rows: DataFrame, weights, block: np.ndarray, most_words: int = GRAM
                 edges = np.flatnonzero(np.diff(own[order], prepend=-1))
                 total[own[order[edges]]] += np.add.reduceat(dense[owner[order]], edges, axis=0)
                 begin = end
-        if together is not None:
-            half = together.reshape(len(weight), -1).astype(np.float32)
-            total += half @ thin + half.T @ thin
         total *= weight[:, None]
         for k, at in enumerate(range(0, len(total), WORDS)):
             if (part := total[at : at + WORDS]).any():
