@@ -6,7 +6,8 @@ thresholds. A text's expected severity is the sum of these probabilities, its gr
 toxic if P(grade > 0) > 1/2.
 
 The model is fitted on all labelled rows. The features that occur more in higher grades, beyond chance by a G-test, are
-its vocabulary, the ``FEATURES`` that tell most if there are more; Spark sums their counts. The rows, as places in the
+its vocabulary, the ``FEATURES`` that tell most if there are more; Spark sums their counts, in grade 0 only of features
+whose counts in higher grades leave it open whether they are chosen. The rows, as places in the
 vocabulary, stay distributed: each step of L-BFGS sums likelihood and slope over all of them, and the driver holds a few
 vectors. Labels that only say toxic or not are graded by how much there is: among toxic rows, the numbers of different
 features of the vocabulary are cut at quantiles into ``TIERS`` grades. Scoring is one pass over whole texts.
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,16 +195,29 @@ def fit_rows(seen: DataFrame, n_features: int, totals: np.ndarray, ridge: float
     return _fitted(sums, totals, n_features, ridge)
 
 
-def _g(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """The G statistic of the presence of each feature (counts by feature and grade); 0 for those that do not occur in
-    higher grades than others."""
+def _told(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The G statistic of the presence of each feature (counts by feature and grade)."""
     n = totals.sum()
     told = np.zeros(len(counts))
     for cell, share in ((counts, counts.sum(1) / n), (totals - counts, 1 - counts.sum(1) / n)):
         expected = np.maximum(share[:, None] * totals, 1e-300)
         told += 2 * np.where(cell > 0, cell * np.log(np.maximum(cell, 1e-300) / expected), 0.0).sum(1)
+    return told
+
+
+def _g(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """_told; 0 for features that do not occur in higher grades than others."""
+    grades = np.arange(len(totals))
+    return np.where(counts @ grades / counts.sum(1) > totals @ grades / totals.sum(), _told(counts, totals), 0.0)
+
+
+def _most_g(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The most that _g can be for features with these counts in the grades above 0, whatever their count in grade 0: _told is
+    convex in that count, so it is largest where the count is 0 or where features stop to be of higher grades than others."""
     grades = np.arange(len(totals))
-    return np.where(counts @ grades / counts.sum(1) > totals @ grades / n, told, 0.0)
+    last = np.minimum(counts @ grades / (totals @ grades / totals.sum()) - counts[:, 1:].sum(1), totals[0])
+    ends = [np.concatenate([c[:, None], counts[:, 1:]], 1) for c in (np.zeros(len(counts)), np.maximum(last, 0.0))]
+    return np.maximum(*(_told(e, totals) for e in ends))
 
 
 def _cuts(values: np.ndarray, counts: np.ndarray, tiers: int) -> np.ndarray:
@@ -230,17 +245,25 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.select("id", "text", F.xxhash64("id").alias("mark")).mapInArrow(maybe_graded, "id long, text string, mark long")
-    sample = checkpointed(texts.join(chosen, "id").select("grade", "text", "n"))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_blocks(batches, SLICE):
-            grade = rows.column(0).to_numpy()
-            row, hashed = features(rows.column(1).to_pylist())
-            both = np.unique(np.stack([row.astype(np.uint64), hashed], 1), axis=0)
-            owner = both[:, 0].astype(np.int64)
-            pairs, place = np.unique(np.stack([both[:, 1], grade[owner].astype(np.uint64)], 1), axis=0, return_inverse=True)
-            n = np.bincount(place.ravel(), rows.column(2).to_numpy()[owner], len(pairs)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].astype(np.int32)), pa.array(n)], ["feature", "grade", "n"])
+    # the labels grow with the documents: they are never broadcast
+    sample = checkpointed(texts.join(chosen.hint("shuffle_hash"), "id").select("grade", "text", "n"))
+
+    def count(known: Broadcast | None):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in text_blocks(batches, SLICE):
+                row, hashed = features(rows.column(1).to_pylist())
+                if known is not None:
+                    some = in_filter(known.value, hashed)
+                    row, hashed = row[some], hashed[some]
+                grade = rows.column(0).to_numpy()[row]
+                order = np.lexsort((row, grade, hashed))
+                row, grade, hashed = row[order], grade[order], hashed[order]
+                pair = np.append(True, (hashed[1:] != hashed[:-1]) | (grade[1:] != grade[:-1]))[: len(row)]
+                once = pair | np.append(True, row[1:] != row[:-1])[: len(row)]
+                n = np.bincount(np.cumsum(pair)[once] - 1, rows.column(2).to_numpy()[row[once]]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[pair].view(np.int64)), pa.array(grade[pair]), pa.array(n)], ["feature", "grade", "n"])
+
+        return run
 
     totals = sample.groupBy("grade").agg(F.sum("n").alias("count")).toPandas()
     if totals.empty:
@@ -249,17 +272,26 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     by_grade = np.zeros(top + 1)
     by_grade[totals["grade"]] = totals["count"]
     sums = [F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(top + 1)]
-    counted = sample.mapInArrow(count, "feature long, grade int, n long").groupBy("feature").agg(*sums)
+    columns = ", ".join(["feature long", *(f"g{g} long" for g in range(top + 1))])
+
+    def strong(statistic):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                counts = np.stack([rows.column(g + 1).to_numpy() for g in range(top + 1)], 1).astype(float)
+                told = statistic(counts, by_grade)
+                made = pa.RecordBatch.from_arrays([*rows.columns, pa.array(told)], [*rows.schema.names, "told"])
+                yield made.filter(pa.array(told >= LEAST_G - 1e-6 if statistic is _most_g else told >= LEAST_G))
+
+        return run
+
+    # most features have too few rows in higher grades to be chosen, however few they have in grade 0: only the others are counted there
+    higher = sample.where("grade > 0").mapInArrow(count(None), "feature long, grade int, n long").groupBy("feature").agg(*sums)
+    higher = checkpointed(higher.mapInArrow(strong(_most_g), columns + ", told double").drop("told"))
+    likely = session.sparkContext.broadcast(hash_filter(higher, F.col("feature")))
+    lowest = sample.where("grade = 0").mapInArrow(count(likely), "feature long, grade int, n long").groupBy("feature").agg(*sums)
+    counted = higher.union(lowest).groupBy("feature").agg(*(F.sum(f"g{g}").alias(f"g{g}") for g in range(top + 1)))
     rated = counted.where(sum((F.col(f"g{g}") for g in range(top + 1)), F.lit(0)) >= LEAST_ROWS)
-
-    def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            counts = np.stack([rows.column(g + 1).to_numpy() for g in range(top + 1)], 1).astype(float)
-            told = _g(counts, by_grade)
-            strong = pa.array(told >= LEAST_G)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(told)], ["feature", "told"]).filter(strong)
-
-    best = rated.mapInArrow(rate, "feature long, told double").orderBy(F.desc("told"), "feature").limit(n_features)
+    best = rated.mapInArrow(strong(_g), columns + ", told double").select("feature", "told").orderBy(F.desc("told"), "feature").limit(n_features)
     vocabulary = np.sort(best.select("feature").toPandas()["feature"].to_numpy(np.int64).view(np.uint64))
     finder = sample.sparkSession.sparkContext.broadcast(OrdinalModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(1)))
 

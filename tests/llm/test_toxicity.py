@@ -112,3 +112,36 @@ def test_cuts_are_quantiles():
         whole = np.repeat(values, counts)
         assert toxicity._cuts(values.astype(float), counts, 3) == pytest.approx(np.unique(np.quantile(whole, [1 / 3, 2 / 3])))
     assert not len(toxicity._cuts(np.empty(0), np.empty(0), 3))
+
+
+def test_what_is_left_uncounted_could_not_be_chosen():
+    rng = np.random.default_rng(4)
+    for totals in (np.array([900.0, 100.0]), np.array([50.0, 400.0, 20.0]), np.array([0.0, 30.0, 70.0]), np.array([500.0, 0.0, 40.0, 9.0])):
+        higher = np.stack([rng.integers(0, t + 1, 40) if g else np.zeros(40) for g, t in enumerate(totals)], 1).astype(float)
+        higher = higher[higher.sum(1) > 0]
+        most, reached = toxicity._most_g(higher, totals), np.zeros(len(higher))
+        for n in range(int(totals[0]) + 1):
+            reached = np.maximum(reached, toxicity._g(higher + np.eye(len(totals))[0] * n, totals))
+        assert (most >= reached - 1e-6).all()
+        assert (toxicity._most_g(higher + np.eye(len(totals))[0] * 7, totals) == most).all()
+
+
+def test_vocabulary_is_that_of_all_counts(spark, monkeypatch):
+    """Labels are not broadcast, few features are counted in grade 0, and those chosen are those of plain counts."""
+    rng = random.Random(8)
+    common, telling = [f"{rng.choice('bcdfg')}{''.join(rng.choices('aeioulmn', k=5))}" for _ in range(400)], ["idiot", "vile", "stupid"]
+    rows = []
+    for k in range(600):
+        grade = 0 if k % 6 else 1 + k // 6 % 2
+        rows.append((k, " ".join(rng.choices(common, k=12) + (rng.choices(telling, k=grade) if rng.random() < (0.9 if grade else 0.05) else [])), grade))
+    docs, kept = spark.createDataFrame(rows, "doc_id long, text string, grade int"), []
+    monkeypatch.setattr(toxicity, "checkpointed", lambda df, f=toxicity.checkpointed: kept.append((df._jdf.queryExecution().executedPlan().toString(), made := f(df))) or made)
+    model = toxicity.train(docs.drop("grade"), docs.drop("text"))
+    sets = [set(toxicity.features([text])[1].tolist()) for _, text, _ in rows]
+    found = sorted(set().union(*sets))
+    counts = np.array([[sum(h in s for s, r in zip(sets, rows) if r[2] == g) for g in range(3)] for h in found], float)
+    told = toxicity._g(counts, np.array([500.0, 50.0, 50.0]))
+    assert model.vocabulary.tolist() == [h for h, t, n in zip(found, told, counts.sum(1)) if t >= toxicity.LEAST_G and n >= toxicity.LEAST_ROWS] != []
+    assert "BroadcastHashJoin" not in kept[0][0]
+    higher = next(made for _, made in kept if "feature" in made.columns)
+    assert len(model.vocabulary) <= higher.count() < len(found) / 10
