@@ -132,10 +132,9 @@ def lcs(masks: dict[int, int], size: int, sequence: Iterable[int]) -> int:
     places by element: a row of the dynamic programme is one integer."""
     full = (1 << size) - 1
     row = full
-    for x in sequence:
-        if mask := masks.get(x):
-            both = row & mask
-            row = ((row + both) | (row - both)) & full
+    for mask in filter(None, map(masks.get, sequence)):
+        both = row & mask
+        row = ((row + both) | (row - both)) & full
     return size - row.bit_count()
 
 
@@ -335,6 +334,16 @@ def _sequence_keys(ids: np.ndarray, size: int) -> np.ndarray:
     return keys
 
 
+def _summed(values: np.ndarray, rows: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of values[rows] over runs, none of them empty: where each starts in rows and how many it has. All runs' first
+    rows are taken together, then all second ones: for many short runs far less work than reduceat."""
+    made = values[rows[starts]]
+    for k in range(1, int(counts.max(initial=1))):
+        more = np.flatnonzero(counts > k)
+        made[more] += values[rows[starts[more] + k]]
+    return made
+
+
 class Space:
     """What all blocks share: the words' numbers, weights and projections, and the least window size."""
 
@@ -372,22 +381,24 @@ class Search:
         blocks = -(-lengths // size)
         first_block = np.cumsum(blocks) - blocks
         ids = np.concatenate(segments)
-        block = np.repeat(first_block, lengths) + (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // size
-        weighty = self.weighty[ids]
-        block, ids = block[weighty], ids[weighty]
+        at, ends = np.flatnonzero(self.weighty[ids]), np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(segments)), np.diff(np.searchsorted(at, ends), prepend=0))
+        block, ids = first_block[owner] + (at - (ends - lengths)[owner]) // size, ids[at]
         sums = np.zeros((int(blocks.sum()), self.projection.shape[1]), np.float32)
         if len(ids):
             edges = np.flatnonzero(np.diff(block, prepend=-1))
-            sums[block[edges]] = np.add.reduceat(self.projection[ids], edges, axis=0)
+            sums[block[edges]] = _summed(self.projection, ids, edges, np.diff(edges, append=len(ids)))
+        every = np.arange(len(sums))
         for scale, (items, latents, parts) in self.scales.items():
             step = scale // 2 // size
             halves = -(-blocks // step)
             owner = np.repeat(np.arange(len(segments)), halves)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(halves) - halves, halves)
-            half = np.add.reduceat(sums, first_block[owner] + nth * step, axis=0)
+            half = _summed(sums, every, first_block[owner] + nth * step, np.minimum(blocks[owner] - nth * step, step))
             latent = half.copy()
-            together = owner[:-1] == owner[1:]
-            latent[:-1][together] += half[1:][together]
+            latent[:-1] += half[1:]
+            last = np.flatnonzero(nth + 1 == halves[owner])
+            latent[last] = half[last]
             only = (nth == 0) | (nth + 1 < halves[owner])  # the last half is in the window before it
             norm = np.linalg.norm(latent, axis=1)
             some = np.flatnonzero(only & (norm >= parts.min()))
@@ -411,13 +422,17 @@ class Search:
                         yield item, at
 
     def confirm(self, item: Item, ids: np.ndarray, begin: int, end: int) -> tuple[float, float, str | None]:
-        """The shares of the item and of its answer in common subsequences, and what the window is, if anything."""
+        """The shares of the item and of its answer in common subsequences, and what the window is, if anything. Where it is
+        nothing for want of the item's words, the shares are a bound and 0."""
         size = len(item.ids)
         if item.place not in self._masks:
             self._masks[item.place] = _masks(item.ids), _masks(item.ids[size - item.answer :])
         masks, answer_masks = self._masks[item.place]
         around = ids[max(0, begin - size // 2) : end + size // 2].tolist()
-        share = lcs(masks, size, around) / size
+        share = sum(masks[x].bit_count() for x in masks.keys() & set(around)) / size  # the most it can be
+        share = lcs(masks, size, around) / size if share >= PARAPHRASE else share
+        if share < PARAPHRASE:
+            return share, 0.0, None
         answer = lcs(answer_masks, item.answer, around) / item.answer if item.answer else 0.0
         return share, answer, "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and answer >= ANSWER else None
 

@@ -232,3 +232,37 @@ def test_words_of_texts_are_numbered_together():
     got = D.numbered(D.known_words(number), texts)
     assert [g.tolist() for g in got] == [[number.get(w, -1) for w in D.words(t)] for t in texts]
     assert D.numbered(D.known_words(number), []) == []
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(3)
+    values, rows = rng.integers(-9, 9, (50, 4)).astype(np.float32), rng.integers(0, 50, 400)
+    counts = rng.integers(1, 9, 60)
+    starts = rng.integers(0, 390, 60)
+    counts = np.minimum(counts, 400 - starts)
+    assert (D._summed(values, rows, starts, counts) == np.stack([values[rows[s : s + n]].sum(0) for s, n in zip(starts, counts)])).all()
+    assert D._summed(values, rows, starts[:0], counts[:0]).shape == (0, 4)
+
+
+def test_windows_without_an_items_words_are_not_compared(monkeypatch):
+    """A window that lacks too many of an item's words cannot hold it in order; what is confirmed is what subsequences say."""
+    rng, compared = random.Random(11), []
+    monkeypatch.setattr(D, "lcs", lambda masks, size, sequence, f=D.lcs: compared.append(size) or f(masks, size, sequence))
+    vocabulary = D.Vocabulary([(1, " ".join(f"w{k}" for k in rng.choices(range(40), k=30)) + ". " + " ".join(f"w{k}" for k in range(40, 44)))])
+    (item,) = vocabulary.items
+    search = D.Search(D.Space(vocabulary, np.ones(len(vocabulary)), np.eye(len(vocabulary), dtype=np.float32)), [item], [])
+    kinds = []
+    for share in (0.0, 0.2, 0.5, 0.6, 0.7, 0.85, 1.0) * 6:
+        ids = np.where(np.array([rng.random() < share for _ in item.ids]), item.ids, -1)
+        full = plain_lcs(item.ids.tolist(), ids.tolist()) / len(item.ids)
+        answer = plain_lcs(item.ids[len(item.ids) - item.answer :].tolist(), ids.tolist()) / item.answer
+        wanted = "copy" if full >= D.COPY else "paraphrase" if full >= D.PARAPHRASE and answer >= D.ANSWER else None
+        compared.clear()
+        got = search.confirm(item, ids, 0, len(ids))
+        assert got[2] == wanted and got[0] >= full - 1e-12
+        assert wanted is None or got == (full, answer, wanted)
+        kinds.append(wanted)
+        assert share or not compared
+    assert {"copy", None} <= set(kinds)
+    compared.clear()
+    assert search.confirm(item, np.full(40, -1), 0, 40) == (0.0, 0.0, None) and not compared
