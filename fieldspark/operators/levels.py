@@ -125,6 +125,20 @@ def topological_depth(levels: DataFrame, orders: DataFrame) -> DataFrame:
     return _bucketed(levels, orders).groupBy("bucket").applyInPandas(run, "level_id long, depth int, height double")
 
 
+def cycles(levels: DataFrame, orders: DataFrame) -> DataFrame:
+    """level_id: the smallest level on a cycle of orders, of each bucket of levels that has one. An error of a task would
+    reach the driver as one of Python's, without its class."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            Graph(rows)
+        except InfeasibleError as error:
+            return pd.DataFrame({"level_id": [error.where["level"]]})
+        return pd.DataFrame({"level_id": np.empty(0, np.int64)})
+
+    return _bucketed(levels, orders).groupBy("bucket").applyInPandas(run, "level_id long")
+
+
 def fixed_conflicts(levels: DataFrame, orders: DataFrame) -> DataFrame:
     """lower_id, upper_id, least, values of fixed levels whose values are closer than the largest sum of gaps on a path."""
 
@@ -226,7 +240,9 @@ def validate(levels: DataFrame, memberships: DataFrame, orders: DataFrame) -> No
         raise InputError("a membership is a value with coefficient 1")
     if orders.where("lower_id = upper_id or not min_gap >= 0").first():
         raise InputError("an order needs two levels and a gap of 0 or more")
-    topological_depth(levels, orders).agg(F.max("depth")).first()
+    cycle = cycles(levels, orders).agg(F.min("level_id")).first()[0]
+    if cycle is not None:
+        raise InfeasibleError("the orders have a cycle", level=cycle)
     if place:
         equal = closure_conflicts(levels, memberships, orders, place).first()
         if equal:

@@ -73,3 +73,14 @@ def test_observations_and_memberships_are_checked(spark):
     slopes = spark.createDataFrame([(1, 11, 0.0, 1.0, "value"), (2, 12, 1.0, 2.0, "value")], MEMBER + ", coef double, kind string")
     with pytest.raises(errors.InputError, match="membership"):
         levels.validate(given, slopes, ordered)
+
+
+@pytest.mark.parametrize("one_task", [10**6, 4])
+def test_a_cycle_is_an_error_of_its_class(spark, monkeypatch, one_task):
+    monkeypatch.setattr(levels, "ONE_TASK", one_task)
+    known = [(k, "fixed" if k % 3 == 0 else "unknown", float(k) if k % 3 == 0 else None) for k in range(9)]
+    orders = [(0, 1, 0.0), (1, 2, 0.0), (4, 5, 0.0), (5, 4, 0.0), (7, 6, 0.0), (8, 7, 0.0), (6, 8, 0.0)]
+    given, members, ordered = frames(spark, known, orders, [(k, k + 20, float(k)) for k in range(9)])
+    with pytest.raises(errors.InfeasibleError, match="cycle; level=4"):
+        levels.validate(given, members, ordered)
+    levels.validate(given, members, ordered.where("lower_id < upper_id"))
