@@ -508,18 +508,18 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str, words: int, s
     dealt = checkpointed(members.join(parts, "bucket"))
     if dealt.isEmpty():
         return found
-    roots = components(spanning(found.union(linked)))
-    rooted = dealt.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    rooted = checkpointed(rooted)
-    largest = rooted.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
-    meeting = rooted.join(largest, "bucket")
+    roots = rooted(found.union(linked))
+    known = dealt.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    known = checkpointed(known)
+    largest = known.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
+    meeting = known.join(largest, "bucket")
     own, everywhere = meeting.where("root = main"), meeting.where("root <> main")
     units = own.union(everywhere.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(own.columns))
     return found.union(_confirm(units.join(everywhere.select("bucket").distinct(), "bucket"), sets, similarity, most, n))
 
 
-def _spanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect whatever the task's links connect, one fewer than the nodes of each group."""
+def _starred(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root: the smallest node that the task's links lead to, of each node but those roots."""
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -528,20 +528,24 @@ def _spanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     for rows in batches:
-        keep = np.zeros(rows.num_rows, bool)
-        for k, (a, b) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+        for a, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
             a, b = top(a), top(b)
-            if a != b:
-                root[b] = a
-                keep[k] = True
-        yield rows.filter(pa.array(keep))
-
-
-def spanning(found: DataFrame, most: int = LINKS) -> DataFrame:
-    """Enough of the links a, b to connect what they connect, from parts of about ``most`` links each: where many texts of a
-    group are alike, their links grow with its square, and those that are passed on do not."""
+            root[max(a, b)] = min(a, b)
+    nodes = np.fromiter(root, np.int64, len(root))
+    for at in range(0, len(nodes), 8192):
+        some = nodes[at : at + 8192]
+        roots = np.array([top(x) for x in some.tolist()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x[some != roots]) for x in (some, roots)], ["node", "root"])
+
+
+def rooted(found: DataFrame, most: int = LINKS) -> DataFrame:
+    """What ``components`` gives for links a, b. Parts of about ``most`` links each become stars of a root and its nodes first:
+    where many texts of a group are alike, their links grow with its square, and stars do not. The stars of several
+    parts still have to be connected; those of one part are the components, without rounds of joins."""
     found = checkpointed(found)
-    return found.repartition(-(-found.count() // most) or 1).mapInArrow(_spanned, "a long, b long")
+    parts = -(-found.count() // most) or 1
+    stars = checkpointed(found.repartition(parts).mapInArrow(_starred, "node long, root long"))
+    return stars if parts == 1 else components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 # -- the operator ----------------------------------------------------------------------------------------------------
@@ -562,7 +566,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if similarity is not None:
         found = checkpointed(found)
         found = found.union(similar_links(docs, rows, text_col, words, similarity, most, found))
-    roots = components(spanning(found))
+    roots = rooted(found)
     grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     firsts = grouped.groupBy("root").agg(F.min("own").alias("first"))
     named = grouped.join(firsts, "root").select(F.col("fp").alias("print"), "first")

@@ -237,3 +237,25 @@ def test_buckets_in_parts_connect_the_same(spark):
         found = simhash.similar_links(docs, prints, "text", 5, 0.8, 4, linked, **sizes).collect()
         got.append(connected(len(fps), [(number[r.a], number[r.b]) for r in found] + by_bits))
     assert got[0] == got[1] == got[2] and len(got[0]) < len(fps) / 2
+
+
+def test_links_become_components_without_rounds(spark, monkeypatch):
+    """Chains, a group of all pairs, links both ways, loops: one part of links takes no rounds, several parts give the same."""
+    rng = random.Random(12)
+    pairs = [(k, k + 1) for k in range(-60, 60) if k % 20] + [(i, j) for i in range(100, 140) for j in range(100, i)] + [(200, 200), (7, 3), (3, 7), (-(1 << 63), (1 << 63) - 1)]
+    pairs = [p if rng.random() < 0.5 else p[::-1] for p in pairs]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "a long, b long")
+    nodes = sorted({x for p in pairs for x in p})
+    number = {x: k for k, x in enumerate(nodes)}
+    groups = connected(len(nodes), [(number[a], number[b]) for a, b in pairs])
+    wanted = sorted((nodes[k], nodes[min(g)]) for g in groups for k in g if k != min(g))
+    rounds = []
+    monkeypatch.setattr(simhash, "components", lambda edges, found=simhash.components: rounds.append(edges.count()) or found(edges))
+    assert sorted(map(tuple, simhash.rooted(links).collect())) == wanted and rounds == []
+    assert sorted(map(tuple, simhash.rooted(links, most=90).collect())) == wanted and len(rounds) == 1
+    assert simhash.rooted(links.limit(0)).collect() == []
+    rounds.clear()
+    docs = spark.createDataFrame(copies(6, 3, 200, (1, 2)), "doc_id long, text string")
+    assert {(r.id, r.first.id) for r in simhash.simhash_groups(docs, similarity=0.8).collect()} == {(k, k - k % 3) for k in range(9)}
+    assert rounds == []
