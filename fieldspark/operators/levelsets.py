@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from fieldspark.sessions import checkpointed
 
 Numbers = Callable[[list[np.ndarray]], np.ndarray]
 
+#: Segments of lines that one task puts in order.
+ONE_TASK = 1 << 20
+
 
 def bisect(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, tolerance: float, width: float, steps: int) -> np.ndarray:
     """Roots of f between low and high, where it changes sign, to the tolerance of its value or of the width; an error if
@@ -207,26 +211,57 @@ def segments(nodes: DataFrame, vertices: DataFrame, method: str = "squares") ->
     return every.select("i", "j", F.col("s.a.vid").alias("a"), F.col("s.b.vid").alias("b"), F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
-def polylines(drawn: DataFrame) -> DataFrame:
-    """line, seq, vid, x, y, closed: the vertices of each line in order. An open line begins at the end with the lower vid, a
-    closed one at its lowest vertex, towards that one's lower neighbour; line is its lowest vid. No vertex may have more
-    than two segments. Order is found by pointer doubling: in a number of joins that grows with the logarithm of the longest
-    line, no task holds a line."""
-    arcs = checkpointed(drawn.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    half = checkpointed(arcs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"))
-    crowded = half.groupBy("a").count().where("count > 2").first()
-    if crowded is not None:
-        raise InputError("a vertex has more than two segments", vertex=crowded["a"])
+def _walked(arcs: pd.DataFrame) -> pd.DataFrame:
+    """line, seq, vid, closed of the lines that arcs between vertices make, of which none has more than two."""
+    ids, ends = np.unique(arcs[["a", "b"]].to_numpy(np.int64).ravel(), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    near = np.full((len(ids), 2), -1)
+    fro, to = np.concatenate([a, b]), np.concatenate([b, a])
+    by = np.lexsort((to, fro))
+    fro, to = fro[by], to[by]
+    near[fro, np.arange(len(fro)) - np.searchsorted(fro, fro)] = to  # the lower neighbour first
+    open_ = near[:, 1] < 0
+    beside, seen, made = near.tolist(), [False] * len(ids), []
+    for start in [*np.flatnonzero(open_).tolist(), *np.flatnonzero(~open_).tolist()]:
+        if seen[start]:
+            continue
+        at, path = start, []
+        while at >= 0:
+            seen[at] = True
+            path.append(at)
+            at = next((k for k in beside[at] if k >= 0 and not seen[k]), -1)
+        made.append(pd.DataFrame({"line": ids[min(path)], "seq": np.arange(len(path)), "vid": ids[path], "closed": bool(not open_[start])}))
+    return pd.concat(made)
+
+
+def _doubled(state: DataFrame, moved: Callable[[Column, Column], list[Column]]) -> DataFrame:
+    """One round of pointer doubling over steps a to b, of which each points to the step na to nb ahead (nb null: none ahead).
+    A step is pointed to by one other at most, so the two meet in a group; a join of the state with itself would do the same,
+    but Spark takes a join to be as large as the product of its sides, and that guess, squared in each round, becomes a
+    number of millions of digits."""
+    whole = F.struct(*state.columns)
+    none = F.lit(None).cast(state.select(whole.alias("s")).schema["s"].dataType)
+    offered = state.select("a", "b", whole.alias("then"), none.alias("own"))
+    asked = state.where("nb is not null").select(F.col("na").alias("a"), F.col("nb").alias("b"), none.alias("then"), whole.alias("own"))
+    met = offered.union(asked).groupBy("a", "b").agg(F.max("then").alias("then"), F.max("own").alias("own")).where("own is not null")
+    return met.select(*moved(F.col("own"), F.col("then"))).union(state.where("nb is null"))
+
+
+def _doubled_lines(half: DataFrame) -> DataFrame:
+    """The same as ``_walked`` from the arcs in both directions, in a number of rounds that grows with the logarithm of the
+    longest line: no task holds a line."""
     ahead = half.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    follows = half.join(ahead, "b", "left").groupBy("a", "b").agg(F.max(F.when(F.col("c") != F.col("a"), F.col("c"))).alias("c"))
+    follows = checkpointed(half.join(ahead, "b", "left").groupBy("a", "b").agg(F.max(F.when(F.col("c") != F.col("a"), F.col("c"))).alias("c")))
     # Each step from a to b knows the lowest vertex within twice as many steps ahead in every round.
-    state = checkpointed(follows.select("a", "b", F.least("a", "b").alias("low"), F.col("b").alias("na"), F.col("c").alias("nb")))
+    state = checkpointed(follows.select("a", "b", F.col("b").alias("na"), F.col("c").alias("nb"), F.least("a", "b").alias("low")))
+    mark = F.struct(F.sum(F.col("low").cast("decimal(38,0)")).alias("low"), F.count("nb").alias("open"))
+    before = state.agg(mark.alias("m")).first()["m"]
     for _ in range(64):
-        then = state.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("low").alias("low2"), F.col("na").alias("na2"), F.col("nb").alias("nb2"))
-        moved = checkpointed(state.join(then, ["na", "nb"], "left").select("a", "b", F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("na2").alias("na"), F.col("nb2").alias("nb"), (F.col("low2") < F.col("low")).alias("lower")))
-        state = moved.drop("lower")
-        if moved.where("lower").isEmpty():
+        state = checkpointed(_doubled(state, lambda own, then: [own["a"].alias("a"), own["b"].alias("b"), then["na"].alias("na"), then["nb"].alias("nb"), F.least(own["low"], then["low"]).alias("low")]))
+        after = state.agg(mark.alias("m")).first()["m"]
+        if not after["open"] or after == before:
             break
+        before = after
     back = state.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("low").alias("low2"))
     line = checkpointed(state.join(back, ["a", "b"]).select("a", "b", F.least("low", "low2").alias("line")))
     degree = half.groupBy("a").agg(F.count("*").alias("n"))
@@ -238,14 +273,28 @@ def polylines(drawn: DataFrame) -> DataFrame:
     for _ in range(64):
         if state.where("nb is not null").isEmpty():
             break
-        then = state.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("left").alias("left2"), F.col("last").alias("last2"), F.col("na").alias("na2"), F.col("nb").alias("nb2"))
-        state = checkpointed(state.join(then, ["na", "nb"], "left").select("a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"), F.coalesce("last2", "last").alias("last")))
+        state = checkpointed(_doubled(state, lambda own, then: [own["a"].alias("a"), own["b"].alias("b"), then["na"].alias("na"), then["nb"].alias("nb"), (own["left"] + then["left"]).alias("left"), then["last"].alias("last")]))
     walk = state.select("a", "b", "left", "last").join(line, ["a", "b"]).join(first, "line")
     walk = walk.where(F.when(F.col("end").isNotNull(), F.col("last") != F.col("end")).otherwise(F.col("last") == F.col("line")))
     lengths = walk.groupBy("line").agg(F.max("left").alias("most"))
     seated = walk.join(lengths, "line").withColumn("seq", F.col("most") - F.col("left"))
     closed = F.col("end").isNull()
-    listed = seated.select("line", "seq", F.col("a").alias("vid"), closed.alias("closed")).union(seated.where(~closed & (F.col("left") == 0)).select("line", F.col("seq") + 1, "b", closed))
+    return seated.select("line", "seq", F.col("a").alias("vid"), closed.alias("closed")).union(seated.where(~closed & (F.col("left") == 0)).select("line", F.col("seq") + 1, "b", closed))
+
+
+def polylines(drawn: DataFrame) -> DataFrame:
+    """line, seq, vid, x, y, closed: the vertices of each line in order. An open line begins at the end with the lower vid, a
+    closed one at its lowest vertex, towards that one's lower neighbour; line is its lowest vid. No vertex may have more
+    than two segments. Up to ONE_TASK segments are put in order by one task, more by pointer doubling."""
+    arcs = checkpointed(drawn.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    half = arcs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+    crowded = half.groupBy("a").count().where("count > 2").first()
+    if crowded is not None:
+        raise InputError("a vertex has more than two segments", vertex=crowded["a"])
+    if arcs.count() <= ONE_TASK:
+        listed = arcs.withColumn("bucket", F.lit(0)).groupBy("bucket").applyInPandas(_walked, "line long, seq long, vid long, closed boolean")
+    else:
+        listed = _doubled_lines(half)
     spots = drawn.select(F.explode(F.array(F.struct(F.col("a").alias("vid"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("b").alias("vid"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("v")).select("v.*").groupBy("vid").agg(F.min(F.struct("x", "y")).alias("at"))
     return listed.join(spots, "vid").select("line", "seq", "vid", "at.x", "at.y", "closed")
 

@@ -1,5 +1,7 @@
 """Flat stretches, cells that the level enters at three places, open lines, stored fields, quantiles and fitted tuning."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -35,6 +37,27 @@ def test_three_vertices_in_a_cell_and_lines_that_end_within(spark):
         levelsets.isolines(nodes, vertices.where("j < 3"))
 
 
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_long_lines_in_order_by_one_task_and_by_doubling(spark, monkeypatch, one_task):
+    monkeypatch.setattr(levelsets, "ONE_TASK", one_task)
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(2000) + (1 << 40)
+    parts, at = {}, 0
+    for n, closed in ((1100, True), (700, False), (3, True), (2, False), (195, False)):
+        part, at = ids[at : at + n].tolist(), at + n
+        k = part.index(min(part))
+        part = part[k:] + part[:k] if closed else part if part[0] < part[-1] else part[::-1]
+        parts[min(part)] = (part if not closed or part[1] < part[-1] else [part[0], *part[:0:-1]], closed)
+    arcs = [(a, b) if rng.random() < 0.5 else (b, a) for part, closed in parts.values() for a, b in zip(part, part[1:] + part[:1] if closed else part[1:])]
+    drawn = spark.createDataFrame([(a, b, float(a), 0.5, float(b), 0.5) for a, b in arcs], "a long, b long, ax double, ay double, bx double, by double")
+    began = time.perf_counter()
+    found = levelsets.polylines(drawn).toPandas().sort_values(["line", "seq"])
+    assert time.perf_counter() - began < 120  # where the guess of a join's size grew in each round, this did not end
+    assert found["seq"].dtype == np.int64 and (found["x"] == found["vid"]).all()
+    assert {line: (own["vid"].tolist(), own["closed"].all()) for line, own in found.groupby("line")} == parts
+    assert all(own["seq"].tolist() == list(range(len(own))) for _, own in found.groupby("line"))
+
+
 @pytest.mark.parametrize("anisotropy", [None, Anisotropy.isotropic(2, 0.7)])
 def test_stored_fields_of_functionals_read_back_the_same(spark, tmp_path, anisotropy):
     rng = np.random.default_rng(0)
