@@ -30,6 +30,13 @@ def test_a_problem_without_inner_point_is_not_infeasible():
     assert solved([[2, 0], [0, 0]], [-10, 0], [[0, 1], [0, -1], [-1, 0]], [0, 0, 0], zeros=1, sizes=[2]) == pytest.approx([0, 0], abs=1e-9)
 
 
+@pytest.mark.parametrize("far", [10.0, 4525 / 7, 4475 / 7, 51_428.0])
+def test_a_cone_without_inner_point_beside_a_large_free_variable(far):
+    for m in (9.97095, 4.54675, -0.15624, 0.0001):
+        x = solved(np.diag([2.0, 2.0, 0.0]), [-2 * m, -2 * far, 0], [[0, 0, 1], [0, 0, -1], [-1, 0, 0]], [0, 0, 0], zeros=1, sizes=[2])
+        assert x == pytest.approx([0, far, 0], abs=1e-9, rel=1e-12)
+
+
 def test_certificates():
     square = np.array([[2.0, 0.0], [0.0, 0.0]])
     excluded = [
