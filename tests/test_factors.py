@@ -1,5 +1,6 @@
 """Exact sums, sparse and indefinite factors, ranks and null spaces."""
 
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -145,6 +146,50 @@ def test_null_space_and_augmented_routes_agree():
         densefactor.solve(k, p, y, SolveOptions(factorization="cholesky"))
 
 
+def test_large_systems_are_solved_to_the_last_digits_and_soon():
+    rng = np.random.default_rng(9)
+    n = 2 * densefactor.LARGE
+    x = np.sort(rng.choice(25 * n, n, replace=False)).astype(float)
+    y, p = rng.standard_normal(n) * 5, np.ones((n, 1))
+    k = -np.abs(x[:, None] - x)
+    slope = np.diff(y) / np.diff(x)
+    wanted = (np.insert(slope, 0, 0.0) - np.append(slope, 0.0)) / 2
+    began = time.perf_counter()
+    for options in (SolveOptions(), SolveOptions(route="null_space")):
+        made = densefactor.solve(k, p, y, options)
+        assert np.abs(made.found[:n] - wanted).max() < 1e-13 * np.abs(wanted).max()
+        assert made.inertia in ((n, 1, 0), None) and made.backward_error <= 128 * n * densefactor.EPS
+    values = densefactor.polynomial_energies(k, p)
+    assert len(values) == n - 1 and values.min() > 0 and values.sum() == pytest.approx(-k.sum() / n)
+    assert time.perf_counter() - began < 60
+    with pytest.raises(ConditioningError):
+        densefactor.solve(-k, p, y)
+    k[1], k[:, 1] = k[0], k[:, 0]
+    with pytest.raises((RankError, ConditioningError)):
+        densefactor.solve(k, p, y)
+
+
+def test_reflections_are_the_null_space():
+    rng = np.random.default_rng(10)
+    p, k = np.column_stack([np.ones(50), rng.random((50, 2))]), rng.standard_normal((50, 50))
+    k += k.T
+    z, own = densefactor.null_space(p), densefactor.complement(p)[0]
+    v = rng.standard_normal(47)
+    assert own.expand(v) == pytest.approx(z @ v) and own.reduce(k[0]) == pytest.approx(z.T @ k[0]) and own.project(k) == pytest.approx(z.T @ k @ z)
+
+
+def test_panels_of_indefinite_factors():
+    rng = np.random.default_rng(11)
+    for n in (63, 64, 65, 200):
+        a = rng.standard_normal((n, n))
+        a += a.T
+        np.fill_diagonal(a, np.where(rng.random(n) < 0.5, 0.0, np.diag(a)))
+        factor, b = densefactor.ldlt(a), rng.standard_normal(n)
+        values = np.linalg.eigvalsh(a)
+        assert factor.inertia() == ((values > 0).sum(), (values < 0).sum(), 0)
+        assert np.allclose(a @ factor.solve(b), b) and np.abs(factor.lower).max() < 1e3
+
+
 def test_options():
     k, y, none = np.array([[2.0, 1.0], [1.0, 2.0]]), np.array([3.0, 4.0]), np.zeros((2, 0))
     assert densefactor.solve(k, none, y, SolveOptions(regularization=1.0)).found == pytest.approx(np.linalg.solve(k + np.eye(2), y))
