@@ -175,14 +175,21 @@ def closure_conflicts(levels: DataFrame, memberships: DataFrame, orders: DataFra
 
 def loose_components(levels: DataFrame, orders: DataFrame, memberships: DataFrame | None = None) -> DataFrame:
     """component, levels of components without a fixed or prior value. Orders connect levels, and so does the field all
-    levels that have members, where memberships are given."""
-    if memberships is not None:
-        members = memberships.select("level_id").distinct()
-        hub = members.agg(F.min("level_id").alias("lower_id"))
-        through = members.join(F.broadcast(hub), F.col("level_id") > F.col("lower_id")).select("lower_id", F.col("level_id").alias("upper_id"))  # one row on one side
-        orders = orders.select("lower_id", "upper_id").union(through)
-    joined = levels.join(components(levels, orders), "level_id")
-    found = joined.groupBy("component").agg(F.bool_or(F.col("kind") != "unknown").alias("held"), F.count("*").alias("levels"))
+    levels that have members, where memberships are given: components of orders with a member anywhere are one."""
+    roots = graphs.components(orders.select(F.col("lower_id").alias("a"), F.col("upper_id").alias("b")))
+    named = levels.select("level_id", (F.col("kind") != "unknown").alias("held")).join(roots, F.col("level_id") == F.col("node"), "left")
+    named = named.select("level_id", F.coalesce("root", "level_id").alias("component"), "held")
+    both = [F.bool_or("held").alias("held"), F.sum("levels").alias("levels")]
+    if memberships is None:
+        found = named.withColumn("levels", F.lit(1)).groupBy("component").agg(*both)
+    else:
+        # A level and its memberships meet by their ids in one sum instead of a join.
+        rows = named.select("level_id", "component", "held", F.lit(1).alias("levels"), F.lit(False).alias("member"))
+        none = lambda c: F.lit(None).cast(dict(rows.dtypes)[c]).alias(c)
+        rows = rows.union(memberships.select("level_id", none("component"), none("held"), F.lit(0).alias("levels"), F.lit(True).alias("member")))
+        each = rows.groupBy("level_id").agg(F.min("component").alias("component"), *both, F.bool_or("member").alias("member")).where("levels > 0")
+        parts = each.groupBy("component").agg(F.bool_or("held").alias("held"), F.sum("levels").alias("levels"), F.bool_or("member").alias("member"))
+        found = parts.groupBy(F.when(~F.col("member"), F.col("component")).alias("apart")).agg(F.min("component").alias("component"), *both)
     return found.where("not held").select("component", "levels")
 
 

@@ -1,9 +1,10 @@
 """Levels: paths of many orders, equality through members, gauge and contrast through the field."""
 
+import numpy as np
 import pytest
 
 from fieldspark import errors
-from fieldspark.operators import levels
+from fieldspark.operators import graphs, levels
 
 LEVEL, ORDER, MEMBER = "level_id long, ord int, kind string, value double, mean double", "lower_id long, upper_id long, min_gap double", "level_id long, obs_id long, x0 double"
 
@@ -55,6 +56,41 @@ def test_the_field_holds_levels_that_no_order_joins(spark):
         levels.validate(given, members.where("level_id < 4"), ordered)
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
+def test_components_of_chunks_and_of_rounds_are_the_same(spark, monkeypatch, chunk):
+    rng = np.random.default_rng(5)
+    pairs = [*rng.integers(0, 900, (500, 2)).tolist(), *[[2000 + k, 2001 + k] for k in range(60)], *[[3000, 3000 + k] for k in range(1, 90)], [5, 5]]
+    edges = spark.createDataFrame([*pairs, [None, 3]], "a long, b long")
+    monkeypatch.setattr(graphs, "CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        found = {r.node: r.root for r in graphs.components(edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    root = {k: k for pair in pairs for k in pair}
+    for _ in root:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert found == {k: r for k, r in root.items() if k != r}
+    named = edges.selectExpr("cast(a as string) as a", "cast(b as string) as b")
+    assert graphs.components(named).groupBy("root").count().count() == len(set(found.values()))
+
+
+def test_members_make_one_of_components_without_edges_between_them(spark, monkeypatch):
+    known = [(k, "fixed" if k == 41 else "unknown", 1.0 if k == 41 else None) for k in range(60)]
+    orders = [(k, k + 1, 0.0) for k in range(0, 60, 3)]
+    given, members, ordered = frames(spark, known, orders, [(k, 100 + k, float(k)) for k in (4, 9, 20, 20)])
+    edges = []
+    monkeypatch.setattr(levels.graphs, "components", lambda e, real=graphs.components: edges.append(e.count()) or real(e))
+    found = {tuple(r) for r in levels.loose_components(given, ordered, members).collect()}
+    alone = {(k, 2) for k in range(0, 60, 3)} - {(3, 2), (9, 2)} | {(k, 1) for k in range(2, 60, 3)} - {(20, 1), (41, 1)}
+    assert found == alone | {(3, 5)} and edges == [20]  # {3, 4}, {9, 10} and 20 through the field
+    assert (3, 5) not in {tuple(r) for r in levels.loose_components(given, ordered, members.union(spark.createDataFrame([(41, 7, 0.0)], MEMBER))).collect()}
+
+
 def test_contrast_is_between_levels_with_members(spark):
     known = [(1, "fixed", 0.0), (2, "fixed", 1.0), (3, "unknown", None)]
     given, members, ordered = frames(spark, known, [(1, 3, 0.5)], [(1, 11, 0.0), (2, 12, 1.0), (3, 13, 2.0)])
