@@ -38,7 +38,10 @@ def within(left: DataFrame, right: DataFrame, radius: float, dimension: int, ani
     b = right.select(F.col("idx").alias("j"), *[F.col(c).alias(f"b_{c}") for c in x], around.alias("cell")).select("j", *[f"b_{c}" for c in x], "cell.*")
     d = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in x]
     r = distance(anisotropy.separation(d) if anisotropy else d)
-    return a.join(b, [f"cell_{c}" for c in x]).select("i", "j", r.alias("r")).where(F.col("r") < radius)
+    # Pairs, not bytes, are the work: dealt by cell, rows stay apart where Spark would put small tables in few tasks.
+    cells = [f"cell_{c}" for c in x]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(tasks, *cells).join(b.repartition(tasks, *cells), cells).select("i", "j", r.alias("r")).where(F.col("r") < radius)
 
 
 def sparse_matrix(points: DataFrame, kernel: Kernel, dimension: int, anisotropy: Anisotropy | None = None) -> DataFrame:

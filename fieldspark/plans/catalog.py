@@ -469,7 +469,10 @@ def project_reference(spark, sf):
 
 @query("neighbor_pairs", f"SELECT a.idx AS i, b.idx AS j, {s6('sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2)', 'r')} FROM {SUPPLIERS} a JOIN {CUSTOMERS} b ON (a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 < 1.5 * 1.5")
 def neighbor_pairs(spark, sf):
-    return neighbors.within(P.suppliers(spark, sf), P.customers(spark, sf), 1.5, 2).select("i", "j", r6(F.col("r"), "r"))
+    """Suppliers are the few that go to the cells around theirs. Pairs grow with the product of both tables: what is done for
+    each is arithmetic of doubles, as in the SQL, for F.round makes a decimal of each number."""
+    pairs = neighbors.within(P.customers(spark, sf), P.suppliers(spark, sf), 1.5, 2)
+    return pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), (F.rint(F.col("r") * 1e6) / 1e6).alias("r"))
 
 
 C4 = Kernel("wendland_c4", 1.5)

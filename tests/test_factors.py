@@ -250,3 +250,15 @@ def test_neighbours_with_far_outliers_and_points_at_one_place(spark):
     width = selection._cell_width(rows.where("idx < 403"), ["x0", "x1"], 2e6)
     fullest = rows.groupBy(*[(rows[c] / width).cast("long") for c in ("x0", "x1")]).count().agg({"count": "max"}).first()[0]
     assert width < 1e-3 and fullest <= 4 * selection.CELL_POINTS
+
+
+def test_pairs_of_small_tables_are_dealt_over_tasks(spark):
+    from fieldspark.operators import neighbors
+
+    rng = np.random.default_rng(12)
+    x, y = rng.random((300, 2)) * 6, rng.random((40, 2)) * 6
+    left, right = (spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(rows)], "idx long, x0 double, x1 double").coalesce(1) for rows in (x, y))
+    made = neighbors.within(left, right, 1.5, 2)
+    d = np.linalg.norm(x[:, None] - y[None], axis=2)
+    assert {(r.i, r.j): r.r for r in made.collect()} == {(i, j): pytest.approx(d[i, j]) for i, j in zip(*np.nonzero(d < 1.5))}
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
